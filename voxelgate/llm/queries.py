@@ -9,6 +9,7 @@ from . import langid, quality
 from .byte_bpe import bpe_round_trip
 from .common import crc_mod, table
 from .exact_dedup import exact_dedup
+from .ngram_join import near_groups
 from .packing import pack
 from .top_k import exact_top_k
 
@@ -40,6 +41,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("row.doc_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_mod("doc_id", 5) == 0
@@ -59,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_exact_top_k, op7_packing, op9_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_exact_top_k, op7_packing, op8_ngram_join, op9_quality, op10_byte_bpe)}
 
 SQL = {
     "op6_exact_top_k": """
