@@ -8,8 +8,11 @@ record for each window it touches.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -24,13 +27,16 @@ from .common import checkpoint
 #: Words kept with their ids in a worker; beyond it the cache starts anew, which costs time only.
 CACHED_WORDS = 800_000
 _LONG_WORD = 64
+#: Latin letters, with or without what the vocabulary's pre-tokenizer cuts off after them. Such letters are composed already, and the vocabulary lowers their case.
+_LETTERS_END = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!#$%&*,.:;?|]*)")
 
 
 class WordEncoder:
     """Ids of a text as the tokenizers library gives them, looked up word by word.
 
-    The vocabulary's pre-tokenizer drops white space and never joins what stands on both sides of
-    it, so the ids of a text are those of its blank-separated words.
+    Where the vocabulary marks the ends of words and its pre-tokenizer drops white space, the ids of
+    a text are those of its blank-separated words; those new to a worker are coded in one go. With
+    any other vocabulary whole texts are coded.
     """
 
     def __init__(self, path: str):
@@ -41,30 +47,66 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        suffix = given["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and "Lowercase" in json.dumps(given["normalizer"]) and '"behavior": "Removed"' in json.dumps(given["pre_tokenizer"])
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _coded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, coded many at once and told apart by the ids that end a word."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = np.frombuffer(self._coded([b" ".join(part).decode()])[0], self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, width = ids.tobytes(), self.dtype.itemsize
+                cuts = [0, *(ends * width).tolist()]
+                out += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += self._coded([w.decode() for w in part])
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, packed as dtype."""
+        if not self.by_word:
+            return self._coded(texts)
         known, split = self.known, [x.encode().split() for x in texts]
         new: set[bytes] = set()
         for words in split:
             new.update(words)
         new.difference_update(known)
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(x.ids, self.dtype).tobytes()) for w, x in zip(new, found, strict=True))
+        plain = {w: (m[1].lower(), m[2]) for w in new if (m := _LETTERS_END.fullmatch(w))}
+        letters = list({x for x, _ in plain.values()}.difference(known))
+        other = list(new.difference(plain).union(x for _, x in plain.values()).difference(known))
+        known.update(zip(letters, self._letters(letters), strict=True))
+        known.update(zip(other, self._coded([w.decode() for w in other]), strict=True))
+        known.update((w, known[x] + known[end]) for w, (x, end) in plain.items())
         out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > _LONG_WORD:
-                del known[w]
+        for w in {w for x in (new, letters, other) for w in x if len(w) > _LONG_WORD}:
+            del known[w]
         if len(known) > CACHED_WORDS:
             known.clear()
+            known[b""] = b""
         return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """A worker process keeps its encoder, with what it has seen, from task to task."""
+    return WordEncoder(path)
+
+
 def _tokenize(path: str, end_id: int):
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
