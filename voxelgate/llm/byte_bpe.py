@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ _AT = 24
 #: Pieces kept with their ids in a worker; beyond it the cache starts anew, which costs time only.
 CACHED_PIECES = 800_000
 _LONG_PIECE = 64
+#: Words of at most so many bytes are merged together, so many at a time.
+_WIDEST, _ROWS = 64, 16_384
 _AFTER_BLANK = re.compile(r"\s ")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 
@@ -59,7 +62,12 @@ class ByteBpe:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.pattern = regex.compile(PATTERN)
+        self.pair_keys = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[k] for k in self.pair_keys.tolist()], np.int64)
+        self.merged_array = np.array(self.merged, np.int64)
+        self.first_array = np.array(self.first, np.int64)
         self.known: dict[str, bytes] = {}
+        self.forget()
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of one word."""
@@ -114,54 +122,118 @@ class ByteBpe:
             i = after[i]
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        words = self.pattern.findall(piece)
-        if len(words) == 1:
-            return self._word(piece)
-        out = []
-        for word in words:
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(word) <= _LONG_PIECE:
-                    self.known[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _word(self, word: str) -> bytes:
-        first = self.first
-        return np.array(self.merge([first[b] for b in word.encode()]), "<u4").tobytes()
-
-    def _plain(self, text: str) -> list[bytes]:
-        """Ids of text without special tokens. It is cut where no token can reach over: before a blank that follows something else."""
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """All merges of many words, packed as 32-bit ids: the same trees as in merge, one row for each word."""
+        out: list[bytes] = [b""] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            if len(word) > _WIDEST:
+                out[at] = np.array(self.merge([self.first[b] for b in word]), "<u4").tobytes()
+            else:
+                by_width.setdefault(max(4, 1 << (len(word) - 1).bit_length()), []).append(at)
+        for width, places in by_width.items():
+            for at in range(0, len(places), _ROWS):
+                part = places[at : at + _ROWS]
+                for i, ids in zip(part, self._merge_rows([words[i] for i in part], width), strict=True):
+                    out[i] = ids
+        return out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; those that don't merge, or have no right side (-1), get _NONE."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((right >= 0) & (self.pair_keys[at] == key), self.pair_ranks[at], _NONE >> _AT)
+
+    def _merge_rows(self, words: list[bytes], width: int) -> list[bytes]:
+        n = len(words)
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        length = np.array([len(w) for w in words])
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[:, :width] = np.where(np.arange(width)[None, :] < length[:, None], self.first_array[raw], -1)
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        places = np.arange(width)
+        tree = np.empty((n, 2 * width), np.int64)
+        tree[:, width:] = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width) << _AT | places
+        for i in range(width - 1, 0, -1):
+            np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
+        rows = np.arange(n)
+        while True:
+            low = tree[rows, 1]
+            going = low < _NONE
+            rows, low = rows[going], low[going]
+            if not len(rows):
+                break
+            i = low & ((1 << _AT) - 1)
+            gone = after[rows, i]
+            right = after[rows, gone]
+            left = before[rows, i]
+            made = self.merged_array[low >> _AT]
+            ids[rows, i] = made
+            after[rows, i] = right
+            before[rows, np.minimum(right, width)] = i
+            tree[rows, width + gone] = _NONE
+            tree[rows, width + i] = self._rank(made, ids[rows, np.minimum(right, width)]) << _AT | i
+            has = left >= 0
+            tree[rows[has], width + left[has]] = self._rank(ids[rows[has], left[has]], made[has]) << _AT | left[has]
+            for leaf in (gone, i, np.where(has, left, i)):
+                node = width + leaf
+                for _ in range(width.bit_length() - 1):
+                    node = node >> 1
+                    tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+        out, alive = [], np.zeros((n, width + 2), bool)
+        at, rows = np.zeros(n, np.int64), np.arange(n)
+        while len(rows):
+            alive[rows, at] = True
+            at = after[rows, at]
+            rows, at = rows[at < length[rows]], at[at < length[rows]]
+        flat = ids[:, :width][alive[:, :width]].astype("<u4").tobytes()
+        ends = np.cumsum(alive[:, :width].sum(axis=1)) * 4
+        begin = 0
+        for end in ends.tolist():
+            out.append(flat[begin:end])
+            begin = end
+        return out
+
+    def _pieces(self, text: str) -> list[str]:
+        """Text cut where no token can reach over: at special tokens, and before a blank that follows something else."""
+        if self.special_split is not None and any(x in text for x in self.special):
+            return [y for x in self.special_split.split(text) if x for y in ([x] if x in self.special else self._plain(x))]
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
         if not text:
             return []
+        if text[0] == " " or _AFTER_BLANK.search(text):
+            return _BEFORE_BLANK.split(text)
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; special tokens written in it become their ids."""
         known = self.known
-        pieces = text.split(" ") if not _AFTER_BLANK.search(text) and text[0] != " " else None
-        if pieces is None:
-            cut = _BEFORE_BLANK.split(text)
-        else:
-            cut = [pieces[0], *map(" ".__add__, pieces[1:])]
-        out = []
-        for piece in cut:
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= _LONG_PIECE:
-                    known[piece] = ids
-            out.append(ids)
+        split = [self._pieces(x) for x in texts]
+        new: set[str] = set()
+        for pieces in split:
+            new.update(pieces)
+        new.difference_update(known)
+        parts = {x: self.pattern.findall(x) for x in new}
+        words = list({w for x in parts.values() for w in x}.difference(known))
+        known.update(zip(words, self.merge_many([w.encode() for w in words]), strict=True))
+        known.update((x, b"".join(map(known.__getitem__, w))) for x, w in parts.items() if len(w) != 1)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in split]
+        for x in {x for y in (new, words) for x in y if len(x) > _LONG_PIECE}:
+            del known[x]
         if len(known) > CACHED_PIECES:
-            known.clear()
+            self.forget()
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known.update((x, np.array([i], "<u4").tobytes()) for x, i in self.special.items())
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; special tokens written in it become their ids."""
-        if self.special_split is None or not any(x in text for x in self.special):
-            return np.frombuffer(b"".join(self._plain(text)), "<u4")
-        out = []
-        for part in self.special_split.split(text):
-            out += [np.array([self.special[part]], "<u4").tobytes()] if part in self.special else self._plain(part)
-        return np.frombuffer(b"".join(out), "<u4")
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 of ids; bytes that are no UTF-8 are replaced as a decoder does."""
@@ -173,13 +245,19 @@ class ByteBpe:
         return raw
 
 
+@lru_cache(maxsize=2)
+def _coder(path: str) -> ByteBpe:
+    """A worker process keeps its coder, with what it has seen, from task to task."""
+    return ByteBpe(path)
+
+
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path)
+        bpe = _coder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [bpe.encode(x) for x in part.column("text").to_pylist()]
+                ids = bpe.encode_many(part.column("text").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([*ids, np.array([], "<u4")]).astype(np.int32)))
                 texts = pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("row"), lists, texts], ["row", "ids", "decoded"])
