@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, licenses, quality
 from .byte_bpe import bpe_round_trip
 from .common import crc_mod, table
 from .exact_dedup import exact_dedup
 from .ngram_join import near_groups
 from .packing import pack
+from .sharding import shard_documents
 from .top_k import exact_top_k
 
 
@@ -32,6 +33,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.index_templates(docs))
+    labels = F.array_sort(F.array_union("base_labels", F.transform("found", lambda x: x["label"])))
+    share = F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.concat_ws(",", "base_labels").alias("base_labels"),
+        F.concat_ws(",", labels).alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(share).alias("score"),
+    )
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -65,7 +88,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_exact_top_k, op7_packing, op8_ngram_join, op9_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op5_licenses, op6_exact_top_k, op7_packing, op8_ngram_join, op9_quality, op10_byte_bpe)}
 
 SQL = {
     "op6_exact_top_k": """
