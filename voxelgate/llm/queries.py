@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, quality
+from . import langid, licenses, pii, quality
 from .byte_bpe import bpe_round_trip
 from .common import crc_mod, table
 from .exact_dedup import exact_dedup
@@ -38,6 +38,22 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _count_kind(kind: str) -> Column:
+    return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.fit(docs))
+    listed = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[_count_kind(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = licenses.scan(docs, licenses.index_templates(docs))
@@ -88,7 +104,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op5_licenses, op6_exact_top_k, op7_packing, op8_ngram_join, op9_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op4_pii, op5_licenses, op6_exact_top_k, op7_packing, op8_ngram_join, op9_quality, op10_byte_bpe)}
 
 SQL = {
     "op6_exact_top_k": """
