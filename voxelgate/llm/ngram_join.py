@@ -31,8 +31,8 @@ from .common import checkpoint, shuffle_partitions
 from .components import connected_components
 
 _BATCH_DOCS = 2000
-_BYTES_A_FRAGMENT = 24 << 20
-_CACHED_WORDS = 1_000_000
+_BYTES_A_FRAGMENT = 10 << 20
+_CACHED_WORDS = 300_000
 #: A broadcast of so many ids takes a few MB; beyond it the ids are joined by a shuffle.
 _BROADCAST_IDS = 300_000
 #: Ends of the fragments of the frequency order: n-grams in at most so many sets.
