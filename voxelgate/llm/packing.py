@@ -13,22 +13,25 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpoint
+from .words import distinct_words, gather
 
 #: Words kept with their ids in a worker; beyond it the cache starts anew, which costs time only.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_200_000
 _LONG_WORD = 64
+_BLOCK_ROWS = 2000
 #: Latin letters, with or without what the vocabulary's pre-tokenizer cuts off after them. Such letters are composed already, and the vocabulary lowers their case.
-_LETTERS_END = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!#$%&*,.:;?|]*)")
+_LETTERS_END = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]*)")
 
 
 class WordEncoder:
@@ -54,49 +57,66 @@ class WordEncoder:
         self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         if suffix:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.added = [x["content"] for x in given["added_tokens"]]
+        self.known: dict[str, bytes] = {"": b""}
 
     def _coded(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[bytes]) -> list[bytes]:
+    def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, coded many at once and told apart by the ids that end a word."""
         out: list[bytes] = []
         for at in range(0, len(words), 500):
             part = words[at : at + 500]
-            ids = np.frombuffer(self._coded([b" ".join(part).decode()])[0], self.dtype)
+            ids = np.frombuffer(self._coded([" ".join(part)])[0], self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 raw, width = ids.tobytes(), self.dtype.itemsize
                 cuts = [0, *(ends * width).tolist()]
                 out += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
             else:
-                out += self._coded([w.decode() for w in part])
+                out += self._coded(part)
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids, packed as dtype."""
-        if not self.by_word:
-            return self._coded(texts)
-        known, split = self.known, [x.encode().split() for x in texts]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(known)
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the distinct words, packed as dtype."""
+        known = self.known
+        got = list(map(known.get, words))
+        new = list(compress(words, [x is None for x in got]))
         plain = {w: (m[1].lower(), m[2]) for w in new if (m := _LETTERS_END.fullmatch(w))}
         letters = list({x for x, _ in plain.values()}.difference(known))
-        other = list(new.difference(plain).union(x for _, x in plain.values()).difference(known))
+        other = list({x for _, x in plain.values()}.union(w for w in new if w not in plain).difference(known))
         known.update(zip(letters, self._letters(letters), strict=True))
-        known.update(zip(other, self._coded([w.decode() for w in other]), strict=True))
+        known.update(zip(other, self._coded(other), strict=True))
         known.update((w, known[x] + known[end]) for w, (x, end) in plain.items())
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [known[w] if x is None else x for x, w in zip(got, words, strict=True)]
         for w in {w for x in (new, letters, other) for w in x if len(w) > _LONG_WORD}:
             del known[w]
         if len(known) > CACHED_WORDS:
             known.clear()
-            known[b""] = b""
+            known[""] = b""
         return out
 
+    def _lowered(self, texts: pa.Array) -> pa.Array:
+        """ASCII letters in lower case, where that can't make a special token."""
+        small = pc.ascii_lower(texts)
+        for token in self.added:
+            small = pc.if_else(pc.match_substring(small, token), texts, small)
+        return small
+
+    def __call__(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts without nulls, each followed by end, and where each text's ids begin (and the end)."""
+        if self.by_word:
+            codes, begins, words = distinct_words(self._lowered(texts))
+            found = self.ids_of(words)
+        else:
+            codes, begins, found = np.arange(len(texts)), np.arange(len(texts) + 1), self._coded(texts.to_pylist())
+        found.append(np.array(end, self.dtype).tobytes())
+        codes = np.insert(codes, begins[1:], len(found) - 1)
+        lengths = np.array([len(x) for x in found]) // self.dtype.itemsize
+        ids, places = gather(np.frombuffer(b"".join(found), self.dtype), lengths, codes)
+        return ids, places[begins + np.arange(len(begins))]
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
@@ -107,13 +127,13 @@ def _encoder(path: str) -> WordEncoder:
 def _tokenize(path: str, end_id: int):
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [x + end for x in encoder(part.column("text").to_pylist())]
+            for at in range(0, batch.num_rows, _BLOCK_ROWS):
+                part = batch.slice(at, _BLOCK_ROWS)
+                ids, begins = encoder(part.column("text"), [end_id])
                 width = encoder.dtype.itemsize
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", "tokens", "ids"])
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((begins * width).astype(np.int32)), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.diff(begins)), packed], ["row", "tokens", "ids"])
 
     return tokenize
 
