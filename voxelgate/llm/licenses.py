@@ -56,7 +56,21 @@ class Index:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({_IN}+)"), F.lit(1))
+    """The words, and an empty string where the text begins or ends between words."""
+    return F.split(text, f"{_OUT}+")
+
+
+def _count_words(text: Column) -> Column:
+    parts = F.transform(F.array(_words(text)), lambda x: F.size(x) - (F.get(x, F.lit(0)) == "").cast("int") - ((F.size(x) > 1) & (F.element_at(x, -1) == "")).cast("int"))
+    return F.get(parts, F.lit(0)).cast("long")
+
+
+def _has_all(lower: Column, words: list[str]) -> Column:
+    """Whether the letters of the words stand somewhere: true for all texts with the words, and cheap."""
+    out = F.lit(True)
+    for w in sorted(words, key=len, reverse=True):
+        out = out & F.contains(lower, F.lit(w))
+    return out
 
 
 def _strings(values: tuple[str, ...] | list[str]) -> Column:
@@ -73,13 +87,13 @@ def index_templates(docs: DataFrame, text_col: str = "text", templates: dict[str
     return Index(tuple(order), tuple(Template(label, tuple(sorted(tokens, key=order.get)), math.ceil(threshold * len(tokens) - 1e-9)) for label, tokens in given))
 
 
-def _matches(text: Column, index: Index) -> Column:
+def _matches(lower: Column, index: Index) -> Column:
     """Structs (label, share) of the templates that some block of the text contains."""
     templates = index.templates
     rare = sorted({x for t in templates for x in t.prefix})
     quick = rf"(?<!{_IN})(?:{'|'.join(map(re.escape, rare))})(?!{_IN})"
     least = min(t.need for t in templates)
-    lines = F.filter(F.split(F.lower(text), "\n"), lambda line: line.rlike(quick))
+    lines = F.filter(F.split(lower, "\n"), lambda line: line.rlike(quick))
     blocks = F.filter(F.transform(lines, lambda line: F.array_intersect(_strings(index.vocabulary), _words(line))), lambda b: F.size(b) >= least)
     given = F.array(*[F.struct(F.lit(t.label).alias("label"), _strings(t.tokens).alias("tokens"), _strings(t.prefix).alias("prefix"), F.lit(t.need).alias("need")) for t in templates])
 
@@ -94,7 +108,10 @@ def _matches(text: Column, index: Index) -> Column:
         return F.coalesce(F.array_max(F.transform(bs, share)), F.lit(0.0))
 
     scored = F.transform(F.array(blocks), lambda bs: F.filter(F.transform(given, lambda t: F.struct(t["label"].alias("label"), best(bs, t).alias("share"))), lambda x: x["share"] > 0))
-    return F.when(text.rlike("(?i)" + quick), F.get(scored, F.lit(0)))
+    some = F.lit(False)
+    for w in rare:
+        some = some | F.contains(lower, F.lit(w))
+    return F.when(some, F.get(scored, F.lit(0)))
 
 
 def scan(docs: DataFrame, index: Index, phrases: dict[str, str] | None = None, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -106,7 +123,7 @@ def scan(docs: DataFrame, index: Index, phrases: dict[str, str] | None = None, t
     """
     phrases = PHRASES if phrases is None else phrases
     text = F.col("text")
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("lower", F.lower("text"))
     gaps = []
     for i, phrase in enumerate(phrases):
         first, *rest = phrase.split()
@@ -114,12 +131,11 @@ def scan(docs: DataFrame, index: Index, phrases: dict[str, str] | None = None, t
         place = rf"(?<!{_IN}){re.escape(first)}(?={follow}(?!{_IN}))"
         # the gaps before the places; each place takes its first word only
         gap = F.regexp_extract_all(text, F.lit(rf"(?s)(?i)\G(.*?){place}"), F.lit(1))
-        out = out.withColumn(f"gaps_{i}", F.when(text.rlike("(?i)" + place), gap))
+        out = out.withColumn(f"gaps_{i}", F.when(_has_all(F.col("lower"), phrase.split()) & text.rlike("(?i)" + place), gap))
         gaps.append(F.col(f"gaps_{i}"))
-    out = out.withColumn("found", _matches(text, index)).withColumn("n_words", F.regexp_count(text, F.lit(f"{_IN}+")).cast("long"))
+    out = out.withColumn("found", _matches(F.col("lower"), index)).withColumn("n_words", _count_words(text))
     count = [F.coalesce(F.size(F.coalesce(g, F.array().cast("array<string>"))), F.lit(0)).cast("long") for g in gaps]
-    words = lambda x: F.regexp_count(x, F.lit(f"{_IN}+")).cast("long")
-    firsts = [F.when(g.isNotNull(), words(F.get(g, F.lit(0)))) for g in gaps]
-    lasts = [F.when(g.isNotNull(), F.aggregate(g, F.lit(-1).cast("long"), lambda s, x: s + words(x) + 1)) for g in gaps]
+    firsts = [F.when(g.isNotNull(), _count_words(F.get(g, F.lit(0)))) for g in gaps]
+    lasts = [F.when(g.isNotNull(), F.aggregate(g, F.lit(-1).cast("long"), lambda s, x: s + _count_words(x) + 1)) for g in gaps]
     labels = F.array_compact(F.array(*[F.when(g.isNotNull(), F.lit(label)) for g, label in zip(gaps, phrases.values(), strict=True)]))
     return out.select("row", "n_words", sum(count[1:], count[0]).alias("n_base"), F.array_min(F.array(*firsts)).alias("first_word"), F.array_max(F.array(*lasts)).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base_labels"), F.coalesce("found", F.array().cast("array<struct<label:string,share:double>>")).alias("found"))
