@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, shuffle_partitions
 
 _BUCKETS = 4096
-_FINER = 256
+_FINER = 1024
 #: Groups with at least this share of all rows are placed without a join on their hash.
 _HOT_SHARE = 64
 _ROWS_A_SLOT_BUCKET = 100_000
@@ -40,6 +40,20 @@ class PrefixBounds:
         low, high = self.cells[at]
         return (high, high) if high <= limit else (low, limit)
 
+    def around(self, early: list[tuple[int, int]], late: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Whole cells from each early place to its late one, as windows apart from each other; those that are exact already are left out."""
+        out: list[tuple[int, int]] = []
+        for (a, _), (_, b) in zip(early, late, strict=True):
+            first, last = max(0, bisect_right(self.lows, a) - 1), bisect_right(self.lows, b) - 1
+            if last < first or all(x == y for x, y in self.cells[first : last + 1]):
+                continue
+            low, high = self.cells[first][0], self.cells[last][1]
+            if out and low <= out[-1][1]:
+                before = out.pop()
+                low, high = min(low, before[0]), max(high, before[1])
+            out.append((low, high))
+        return out
+
     def replaced(self, windows: list[tuple[int, int]], cells: list[tuple[int, int]]) -> PrefixBounds:
         kept = [c for c in self.cells if not any(a <= c[0] and c[1] <= b for a, b in windows)]
         return PrefixBounds(kept + cells)
@@ -74,9 +88,7 @@ def minimax_cuts(total: int, largest: int, shards: int, bounds: PrefixBounds, re
         found = cuts(bounds, sure, shards)
         if least == sure and all(a == b for a, b in found):
             return [a for a, _ in found]
-        early, late = cuts(bounds, least, shards), cuts(bounds, sure, shards)
-        windows = sorted({bounds.cells[bisect_right(bounds.lows, p) - 1] for x in (early, late) for pair in x for p in pair if p > 0} | {c for c in bounds.cells if c[0] < c[1] and any(a[0] <= c[1] and c[0] <= b[1] for a, b in zip(early, late, strict=True))})
-        windows = [(a, b) for a, b in windows if a < b]
+        windows = bounds.around(cuts(bounds, least, shards), found)
         bounds = bounds.replaced(windows, refine(windows))
 
 
