@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +41,41 @@ def crc_mod(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null ids count as the empty text."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(modulus))
+
+
+#: What worker processes keep from task to task, by kind of task.
+_HELD: dict[str, object] = {}
+
+
+def hold(kind: str, make: Callable[[], object]) -> object:
+    """The worker's object of that kind, made once and kept until a task of another kind comes."""
+    if kind not in _HELD:
+        _HELD[kind] = make()
+    return _HELD[kind]
+
+
+def drop_others(kind: str) -> None:
+    for other in [k for k in _HELD if k != kind]:
+        del _HELD[other]
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work on a task's batches, after which its freed memory goes back: workers live on, and others share their machine.
+
+    What tasks of another kind have left in the worker is dropped first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(kind)
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run

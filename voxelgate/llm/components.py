@@ -11,18 +11,35 @@ from .common import checkpoint
 def connected_components(links: DataFrame) -> DataFrame:
     """links (a, b) to one row (node, component) for each node in them; the component is its smallest node.
 
-    Labels go to neighbours and then to the labels' own labels, so the rounds grow with the
-    logarithm of a component's diameter. Sums are partial before each shuffle, and joins on a node
-    with very many links are plain equi-joins that adaptive execution splits.
+    Each node points to its smallest neighbour, pointers are followed to their ends, and the links
+    are drawn anew between the ends. Links within an end vanish, so each round has fewer; a star
+    takes one round however many links it has. Sums are partial before each shuffle, and joins are
+    plain equi-joins that adaptive execution splits where a node has very many links.
     """
-    both = checkpoint(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    edges = checkpoint(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("a"), "component"), "a").groupBy("b").agg(F.min("component").alias("m"))
-        lower = labels.join(near.withColumnRenamed("b", "node"), "node", "left").select("node", F.least("component", "m").alias("next"), "component")
-        jumped = lower.join(labels.select(F.col("node").alias("next"), F.col("component").alias("further")), "next", "left")
-        after = checkpoint(jumped.select("node", F.least("next", "further").alias("next"), "component"))
-        changed = after.filter("next <> component").limit(1).count()
-        labels = after.select("node", F.col("next").alias("component"))
-        if not changed:
+        ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+        near = edges.select(ends).groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("up"))
+        roots = _ends(near.select("node", F.least("node", "up").alias("up")))
+        if labels is None:
+            labels = roots.withColumnRenamed("up", "component")
+        else:
+            further = roots.select(F.col("node").alias("component"), "up")
+            labels = checkpoint(labels.join(further, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        drawn = edges.join(roots.select(F.col("node").alias("a"), F.col("up").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("up").alias("rb")), "b")
+        edges = checkpoint(drawn.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        if edges.isEmpty():
             return labels
+
+
+def _ends(pointers: DataFrame) -> DataFrame:
+    """Pointers (node, up) to smaller nodes, followed to where they end; each round doubles the way."""
+    pointers = checkpoint(pointers)
+    while True:
+        onward = pointers.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        moved = checkpoint(pointers.join(onward, "up").select("node", "up", "top"))
+        still = moved.filter("top <> up").isEmpty()
+        pointers = moved.select("node", F.col("top").alias("up"))
+        if still:
+            return pointers

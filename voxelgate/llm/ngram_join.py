@@ -22,52 +22,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_partitions
+from .common import checkpoint, shuffle_partitions, tidy
 from .components import connected_components
+from .words import distinct_words
 
-_BATCH_DOCS = 2000
+_BATCH_DOCS = 1000
+_BITS = 512
+#: Of so many lists each set is compared with one other set first.
+_STAR_LISTS = 6
 _BYTES_A_FRAGMENT = 10 << 20
-_CACHED_WORDS = 300_000
 #: A broadcast of so many ids takes a few MB; beyond it the ids are joined by a shuffle.
 _BROADCAST_IDS = 300_000
 #: Ends of the fragments of the frequency order: n-grams in at most so many sets.
-_FREQUENCY_ENDS = (2, 4, 16)
+_FREQUENCY_ENDS = (3,)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_WORDS = _WordHashes()
-
-
-def shingles(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct word n-grams; with fewer words than size, of the whole sequence."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > _CACHED_WORDS:
-        _WORDS.clear()
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    span = min(size, len(w))
-    count = len(w) - span + 1
+def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct word n-grams; with fewer words than size, of the whole sequence."""
+    codes, begins, words = distinct_words(pc.ascii_lower(pc.fill_null(texts, "")))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    if "" in words:
+        kept = codes != words.index("")
+        begins = np.concatenate([[0], np.cumsum(kept)])[begins]
+        codes = codes[kept]
+    w = hashes[codes]
+    grams = _gram_hashes(w, size)
+    none = np.zeros(0, np.uint64)
+    out = []
+    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        out.append(np.unique(grams[a : b - size + 1]) if b - a >= size else _gram_hashes(w[a:b], b - a) if b > a else none)
+    return out
+
+
+def _gram_hashes(words: np.ndarray, span: int) -> np.ndarray:
+    count = max(0, len(words) - span + 1)
     h = np.full(count, span, np.uint64) * _ODD[-1]
     for i in range(span):
-        h += w[i : i + count] * (_ODD[i % len(_ODD)] + np.uint64(2 * (i // len(_ODD))))
+        h += words[i : i + count] * (_ODD[i % len(_ODD)] + np.uint64(2 * (i // len(_ODD))))
     h ^= h >> np.uint64(32)
     h *= _ODD[0]
     h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return h
+
+
+def _parities(grams: np.ndarray) -> list[int]:
+    """512 bits, each whether an odd number of the n-grams falls on it. Two sets differ in at least as many n-grams as these differ in bits."""
+    odd = np.bincount((grams & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -83,7 +91,7 @@ def _deal(fragments: int, size: int):
             for at in range(0, whole.num_rows, _BATCH_DOCS):
                 batch = whole.slice(at, _BATCH_DOCS)
                 ids = batch.column("id")
-                sets = [shingles(x, size) for x in batch.column("text").to_pylist()]
+                sets = shingle_sets(batch.column("text"), size)
                 digests = [_digest(x) for x in sets]
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 classes: dict[bytes, int] = {}
@@ -199,16 +207,15 @@ def _sum_shared(percent: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, lists = [], []
-            for i, (text, digest) in enumerate(zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist(), strict=True)):
-                grams = shingles(text, size)
-                if _digest(grams) == digest:
-                    keep.append(i)
-                    lists.append(grams.view(np.int64))
-            part = batch.take(pa.array(keep, pa.int64()))
-            grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("rep"), grams], ["digest", "rep", "grams"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _BATCH_DOCS):
+                batch = whole.slice(at, _BATCH_DOCS)
+                found = list(zip(shingle_sets(batch.column("text"), size), batch.column("digest").to_pylist(), strict=True))
+                keep = [i for i, (grams, digest) in enumerate(found) if _digest(grams) == digest]
+                lists = [found[i][0] for i in keep]
+                part = batch.take(pa.array(keep, pa.int64()))
+                grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("rep"), grams, pa.array([_parities(x) for x in lists], pa.list_(pa.int64()))], ["digest", "rep", "grams", "bits"])
 
     return run
 
@@ -221,11 +228,17 @@ def _overlaps(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return counted.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def _room(percent: int):
-    """Whether sizes and places of a common n-gram leave room for the overlap that similarity needs."""
-    na, nb, pa_, pb = F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")
-    most = F.least(na - pa_, nb - pb)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+def _sizes_fit(percent: int):
+    """Whether sizes and parities leave room for the overlap that similarity needs."""
+    na, nb = F.col("na"), F.col("nb")
+    differ = sum((F.bit_count(F.col(f"xa{i}").bitwiseXOR(F.col(f"xb{i}"))) for i in range(_BITS // 64)), F.lit(0))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb))
+
+
+def _places_fit(percent: int):
+    """Whether the places of a common n-gram leave room for it, if none before is common."""
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -241,20 +254,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(spark.sparkContext.defaultParallelism, -(-total // _BYTES_A_FRAGMENT))
-    dealt = given.mapInArrow(_deal(fragments, size), f"fragment int, batch long, low binary, owner binary, count binary, digest binary, {_HEAD_SQL}")
-    shared = dealt.repartition(fragments, "fragment").mapInArrow(_count_shared, f"batch long, owner binary, count binary, {_HEAD_SQL}")
-    rows = checkpoint(shared.repartition(shuffle_partitions(spark), "batch").mapInArrow(_sum_shared(percent), "id long, n long, digest binary, alive boolean"))
+    dealt = given.mapInArrow(tidy(_deal(fragments, size)), f"fragment int, batch long, low binary, owner binary, count binary, digest binary, {_HEAD_SQL}")
+    shared = dealt.repartition(fragments, "fragment").mapInArrow(tidy(_count_shared), f"batch long, owner binary, count binary, {_HEAD_SQL}")
+    rows = checkpoint(shared.repartition(shuffle_partitions(spark), "batch").mapInArrow(tidy(_sum_shared(percent)), "id long, n long, digest binary, alive boolean"))
     classes = rows.filter("id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max("alive").alias("alive"))
     classes = checkpoint(classes.filter("alive OR members > 1"))
     wanted = classes.filter("alive").select(F.col("rep").alias("id"), "digest", "rep")
     if wanted.count() <= _BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = given.join(wanted, "id").mapInArrow(_sets(size), "digest binary, rep long, grams array<long>")
+    texts = given.join(wanted, "id").mapInArrow(tidy(_sets(size)), "digest binary, rep long, grams array<long>, bits array<long>")
     # repeated rows give a set twice
-    sets = checkpoint(texts.groupBy("digest").agg(F.first("rep").alias("rep"), F.first("grams").alias("grams")))
-    sets = sets.select(F.monotonically_increasing_id().alias("c"), "digest", "rep", F.size("grams").cast("long").alias("n"), "grams")
-    links = _links(sets.select("c", "n", "grams"), percent)
-    labels = connected_components(links)
+    sets = checkpoint(texts.groupBy("digest").agg(F.first("rep").alias("rep"), F.first("grams").alias("grams"), F.first("bits").alias("bits")))
+    sets = sets.select(F.monotonically_increasing_id().alias("c"), "digest", "rep", F.size("grams").cast("long").alias("n"), "grams", "bits")
+    labels = _classes(sets.select("c", "n", "grams", "bits"), percent)
     named = sets.select("c", "digest", "rep").join(labels.withColumnRenamed("node", "c"), "c")
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"))
     linked = named.join(lowest, "component").select("digest", "lowest")
@@ -262,8 +274,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(final, "digest", "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component"))
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that have the classes of all links, of sets (c, n, grams)."""
+def _classes(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, component) of the linked ones of sets (c, n, grams, bits)."""
     grams = sets.select("c", "n", F.explode("grams").alias("g"))
     frequent = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     placed = grams.join(frequent, "g").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("order"))
@@ -274,20 +286,33 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # n-grams of one set alone come first in the order and have no list
     alone = F.col("n") - F.size("order")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - alone
-    lists = placed.filter(prefix > 0).select("c", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("at", "x"))
-    lists = checkpoint(lists.select(F.col("x.g").alias("g"), "c", "n", (F.col("alone") + F.col("at")).alias("p")))
-    left = F.col("c").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa")
-    centres = lists.groupBy("g").agg(F.min(F.struct("c", "n", "p")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    centres = centres.select("g", F.col("m.c").alias("b"), F.col("m.n").alias("nb"), F.col("m.p").alias("pb"))
-    stars = lists.select("g", *left).join(centres, "g").filter("a <> b").filter(_room(percent)).select("a", "b", "na", "nb").distinct()
-    first = checkpoint(_overlaps(stars, parts, percent))
-    labels = connected_components(first).withColumnRenamed("node", "c")
+    lists = placed.filter(prefix > 0).select("c", "n", alone.alias("alone"), F.least(prefix, F.size("order")).alias("many"), F.posexplode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("at", "x"))
+    parities = [F.col("bits")[i].alias(f"x{i}") for i in range(_BITS // 64)]
+    lists = checkpoint(lists.select(F.col("x.g").alias("g"), "c", "n", (F.col("at") + _STAR_LISTS >= F.col("many")).alias("late"), (F.col("alone") + F.col("at")).alias("p")).join(sets.select("c", *parities), "c"))
+    fields = ["c", "n", "p", *[f"x{i}" for i in range(_BITS // 64)]]
+    left = [F.col("c").alias("a"), *[F.col(x).alias(f"{x[0]}a{x[1:]}") for x in fields[1:]]]
+    right = [F.col("c").alias("b"), *[F.col(x).alias(f"{x[0]}b{x[1:]}") for x in fields[1:]]]
+    # one set of each list, drawn anew for each n-gram, is compared with those that have the n-gram at the end of their prefix, where lists are longest
+    centres = lists.groupBy("g").agg(F.min(F.struct(F.xxhash64("c", "g").alias("draw"), *fields)).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    centres = centres.select("g", "m.*").select("g", *right)
+    stars = lists.filter("late").select("g", *left).join(centres, "g").filter(F.col("a") != F.col("b")).filter(_sizes_fit(percent))
+    first = F.col("a") < F.col("b")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    labels = connected_components(_overlaps(stars, parts, percent)).withColumnRenamed("node", "c")
     known = checkpoint(lists.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c")))
     # in each list, all of the component that has most of it is one side only
     by_part = known.groupBy("g", "component").agg(F.count(F.lit(1)).alias("k"))
     main = by_part.groupBy("g").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("g", F.col("m.component").alias("main"))
     apart = known.join(main, "g")
     one = apart.filter("component <> main").select("g", *left, F.col("component").alias("ca"))
-    other = apart.select("g", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("is_main"))
-    rest = one.join(other, (one["g"] == other["g"]) & (F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _room(percent)).select("a", "b", "na", "nb").distinct()
-    return first.unionByName(_overlaps(rest, parts, percent))
+    other = apart.select("g", *right, F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("is_main"))
+    rest = one.join(other, (one["g"] == other["g"]) & (F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _sizes_fit(percent) & _places_fit(percent)).select("a", "b", "na", "nb").distinct()
+    # the links that join classes are all that matters of them
+    joins = checkpoint(_overlaps(rest, parts, percent))
+    for side in "ab":
+        joins = joins.join(labels.select(F.col("c").alias(side), F.col("component").alias(f"r{side}")), side, "left").withColumn(side, F.coalesce(f"r{side}", side))
+    later = connected_components(joins.filter("a <> b").select("a", "b"))
+    if labels.isEmpty():
+        return later
+    both = labels.withColumnRenamed("c", "node").join(later.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    return both.unionByName(later.join(both.select("node"), "node", "left_anti"))
