@@ -62,7 +62,9 @@ def _read_text(spark: SparkSession, path: str) -> DataFrame:
         names = [h.strip().lower() for h in head["line"].replace(",", " ").split()]
         found = [next((names.index(n) for n in NAMES[a] if n in names), -1) for a in "xyz"]
         at = found if min(found) >= 0 else at
-        lines = lines.filter(F.col("point_id") > head["point_id"])
+        # each file has a header of its own
+        heads = lines.groupBy("path").agg(F.min("point_id").alias("_head"))
+        lines = lines.join(heads, "path").filter(F.col("point_id") > F.col("_head")).drop("_head")
         if lines.filter(~F.col("line").startswith("#")).first() is None:
             raise ValueError("not enough numeric columns")
     data = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).filter("line <> ''")

@@ -82,7 +82,10 @@ class BoxProcessor(StatefulProcessor):
                 continue
             found, stale = buffer.select(value(r.stamp), r.arrival)
             out.append((key[0], r.cloud_id, found.boxes if found else "[]", bool(found and found.filled), stale))
-        self.kept.put([(m.boxes, m.stamp, m.received) for m in buffer.messages])
+        if buffer.messages:
+            self.kept.put([(m.boxes, m.stamp, m.received) for m in buffer.messages])
+        else:
+            self.kept.clear()
         yield pd.DataFrame(out, columns=["sensor", "cloud_id", "boxes", "has_boxes", "stale"])
 
     def close(self) -> None:
