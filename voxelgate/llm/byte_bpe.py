@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import hold, tidy
+
 #: The published pattern of this kind of vocabulary. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = 1 << 62
 _AT = 24
 #: Pieces kept with their ids in a worker; beyond it the cache starts anew, which costs time only.
-CACHED_PIECES = 800_000
+CACHED_PIECES = 600_000
 _LONG_PIECE = 64
 #: Words of at most so many bytes are merged together, so many at a time.
 _WIDEST, _ROWS = 64, 16_384
@@ -245,15 +246,9 @@ class ByteBpe:
         return raw
 
 
-@lru_cache(maxsize=2)
-def _coder(path: str) -> ByteBpe:
-    """A worker process keeps its coder, with what it has seen, from task to task."""
-    return ByteBpe(path)
-
-
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _coder(path)
+        bpe = hold(f"bytes {path}", lambda: ByteBpe(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -274,4 +269,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     given = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [("row", given.schema["row"].dataType), ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
-    return given.mapInArrow(_round_trip(tokenizer_path), T.StructType([T.StructField(*f) for f in fields]))
+    return given.mapInArrow(tidy(_round_trip(tokenizer_path), f"bytes {tokenizer_path}"), T.StructType([T.StructField(*f) for f in fields]))

@@ -15,12 +15,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, partitions_for
+from .common import checkpoint, partitions_for, tidy
 
 #: [\x20\x09-\x0D]
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -72,8 +73,8 @@ def _prefix(text: Column, end: int, normalised: bool) -> Column:
     return F.substring(whole.cast("binary"), 1, end)
 
 
-def _splitter(normalised: bool):
-    """Groups the rows of one task; see _level for the columns."""
+def _splitter(normalised: bool, inside: str | None):
+    """Groups the rows of one task; see _level for the columns. inside: the field of the carried row that has the text."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -83,7 +84,8 @@ def _splitter(normalised: bool):
         ids = data.column("id").to_pylist()
         counts = data.column("cnt").to_pylist()
         hot = data.column("hot").to_pylist()
-        texts = [bytes(x or b"") for x in data.column("text").cast(pa.large_binary()).to_pylist()]
+        column = data.column("text") if inside is None else pc.struct_field(data.column("row").combine_chunks(), inside)
+        texts = [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
         if not normalised:
             texts = [normalise(x) for x in texts]
         n = len(ids)
@@ -119,7 +121,7 @@ def _splitter(normalised: bool):
     return split
 
 
-def _level(df: DataFrame, scale: int, normalised: bool) -> DataFrame:
+def _level(df: DataFrame, scale: int, normalised: bool, inside: str | None) -> DataFrame:
     """One distributed level over columns row, id, cnt, text.
 
     Gives row, id, sha, hot, rep_key, keep_id, total, winner, text. For rows that aren't hot the
@@ -145,7 +147,7 @@ def _level(df: DataFrame, scale: int, normalised: bool) -> DataFrame:
             leaf, hot_leaf = F.when(~large, p).otherwise(leaf), F.when(~large, F.lit(False)).otherwise(hot_leaf)
         salts = max([1, *(-(-r["count"] // limit) for r in heavy if r["d"]["e"] == ends[-1])])
     dealt = df.withColumn("hot", hot_leaf).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))))
-    dealt = dealt.repartition(parts, F.xxhash64(leaf, "salt")).select("row", "id", "cnt", "hot", "text")
+    dealt = dealt.repartition(parts, F.xxhash64(leaf, "salt")).select("row", "id", "cnt", "hot", *([] if inside else ["text"]))
     schema = T.StructType(
         [
             T.StructField("row", df.schema["row"].dataType),
@@ -159,11 +161,11 @@ def _level(df: DataFrame, scale: int, normalised: bool) -> DataFrame:
             T.StructField("text", T.BinaryType()),
         ]
     )
-    return checkpoint(dealt.mapInArrow(_splitter(normalised), schema))
+    return checkpoint(dealt.mapInArrow(tidy(_splitter(normalised, inside)), schema))
 
 
-def _resolve(df: DataFrame, scale: int = 1, normalised: bool = False) -> DataFrame:
-    out = _level(df, scale, normalised)
+def _resolve(df: DataFrame, scale: int = 1, normalised: bool = False, inside: str | None = None) -> DataFrame:
+    out = _level(df, scale, normalised, inside)
     whole = ["row", "sha", "keep_id", "total", "winner"]
     cold, hot = out.filter(~F.col("hot")).select(whole), out.filter("hot")
     if hot.isEmpty():
@@ -185,4 +187,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     row = F.struct(*[F.col(f"`{c}`") for c in carry or [id_col]]).alias("row")
     given = docs.select(row, F.col(id_col).alias("id"), F.lit(1).cast("long").alias("cnt"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _resolve(given).select("row", "keep_id", F.col("total").alias("group_size"), F.col("winner").alias("kept"), F.col("sha").alias("text_sha256"))
+    # a carried text isn't sent twice
+    return _resolve(given, inside=text_col if text_col in (carry or ()) else None).select("row", "keep_id", F.col("total").alias("group_size"), F.col("winner").alias("kept"), F.col("sha").alias("text_sha256"))

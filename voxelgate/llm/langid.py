@@ -13,10 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 UNKNOWN = "und"
 _BLOCK = 4096
 #: Bytes by which a size counts e times less likely.
@@ -90,13 +93,19 @@ class Identifier:
         return self.langs[best], score, rest is not None and rest - least < self.min_margin * least
 
 
-def _run(model: LanguageModel):
+def _run(model: LanguageModel, text_col: str | None):
+    """text_col: where the carried row has the text, so that it isn't sent twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identify = Identifier(model)
         for batch in batches:
-            found = [identify(x) for x in batch.column("text").to_pylist()]
-            lang, score, rejected = map(list, zip(*found, strict=True)) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                row = part.column("row")
+                text = part.column("text") if text_col is None else pc.struct_field(row, text_col)
+                found = [identify(x.as_py()) for x in text]
+                lang, score, rejected = map(list, zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([row, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
 
     return run
 
@@ -110,6 +119,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carr
     are coded whole, in blocks.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
-    given = docs.select(row, F.col(text_col).alias("text"))
+    inside = text_col in carry
+    given = docs.select(row, *([] if inside else [F.col(text_col).alias("text")]))
     fields = [("row", given.schema["row"].dataType), ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())]
-    return given.mapInArrow(_run(model), T.StructType([T.StructField(*f) for f in fields]))
+    return given.mapInArrow(tidy(_run(model, text_col if inside else None)), T.StructType([T.StructField(*f) for f in fields]))

@@ -12,7 +12,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate, compress
 
 import numpy as np
@@ -23,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint
+from .common import checkpoint, hold, tidy
 from .words import distinct_words, gather
 
-#: Words kept with their ids in a worker; beyond it the cache starts anew, which costs time only.
-CACHED_WORDS = 1_200_000
+#: Words of a worker's cache; beyond it a new one is begun, and the last full one is kept beside it.
+CACHED_WORDS = 600_000
 _LONG_WORD = 64
-_BLOCK_ROWS = 2000
 #: Latin letters, with or without what the vocabulary's pre-tokenizer cuts off after them. Such letters are composed already, and the vocabulary lowers their case.
 _LETTERS_END = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]*)")
 
@@ -42,7 +40,8 @@ class WordEncoder:
     any other vocabulary whole texts are coded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+        self.cached_words = cached_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -59,6 +58,7 @@ class WordEncoder:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.added = [x["content"] for x in given["added_tokens"]]
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _coded(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,7 +82,13 @@ class WordEncoder:
         """Ids of each of the distinct words, packed as dtype."""
         known = self.known
         got = list(map(known.get, words))
-        new = list(compress(words, [x is None for x in got]))
+        new = []
+        for w in compress(words, [x is None for x in got]):
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
         plain = {w: (m[1].lower(), m[2]) for w in new if (m := _LETTERS_END.fullmatch(w))}
         letters = list({x for x, _ in plain.values()}.difference(known))
         other = list({x for _, x in plain.values()}.union(w for w in new if w not in plain).difference(known))
@@ -92,9 +98,9 @@ class WordEncoder:
         out = [known[w] if x is None else x for x, w in zip(got, words, strict=True)]
         for w in {w for x in (new, letters, other) for w in x if len(w) > _LONG_WORD}:
             del known[w]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-            known[""] = b""
+        if len(known) > self.cached_words:
+            # words that are still met come back from there
+            self.older, self.known = known, {"": b""}
         return out
 
     def _lowered(self, texts: pa.Array) -> pa.Array:
@@ -118,18 +124,12 @@ class WordEncoder:
         return ids, places[begins + np.arange(len(begins))]
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    """A worker process keeps its encoder, with what it has seen, from task to task."""
-    return WordEncoder(path)
-
-
-def _tokenize(path: str, end_id: int):
+def _tokenize(path: str, end_id: int, cached_words: int, block_rows: int):
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = hold(f"words {path}", lambda: WordEncoder(path, cached_words))
         for batch in batches:
-            for at in range(0, batch.num_rows, _BLOCK_ROWS):
-                part = batch.slice(at, _BLOCK_ROWS)
+            for at in range(0, batch.num_rows, block_rows):
+                part = batch.slice(at, block_rows)
                 ids, begins = encoder(part.column("text"), [end_id])
                 width = encoder.dtype.itemsize
                 packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((begins * width).astype(np.int32)), pa.py_buffer(ids.tobytes())])
@@ -165,22 +165,24 @@ def _cut(starts: dict[int, int], window: int):
     return cut
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), cached_words: int = CACHED_WORDS, block_rows: int = 2000) -> DataFrame:
     """Pieces of sequences of at most window tokens, with only the last sequence not full.
 
     Gives row (struct of the carried columns), start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id and offset. Each document ends with end_id. A null text counts as
     empty, so it is one piece that holds end_id alone; repeated rows are packed once each; null ids
-    and columns of any name are carried as they are; an empty table gives no rows.
+    and columns of any name are carried as they are; an empty table gives no rows. cached_words bounds
+    a worker's cache (about 200 bytes a word, and as much again for the one before) and
+    block_rows what is coded at once: fewer take less memory and more time.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     given = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = given.schema["row"].dataType
-    coded = checkpoint(given.mapInArrow(_tokenize(tokenizer_path, end_id), T.StructType([T.StructField("row", kind), T.StructField("tokens", T.LongType()), T.StructField("ids", T.BinaryType())])))
+    coded = checkpoint(given.mapInArrow(tidy(_tokenize(tokenizer_path, end_id, cached_words, block_rows), f"words {tokenizer_path}"), T.StructType([T.StructField("row", kind), T.StructField("tokens", T.LongType()), T.StructField("ids", T.BinaryType())])))
     # a checkpoint's partitions stay as they are, so their numbers can stand for the order
     totals = {r["part"]: r["total"] for r in coded.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("tokens").alias("total")).collect()}
     order = sorted(totals)
     starts = dict(zip(order, accumulate((totals[p] for p in order), initial=0), strict=False))
     long = T.LongType()
     fields = [("row", kind), ("start", long), ("length", long), ("ids", T.BinaryType()), ("doc_tokens", long), ("sequence_id", long), ("offset", long)]
-    return coded.mapInArrow(_cut(starts, window), T.StructType([T.StructField(*f) for f in fields]))
+    return coded.mapInArrow(tidy(_cut(starts, window)), T.StructType([T.StructField(*f) for f in fields]))

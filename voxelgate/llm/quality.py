@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Character kinds, by which trigrams are formed.
 _KINDS = {b" ": 1, b"\n": 2, b"\t\r\x0b\x0c": 3, b".": 4, b",;:": 5, b"!?": 6, b"|": 7, b"#$%&*": 8, b"()[]{}<>": 9, b"'\"`-_": 10, b"/\\@=+~^": 11}
 _DIGIT, _LOWER, _UPPER, _WIDE = 12, 13, 14, 15
@@ -156,4 +158,4 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", carry: t
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     given = docs.select(row, F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("row", given.schema["row"].dataType), T.StructField("score", T.DoubleType())])
-    return given.mapInArrow(_run(zlib.compress(pickle.dumps(model), 1), block), schema)
+    return given.mapInArrow(tidy(_run(zlib.compress(pickle.dumps(model), 1), block)), schema)
