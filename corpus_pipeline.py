@@ -42,7 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
-    pieces = pack(docs, tokenizer_path("word_bpe_49k.json"))
+    # the workers share the executors' memory with what the stages before have left in the JVM
+    pieces = pack(docs, tokenizer_path("word_bpe_49k.json"), cached_words=60_000, block_rows=1000)
     return pieces.select("row.doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
