@@ -165,6 +165,18 @@ def test_personal_data(spark):
     assert pii.fit(frame.limit(0)) == {} and pii.detect(frame.limit(0), {}).count() == 0
 
 
+def test_secrets_are_whole(spark):
+    values = ["hunter2hunter2", "a1B2" * 100, "k9" * 2000, "x" * 300 + "!me@here.org/tail"]
+    texts = [f"my {name}{sign}{v} end" for name in ("password", "passwd", "Password", "token", "api_key") for sign in ("=", ": ") for v in values] + ["no secret here"]
+    frame = docs(spark, texts)
+    model = pii.fit(frame)
+    for r in pii.detect(frame, model).collect():
+        t = texts[r.row.doc_id]
+        assert [t[s.start : s.end] for s in r.spans if s.kind == "secret"] == ([t[3:-4]] if t.endswith(" end") else []), t
+    clean = {r.doc_id: r.t for r in frame.select("doc_id", pii.redact(frame["text"], model).alias("t")).collect()}
+    assert all(clean[i] == ("my [SECRET] end" if t.endswith(" end") else t) for i, t in enumerate(texts))
+
+
 def test_reliabilities_follow_agreement():
     counts = {"x|1|1|1": 50, "x|-1|-1|0": 50, "x|1|1|-1": 5, "x|-1|-1|1": 5}
     belief, chances = pii.reliabilities(counts)

@@ -76,7 +76,7 @@ DETECTORS = (
     Detector("email", "spelled_email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(](?:at)[\])] ?[a-z0-9-]++ ?[\[(.](?:dot)?[\])]? ?[a-z]{2,12}+", r"(?i)[\[(]at[\])]", False, lambda x: F.lit(True)),
     Detector("phone", "plain_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", r"[0-9]{3}[ .-][0-9]{4}", False, lambda x: F.lit(True)),
     Detector("iban", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3}+)?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", False, lambda x: F.lit(True)),
-    Detector("secret", "secret", r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|api[_-]?key)[ \t]{0,4}+[=:][ \t]{0,4}+[\"']?[^\s\"']{8,256}+[\"']?", r"(?i)(?:token|secret|passw|key)[ \t]*[=:]", False, lambda x: F.lit(True)),
+    Detector("secret", "secret", r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|api[_-]?key)[ \t]{0,4}+[=:][ \t]{0,4}+[\"']?[^\s\"']{8,}+[\"']?", r"(?i)(?:token|secret|password|passwd|key)[ \t]*[=:]", False, lambda x: F.lit(True)),
     Detector("ssn", "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", False, lambda x: F.lit(True)),
 )
 
@@ -143,7 +143,8 @@ def _spans(d: Detector, pairs: Column) -> Column:
 def find_spans(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """row (struct of the carried columns), base and loose: arrays of structs (kind, start, end, exact, key).
 
-    kind is the place in KINDS. Loose spans that overlap a base one are left out.
+    kind is the place in KINDS. Loose spans that overlap a base one are left out, but for
+    secrets, which always reach beyond it.
     """
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for i, d in enumerate(DETECTORS):
@@ -152,7 +153,8 @@ def find_spans(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
     base = F.concat(*[F.col(f"s_{i}") for i, d in enumerate(DETECTORS) if d.exact])
     loose = F.concat(*[F.col(f"s_{i}") for i, d in enumerate(DETECTORS) if not d.exact])
     out = out.select("row", base.alias("base"), loose.alias("loose"))
-    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
+    secret = F.lit(KINDS.index("secret"))
+    apart = F.filter("loose", lambda x: (x["kind"] == secret) | ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
     return out.select("row", "base", F.when(F.size("loose") > 0, apart).otherwise(F.col("loose")).alias("loose"))
 
 
