@@ -216,6 +216,21 @@ def test_licenses(spark):
     assert licenses.scan(frame.limit(0), index).count() == 0
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+BSD = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n"
+
+
+def test_licenses_across_lines(spark, tmp_path):
+    from voxelgate.llm.queries import op5_licenses
+
+    line = "some other words\n"
+    far = line * 60
+    texts = [MIT, BSD, "All rights\nreserved.", *[line * n + MIT + line * 50 for n in range(0, 60, 7)], "\n".join(BSD.split()), far + "All\n" + far + "rights\n" + far + "reserved", "x\ny", None]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.labels for r in op5_licenses(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["mit", "bsd", "all-rights-reserved", *["mit"] * 9, "bsd", "", "", ""]
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline isn't there")
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline

@@ -1,6 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text. Template tokens are ordered by how many documents have them,
+Blocks are the lines of a text and, where it may be wrapped, also overlapping windows of its words:
+of what spans twice the words of the longest template, some window has all. Template tokens are ordered by how many documents have them,
 rarest first. A block can only reach the containment threshold of a template if it has one of the
 template's first tokens in that order (prefix), enough tokens (length), and enough template tokens
 from the first common one on (position); what passes is counted exactly. The templates are a
@@ -49,10 +50,11 @@ class Template:
 
 @dataclass(frozen=True)
 class Index:
-    """vocabulary: all template tokens in the global order, which the templates' tokens keep."""
+    """vocabulary: all template tokens in the global order, which the templates' tokens keep. longest: the most words of a template."""
 
     vocabulary: tuple[str, ...]
     templates: tuple[Template, ...]
+    longest: int
 
 
 def _words(text: Column) -> Column:
@@ -79,22 +81,35 @@ def _strings(values: tuple[str, ...] | list[str]) -> Column:
 
 def index_templates(docs: DataFrame, text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = 0.9) -> Index:
     """Templates with their tokens in the global order, by the documents that have them."""
-    given = [(label, sorted(set(text.split()))) for label, texts in (templates or TEMPLATES).items() for text in texts]
+    split = [(label, text.split()) for label, texts in (templates or TEMPLATES).items() for text in texts]
+    given = [(label, sorted(set(words))) for label, words in split]
     vocabulary = sorted({t for _, tokens in given for t in tokens})
     found = docs.select(F.explode(F.array_intersect(_strings(vocabulary), _words(F.lower(F.col(text_col))))).alias("token"))
     frequency = {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
     order = {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (frequency.get(t, 0), t)))}
-    return Index(tuple(order), tuple(Template(label, tuple(sorted(tokens, key=order.get)), math.ceil(threshold * len(tokens) - 1e-9)) for label, tokens in given))
+    return Index(tuple(order), tuple(Template(label, tuple(sorted(tokens, key=order.get)), math.ceil(threshold * len(tokens) - 1e-9)) for label, tokens in given), max(len(words) for _, words in split))
 
 
-def _matches(lower: Column, index: Index) -> Column:
+def _windows(lower: Column, index: Index, rare: list[str]) -> Column:
+    """The word windows that have a rare token, of a text with line breaks."""
+    step = 2 * index.longest
+    cut = lambda words: F.transform(F.sequence(F.lit(1), F.size(words), F.lit(step)), lambda i: F.slice(words, i, F.lit(2 * step)))
+    found = F.transform(F.array(_words(lower)), lambda words: F.filter(cut(words), lambda w: F.arrays_overlap(w, _strings(rare))))
+    return F.when(F.contains(lower, F.lit("\n")), F.get(found, F.lit(0))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def _matches(lower: Column, index: Index, wrapped: bool) -> Column:
     """Structs (label, share) of the templates that some block of the text contains."""
     templates = index.templates
     rare = sorted({x for t in templates for x in t.prefix})
     quick = rf"(?<!{_IN})(?:{'|'.join(map(re.escape, rare))})(?!{_IN})"
     least = min(t.need for t in templates)
     lines = F.filter(F.split(lower, "\n"), lambda line: line.rlike(quick))
-    blocks = F.filter(F.transform(lines, lambda line: F.array_intersect(_strings(index.vocabulary), _words(line))), lambda b: F.size(b) >= least)
+    parts = F.transform(lines, _words)
+    if wrapped:
+        # a text without such a line has no such window
+        parts = F.get(F.transform(F.array(parts), lambda p: F.when(F.size(p) > 0, F.concat(p, _windows(lower, index, rare))).otherwise(p)), F.lit(0))
+    blocks = F.filter(F.transform(parts, lambda words: F.array_intersect(_strings(index.vocabulary), words)), lambda b: F.size(b) >= least)
     given = F.array(*[F.struct(F.lit(t.label).alias("label"), _strings(t.tokens).alias("tokens"), _strings(t.prefix).alias("prefix"), F.lit(t.need).alias("need")) for t in templates])
 
     def best(bs: Column, t: Column) -> Column:
@@ -114,9 +129,10 @@ def _matches(lower: Column, index: Index) -> Column:
     return F.when(some, F.get(scored, F.lit(0)))
 
 
-def scan(docs: DataFrame, index: Index, phrases: dict[str, str] | None = None, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, index: Index, phrases: dict[str, str] | None = None, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), wrapped: bool = False) -> DataFrame:
     """For each row of docs: row (struct of the carried columns), n_words, n_base, first_word, last_word, base_labels, found (array of structs label, share).
 
+    wrapped: templates are also found across line breaks; otherwise within lines only.
     A null text counts as empty: no words, no places, no labels. first_word and last_word are null
     without a place. Repeated rows are scanned once each, null ids are carried, an empty table
     gives no rows.
@@ -133,7 +149,7 @@ def scan(docs: DataFrame, index: Index, phrases: dict[str, str] | None = None, t
         gap = F.regexp_extract_all(text, F.lit(rf"(?s)(?i)\G(.*?){place}"), F.lit(1))
         out = out.withColumn(f"gaps_{i}", F.when(_has_all(F.col("lower"), phrase.split()) & text.rlike("(?i)" + place), gap))
         gaps.append(F.col(f"gaps_{i}"))
-    out = out.withColumn("found", _matches(F.col("lower"), index)).withColumn("n_words", _count_words(text))
+    out = out.withColumn("found", _matches(F.col("lower"), index, wrapped)).withColumn("n_words", _count_words(text))
     count = [F.coalesce(F.size(F.coalesce(g, F.array().cast("array<string>"))), F.lit(0)).cast("long") for g in gaps]
     firsts = [F.when(g.isNotNull(), _count_words(F.get(g, F.lit(0)))) for g in gaps]
     lasts = [F.when(g.isNotNull(), F.aggregate(g, F.lit(-1).cast("long"), lambda s, x: s + _count_words(x) + 1)) for g in gaps]

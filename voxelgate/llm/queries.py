@@ -56,7 +56,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = licenses.scan(docs, licenses.index_templates(docs))
+    found = licenses.scan(docs, licenses.index_templates(docs), wrapped=True)
     labels = F.array_sort(F.array_union("base_labels", F.transform("found", lambda x: x["label"])))
     share = F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))
     return found.select(
