@@ -115,6 +115,24 @@ def test_near_groups(spark, monkeypatch, limit):
     assert sorted([tuple(r) for r in got], key=str) == want and len({w[2] for w in want}) < len(rows) - 20
 
 
+def test_links_are_counted(spark):
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join("new" + str(i) if k == i % 60 else w for k, w in enumerate(base))) for i in range(40)]
+    rows += [(100 + i, rows[i % 3][1]) for i in range(7)] + [(200 + i, " ".join(rng.choice(base) for _ in range(50))) for i in range(5)]
+    rows += [(300, "one two"), (301, "One  two"), (302, None), (303, "")]
+    grams = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: sum(near(g, h) for k, h in grams.items() if k != i) for i, g in grams.items()}
+    got = near_groups(docs(spark, rows), links=True).collect()
+    assert {r.id: r.links for r in got} == want and max(want.values()) > 30 and len(got) == len(rows)
+    assert {(r.id, r.component) for r in got} == {(r.id, r.component) for r in near_groups(docs(spark, rows)).collect()}
+    assert [tuple(r) for r in near_groups(docs(spark, [(1, None)]), links=True).collect()] == [(1, 0, 1, 0)]
+
+
 def test_near_groups_without_rows(spark):
     assert near_groups(docs(spark, [(1, "a")]).limit(0)).count() == 0
     assert [tuple(r) for r in near_groups(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]

@@ -11,9 +11,10 @@ are summed. It is done twice:
   rarest n-grams at places that leave enough room; each fragment counts the overlap of each
   candidate pair, and the sums decide.
 
-Links serve to find classes of linked documents. Pairs are therefore first formed with one set of
-each list only; what that leaves apart is then compared with everything in other classes, so large
-groups of near copies don't become all of their pairs, and no link between classes is lost.
+Where only classes of linked documents are asked for, pairs are first formed with one set of each
+list only; what that leaves apart is then compared with everything in other classes, so large
+groups of near copies don't become all of their pairs, and no link between classes is lost. Where
+links are counted, all candidate pairs of different sets are formed; equal sets count by number.
 """
 
 from __future__ import annotations
@@ -241,8 +242,8 @@ def _places_fit(percent: int):
     return (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """For each row of docs: id, n (distinct n-grams) and component (smallest id reachable by links).
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, links: bool = False) -> DataFrame:
+    """For each row of docs: id, n (distinct n-grams), component (smallest id reachable by links) and, if asked for, links (how many other rows it is linked with).
 
     Two rows are linked when 100 * overlap >= percent * union of their sets of n-grams of size
     words (lower-case A-Z, separated by blanks). A text with fewer words is one n-gram; a null or
@@ -266,16 +267,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # repeated rows give a set twice
     sets = checkpoint(texts.groupBy("digest").agg(F.first("rep").alias("rep"), F.first("grams").alias("grams"), F.first("bits").alias("bits")))
     sets = sets.select(F.monotonically_increasing_id().alias("c"), "digest", "rep", F.size("grams").cast("long").alias("n"), "grams", "bits")
-    labels = _classes(sets.select("c", "n", "grams", "bits"), percent)
+    pairs = _links(sets.select("c", "n", "grams", "bits"), percent) if links else None
+    labels = connected_components(pairs) if links else _classes(sets.select("c", "n", "grams", "bits"), percent)
     named = sets.select("c", "digest", "rep").join(labels.withColumnRenamed("node", "c"), "c")
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"))
     linked = named.join(lowest, "component").select("digest", "lowest")
-    final = classes.join(linked, "digest", "left").select("digest", F.least("rep", "lowest").alias("component"))
-    return rows.join(final, "digest", "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component"))
+    final = classes.join(linked, "digest", "left").select("digest", "members", F.least("rep", "lowest").alias("component"))
+    is_node = (F.col("n") > 0) & F.col("id").isNotNull()
+    columns = ["id", "n", F.when(is_node, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component")]
+    if links:
+        final = final.join(_others(pairs, sets.select("c", "digest"), classes.select("digest", "members")), "digest", "left")
+        columns.append(F.when(is_node, F.coalesce(F.col("members") - 1 + F.coalesce("others", F.lit(0)), F.lit(0))).otherwise(0).cast("long").alias("links"))
+    return rows.join(final, "digest", "left").select(*columns)
 
 
-def _classes(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (node, component) of the linked ones of sets (c, n, grams, bits)."""
+def _others(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (digest, others): how many rows have another set that is linked with this one."""
+    sized = sets.join(members, "digest")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))).alias("e")
+    other = pairs.select(ends).select("e.c", "e.o").join(sized.select(F.col("c").alias("o"), "members"), "o")
+    return other.groupBy("c").agg(F.sum("members").alias("others")).join(sets, "c").select("digest", "others")
+
+
+def _lists(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of sets (c, n, grams, bits) the n-grams of the prefixes with their places, and the n-grams of each fragment."""
     grams = sets.select("c", "n", F.explode("grams").alias("g"))
     frequent = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     placed = grams.join(frequent, "g").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("order"))
@@ -288,12 +303,31 @@ def _classes(sets: DataFrame, percent: int) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - alone
     lists = placed.filter(prefix > 0).select("c", "n", alone.alias("alone"), F.least(prefix, F.size("order")).alias("many"), F.posexplode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("at", "x"))
     parities = [F.col("bits")[i].alias(f"x{i}") for i in range(_BITS // 64)]
-    lists = checkpoint(lists.select(F.col("x.g").alias("g"), "c", "n", (F.col("at") + _STAR_LISTS >= F.col("many")).alias("late"), (F.col("alone") + F.col("at")).alias("p")).join(sets.select("c", *parities), "c"))
-    fields = ["c", "n", "p", *[f"x{i}" for i in range(_BITS // 64)]]
-    left = [F.col("c").alias("a"), *[F.col(x).alias(f"{x[0]}a{x[1:]}") for x in fields[1:]]]
-    right = [F.col("c").alias("b"), *[F.col(x).alias(f"{x[0]}b{x[1:]}") for x in fields[1:]]]
+    return checkpoint(lists.select(F.col("x.g").alias("g"), "c", "n", (F.col("at") + _STAR_LISTS >= F.col("many")).alias("late"), (F.col("alone") + F.col("at")).alias("p")).join(sets.select("c", *parities), "c")), parts
+
+
+_FIELDS = ["c", "n", "p", *[f"x{i}" for i in range(_BITS // 64)]]
+
+
+def _side(name: str) -> list:
+    """The fields of a list as those of one side of a pair."""
+    return [F.col("c").alias(name), *[F.col(x).alias(f"{x[0]}{name}{x[1:]}") for x in _FIELDS[1:]]]
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of linked sets (c, n, grams, bits), each once."""
+    lists, parts = _lists(sets, percent)
+    one, other = lists.select("g", *_side("a")), lists.select("g", *_side("b"))
+    pairs = one.join(other, "g").filter((F.col("a") < F.col("b")) & _sizes_fit(percent) & _places_fit(percent))
+    return checkpoint(_overlaps(pairs.select("a", "b", "na", "nb").distinct(), parts, percent))
+
+
+def _classes(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, component) of the linked ones of sets (c, n, grams, bits)."""
+    lists, parts = _lists(sets, percent)
+    left, right = _side("a"), _side("b")
     # one set of each list, drawn anew for each n-gram, is compared with those that have the n-gram at the end of their prefix, where lists are longest
-    centres = lists.groupBy("g").agg(F.min(F.struct(F.xxhash64("c", "g").alias("draw"), *fields)).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    centres = lists.groupBy("g").agg(F.min(F.struct(F.xxhash64("c", "g").alias("draw"), *_FIELDS)).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     centres = centres.select("g", "m.*").select("g", *right)
     stars = lists.filter("late").select("g", *left).join(centres, "g").filter(F.col("a") != F.col("b")).filter(_sizes_fit(percent))
     first = F.col("a") < F.col("b")

@@ -81,8 +81,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_groups(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    found = near_groups(table(spark, sf_dir, "documents"), links=True)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
