@@ -4,7 +4,7 @@ Groups (equal texts) stand in the order of a hash of their text. The smallest ca
 a greedy pass fits them into the shards is found by binary search; the order is then cut where
 that pass cuts. The pass needs only the largest prefix sum up to a limit. The driver holds bounds
 for it: the smallest and largest prefix sum in each of a bounded number of cells. Where those
-leave a capacity undecided, the cells around its cuts are split finer, until all is exact.
+leave a capacity undecided, the cells around its cuts are split into finer ones, until all is exact.
 A group as large as an even share gets a shard of its own first, so that it doesn't leave others
 empty.
 """
@@ -20,8 +20,10 @@ from .common import checkpoint, shuffle_partitions
 
 _BUCKETS = 4096
 _FINER = 1024
+#: Cells around the open cuts that are split in one round, besides those that leave them open.
+_CELLS_A_ROUND = 32
 #: Groups with at least this share of all rows are placed without a join on their hash.
-_HOT_SHARE = 64
+_HOT_SHARE = 1024
 _ROWS_A_SLOT_BUCKET = 100_000
 
 
@@ -40,23 +42,28 @@ class PrefixBounds:
         low, high = self.cells[at]
         return (high, high) if high <= limit else (low, limit)
 
-    def around(self, early: list[tuple[int, int]], late: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Whole cells from each early place to its late one, as windows apart from each other; those that are exact already are left out."""
-        out: list[tuple[int, int]] = []
+    def undecided(self, places: list[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Cells that more than one prefix sum may be in, and that bounds of places begin or end in."""
+        hit = set()
+        for low, high in places:
+            for at in {bisect_right(self.lows, low) - 1, bisect_right(self.lows, high) - 1}:
+                if at >= 0 and self.cells[at][0] < self.cells[at][1] and low != high:
+                    hit.add(self.cells[at])
+        return hit
+
+    def between(self, early: list[tuple[int, int]], late: list[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Such cells from each early place to its late one."""
+        out = set()
         for (a, _), (_, b) in zip(early, late, strict=True):
             first, last = max(0, bisect_right(self.lows, a) - 1), bisect_right(self.lows, b) - 1
-            if last < first or all(x == y for x, y in self.cells[first : last + 1]):
-                continue
-            low, high = self.cells[first][0], self.cells[last][1]
-            if out and low <= out[-1][1]:
-                before = out.pop()
-                low, high = min(low, before[0]), max(high, before[1])
-            out.append((low, high))
+            out.update(c for c in self.cells[first : last + 1] if c[0] < c[1])
         return out
 
-    def replaced(self, windows: list[tuple[int, int]], cells: list[tuple[int, int]]) -> PrefixBounds:
-        kept = [c for c in self.cells if not any(a <= c[0] and c[1] <= b for a, b in windows)]
-        return PrefixBounds(kept + cells)
+    def split(self, cells: set[tuple[int, int]], finer: list[tuple[int, int]]) -> PrefixBounds:
+        """With the cells' parts in their place; a cell that wasn't split is an error, as the search would not end."""
+        if cells & set(finer) or not cells:
+            raise RuntimeError("a cell of prefix sums was not split")
+        return PrefixBounds([c for c in self.cells if c not in cells] + finer)
 
 
 def cuts(bounds: PrefixBounds, capacity: int, shards: int) -> list[tuple[int, int]]:
@@ -78,31 +85,32 @@ def _first(good, bad: int, sure: int) -> int:
 
 
 def minimax_cuts(total: int, largest: int, shards: int, bounds: PrefixBounds, refine) -> list[int]:
-    """Where to cut so that the largest shard is as small as it can be. refine(windows) gives finer cells of those windows."""
+    """Where to cut so that the largest shard is as small as it can be. refine(cells) gives the parts of those cells, more than one of each."""
     if total <= 0:
         return []
     floor = max(-(-total // shards), largest)
     while True:
         sure = _first(lambda c: cuts(bounds, c, shards)[-1][0] >= total, floor - 1, floor + largest)
         least = _first(lambda c: cuts(bounds, c, shards)[-1][1] >= total, floor - 1, floor + largest)
-        found = cuts(bounds, sure, shards)
+        early, found = cuts(bounds, least, shards), cuts(bounds, sure, shards)
         if least == sure and all(a == b for a, b in found):
             return [a for a, _ in found]
-        windows = bounds.around(cuts(bounds, least, shards), found)
-        bounds = bounds.replaced(windows, refine(windows))
-
-
-def _refiner(placed: DataFrame):
-    def refine(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        hi = F.col("hi")
-        which = cell = F.lit(None).cast("long")
-        inside = F.lit(False)
-        for i, (a, b) in enumerate(windows):
-            mine = hi.between(a, b)
-            inside = inside | mine
-            which = F.when(mine, F.lit(i)).otherwise(which)
-            cell = F.when(mine, F.floor((hi - a) / F.lit(max(1, -(-(b - a) // _FINER))))).otherwise(cell)
-        rows = placed.filter(inside).groupBy(which.alias("w"), cell.alias("c")).agg(F.min("hi").alias("a"), F.max("hi").alias("b")).collect()
+        # the cells that leave these cuts open are always among them, so each round decides more
+        cells = bounds.undecided(early) | bounds.undecided(found)
+        near = sorted(bounds.between(early, found) - cells)
+        cells.update(near[:: max(1, -(-len(near) // _CELLS_A_ROUND))])
+        bounds = bounds.split(cells, refine(sorted(cells)))
+
+
+def _refiner(placed: DataFrame, buckets: list[tuple[int, int]]):
+    """buckets: (lowest prefix sum, bucket) in order; each cell lies in one bucket, which is the key of the join."""
+    lows = [low for low, _ in buckets]
+
+    def refine(cells: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        asked = [(buckets[bisect_right(lows, a) - 1][1], i, a, b, max(1, -(-(b - a) // _FINER))) for i, (a, b) in enumerate(cells)]
+        wanted = placed.sparkSession.createDataFrame(asked, "b int, w int, low long, high long, step long")
+        inside = placed.join(F.broadcast(wanted), "b").filter(F.col("hi").between(F.col("low"), F.col("high")))
+        rows = inside.groupBy("w", F.floor((F.col("hi") - F.col("low")) / F.col("step")).alias("c")).agg(F.min("hi").alias("a"), F.max("hi").alias("b")).collect()
         return [(r["a"], r["b"]) for r in rows]
 
     return refine
@@ -141,7 +149,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     placed = rest.withColumn("b", _bucket(F.col("h"))).withColumn("inner", inner).join(F.broadcast(start), "b")
     placed = checkpoint(placed.select("h", "s", "n", "b", (F.col("start") + F.col("inner")).alias("hi")))
     cells = placed.groupBy("b").agg(F.min("hi").alias("lo"), F.max("hi").alias("up"), F.max("s").alias("most")).collect()
-    ends = minimax_cuts(total, max([r["most"] for r in cells], default=0), shards - len(own), PrefixBounds([(r["lo"], r["up"]) for r in cells]), _refiner(placed))
+    ends = minimax_cuts(total, max([r["most"] for r in cells], default=0), shards - len(own), PrefixBounds([(r["lo"], r["up"]) for r in cells]), _refiner(placed, sorted((r["lo"], r["b"]) for r in cells)))
     shard = F.lit(len(own))
     for end in sorted(set(ends))[:-1]:
         shard = shard + (F.col("hi") > end).cast("int")
