@@ -7,7 +7,9 @@ import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder named by spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (as in tests) a folder of this machine is used.
+    Where the session names none, a folder of this machine is used if all runs on it; on a cluster
+    that is an error, as other machines could not read it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxelgate-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -37,6 +42,29 @@ def partitions_for(spark: SparkSession, total_bytes: int, per_task: int = 64 <<
     return max(shuffle_partitions(spark), -(-int(total_bytes or 0) // per_task))
 
 
+#: Bytes that a worker gets at once; one longer text still comes whole.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers end by bytes too, so that long texts don't add up. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, None)
+    if given is None or not given.isdigit() or int(given) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, texts: pa.Array, most_rows: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and, but for single longer ones, bytes of texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def crc_mod(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null ids count as the empty text."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -8,11 +8,10 @@ record for each window it touches.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, hold, tidy
+from .common import bounded_batches, checkpoint, hold, slices, tidy
 from .words import distinct_words, gather
 
 #: Words of a worker's cache; beyond it a new one is begun, and the last full one is kept beside it.
@@ -49,14 +48,13 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        with open(path, encoding="utf-8") as f:
-            given = json.load(f)
-        suffix = given["model"].get("end_of_word_suffix")
-        self.by_word = bool(suffix) and "Lowercase" in json.dumps(given["normalizer"]) and '"behavior": "Removed"' in json.dumps(given["pre_tokenizer"])
-        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        suffix = self.tokenizer.model.end_of_word_suffix if hasattr(self.tokenizer.model, "end_of_word_suffix") else None
+        self.by_word = bool(suffix) and "Lowercase" in str(self.tokenizer.normalizer) and 'behavior=Removed' in str(self.tokenizer.pre_tokenizer).replace('"', '')
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
         if suffix:
-            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        self.added = [x["content"] for x in given["added_tokens"]]
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -127,23 +125,26 @@ class WordEncoder:
 def _tokenize(path: str, end_id: int, cached_words: int, block_rows: int):
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = hold(f"words {path}", lambda: WordEncoder(path, cached_words))
+        number, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, block_rows):
-                part = batch.slice(at, block_rows)
+            for part in slices(batch, batch.column("text"), block_rows):
                 ids, begins = encoder(part.column("text"), [end_id])
                 width = encoder.dtype.itemsize
                 packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((begins * width).astype(np.int32)), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.diff(begins)), packed], ["row", "tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.full(part.num_rows, number, np.int32)), pa.array(before + begins[:-1]), pa.array(np.diff(begins)), packed], ["row", "part", "before", "tokens", "ids"])
+                before += int(begins[-1])
 
     return tokenize
 
 
-def _cut(starts: dict[int, int], window: int):
+def _cut(parts: np.ndarray, starts: np.ndarray, window: int):
+    """parts: the numbers of the partitions with rows, in order. starts: the tokens before each."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = starts.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
+            first = starts[np.searchsorted(parts, batch.column("part").to_numpy())] + batch.column("before").to_numpy()
             source, begins, sizes, pieces, places = [], [], [], [], []
-            for i, (n, ids) in enumerate(zip(batch.column("tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
+            for i, (at, n, ids) in enumerate(zip(first.tolist(), batch.column("tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
                 values = np.frombuffer(ids, f"<u{len(ids) // n}")
                 begin = 0
                 while begin < n:
@@ -154,7 +155,6 @@ def _cut(starts: dict[int, int], window: int):
                     places.append(at + begin)
                     pieces.append(values[begin : begin + size].astype("<u4").tobytes())
                     begin += size
-                at += n
             index = pa.array(source, pa.int64())
             place = np.array(places, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -171,18 +171,20 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
     Gives row (struct of the carried columns), start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id and offset. Each document ends with end_id. A null text counts as
     empty, so it is one piece that holds end_id alone; repeated rows are packed once each; null ids
-    and columns of any name are carried as they are; an empty table gives no rows. cached_words bounds
-    a worker's cache (about 200 bytes a word, and as much again for the one before) and
-    block_rows what is coded at once: fewer take less memory and more time.
+    and columns of any name are carried as they are; an empty table gives no rows. A very long
+    text is coded whole, in a block of its own. cached_words bounds a worker's cache (about 200
+    bytes a word, and as much again for the one before) and block_rows what is coded at once:
+    fewer take less memory and more time.
     """
+    bounded_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     given = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = given.schema["row"].dataType
-    coded = checkpoint(given.mapInArrow(tidy(_tokenize(tokenizer_path, end_id, cached_words, block_rows), f"words {tokenizer_path}"), T.StructType([T.StructField("row", kind), T.StructField("tokens", T.LongType()), T.StructField("ids", T.BinaryType())])))
-    # a checkpoint's partitions stay as they are, so their numbers can stand for the order
-    totals = {r["part"]: r["total"] for r in coded.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("tokens").alias("total")).collect()}
-    order = sorted(totals)
-    starts = dict(zip(order, accumulate((totals[p] for p in order), initial=0), strict=False))
-    long = T.LongType()
+    kind, long = given.schema["row"].dataType, T.LongType()
+    fields = [("row", kind), ("part", T.IntegerType()), ("before", long), ("tokens", long), ("ids", T.BinaryType())]
+    coded = checkpoint(given.mapInArrow(tidy(_tokenize(tokenizer_path, end_id, cached_words, block_rows), f"words {tokenizer_path}"), T.StructType([T.StructField(*f) for f in fields])))
+    # each row carries its partition's number and its place there, so it doesn't matter how the second pass is dealt
+    totals = sorted((r["part"], r["total"]) for r in coded.groupBy("part").agg(F.sum("tokens").alias("total")).collect())
+    parts = np.array([p for p, _ in totals], np.int32)
+    starts = np.cumsum([0, *[n for _, n in totals]])[:-1] if totals else np.zeros(0, np.int64)
     fields = [("row", kind), ("start", long), ("length", long), ("ids", T.BinaryType()), ("doc_tokens", long), ("sequence_id", long), ("offset", long)]
-    return coded.mapInArrow(tidy(_cut(starts, window)), T.StructType([T.StructField(*f) for f in fields]))
+    return coded.mapInArrow(tidy(_cut(parts, starts, window)), T.StructType([T.StructField(*f) for f in fields]))
