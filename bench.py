@@ -13,7 +13,7 @@ from voxelgate.plans.catalog import QUERIES
 from voxelgate.plans.views import boxes, points
 from voxelgate.operators.crop import remove_points
 
-HEADLINE = ("jon_01_box_crop", "jon_01_cell_crop", "jon_02_keep_mask", "win_01_temporal", "win_02_ghost_cumulative", "agg_04_bev", "jon_07_asof_nearest", "jon_09_bev_outer", "jon_10_neighbour_ghost", "srt_05_preserved", "prj_04_pose_points", "udx_03_clusters", "sca_json_payload")
+HEADLINE = ("jon_01_box_crop", "jon_01_frame_crop", "jon_02_keep_mask", "win_01_temporal", "win_02_ghost_cumulative", "agg_04_bev", "jon_07_asof_nearest", "jon_09_bev_outer", "jon_10_neighbour_ghost", "srt_05_preserved", "prj_04_pose_points", "udx_03_clusters", "sca_json_payload")
 
 
 def main() -> None:

@@ -85,7 +85,7 @@ def test_pcd(spark, tmp_path):
     [
         ({"kind": "binary_compressed"}, "binary_compressed is not supported"),
         ({"fields": "x y rgb w"}, "must include x,y,z"),
-        ({"size": "4 4"}, "SIZE does not match"),
+        ({"size": "4 4"}, "does not match FIELDS"),
         ({"points": 9}, "payload is shorter"),
         ({"types": "F F F Q"}, "unsupported PCD field type"),
     ],

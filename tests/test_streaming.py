@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from voxelgate.functions.payload import document, message_stamp, parse_boxes
 from voxelgate.operators.temporal import keep_persistent
+from voxelgate.sources import pointcloud2
+from voxelgate.streaming import pipeline
 from voxelgate.streaming.boxes import BoxBuffer, Message, parsed_boxes, read_messages, select_boxes
-from voxelgate.streaming.pipeline import RunningStats
 from voxelgate.streaming.temporal import PersistenceWindow, filter_stream
 
 FRAME = "sensor string, frame_seq long, point_id long, x double, y double, z double"
@@ -124,10 +125,38 @@ def test_stamps(spark, text, want):
     assert spark.createDataFrame([(text,)], "p string").select(message_stamp(document(F.col("p")))).first()[0] == want
 
 
-def test_running_stats():
-    s = RunningStats()
-    assert s.summary()["removed_ratio"] == 0.0
-    s.update(10, 6, 2.0, used_boxes=True, no_boxes=False)
-    s.update(10, 10, 4.0, used_boxes=False, no_boxes=True)
-    got = s.summary()
-    assert (got["frames"], got["removed_points"], got["removed_ratio"], got["stale_box_frames"], got["mean_ms"]) == (2, 4, 0.2, 1, 3.0)
+def test_box_run_from_end_to_end(spark, tmp_path):
+    """Clouds 1 and 2 have boxes in time, 3 has a message without boxes, 4 is stale, 5 has no points."""
+    at = {1: 1.0, 2: 2.0, 3: 3.0, 4: 9.0, 5: 2.1}
+    rows = [(str(k), i, float(i), 0.0, 0.0) for k in at if k != 5 for i in range(10)]
+    sent = pointcloud2.encode(spark.createDataFrame(rows, "frame_id string, point_id long, x double, y double, z double"), spark.createDataFrame([(str(k),) for k in at], "frame_id string"))
+    stamps = spark.createDataFrame([(str(k), "s", k, t + 0.5, t) for k, t in at.items()], "frame_id string, sensor string, cloud_id long, arrival double, stamp double")
+    sent.join(stamps, "frame_id").drop("frame_id").write.parquet(str(tmp_path / "k"))
+    box = lambda x: json.dumps({"objects": [{"center": [x, 0, 0], "size": [2.1, 1, 1], "name": "car"}]})
+    told = [("s", 1.2, 1.1, box(0)), ("s", 2.2, 1.9, box(5)), ("s", 3.2, 3.0, "[]"), ("s", 3.3, 3.0, "no json")]
+    spark.createDataFrame(told, "sensor string, arrival double, msg_stamp double, payload string").write.parquet(str(tmp_path / "m"))
+    read = lambda p: spark.readStream.schema(spark.read.parquet(str(p)).schema).parquet(str(p))
+    reports = []
+    figures = pipeline.RunFigures(reports.append, period=2)
+    pipeline.run_boxes(read(tmp_path / "k"), read(tmp_path / "m"), lambda df: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "c"), figures, once=True).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    kept = pointcloud2.decode(out).groupBy("frame_id").agg(F.sort_array(F.collect_list("x")).alias("x")).collect()
+    every = [float(i) for i in range(10)]
+    assert {r.frame_id: r.x for r in kept} == {"1": every[2:], "2": [x for x in every if x not in (4, 5, 6)], "3": every, "4": every}
+    assert {r.frame_id: r.width for r in out.collect()} == {"1": 8, "2": 7, "3": 10, "4": 10, "5": 0}
+    figures.write(spark, str(tmp_path / "s.json"))
+    s = json.loads((tmp_path / "s.json").read_text())
+    want = {"frames": 5, "input_points": 40, "output_points": 35, "removed_points": 5, "removed_ratio": 0.125, "boxes_received": 3, "frames_with_boxes": 2, "frames_without_boxes": 3, "stale_box_frames": 3}
+    assert {k: s[k] for k in want} == want and s["mean_ms"] > 0 and reports
+
+
+def test_persistence_run_keeps_its_figures(spark, tmp_path):
+    """What is all kept counts as nothing removed."""
+    rows = [("a", f, i, float(i), 0.0, 0.0) for f in range(4) for i in range(10)]
+    spark.createDataFrame(rows, FRAME).write.parquet(str(tmp_path / "in"))
+    figures = pipeline.RunFigures()
+    stream = spark.readStream.schema(FRAME).parquet(str(tmp_path / "in"))
+    pipeline.run_persistence(stream, lambda df: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "c"), figures, 1.0, 3, 1, once=True).awaitTermination()
+    s = figures.summary(spark)
+    assert (s["frames"], s["input_points"], s["output_points"], s["removed_ratio"]) == (4, 40, 40, 0.0) and spark.read.parquet(str(tmp_path / "out")).count() == 40
+    assert pipeline.RunFigures().summary(spark)["removed_ratio"] == 0.0

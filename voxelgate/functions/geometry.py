@@ -57,12 +57,6 @@ def inside(p: dict[str, Column], b: dict[str, Column]) -> Column:
     return (F.abs(lx) <= b["hx"]) & (F.abs(ly) <= b["hy"]) & (F.abs(dz) <= b["hz"])
 
 
-def rotate_into_box(dx: Column, dy: Column, yaw: Column) -> tuple[Column, Column]:
-    turned = F.abs(yaw) >= NO_ROTATION
-    c, s = F.cos(-yaw), F.sin(-yaw)
-    return F.when(turned, c * dx - s * dy).otherwise(dx), F.when(turned, s * dx + c * dy).otherwise(dy)
-
-
 def quaternion_yaw(w: Column, x: Column, y: Column, z: Column) -> Column:
     return F.atan2(2.0 * (w * z + x * y), 1.0 - 2.0 * (y * y + z * z))
 

@@ -1,34 +1,50 @@
 """Boxes from free-form JSON, as expressions on VARIANT values.
 
 Two readings differ in which keys they try and in what a bad value means: "core" stops at the
-first key that is there, "message" goes on to the next. Both give a struct (ok, values): ok is
-false where the entry has to be skipped or reported.
+first key that is there, "message" goes on to the next. A vector is a struct (ok, x, y, z); ok is
+false where the entry has to be skipped or reported. What is used more than once is bound to a
+lambda's variable, and what is read in the same way from several keys is an array with one lambda
+over it, so that plans stay small and each value is read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import quaternion_yaw
 
+#: Keys of the two readings, in the order in which they are tried. Fixed values.
 LIST_KEYS = {"core": ("objects", "detections", "boxes"), "message": ("objects", "detections", "boxes", "targets", "results")}
 SIZE_KEYS = ("size", "dimensions", "extent", "bbox", "box")
+SIDE_KEYS = (("length", "width", "height"), ("l", "w", "h"))
 MESSAGE_SIZE_KEYS = ("size", "dimensions", "extent", "scale", "lwh", "shape")
 FRAME_KEYS = ("bbox", "box", "bounding_box")
 LABEL_KEYS = ("label", "name", "class_name", "class_id", "object_type", "type")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def get(v: Column, path: str) -> Column:
     """The value at a path; a JSON null is a value, a missing key is NULL."""
     return F.try_variant_get(v, f"$.{path}", "variant")
 
 
+def item(v: Column, i: int) -> Column:
+    """An item of a list; NULL for what is no list or too short."""
+    return F.try_variant_get(v, f"$[{i}]", "variant")
+
+
 def has(v: Column, *keys: str) -> Column:
-    return reduce(lambda a, b: a & b, [get(v, k).isNotNull() for k in keys])
+    out = get(v, keys[0]).isNotNull()
+    for k in keys[1:]:
+        out = out & get(v, k).isNotNull()
+    return out
 
 
 def _kind(v: Column) -> Column:
@@ -39,95 +55,79 @@ def is_object(v: Column) -> Column:
     return _kind(v).startswith("OBJECT")
 
 
-def is_list(v: Column) -> Column:
-    return _kind(v).startswith("ARRAY")
-
-
 def number(v: Column) -> Column:
     """As a number, from a number or the text of one; else NULL. A boolean is no number."""
-    bad = _kind(v).rlike("^(?:$|VOID|BOOLEAN|OBJECT|ARRAY)")
-    return F.when(~bad, F.trim(F.try_variant_get(v, "$", "string")).try_cast("double"))
+    return F.when(_kind(v) != "BOOLEAN", F.try_variant_get(v, "$", "double"))
 
 
-def _vector(ok: Column, x: Column, y: Column, z: Column) -> Column:
-    return F.struct(F.coalesce(ok & x.isNotNull() & y.isNotNull() & z.isNotNull(), F.lit(False)).alias("ok"), x.alias("x"), y.alias("y"), z.alias("z"))
+def numbers(*values: Column) -> Column:
+    return F.transform(F.array(*values), number)
 
 
-def no_vector() -> Column:
-    none = F.lit(None).cast("double")
-    return _vector(F.lit(False), none, none, none)
+def _vector(parts: Column) -> Column:
+    """Of an array of three numbers, or NULL."""
+    return bound(parts, lambda t: F.struct(F.coalesce(t[0].isNotNull() & t[1].isNotNull() & t[2].isNotNull(), F.lit(False)).alias("ok"), t[0].alias("x"), t[1].alias("y"), t[2].alias("z")))
 
 
 def vector(v: Column) -> Column:
     """From an object with x, y, z or a list of three numbers."""
-    item = lambda i: number(F.try_variant_get(v, f"$[{i}]", "variant"))
-    three = is_list(v) & F.try_variant_get(v, "$[2]", "variant").isNotNull() & F.try_variant_get(v, "$[3]", "variant").isNull()
-    pick = lambda k, i: F.when(is_object(v), number(get(v, k))).otherwise(item(i))
-    return _vector((is_object(v) & has(v, "x", "y", "z")) | three, pick("x", 0), pick("y", 1), pick("z", 2))
-
-
-def _numbers(v: Column, keys: tuple[str, str, str]) -> Column:
-    return _vector(F.lit(True), *[number(get(v, k)) for k in keys])
+    listed = F.when(item(v, 2).isNotNull() & item(v, 3).isNull(), F.array(*[item(v, i) for i in range(3)]))
+    return _vector(F.transform(F.coalesce(F.when(has(v, "x", "y", "z"), F.array(*[get(v, a) for a in "xyz"])), listed), number))
 
 
 def _positive(s: Column) -> Column:
     return s["ok"] & (s["x"] > 0) & (s["y"] > 0) & (s["z"] > 0)
 
 
-def first_of(choices: list[tuple[Column, Column]], otherwise: Column) -> Column:
-    """The value of the first condition that holds."""
-    return reduce(lambda rest, c: F.when(c[0], c[1]).otherwise(rest), reversed(choices), otherwise)
+def _vectors(*values: Column) -> Column:
+    """The vectors of those values that are there."""
+    return F.transform(F.filter(F.array(*values), lambda v: v.isNotNull()), vector)
+
+
+def _triples(e: Column) -> Column:
+    """The vectors of sides that an entry has all keys of."""
+    found = F.filter(F.array(*[F.when(has(e, *keys), F.array(*[get(e, k) for k in keys])) for keys in SIDE_KEYS]), lambda t: t.isNotNull())
+    return F.transform(found, lambda t: _vector(F.transform(t, number)))
+
+
+def _first(vectors: Column) -> Column:
+    none = F.lit(None).cast("double")
+    return F.coalesce(F.get(vectors, F.lit(0)), F.struct(F.lit(False).alias("ok"), none.alias("x"), none.alias("y"), none.alias("z")))
 
 
 def center(e: Column) -> Column:
-    pose = get(e, "pose")
-    return first_of(
-        [(has(e, "center"), vector(get(e, "center"))), (has(e, "x", "y", "z"), _numbers(e, ("x", "y", "z"))), (has(e, "position"), vector(get(e, "position"))), (is_object(pose) & has(pose, "position"), vector(get(pose, "position")))],
-        no_vector(),
-    )
+    return vector(F.when(has(e, "center"), get(e, "center")).when(has(e, "x", "y", "z"), e).when(has(e, "position"), get(e, "position")).otherwise(get(e, "pose.position")))
 
 
 def size(e: Column) -> Column:
     """The first vector of positive sides. A vector that can't be read ends the search; one that isn't positive doesn't."""
-    choices = []
-    for key in SIZE_KEYS:
-        v = vector(get(e, key))
-        choices += [(has(e, key) & ~v["ok"], no_vector()), (has(e, key) & _positive(v), v)]
-    for keys in (("length", "width", "height"), ("l", "w", "h")):
-        choices.append((has(e, *keys), _numbers(e, keys)))
-    shape = get(e, "shape")
-    choices.append((is_object(shape) & has(shape, "x", "y", "z"), vector(shape)))
-    return first_of(choices, no_vector())
+    named = F.filter(_vectors(*[get(e, k) for k in SIZE_KEYS]), lambda s: ~s["ok"] | _positive(s))
+    return _first(F.concat(named, _triples(e), _vectors(F.when(has(e, "shape") & has(get(e, "shape"), "x", "y", "z"), get(e, "shape")))))
 
 
-def _scalar(value: Column) -> Column:
-    return F.struct(value.isNotNull().alias("ok"), value.alias("value"))
+def _turn(v: Column, strict: bool) -> Column:
+    """Yaw of a quaternion: an object x, y, z, w or, where not strict, with parts left out or as a list of four; else NULL."""
+    rest = {"x": 0.0, "y": 0.0, "z": 0.0, "w": None if strict else 1.0}
+    part = lambda value, other: F.struct(value.alias("v"), F.lit(other).cast("double").alias("other"))
+    parts = F.when(is_object(v), F.array(*[part(get(v, k), None if strict else d) for k, d in rest.items()]))
+    if not strict:
+        parts = parts.when(item(v, 3).isNotNull() & item(v, 4).isNull(), F.array(*[part(item(v, i), None) for i in range(4)]))
+    read = F.transform(parts, lambda p: F.when(p["v"].isNull(), p["other"]).otherwise(number(p["v"])))
+    return bound(read, lambda t: quaternion_yaw(t[3], t[0], t[1], t[2]))
 
 
-def _quaternion(v: Column, strict: bool) -> Column:
-    """Yaw of an object x, y, z, w or, where not strict, with parts left out or as a list of four."""
-    part = lambda k, i, d: F.when(is_list(v), number(F.try_variant_get(v, f"$[{i}]", "variant"))).when(has(v, k) | F.lit(strict), number(get(v, k))).otherwise(F.lit(d))
-    four = F.try_variant_get(v, "$[3]", "variant").isNotNull() & F.try_variant_get(v, "$[4]", "variant").isNull()
-    read = is_object(v) if strict else is_object(v) | (is_list(v) & four)
-    return F.when(read, quaternion_yaw(part("w", 3, 1.0), part("x", 0, 0.0), part("y", 1, 0.0), part("z", 2, 0.0)))
+def yaw(e: Column) -> Column:
+    """NULL where the value that counts can't be read."""
+    rotation = get(e, "rotation")
+    read = numbers(*[get(e, k) for k in ("yaw", "yaw_deg", "heading", "rotation.yaw", "rotation.z")], item(rotation, 2), item(get(e, "rpy"), 2))
 
+    def pick(t: Column) -> Column:
+        out = F.when(has(e, "yaw"), t[0]).when(has(e, "yaw_deg"), F.radians(t[1])).when(has(e, "heading"), t[2]).when(has(e, "orientation"), _turn(get(e, "orientation"), False))
+        out = out.when(has(e, "rotation.yaw"), t[3]).when(has(e, "rotation.z"), t[4])
+        short = F.when(item(rotation, 2).isNotNull(), t[5]).otherwise(F.lit(0.0))
+        return out.when(_kind(rotation).startswith("ARRAY"), short).when(item(get(e, "rpy"), 2).isNotNull(), t[6]).otherwise(F.lit(0.0))
 
-def yaw(e: Column) -> Column:
-    rotation, rpy = get(e, "rotation"), get(e, "rpy")
-    third = lambda v: F.try_variant_get(v, "$[2]", "variant")
-    return first_of(
-        [
-            (has(e, "yaw"), _scalar(number(get(e, "yaw")))),
-            (has(e, "yaw_deg"), _scalar(F.radians(number(get(e, "yaw_deg"))))),
-            (has(e, "heading"), _scalar(number(get(e, "heading")))),
-            (has(e, "orientation"), _scalar(_quaternion(get(e, "orientation"), False))),
-            (is_object(rotation) & has(rotation, "yaw"), _scalar(number(get(rotation, "yaw")))),
-            (is_object(rotation) & has(rotation, "z"), _scalar(number(get(rotation, "z")))),
-            (is_list(rotation), _scalar(F.when(third(rotation).isNotNull(), number(third(rotation))).otherwise(F.lit(0.0)))),
-            (is_list(rpy) & third(rpy).isNotNull(), _scalar(number(third(rpy)))),
-        ],
-        _scalar(F.lit(0.0)),
-    )
+    return bound(read, pick)
 
 
 def text(v: Column) -> Column:
@@ -139,36 +139,27 @@ def _first_key(v: Column, *keys: str) -> Column:
     return F.coalesce(*[get(v, k) for k in keys])
 
 
-def _unwrapped(v: Column) -> Column:
-    return F.when(is_object(v) & has(v, "position"), get(v, "position")).otherwise(v)
+def _place(v: Column) -> Column:
+    """A centre, or the position within it."""
+    return bound(_first_key(v, "center", "position"), lambda c: F.coalesce(get(c, "position"), c))
 
 
 def message_center(e: Column) -> Column:
-    box, pose = _first_key(e, *FRAME_KEYS), get(e, "pose")
-    inner = F.coalesce(_unwrapped(_first_key(box, "center", "position")), get(get(box, "pose"), "position"))
-    choices = [vector(v) for v in (_unwrapped(_first_key(e, "center", "position")), inner, F.when(has(e, "x", "y", "z"), e), get(pose, "position"))]
-    return first_of([(c["ok"], c) for c in choices], no_vector())
+    inner = bound(_first_key(e, *FRAME_KEYS), lambda box: F.coalesce(_place(box), get(box, "pose.position")))
+    return _first(F.filter(_vectors(_place(e), inner, F.when(has(e, "x", "y", "z"), e), get(e, "pose.position")), lambda c: c["ok"]))
 
 
 def message_size(e: Column) -> Column:
-    box = _first_key(e, *FRAME_KEYS)
-    vectors = [vector(get(e, k)) for k in MESSAGE_SIZE_KEYS] + [vector(_first_key(box, *MESSAGE_SIZE_KEYS))]
-    triples = [_numbers(e, k) for k in (("length", "width", "height"), ("l", "w", "h"))]
-    return first_of([(_positive(v), v) for v in vectors] + [(v["ok"], v) for v in triples], no_vector())
+    inner = bound(_first_key(e, *FRAME_KEYS), lambda box: _first_key(box, *MESSAGE_SIZE_KEYS))
+    named = F.filter(_vectors(*[get(e, k) for k in MESSAGE_SIZE_KEYS], inner), _positive)
+    return _first(F.concat(named, F.filter(_triples(e), lambda s: s["ok"])))
 
 
 def message_yaw(e: Column) -> Column:
-    box, pose, rpy = _first_key(e, *FRAME_KEYS), get(e, "pose"), get(e, "rpy")
-    third = F.try_variant_get(rpy, "$[2]", "variant")
-    return F.coalesce(
-        number(_first_key(e, "yaw", "heading")),
-        F.radians(number(_first_key(e, "yaw_deg", "heading_deg"))),
-        _quaternion(_first_key(e, "orientation", "rotation"), True),
-        _quaternion(get(pose, "orientation"), True),
-        _quaternion(_first_key(box, "orientation", "rotation"), True),
-        _quaternion(get(get(box, "pose"), "orientation"), True),
-        F.when(is_list(rpy), number(third)),
-    )
+    read = numbers(_first_key(e, "yaw", "heading"), _first_key(e, "yaw_deg", "heading_deg"), item(get(e, "rpy"), 2))
+    inner = bound(_first_key(e, *FRAME_KEYS), lambda box: F.array(_first_key(box, "orientation", "rotation"), get(box, "pose.orientation")))
+    turns = F.transform(F.concat(F.array(_first_key(e, "orientation", "rotation"), get(e, "pose.orientation")), inner), lambda q: _turn(q, True))
+    return bound(F.struct(read.alias("n"), F.filter(turns, lambda q: q.isNotNull()).alias("q")), lambda r: F.coalesce(r["n"][0], F.radians(r["n"][1]), F.get(r["q"], F.lit(0)), r["n"][2]))
 
 
 def seconds(v: Column) -> Column:
@@ -180,20 +171,19 @@ def seconds(v: Column) -> Column:
 
 def message_stamp(v: Column) -> Column:
     """The first stamp of the message, its header or its msg_header, else time or timestamp; a stamp of 0 counts as none."""
-    found = F.coalesce(seconds(get(v, "stamp")), seconds(get(get(v, "header"), "stamp")), seconds(get(get(v, "msg_header"), "stamp")), seconds(_first_key(v, "stamp", "time", "timestamp")))
-    return F.when(found != 0, found)
+    found = F.transform(F.array(get(v, "stamp"), get(v, "header.stamp"), get(v, "msg_header.stamp"), _first_key(v, "stamp", "time", "timestamp")), seconds)
+    return bound(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)), lambda x: F.when(x != 0, x))
 
 
 def entries(v: Column, reading: str = "core") -> Column:
     """The box entries of a payload, as an array of VARIANT; NULL for a payload that is neither list nor object."""
-    lists = [(is_list(get(v, k)), F.try_variant_get(v, f"$.{k}", "array<variant>")) for k in LIST_KEYS[reading]]
-    return first_of([(is_list(v), F.try_variant_get(v, "$", "array<variant>")), *lists], F.when(is_object(v), F.array(v)))
+    lists = F.transform(F.array(v, *[get(v, k) for k in LIST_KEYS[reading]]), lambda x: F.try_variant_get(x, "$", "array<variant>"))
+    return F.coalesce(F.get(F.filter(lists, lambda x: x.isNotNull()), F.lit(0)), F.when(is_object(v), F.array(v)))
 
 
 def document(json_text: Column) -> Column:
     """A JSON text as VARIANT; text within text is read too."""
-    v = F.try_parse_json(json_text)
-    return F.when(_kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    return bound(F.try_parse_json(json_text), lambda v: F.when(_kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v))
 
 
 _READINGS: dict[str, Callable[[Column], tuple[Column, Column, Column, Column]]] = {}
@@ -218,16 +208,18 @@ def _core(e: Column) -> tuple[Column, Column, Column, Column]:
 def _message(e: Column) -> tuple[Column, Column, Column, Column]:
     # what the message's own keys give is a default for the core keys, which are read as ever
     c = F.when(has(e, "center"), vector(get(e, "center"))).otherwise(message_center(e))
-    derived = message_size(e)
-    s = F.when(~has(e, "size") & ~derived["ok"], no_vector()).when(~has(e, "size") & _positive(derived), derived).otherwise(size(e))
-    own = message_yaw(e)
-    y = F.when(has(e, "yaw"), _scalar(number(get(e, "yaw")))).when(own.isNotNull(), _scalar(own)).otherwise(yaw(e))
+    own = F.when(~has(e, "size"), message_size(e))
+    s = bound(own, lambda s: F.when(~s["ok"] | _positive(s), s).otherwise(size(e)))
+    y = F.when(has(e, "yaw"), number(get(e, "yaw"))).otherwise(F.coalesce(message_yaw(e), yaw(e)))
     return c, s, y, F.when(has(e, "label"), text(get(e, "label"))).otherwise(text(_first_key(e, *LABEL_KEYS)))
 
 
-def read_entry(e: Column, name: str) -> tuple[Column, Column, Column, Column]:
-    """Center, size, yaw and label of an entry in the reading of that name."""
-    return _READINGS[name](e)
+def read_entry(e: Column, name: str) -> Column:
+    """An entry in the reading of that name: struct ok, cx..h, yaw, label. What is no object has no center, so it isn't ok."""
+    c, s, y, label = _READINGS[name](e)
+    sides = lambda r: [r["c"][a].alias(f"c{a}") for a in "xyz"] + [r["s"][a].alias(b) for a, b in zip("xyz", "lwh", strict=True)]
+    ok = lambda r: F.coalesce(r["c"]["ok"] & r["s"]["ok"] & r["y"].isNotNull(), F.lit(False))
+    return bound(F.struct(c.alias("c"), s.alias("s"), y.alias("y"), label.alias("label")), lambda r: F.struct(ok(r).alias("ok"), *sides(r), r["y"].alias("yaw"), r["label"].alias("label")))
 
 
 def parse_boxes(rows: DataFrame, payload: str, name: str = "core", skip_invalid: bool = True) -> DataFrame:
@@ -236,14 +228,15 @@ def parse_boxes(rows: DataFrame, payload: str, name: str = "core", skip_invalid:
     Entries that can't be read are left out, or are an error if not skip_invalid.
     """
     others = [c for c in rows.columns if c != payload]
-    listed = rows.withColumn("_v", document(F.col(payload))).withColumn("_list", entries(F.col("_v"), name))
-    if not skip_invalid:
-        listed = listed.withColumn("_list", F.when(F.col("_list").isNull(), F.raise_error(F.lit("unsupported box payload format")).cast("array<variant>")).otherwise(F.col("_list")))
-    c, s, y, label = read_entry(F.col("_e"), name)
-    out = listed.select(*others, F.posexplode("_list").alias("box_id", "_e")).withColumns({"_c": c, "_s": s, "_y": y, "_label": label})
-    ok = is_object(F.col("_e")) & F.col("_c.ok") & F.col("_s.ok") & F.col("_y.ok")
-    if skip_invalid:
-        out = out.filter(ok)
-    else:
-        out = out.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("invalid box entry: "), F.to_json("_e"))).cast("boolean")))
-    return out.select(*others, F.col("box_id").cast("long"), F.col("_c.x").alias("cx"), F.col("_c.y").alias("cy"), F.col("_c.z").alias("cz"), F.col("_s.x").alias("l"), F.col("_s.y").alias("w"), F.col("_s.z").alias("h"), F.col("_y.value").alias("yaw"), F.col("_label").alias("label"))
+
+    def boxes(v: Column) -> Column:
+        listed = entries(v, name)
+        if not skip_invalid:
+            listed = F.coalesce(listed, F.raise_error(F.lit("unsupported box payload format")).cast("array<variant>"))
+        read = F.transform(listed, lambda e, i: F.struct(i.cast("long").alias("box_id"), read_entry(e, name).alias("b"), *([] if skip_invalid else [F.to_json(e).alias("text")])))
+        if skip_invalid:
+            return F.filter(read, lambda r: r["b"]["ok"])
+        return F.filter(read, lambda r: F.when(r["b"]["ok"], F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("invalid box entry: "), r["text"])).cast("boolean")))
+
+    out = rows.select(*others, F.explode(bound(document(F.col(payload)), boxes)).alias("_r"))
+    return out.select(*others, "_r.box_id", *[f"_r.b.{c}" for c in ("cx", "cy", "cz", "l", "w", "h", "yaw", "label")])

@@ -118,41 +118,54 @@ def exact_bounds(points: DataFrame) -> DataFrame:
     return points.agg(*[f(a).alias(f"{a}{n}") for a in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
-def merged_view(clean: DataFrame, ghost: DataFrame) -> DataFrame:
+def both_views(marked: DataFrame) -> DataFrame:
+    """Ground cells with clean_cells (voxels with a kept point) and ghost_cells (voxels without one), in one pass over the points."""
+    voxels = marked.groupBy(*CELL).agg(F.max("keep").alias("kept"))
+    return voxels.groupBy("vx", "vy").agg(F.count_if("kept").alias("clean_cells"), F.count_if(~F.col("kept")).alias("ghost_cells"))
+
+
+def clean_view(views: DataFrame) -> DataFrame:
+    return views.filter("clean_cells > 0").select("vx", "vy", F.col("clean_cells").alias("cells"))
+
+
+def ghost_view(views: DataFrame) -> DataFrame:
+    return views.filter("ghost_cells > 0").select("vx", "vy", F.col("ghost_cells").alias("cells"))
+
+
+def merged_view(views: DataFrame) -> DataFrame:
     """Clean and ghost cells side by side with their sum."""
-    c, g = clean.withColumnRenamed("cells", "clean_cells"), ghost.withColumnRenamed("cells", "ghost_cells")
-    out = c.join(g, ["vx", "vy"], "full_outer").fillna(0, ["clean_cells", "ghost_cells"])
-    return out.withColumn("total_cells", F.col("clean_cells") + F.col("ghost_cells"))
+    return views.withColumn("total_cells", F.col("clean_cells") + F.col("ghost_cells"))
 
 
-def near_ghosts(cells: DataFrame, ghost: DataFrame) -> DataFrame:
-    """Cells with near: the ghost count in the nine cells around each.
+def near_ghosts(views: DataFrame) -> DataFrame:
+    """Clean cells with near: the ghost count in the nine cells around each.
 
-    Ghost cells are sent to their neighbours, which makes the range join an equi-join.
+    Each cell is sent to its neighbours and itself, so one grouping replaces the range join.
     """
-    shifts = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    sent = ghost.select("vx", "vy", F.col("cells").alias("g")).withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts))
-    near = sent.groupBy((F.col("vx") + F.col("dx")).alias("vx"), (F.col("vy") + F.col("dy")).alias("vy")).agg(F.sum("g").alias("near"))
-    return cells.join(near, ["vx", "vy"], "left").fillna(0, ["near"])
+    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("x"), F.lit(j).cast("long").alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    here = (F.col("d.x") == 0) & (F.col("d.y") == 0)
+    sent = views.withColumn("d", F.explode(steps)).filter(here | (F.col("ghost_cells") > 0))
+    near = sent.groupBy((F.col("vx") + F.col("d.x")).alias("vx"), (F.col("vy") + F.col("d.y")).alias("vy"))
+    return near.agg(F.sum(F.when(here, F.col("clean_cells")).otherwise(0)).alias("cells"), F.sum("ghost_cells").alias("near")).filter("cells > 0")
 
 
-def hotspot(ghost: DataFrame) -> DataFrame:
-    """The ghost cell with most voxels; of equals the first by place."""
-    return ghost.orderBy(F.desc("cells"), "vx", "vy").limit(1)
+def hotspot(views: DataFrame) -> DataFrame:
+    """The cell with most ghost voxels; of equals the first by place."""
+    return ghost_view(views).orderBy(F.desc("cells"), "vx", "vy").limit(1)
 
 
-def preserved_spot(clean: DataFrame, ghost: DataFrame) -> DataFrame:
+def preserved_spot(views: DataFrame) -> DataFrame:
     """The clean cell of the highest score among those without ghosts around, or among all where each has some."""
-    scored = near_ghosts(clean, ghost).withColumn("score", F.col("cells") * 1000 - F.col("near"))
+    scored = near_ghosts(views).withColumn("score", F.col("cells") * 1000 - F.col("near"))
     # cells without ghosts come first, if there are any
     return scored.orderBy(F.col("near") > 0, F.desc("score"), "vx", "vy").limit(1)
 
 
-def crop_stats(clean: DataFrame, ghost: DataFrame, focus: DataFrame, voxel_size: float) -> DataFrame:
+def crop_stats(views: DataFrame, focus: DataFrame, voxel_size: float) -> DataFrame:
     """Cells of each kind within the crop around focus (one row with vx, vy), and clean_pct of all."""
     at = with_places(focus.select("vx", "vy"), voxel_size).select(F.col("x").alias("fx"), F.col("y").alias("fy"))
     reach = CROP_CELLS * voxel_size
-    cells = with_places(merged_view(clean, ghost), voxel_size).crossJoin(F.broadcast(at.limit(1)))
+    cells = with_places(views, voxel_size).crossJoin(F.broadcast(at.limit(1)))
     held = cells.filter((F.abs(F.col("x") - F.col("fx")) <= reach) & (F.abs(F.col("y") - F.col("fy")) <= reach))
     raw, kept = F.count(F.lit(1)), F.count_if(F.col("clean_cells") > 0)
     return held.agg(raw.alias("raw_cells"), kept.alias("clean_cells"), F.count_if(F.col("ghost_cells") > 0).alias("ghost_cells"), F.floor(100.0 * kept / F.greatest(F.lit(1), raw) + 0.5).alias("overlap_pct"))

@@ -1,13 +1,24 @@
-"""Removal of points in oriented boxes: an anti-join on the inside-box predicate."""
+"""Removal of points in oriented boxes: an anti-join on the inside-box predicate.
+
+Boxes are listed under the ground cells that their outlines reach, so frame and cell are equi-keys
+and a point meets the boxes around it only, however many a frame has. A box that holds a point is
+listed under the point's cell, and none of the joins here minds boxes that are listed often. The
+few boxes that reach thousands of cells have the frame as their only key. The optimizer hashes or
+broadcasts by the boxes' size.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import inside, prepare_boxes
+from ..functions.geometry import finite, inside, prepare_boxes
 
 MARGIN = (0.05, 0.05, 0.05)
+#: Side of a ground cell, about the length of a car.
+CELL = 6.0
+#: A box that reaches more cells has no place in the lists; it is held against all points of its frame.
+GIANT_CELLS = 4096
 _BOX = ("cx", "cy", "cz", "hx", "hy", "hz", "cos_yaw", "sin_yaw")
 
 
@@ -21,51 +32,60 @@ def drop_small_boxes(boxes: DataFrame, min_size: float = 0.01) -> DataFrame:
     return boxes.filter(large)
 
 
-def _sides(points: DataFrame, boxes: DataFrame) -> Column:
-    return inside({a: points[a] for a in "xyz"}, {c: boxes[c] for c in _BOX})
+def _cells(value: str, cell: float) -> Column:
+    return F.floor(F.col(value) / cell)
 
 
-def remove_points(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str | None = "frame_id") -> DataFrame:
-    """Points in no box of their frame (of all boxes, if frame is None).
+def prepare(boxes: DataFrame, margin: tuple[float, float, float], frame: str | None, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Prepared boxes: those of ordinary size once for each ground cell (_gx, _gy) that they reach, and the giant ones as they are.
 
-    The frame is an equi-key, so the optimizer hashes or broadcasts by the boxes' size, and the
-    box test is left as the join's residual; the first box that holds a point decides.
+    A box whose centre isn't a number has no cell, and holds no point.
     """
-    prepared = prepare_boxes(boxes, margin).select(*([frame] if frame else []), *_BOX)
-    test = _sides(points, prepared)
-    return points.join(prepared, (points[frame] == prepared[frame]) & test if frame else test, "left_anti")
-
+    kept = [*([frame] if frame else []), *_BOX]
+    reach_x = F.col("hx") * F.abs("cos_yaw") + F.col("hy") * F.abs("sin_yaw") + F.lit(1e-9)
+    reach_y = F.col("hx") * F.abs("sin_yaw") + F.col("hy") * F.abs("cos_yaw") + F.lit(1e-9)
+    placed = prepare_boxes(boxes, margin).filter(finite("cx") & finite("cy"))
+    giant = (2 * reach_x / cell + 2) * (2 * reach_y / cell + 2) > GIANT_CELLS
+    span = lambda c, r: F.sequence(F.floor((F.col(c) - r) / cell), F.floor((F.col(c) + r) / cell))
+    listed = placed.filter(~giant).select(*kept, F.explode(span("cx", reach_x)).alias("_gx"), span("cy", reach_y).alias("_ys")).select(*kept, "_gx", F.explode("_ys").alias("_gy"))
+    return listed, placed.filter(giant).select(kept)
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str | None = "frame_id") -> DataFrame:
-    """The other side of remove_points."""
-    prepared = prepare_boxes(boxes, margin).select(*([frame] if frame else []), *_BOX)
-    test = _sides(points, prepared)
-    return points.join(prepared, (points[frame] == prepared[frame]) & test if frame else test, "left_semi")
 
+def _sides(points: DataFrame, boxes: DataFrame, frame: str | None) -> Column:
+    test = inside({a: points[a] for a in "xyz"}, {c: boxes[c] for c in _BOX})
+    return (points[frame] == boxes[frame]) & test if frame else test
 
-def mark_points(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str = "frame_id") -> DataFrame:
-    """All points with a column keep. Each frame's boxes travel as one array, so points need no key and none is repeated."""
-    prepared = prepare_boxes(boxes, margin).groupBy(frame).agg(F.collect_list(F.struct(*_BOX)).alias("_boxes"))
-    joined = points.join(prepared, frame, "left")
-    held = F.exists("_boxes", lambda b: inside({a: F.col(a) for a in "xyz"}, {c: b[c] for c in _BOX}))
-    return joined.withColumn("keep", ~F.coalesce(held, F.lit(False))).drop("_boxes")
 
+def remove_points(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str | None = "frame_id", cell: float = CELL) -> DataFrame:
+    """Points in no box of their frame (of all boxes, if frame is None); the first box that holds a point decides."""
+    listed, giant = prepare(boxes, margin, frame, cell)
+    at = points.withColumns({"_px": _cells("x", cell), "_py": _cells("y", cell)})
+    rest = at.join(listed, (at["_px"] == listed["_gx"]) & (at["_py"] == listed["_gy"]) & _sides(at, listed, frame), "left_anti").drop("_px", "_py")
+    return rest.join(giant, _sides(rest, giant, frame), "left_anti")
 
-def remove_points_by_cell(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str = "frame_id", cell: float = 6.0) -> DataFrame:
-    """As remove_points, for frames with hundreds of boxes and more.
 
-    Each box is listed under the ground cells that its outline reaches, which makes the cell an
-    equi-key too. A box that holds a point is under the point's cell, and an anti-join doesn't
-    mind boxes that are listed often.
-    """
-    prepared = prepare_boxes(boxes, margin)
-    reach_x = F.col("hx") * F.abs("cos_yaw") + F.col("hy") * F.abs("sin_yaw") + F.lit(1e-9)
-    reach_y = F.col("hx") * F.abs("sin_yaw") + F.col("hy") * F.abs("cos_yaw") + F.lit(1e-9)
-    span = lambda c, r: F.sequence(F.floor((F.col(c) - r) / cell), F.floor((F.col(c) + r) / cell))
-    listed = prepared.select(frame, *_BOX, F.explode(span("cx", reach_x)).alias("_gx"), span("cy", reach_y).alias("_ys")).select(frame, *_BOX, "_gx", F.explode("_ys").alias("_gy"))
-    at = points.withColumns({"_px": F.floor(F.col("x") / cell), "_py": F.floor(F.col("y") / cell)})
-    same = (at[frame] == listed[frame]) & (at["_px"] == listed["_gx"]) & (at["_py"] == listed["_gy"])
-    return at.join(listed, same & _sides(at, listed), "left_anti").drop("_px", "_py")
+def points_in_boxes(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str = "frame_id", cell: float = CELL) -> DataFrame:
+    """The other side of remove_points."""
+    return mark_points(points, boxes, margin, frame, cell).filter("NOT keep").drop("keep")
+
+
+def mark_points(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str = "frame_id", cell: float = CELL) -> DataFrame:
+    """All points with a column keep, by existence joins: lookups for each point, and none is repeated."""
+    renamed = lambda df: df.select(*[F.col(c).alias(f"_box_{c}") for c in df.columns])
+    listed, giant = map(renamed, prepare(boxes, margin, frame, cell))
+    # names that nothing in the boxes has, so that they can only be those of the points
+    own = {f"_point_{c}": F.col(c) for c in (frame, "x", "y", "z")} | {"_point_gx": _cells("x", cell), "_point_gy": _cells("y", cell)}
+    mine = lambda c: F.col(f"_point_{c}").outer()
+    held = (F.col(f"_box_{frame}") == mine(frame)) & inside({a: mine(a) for a in "xyz"}, {c: F.col(f"_box_{c}") for c in _BOX})
+    near = listed.filter((F.col("_box__gx") == mine("gx")) & (F.col("_box__gy") == mine("gy")) & held).exists()
+    return points.withColumns(own).withColumn("keep", ~(near | giant.filter(held).exists())).drop(*own)
+
+
+def remove_points_by_frame(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str = "frame_id") -> DataFrame:
+    """As remove_points, with the frame as the only key; for frames with a handful of boxes."""
+    prepared = prepare_boxes(boxes, margin).select(frame, *_BOX)
+    test = inside({a: points[a] for a in "xyz"}, {c: prepared[c] for c in _BOX})
+    return points.join(prepared, (points[frame] == prepared[frame]) & test, "left_anti")
 
 
 def summarise(marked: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions.payload import document, message_stamp, parse_boxes
 from ..operators import accumulate as acc
-from ..operators import align, clusters, crop, frames
+from ..operators import align, crop, frames
+from ..operators.clusters import split_by_boxes
 from ..operators.temporal import CELL, number_frames, voxel_hits
 from ..sources.boxes import camera_to_lidar, poses_from_quaternions
 from . import views as v
@@ -43,9 +44,8 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def _hot(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    marked = v.persistent(spark, sf)
-    return acc.birds_eye(marked.filter("keep")), acc.birds_eye(acc.ghost_voxels(marked))
+def _views(spark: SparkSession, sf: str) -> DataFrame:
+    return acc.both_views(v.persistent(spark, sf))
 
 
 @query(_KEPT)
@@ -54,8 +54,8 @@ def jon_01_box_crop(spark, sf):
 
 
 @query(_KEPT)
-def jon_01_cell_crop(spark, sf):
-    return _per_frame(crop.remove_points_by_cell(v.points(spark, sf), v.boxes(spark, sf)))
+def jon_01_frame_crop(spark, sf):
+    return _per_frame(crop.remove_points_by_frame(v.points(spark, sf), v.boxes(spark, sf)))
 
 
 @query(f"WITH {v.POINTS_SQL}, {v.BOXES_SQL}, k AS (SELECT * FROM p WHERE EXISTS (SELECT 1 FROM b WHERE {v.INSIDE_SQL})) {_PER_FRAME.format('k')}")
@@ -70,7 +70,7 @@ def jon_02_keep_mask(spark, sf):
 
 @query(f"WITH {v.POINTS_SQL}, {v.BOXES_SQL.replace(' + 0.05e0', '')}, m AS (SELECT p.*, NOT EXISTS (SELECT 1 FROM b WHERE {v.INSIDE_SQL}) AS keep FROM p) SELECT frame_id, count(*) FILTER (keep) AS kept_points FROM m GROUP BY frame_id")
 def flt_08_split_without_margin(spark, sf):
-    return acc.per_frame(clusters.split_by_boxes(v.points(spark, sf), v.boxes(spark, sf))).select("frame_id", "kept_points")
+    return acc.per_frame(split_by_boxes(v.points(spark, sf), v.boxes(spark, sf))).select("frame_id", "kept_points")
 
 
 @query("SELECT p_partkey AS box_id FROM part WHERE p_size >= 10 AND p_retailprice / 95.0e0 >= 10 AND 12.0e0 >= 10")
@@ -138,7 +138,7 @@ def win_08_timeline(spark, sf):
 
 @query(f"WITH {v.BEV_SQL} SELECT vx, vy, cells FROM clean")
 def agg_04_bev(spark, sf):
-    return _hot(spark, sf)[0]
+    return acc.clean_view(_views(spark, sf))
 
 
 _BOUNDS = f"min(round((vx + 0.5e0) * {v.VOXEL}e0, 3)) AS xmin, max(round((vx + 0.5e0) * {v.VOXEL}e0, 3)) AS xmax, min(round((vy + 0.5e0) * {v.VOXEL}e0, 3)) AS ymin, max(round((vy + 0.5e0) * {v.VOXEL}e0, 3)) AS ymax"
@@ -146,8 +146,8 @@ _BOUNDS = f"min(round((vx + 0.5e0) * {v.VOXEL}e0, 3)) AS xmin, max(round((vx + 0
 
 @query(f"WITH {v.BEV_SQL}, e AS (SELECT {_BOUNDS} FROM clean UNION ALL SELECT {_BOUNDS} FROM ghost) SELECT CAST(round(min(xmin), 1) AS DOUBLE) AS xmin, CAST(round(max(xmax), 1) AS DOUBLE) AS xmax, CAST(round(min(ymin), 1) AS DOUBLE) AS ymin, CAST(round(max(ymax), 1) AS DOUBLE) AS ymax FROM e")
 def agg_05_merged_bounds(spark, sf):
-    clean, ghost = _hot(spark, sf)
-    both = acc.merge_bounds(acc.view_bounds(clean, v.VOXEL), acc.view_bounds(ghost, v.VOXEL))
+    views = _views(spark, sf)
+    both = acc.merge_bounds(acc.view_bounds(acc.clean_view(views), v.VOXEL), acc.view_bounds(acc.ghost_view(views), v.VOXEL))
     return both.withColumns({c: F.round(c, 1) for c in both.columns})
 
 
@@ -272,7 +272,7 @@ def jon_07_asof_nearest(spark, sf):
 
 @query(f"WITH {v.BEV_SQL} SELECT vx, vy, coalesce(clean.cells, 0) AS clean_cells, coalesce(ghost.cells, 0) AS ghost_cells, coalesce(clean.cells, 0) + coalesce(ghost.cells, 0) AS total_cells FROM clean FULL OUTER JOIN ghost USING (vx, vy)")
 def jon_09_bev_outer(spark, sf):
-    return acc.merged_view(*_hot(spark, sf))
+    return acc.merged_view(_views(spark, sf))
 
 
 _NEAR = "n AS (SELECT c.vx, c.vy, c.cells, CAST(coalesce(sum(g.cells), 0) AS BIGINT) AS near FROM clean c LEFT JOIN ghost g ON abs(g.vx - c.vx) <= 1 AND abs(g.vy - c.vy) <= 1 GROUP BY c.vx, c.vy, c.cells)"
@@ -280,22 +280,22 @@ _NEAR = "n AS (SELECT c.vx, c.vy, c.cells, CAST(coalesce(sum(g.cells), 0) AS BIG
 
 @query(f"WITH {v.BEV_SQL}, {_NEAR} SELECT * FROM n")
 def jon_10_neighbour_ghost(spark, sf):
-    return acc.near_ghosts(*_hot(spark, sf))
+    return acc.near_ghosts(_views(spark, sf))
 
 
 @query(f"WITH {v.BEV_SQL}, {_NEAR} SELECT count(*) AS cells FROM n WHERE near = 0")
 def jon_11_zero_ghost(spark, sf):
-    return acc.near_ghosts(*_hot(spark, sf)).filter("near = 0").agg(F.count(F.lit(1)).alias("cells"))
+    return acc.near_ghosts(_views(spark, sf)).filter("near = 0").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query(f"WITH {v.BEV_SQL} SELECT vx, vy, cells FROM ghost ORDER BY cells DESC, vx, vy LIMIT 1")
 def srt_04_hotspot(spark, sf):
-    return acc.hotspot(_hot(spark, sf)[1])
+    return acc.hotspot(_views(spark, sf))
 
 
 @query(f"WITH {v.BEV_SQL}, {_NEAR} SELECT vx, vy, cells, cells * 1000 - near AS score FROM n ORDER BY near > 0, score DESC, vx, vy LIMIT 1")
 def srt_05_preserved(spark, sf):
-    return acc.preserved_spot(*_hot(spark, sf)).select("vx", "vy", "cells", "score")
+    return acc.preserved_spot(_views(spark, sf)).select("vx", "vy", "cells", "score")
 
 
 @query(f"""WITH {v.BEV_SQL}, spot AS (SELECT vx AS hx, vy AS hy FROM ghost ORDER BY cells DESC, vx, vy LIMIT 1),
@@ -303,8 +303,8 @@ r AS (SELECT vx, vy, coalesce(clean.cells, 0) AS c, coalesce(ghost.cells, 0) AS
 i AS (SELECT * FROM r, spot WHERE abs(vx - hx) <= 5 AND abs(vy - hy) <= 5)
 SELECT count(*) AS raw_cells, count(*) FILTER (c > 0) AS clean_cells, count(*) FILTER (g > 0) AS ghost_cells, CAST(floor(100.0e0 * count(*) FILTER (c > 0) / greatest(1, count(*)) + 0.5) AS BIGINT) AS overlap_pct FROM i""")
 def agg_18_crop_stats(spark, sf):
-    clean, ghost = _hot(spark, sf)
-    return acc.crop_stats(clean, ghost, acc.hotspot(ghost), v.VOXEL)
+    views = _views(spark, sf)
+    return acc.crop_stats(views, acc.hotspot(views), v.VOXEL)
 
 
 @query("SELECT n_name AS path, i - 2 AS place FROM (SELECT *, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation) WHERE i >= 2 AND i < 14 AND (i - 2) % 3 = 0")
@@ -324,12 +324,6 @@ def srt_07_latest(spark, sf):
     return v.table(spark, sf, "events").groupBy("event_type").agg(F.max_by("event_id", "event_id").alias("latest"))
 
 
-@query()
-def udx_03_clusters(spark, sf):
-    removed = v.cropped(spark, sf).filter("NOT keep").withColumn("point_id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "y"))
-    return clusters.derive_boxes(removed)
-
-
 @query("""SELECT event_id, 0 AS box_id, CAST(event_id % 50 AS DOUBLE) AS cx, value AS cy, 1.0e0 AS cz, 4.0e0 AS l, 2.0e0 AS w, 1.5e0 AS h,
 round(radians(CAST(event_id % 360 AS DOUBLE)), 6) AS yaw, event_type AS label FROM events WHERE event_id % 5 <> 0 UNION ALL
 SELECT event_id, i, CAST(event_id % 50 AS DOUBLE), value, 1.0e0, 4.0e0, 2.0e0, 1.5e0, 0.0e0, NULL FROM events, (VALUES (0), (1)) t(i) WHERE event_id % 5 = 0""")

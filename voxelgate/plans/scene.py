@@ -11,7 +11,7 @@ from ..functions.geometry import with_voxels
 from ..operators import accumulate as acc
 from ..operators.align import join_poses, move_boxes, move_points, origin, shift_origin
 from ..operators.crop import MARGIN, mark_points
-from ..operators.frames import object_list, sample_each_frame
+from ..operators.frames import object_list, sample_each_frame, sample_points
 from ..operators.temporal import MIN_HITS, VOXEL_SIZE, WINDOW_SIZE, keep_persistent
 
 
@@ -41,9 +41,14 @@ def accumulate(points: DataFrame, boxes: DataFrame | None = None, poses: DataFra
 
 
 def document(run: Sequence, sample: int = 2500, seed: int = 7) -> DataFrame:
-    """The scene as one JSON text: totals, limits, path, bird's-eye view and frames with sampled points."""
+    """The scene as one JSON text: totals, limits, path, bird's-eye view and frames with sampled points.
+
+    The text has all ground cells and frames, so it is for sequences that one machine can show;
+    write_scene is for any.
+    """
     marked, size = run.marked, run.voxel_size
-    clean, ghost = acc.birds_eye(marked.filter("keep")), acc.birds_eye(acc.ghost_voxels(marked))
+    seen = acc.both_views(marked)
+    clean, ghost = acc.clean_view(seen), acc.ghost_view(seen)
     place = lambda rows: F.transform(F.array_sort(F.collect_list(rows)), lambda r: F.array(r["x"], r["y"], r["cells"].cast("double")))
     views = []
     for name, cells in (("clean", clean), ("ghost", ghost)):
@@ -65,3 +70,39 @@ def document(run: Sequence, sample: int = 2500, seed: int = 7) -> DataFrame:
     whole = body.crossJoin(limits).crossJoin(bev)
     meta = F.struct("input_points", "kept_points", "removed_points", F.size("frames").alias("frame_count"))
     return whole.select(F.to_json(F.struct(meta.alias("meta"), "limits", "path", "bev", "frames")).alias("document"))
+
+
+def scan_document(points: DataFrame, boxes: DataFrame, source: str, sample: int = 20_000, seed: int = 7, margin: tuple[float, float, float] = MARGIN) -> DataFrame:
+    """One scan as one JSON text: totals, the first box, sampled points (all, kept, removed), limits and objects.
+
+    points and boxes have the same frame_id throughout. Only samples and boxes are gathered.
+    """
+    marked = mark_points(points, boxes, margin)
+    xyz = F.transform(F.array_sort(F.collect_list(F.struct("point_id", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"]))
+    shown = [sample_points(rows, sample, seed).agg(xyz.alias(name)) for name, rows in (("input", marked), ("kept", marked.filter("keep")), ("removed", marked.filter(~F.col("keep"))))]
+    total, kept = F.count(F.lit(1)), F.count_if("keep")
+    ends = [f(a).alias(f"{a}{n}") for a in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))]
+    body = marked.agg(total.alias("input_points"), kept.alias("output_points"), (total - kept).alias("removed_points"), *ends)
+    body = body.crossJoin(object_list(boxes)).crossJoin(shown[0]).crossJoin(shown[1]).crossJoin(shown[2])
+    first = F.get("objects", F.lit(0))
+    none = lambda: F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    box = F.struct(F.coalesce(first["center"], none()).alias("center"), F.coalesce(first["size"], none()).alias("size"), F.coalesce(first["yaw"], F.lit(0.0)).alias("yaw"), F.when(first.isNull(), F.lit("scan")).otherwise(first["label"]).alias("label"))
+    limits = F.struct(*[F.col(f"{a}{n}") for a in "xyz" for n in ("min", "max")], F.transform(first["size"], lambda s: s / 2.0).alias("box_half"), first["center"].alias("box_center"))
+    meta = F.struct("input_points", "output_points", "removed_points", F.lit(source).alias("source"), F.size("objects").alias("objects"))
+    return body.select(F.to_json(F.struct(meta.alias("meta"), box.alias("box"), F.struct("input", "kept", "removed").alias("points"), limits.alias("limits"), "objects")).alias("document"))
+
+
+def write_scene(run: Sequence, folder: str, sample: int = 2500, seed: int = 7) -> None:
+    """The scene of a sequence of any size as folders of JSON lines: frames, sampled points, clean and ghost cells, and its bounds.
+
+    Nothing is gathered into one row, unlike in document.
+    """
+    marked = run.marked
+    seen = acc.both_views(marked)
+    per = acc.per_frame(marked).join(acc.cumulative_voxels(marked), "frame_id").join(acc.centres(marked), "frame_id")
+    shown = sample_each_frame(marked, sample, seed).select("frame_id", "point_id", *[F.bround(a, 3).alias(a) for a in "xyz"], "keep")
+    parts = {"frames": per, "points": shown, "cells": acc.with_places(acc.merged_view(seen), run.voxel_size), "limits": acc.limits(marked)}
+    if run.boxes is not None:
+        parts["objects"] = run.boxes.select("frame_id", "box_id", "cx", "cy", "cz", "l", "w", "h", "yaw", "label")
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{folder}/{name}")

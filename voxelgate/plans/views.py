@@ -23,7 +23,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey < 120").selectExpr(
+    return table(spark, sf_dir, "part").selectExpr(
         "CAST(p_partkey % 12 + 1 AS INT) AS frame_id", "p_partkey AS box_id", "p_size - 25.0D AS cx", "(p_retailprice - 900.0D) * 4.0D - 20.0D AS cy", "2.0D AS cz", "6.0D AS l", "3.0D AS w", "2.0D + (p_partkey % 3) AS h", "(p_partkey % 13) * 0.5D AS yaw", "p_type AS label"
     )
 
@@ -50,7 +50,7 @@ POINTS_SQL = """p AS (SELECT CAST(month(l_shipdate) AS INTEGER) AS frame_id, l_o
     l_quantity - 25.0e0 AS x, l_extendedprice / 2000.0e0 - 26.0e0 AS y, l_tax * 50.0e0 AS z FROM lineitem)"""
 BOXES_SQL = """raw_b AS (SELECT CAST(p_partkey % 12 + 1 AS INTEGER) AS frame_id, p_partkey AS box_id, p_size - 25.0e0 AS cx,
     (p_retailprice - 900.0e0) * 4.0e0 - 20.0e0 AS cy, 2.0e0 AS cz, 6.0e0 AS l, 3.0e0 AS w, 2.0e0 + (p_partkey % 3) AS h,
-    (p_partkey % 13) * 0.5e0 AS yaw, p_type AS label FROM part WHERE p_partkey < 120),
+    (p_partkey % 13) * 0.5e0 AS yaw, p_type AS label FROM part),
   b AS (SELECT *, l * 0.5e0 + 0.05e0 AS hx, w * 0.5e0 + 0.05e0 AS hy, h * 0.5e0 + 0.05e0 AS hz,
     CASE WHEN abs(yaw) >= 1e-12 THEN cos(-yaw) ELSE 1.0e0 END AS c, CASE WHEN abs(yaw) >= 1e-12 THEN sin(-yaw) ELSE 0.0e0 END AS s FROM raw_b)"""
 INSIDE_SQL = """b.frame_id = p.frame_id AND abs(b.c * (p.x - b.cx) - b.s * (p.y - b.cy)) <= b.hx

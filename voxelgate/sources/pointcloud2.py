@@ -13,6 +13,10 @@ FIELD_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 8:
 MESSAGE = "frame_id string, width int, height int, point_step int, is_bigendian boolean, fields array<struct<name:string,offset:int,datatype:int,count:int>>, data binary"
 
 
+#: The columns of a packed cloud besides its name.
+FIELDS = ("width", "height", "point_step", "is_bigendian", "fields", "data")
+
+
 def unpack(width: int, height: int, step: int, big: bool, fields: list, data: bytes) -> np.ndarray:
     """The x, y, z of one message; without width or height there are none."""
     if width <= 0 or height <= 0:
@@ -47,7 +51,7 @@ def decode(messages: DataFrame) -> DataFrame:
                 xyz = unpack(m.width, m.height, m.point_step, m.is_bigendian, list(m.fields), m.data)
                 yield pd.DataFrame({"frame_id": m.frame_id, "point_id": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
 
-    return messages.select("frame_id", "width", "height", "point_step", "is_bigendian", "fields", "data").mapInPandas(run, "frame_id string, point_id long, x double, y double, z double")
+    return messages.select("frame_id", *FIELDS).mapInPandas(run, "frame_id string, point_id long, x double, y double, z double")
 
 
 def encode(points: DataFrame, frames: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from .formats import register
 
 SUFFIXES = {".npy": "npy", ".pcd": "pcd", ".bin": "bin", ".feather": "feather"}
 BINARY = {"npy": "npy", "pcd": "pcd", "bin": "kitti_bin"}
+#: Column names of text clouds. Fixed values.
 NAMES = {a: (a, f"p{a}", f"point_{a}", f"position_{a}") for a in "xyz"}
 
 
@@ -35,45 +36,28 @@ def read_points(spark: SparkSession, path: str, *, fmt: str) -> DataFrame:
     return spark.read.format(BINARY[fmt]).load(path)
 
 
-def _is_number(token: str) -> bool:
-    try:
-        float(token)
-    except ValueError:
-        return False
-    return True
-
-
 def _read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Separated by commas, if the first data line has one, else by blanks; with or without a header.
+    """Each file by itself: separated by commas, if its first data line has one, else by blanks; with or without a header.
 
     The header is the first line that isn't blank, even where that is a comment; without the names
     of all three columns the first three count. Only a tab between the numbers of the first line
     makes it a header too.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("point_id"), F.trim("value").alias("line")).filter("line <> ''")
-    first = lines.filter(~F.col("line").startswith("#")).first()
-    if first is None:
-        return spark.createDataFrame([], "path string, point_id long, x double, y double, z double")
-    comma = "," in first["line"]
-    token = first["line"].split("," if comma else " ")[0].strip()
-    at = [0, 1, 2]
-    if not _is_number(token):
-        head = lines.first()
-        names = [h.strip().lower() for h in head["line"].replace(",", " ").split()]
-        found = [next((names.index(n) for n in NAMES[a] if n in names), -1) for a in "xyz"]
-        at = found if min(found) >= 0 else at
-        # each file has a header of its own
-        heads = lines.groupBy("path").agg(F.min("point_id").alias("_head"))
-        lines = lines.join(heads, "path").filter(F.col("point_id") > F.col("_head")).drop("_head")
-        if lines.filter(~F.col("line").startswith("#")).first() is None:
-            raise ValueError("not enough numeric columns")
-    data = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).filter("line <> ''")
-    parts = data.withColumn("parts", F.split("line", "," if comma else r"\s+"))
+    # a line of data, then whether there is one besides the first line
+    heads = lines.groupBy("path").agg(F.min_by("line", "point_id").alias("head"), F.min("point_id").alias("head_id"), F.expr("min_by(line, point_id) FILTER (WHERE NOT startswith(line, '#'))").alias("first"), F.expr("count(*) FILTER (WHERE NOT startswith(line, '#'))").alias("n"))
+    comma = F.contains("first", F.lit(","))
+    token = F.trim(F.get(F.split("first", F.when(comma, F.lit(",")).otherwise(F.lit(" "))), F.lit(0)))
+    names = F.split(F.trim(F.translate(F.lower("head"), ",", " ")), r"\s+")
+    place = lambda a: F.get(F.filter(F.transform(F.array(*map(F.lit, NAMES[a])), lambda n: F.array_position(names, n)), lambda i: i > 0), F.lit(0)) - 1
+    headed = token.try_cast("double").isNull()
+    found = F.array(*[place(a).cast("int") for a in "xyz"])
+    at = F.when(headed & ~F.exists(found, lambda i: i.isNull()), found).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    heads = heads.filter("first IS NOT NULL").select("path", comma.alias("comma"), F.when(headed, F.col("head_id")).otherwise(F.lit(-1)).alias("head_id"), at.alias("at"), (headed & (F.col("n") - (F.col("first") == F.col("head")).cast("int") <= 0)).alias("bare"))
+    if not heads.filter("bare").isEmpty():
+        raise ValueError("not enough numeric columns")
+    data = lines.join(heads, "path").filter(F.col("point_id") > F.col("head_id")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).filter("line <> ''")
+    parts = data.withColumn("parts", F.when(F.col("comma"), F.split("line", ",")).otherwise(F.split("line", r"\s+")))
     short = F.raise_error(F.lit("point cloud must contain at least 3 columns: not enough numeric columns"))
-    enough = F.when(F.size("parts") > max(at), F.col("parts")).otherwise(short.cast("array<string>"))
-    return parts.withColumn("parts", enough).select("path", "point_id", *[F.trim(F.get("parts", F.lit(i))).cast("double").alias(a) for a, i in zip("xyz", at, strict=True)])
-
-
-def read_frames(spark: SparkSession, pattern: str, *, fmt: str = "auto") -> DataFrame:
-    """All files of a glob as one table; path tells the frames apart."""
-    return read_points(spark, pattern, fmt=fmt)
+    enough = F.when(F.size("parts") > F.array_max("at"), F.col("parts")).otherwise(short.cast("array<string>"))
+    return parts.withColumn("parts", enough).select("path", "point_id", *[F.trim(F.get("parts", F.get("at", F.lit(i)))).cast("double").alias(a) for i, a in enumerate("xyz")])

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,38 @@ def write_points_folder(points: DataFrame, path: str, *, fmt: str = "csv") -> No
     points.select(F.concat_ws(separator, *[F.printf(F.lit("%.10f"), a) for a in "xyz"]).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_boxes_folder(boxes: DataFrame, path: str, *, fmt: str = "json", frame: str = "frame_id") -> None:
+    """Boxes as a table with a header (csv), or as one JSON document in a folder of its own for each frame."""
+    if fmt == "csv":
+        sides = {"l": "length", "w": "width", "h": "height"}
+        boxes.select("cx", "cy", "cz", *sides, "yaw", "label").withColumnsRenamed(sides).write.mode("overwrite").csv(path, header=True)
+        return
+    item = F.struct(F.array("cx", "cy", "cz").alias("center"), F.array("l", "w", "h").alias("size"), "yaw", "label")
+    boxes.groupBy(frame).agg(F.to_json(F.struct(F.collect_list(item).alias("objects"))).alias("value")).write.mode("overwrite").partitionBy(frame).text(path)
+
+
+def write_feather_folder(rows: DataFrame, path: str) -> list[str]:
+    """A Feather file for each partition, written by the executors into a folder that they share; gives the files' paths."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        Path(path).mkdir(parents=True, exist_ok=True)
+        target = f"{path}/part-{context.partitionId():05d}.feather"
+        partial = f"{target}.{context.taskAttemptId()}"
+        writer = None
+        for batch in batches:
+            writer = writer or pa.ipc.new_file(partial, batch.schema)
+            writer.write_batch(batch)
+        if writer:
+            writer.close()
+            os.replace(partial, target)
+            yield pa.RecordBatch.from_pydict({"path": [target]})
+
+    return [r["path"] for r in rows.mapInArrow(write, "path string").collect()]
+
+
 def summary(totals: DataFrame, boxes: DataFrame) -> dict:
     """Totals (one row, as of operators.crop.summarise) and the objects."""
     listed = object_list(boxes).first()

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +29,35 @@ def scene(spark: SparkSession, seed: int = 42, frame: str = "000000") -> DataFra
         F.when(ground, between(-8.0, 8.0, 2)).when(car, place("cy", "w", 5)).otherwise(side).alias("y"),
         F.when(ground, F.lit(-1.7) + 0.02 * F.randn(seed)).when(car, place("cz", "h", 6)).otherwise(between(-1.7, 2.0, 8)).alias("z"),
     )
+
+
+#: Lines of a calibration file whose lidar looks along z of the camera. Fixed values.
+CALIBRATION = "P0: 1 0 0 0 0 1 0 0 0 0 1 0\nR0_rect: 1 0 0 0 1 0 0 0 1\nTr_velo_to_cam: 0 -1 0 0 0 0 -1 0 1 0 0 0\n"
+
+
+def write_frames(spark: SparkSession, folder: str, frames: int = 5, seed: int = 42) -> None:
+    """Frames 000000 on as files: velodyne/*.bin (records of four 32-bit floats), label_2/*.txt and calib/*.txt.
+
+    The executors write them, a frame a task, into a folder that they share.
+    """
+    every = None
+    for i in range(frames):
+        one = scene(spark, seed + i, f"{i:06d}")
+        every = one if every is None else every.unionByName(one)
+    b = CAR_BOX
+    # a label's place is the middle of the box's bottom, in the camera's axes
+    label = f"Car 0 0 0 0 0 0 0 {b['h']} {b['w']} {b['l']} {-b['cy']} {-b['cz'] + b['h'] / 2} {b['cx']} 0\n"
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["frame_id"].iloc[0]
+        records = np.zeros((len(pdf), 4), "<f4")
+        records[:, :3] = pdf.sort_values("point_id")[["x", "y", "z"]]
+        for part, suffix, body in (("velodyne", "bin", records.tobytes()), ("label_2", "txt", label.encode()), ("calib", "txt", CALIBRATION.encode())):
+            target = Path(folder, part, f"{name}.{suffix}")
+            target.parent.mkdir(parents=True, exist_ok=True)
+            partial = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+            partial.write_bytes(body)
+            partial.replace(target)
+        return pd.DataFrame({"frame_id": [name], "points": [len(pdf)]})
+
+    every.groupBy("frame_id").applyInPandas(write, "frame_id string, points long").collect()

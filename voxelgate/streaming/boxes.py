@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.payload import document, entries, is_object, message_stamp, read_entry
+from ..functions.payload import document, entries, message_stamp, read_entry
 
 STALE_TIME, HISTORY = 0.25, 64
 OUTPUT = "sensor string, cloud_id long, boxes string, has_boxes boolean, stale boolean"
@@ -66,8 +66,10 @@ class BoxBuffer:
 
 
 class BoxProcessor(StatefulProcessor):
-    def __init__(self, stale_time: float, history: int):
-        self.stale_time, self.history = stale_time, history
+    """carry: the cloud itself goes out beside its boxes, and each message gives a row without a cloud."""
+
+    def __init__(self, stale_time: float, history: int, carry: bool):
+        self.stale_time, self.history, self.carry = stale_time, history, carry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getListState("messages", "boxes string, stamp double, received double")
@@ -76,17 +78,20 @@ class BoxProcessor(StatefulProcessor):
         value = lambda x: None if pd.isna(x) else float(x)
         buffer = BoxBuffer(self.stale_time, self.history, [Message(r[0], value(r[1]) if r[1] is not None else None, r[2]) for r in self.kept.get()])
         out = []
-        for r in pd.concat(list(rows)).sort_values(["arrival", "is_cloud"]).itertuples():
+        for r in pd.concat(list(rows)).sort_values(["arrival", "is_cloud"], kind="stable").itertuples():
             if not r.is_cloud:
                 buffer.add(Message(r.boxes, value(r.stamp), r.arrival))
+                if self.carry:
+                    out.append((key[0], None, "[]", False, False, None))
                 continue
             found, stale = buffer.select(value(r.stamp), r.arrival)
-            out.append((key[0], r.cloud_id, found.boxes if found else "[]", bool(found and found.filled), stale))
+            out.append((key[0], int(r.cloud_id), found.boxes if found else "[]", bool(found and found.filled), stale, *([r.cloud] if self.carry else [])))
         if buffer.messages:
             self.kept.put([(m.boxes, m.stamp, m.received) for m in buffer.messages])
         else:
             self.kept.clear()
-        yield pd.DataFrame(out, columns=["sensor", "cloud_id", "boxes", "has_boxes", "stale"])
+        made = pd.DataFrame(out, columns=["sensor", "cloud_id", "boxes", "has_boxes", "stale", *(["cloud"] if self.carry else [])])
+        yield made.astype({"cloud_id": "Int64"})
 
     def close(self) -> None:
         pass
@@ -108,24 +113,30 @@ def read_messages(raw: DataFrame, min_size: float = 0.01) -> DataFrame:
 def boxes_column(rows: DataFrame) -> DataFrame:
     """rows with payload to rows with _boxes, an array; row by row, so it works on streams."""
 
-    def box(e):
-        c, s, y, label = read_entry(e, "message")
-        ok = is_object(e) & c["ok"] & s["ok"] & y["ok"]
-        return F.struct(ok.alias("ok"), F.struct(c["x"].alias("cx"), c["y"].alias("cy"), c["z"].alias("cz"), s["x"].alias("l"), s["y"].alias("w"), s["z"].alias("h"), y["value"].alias("yaw"), label.alias("label")).alias("box"))
-
-    listed = F.transform(entries(document(F.col("payload")), "message"), box)
-    return rows.withColumn("_boxes", F.transform(F.filter(listed, lambda x: x["ok"]), lambda x: x["box"]))
+    listed = F.transform(entries(document(F.col("payload")), "message"), lambda e: read_entry(e, "message"))
+    fields = ("cx", "cy", "cz", "l", "w", "h", "yaw", "label")
+    return rows.withColumn("_boxes", F.transform(F.filter(listed, lambda x: x["ok"]), lambda x: F.struct(*[x[c].alias(c) for c in fields])))
 
 
-def select_boxes(clouds: DataFrame, messages: DataFrame, stale_time: float = STALE_TIME, history: int = HISTORY) -> DataFrame:
+def select_boxes(clouds: DataFrame, messages: DataFrame, stale_time: float = STALE_TIME, history: int = HISTORY, carry: bool = False) -> DataFrame:
     """Streams of clouds (sensor, cloud_id, arrival, stamp) and of messages as of read_messages: the boxes of each cloud.
 
     Arrival (seconds of the receiving clock) orders both streams within a micro-batch. State is at
-    most history messages for each sensor. Needs the RocksDB state store.
+    most history messages for each sensor. carry: clouds have a binary column cloud, which goes out
+    with their boxes, and each message gives a row with a null cloud_id. Needs the RocksDB state
+    store.
     """
-    none = F.lit(None).cast("string")
-    both = clouds.select("sensor", "arrival", "stamp", "cloud_id", none.alias("boxes"), F.lit(True).alias("is_cloud")).unionByName(messages.select("sensor", "arrival", "stamp", F.lit(None).cast("long").alias("cloud_id"), "boxes", F.lit(False).alias("is_cloud")))
-    return both.groupBy("sensor").transformWithStateInPandas(BoxProcessor(stale_time, history), OUTPUT, "append", "none")
+    none = F.lit(None)
+    kinds = {"cloud_id": "long", "boxes": "string"}
+    output = OUTPUT
+    if carry:
+        kinds["cloud"] = clouds.schema["cloud"].dataType
+        output = f"{OUTPUT}, cloud {kinds['cloud'].simpleString()}"
+    missing = lambda names: [none.cast(kinds[c]).alias(c) for c in names]
+    held = ["cloud"] if carry else []
+    both = clouds.select("sensor", "arrival", "stamp", "cloud_id", *missing(["boxes"]), F.lit(True).alias("is_cloud"), *held)
+    both = both.unionByName(messages.select("sensor", "arrival", "stamp", *missing(["cloud_id"]), "boxes", F.lit(False).alias("is_cloud"), *missing(held)))
+    return both.groupBy("sensor").transformWithStateInPandas(BoxProcessor(stale_time, history, carry), output, "append", "none")
 
 
 def parsed_boxes(selected: DataFrame) -> DataFrame:

@@ -1,79 +1,115 @@
-"""A running filter: cropping or persistence on streams, with figures of each micro-batch."""
+"""A running filter: clouds and box messages in, cropped or persistent clouds out, with figures of the frames."""
 
 from __future__ import annotations
 
 import json
-from collections import deque
+import time
+from collections import Counter
 from collections.abc import Callable
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.crop import MARGIN, mark_points
+from ..operators.frames import latency
+from ..sources.pointcloud2 import FIELDS, decode, encode
+from .boxes import HISTORY, STALE_TIME, parsed_boxes, read_messages, select_boxes
+from .temporal import filter_stream
 
-_LATEST = 4096
+#: Frames whose times are kept.
+LATEST = 4096
+Sink = Callable[[DataFrame], None]
 
 
-class RunningStats:
-    """Totals of frames, and times of the latest ones."""
+class RunFigures:
+    """What a run has done so far: sums of the micro-batches' one-row figures, and the times of the latest frames.
 
-    def __init__(self):
-        self.counts = dict.fromkeys(("frames", "input_points", "output_points", "removed_points", "boxes_received", "frames_with_boxes", "frames_without_boxes", "stale_box_frames"), 0)
-        self.times: deque[float] = deque(maxlen=_LATEST)
+    A frame's time is that of its micro-batch, after which it is out.
+    """
 
-    def update(self, taken: int, left: int, ms: float, *, used_boxes: bool, no_boxes: bool) -> None:
-        """A frame without boxes counts as stale too, whatever the reason."""
-        steps = {"frames": 1, "input_points": taken, "output_points": left, "removed_points": max(0, taken - left), "frames_with_boxes": int(used_boxes), "frames_without_boxes": int(no_boxes), "stale_box_frames": int(no_boxes)}
-        for k, v in steps.items():
-            self.counts[k] += v
-        self.times.append(ms)
+    def __init__(self, report: Callable[[dict], None] | None = None, period: int = 100):
+        self.report, self.period = report, max(1, period)
+        self.totals: Counter = Counter()
+        self.times: list[float] = []
 
-    def summary(self) -> dict:
-        times = np.array(self.times) if self.times else np.zeros(1)
-        taken = self.counts["input_points"]
-        figures = {"mean_ms": times.mean(), "p50_ms": np.percentile(times, 50), "p95_ms": np.percentile(times, 95), "max_ms": times.max()}
-        return self.counts | {"removed_ratio": self.counts["removed_points"] / taken if taken else 0.0} | {k: float(v) for k, v in figures.items()}
+    def add(self, figures: dict[str, int], ms: float) -> None:
+        before = self.totals["frames"] // self.period
+        self.totals.update(figures)
+        self.times = [*self.times, *[ms] * figures["frames"]][-LATEST:]
+        if self.report and self.totals["frames"] // self.period > before:
+            self.report(self.totals | {"ms": ms})
 
+    def summary(self, spark) -> dict:
+        """Totals, the share of points removed, and the latencies. A frame that no box was used for counts as stale, whatever the reason."""
+        t = {k: self.totals[k] for k in ("frames", "input_points", "output_points", "boxes_received", "frames_with_boxes")}
+        removed, without = t["input_points"] - t["output_points"], t["frames"] - t["frames_with_boxes"]
+        t |= {"removed_points": removed, "removed_ratio": removed / t["input_points"] if t["input_points"] else 0.0, "frames_without_boxes": without, "stale_box_frames": without}
+        times = latency(spark.createDataFrame([(x,) for x in self.times], "ms double")).first().asDict()
+        return t | {k: times[k] for k in ("mean_ms", "p50_ms", "p95_ms", "max_ms")}
 
-class ProgressLog(StreamingQueryListener):
-    """Reports every so many micro-batches, and writes a summary when the query ends."""
+    def write(self, spark, path: str) -> None:
+        Path(path).write_text(json.dumps(self.summary(spark), indent=2), encoding="utf-8")
 
-    def __init__(self, report: Callable[[dict], None], period: int = 30, summary_path: str | None = None):
-        self.report, self.period, self.summary_path = report, max(1, period), summary_path
-        self.stats = RunningStats()
 
-    def onQueryStarted(self, event) -> None:
-        pass
+def crop_clouds(batch: DataFrame, margin: tuple[float, float, float] = MARGIN) -> DataFrame:
+    """Points (cloud_id, point_id, x, y, z, keep) of clouds with their boxes, as select_boxes gives them."""
+    points = decode(batch.select(F.col("cloud_id").cast("string").alias("frame_id"), "cloud.*")).withColumnRenamed("frame_id", "cloud_id").withColumn("cloud_id", F.col("cloud_id").cast("long"))
+    return mark_points(points, parsed_boxes(batch.filter("NOT stale")), margin, "cloud_id")
 
-    def onQueryIdle(self, event) -> None:
-        pass
 
-    def onQueryProgress(self, event) -> None:
-        p = event.progress
-        left = p.sink.numOutputRows
-        self.stats.update(p.numInputRows, max(0, left), float(p.batchDuration), used_boxes=False, no_boxes=True)
-        if self.stats.counts["frames"] % self.period == 0:
-            self.report(self.stats.summary())
+def cloud_figures(batch: DataFrame, marked: DataFrame) -> DataFrame:
+    """One row of sums over a micro-batch. Boxes are used for a cloud that has points and boxes in time."""
+    counted = marked.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("k"))
+    rows = batch.select("cloud_id", "has_boxes", "stale").join(counted, "cloud_id", "left")
+    cloud = F.col("cloud_id").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(F.count_if(cloud).alias("frames"), total("n").alias("input_points"), total("k").alias("output_points"), F.count_if(~cloud).alias("boxes_received"), F.count_if(cloud & F.col("has_boxes") & ~F.col("stale") & (F.col("n") > 0)).alias("frames_with_boxes"))
 
-    def onQueryTerminated(self, event) -> None:
-        if self.summary_path:
-            Path(self.summary_path).write_text(json.dumps(self.stats.summary(), indent=2), encoding="utf-8")
 
+def _step(work: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sink: Sink, figures: RunFigures):
+    def step(batch: DataFrame, _: int) -> None:
+        began = time.perf_counter()
+        held = batch.persist()
+        out, row = work(held)
+        sink(out)
+        figures.add(row.first().asDict(), (time.perf_counter() - began) * 1000.0)
+        held.unpersist()
 
-def crop_batch(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN) -> DataFrame:
-    """One micro-batch of points (cloud_id and more) and boxes (cloud_id): all points with keep."""
-    return mark_points(points, boxes, margin, "cloud_id")
+    return step
 
 
-def observed(points: DataFrame, name: str = "voxelgate") -> DataFrame:
-    """Points with keep, whose totals come with the query's progress."""
-    return points.observe(name, F.count(F.lit(1)).alias("input_points"), F.count_if("keep").alias("output_points"))
+def run_boxes(clouds: DataFrame, messages: DataFrame, sink: Sink, checkpoint: str, figures: RunFigures, margin: tuple[float, float, float] = MARGIN, min_size: float = 0.01, stale_time: float = STALE_TIME, history: int = HISTORY, once: bool = False) -> StreamingQuery:
+    """Crops a stream of clouds by the boxes of a stream of messages, and hands the cropped clouds to sink batch by batch.
 
+    clouds: sensor, cloud_id, arrival, stamp and the fields of a packed cloud; messages as of
+    read_messages. sink gets packed clouds named by cloud_id; a cloud without boxes in time goes
+    out as it came.
+    """
+    packed = clouds.withColumn("cloud", F.struct(*FIELDS))
+    chosen = select_boxes(packed, read_messages(messages, min_size), stale_time, history, carry=True)
 
-def start(points: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger_once: bool = False) -> StreamingQuery:
-    """Runs a filtered stream into sink, batch by batch."""
-    writer = points.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if trigger_once else writer).start()
+    def work(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        arrived = batch.filter("cloud_id IS NOT NULL")
+        marked = crop_clouds(arrived, margin).persist()
+        name = F.col("cloud_id").cast("string").alias("frame_id")
+        out = encode(marked.filter("keep").select(name, "point_id", "x", "y", "z"), arrived.select(name))
+        return out, cloud_figures(batch, marked)
+
+    return _start(chosen, _step(work, sink, figures), checkpoint, once)
+
+
+def run_persistence(points: DataFrame, sink: Sink, checkpoint: str, figures: RunFigures, voxel_size: float, window_size: int, min_hits: int, once: bool = False) -> StreamingQuery:
+    """The persistence filter on a stream of points (sensor, frame_seq, point_id, x, y, z); sink gets the points that stay."""
+
+    def work(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        row = batch.agg(F.count_distinct("sensor", "frame_seq").alias("frames"), F.count(F.lit(1)).alias("input_points"), F.count_if("keep").alias("output_points"))
+        return batch.filter("keep").drop("keep"), row
+
+    return _start(filter_stream(points, voxel_size, window_size, min_hits), _step(work, sink, figures), checkpoint, once)
+
+
+def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
+    writer = stream.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
