@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import langid, licenses, pii, quality
 from .byte_bpe import bpe_round_trip
-from .common import crc_mod, table
+from .common import checkpoint, crc_mod, table
 from .exact_dedup import exact_dedup
 from .ngram_join import near_groups
 from .packing import pack
@@ -26,7 +26,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
     model = langid.fit(docs.filter(~held_out))
-    return langid.identify(docs, model).select("row.doc_id", "lang_pred", "score", "rejected").withColumn("held_out", held_out)
+    return langid.identify(docs, model).select("row.doc_id", "lang_pred", "score", "rejected").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,9 @@ def _count_kind(kind: str) -> Column:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = pii.detect(docs, pii.fit(docs))
+    # the spans are searched once; both the model and the decisions take them from there
+    spans = checkpoint(pii.find_spans(table(spark, sf_dir, "documents")))
+    found = pii.decide(spans, pii.fit_spans(spans))
     listed = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
@@ -90,7 +91,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 5) == 0
     model = quality.fit(docs.select("doc_id", "text"), labels.filter(~held_out).select("doc_id", "quality"))
     scored = quality.score(docs, model).select("row.doc_id", "score")
-    return scored.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
