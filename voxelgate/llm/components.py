@@ -11,35 +11,31 @@ from .common import checkpoint
 def connected_components(links: DataFrame) -> DataFrame:
     """links (a, b) to one row (node, component) for each node in them; the component is its smallest node.
 
-    Each node points to its smallest neighbour, pointers are followed to their ends, and the links
-    are drawn anew between the ends. Links within an end vanish, so each round has fewer; a star
-    takes one round however many links it has. Sums are partial before each shuffle, and joins are
-    plain equi-joins that adaptive execution splits where a node has very many links.
+    By alternating stars (Kiveris et al., 2014): links lead from larger nodes to smaller ones, and
+    each round draws them anew to the smallest neighbour, first those of the larger neighbours of
+    each node, then those of the smaller ones, until all are stars. Minima are partial before each
+    shuffle, and joins are plain equi-joins that adaptive execution splits where a node has very
+    many links.
     """
-    edges = checkpoint(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while True:
-        ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
-        near = edges.select(ends).groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("up"))
-        roots = _ends(near.select("node", F.least("node", "up").alias("up")))
-        if labels is None:
-            labels = roots.withColumnRenamed("up", "component")
-        else:
-            further = roots.select(F.col("node").alias("component"), "up")
-            labels = checkpoint(labels.join(further, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-        drawn = edges.join(roots.select(F.col("node").alias("a"), F.col("up").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("up").alias("rb")), "b")
-        edges = checkpoint(drawn.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        if edges.isEmpty():
-            return labels
-
-
-def _ends(pointers: DataFrame) -> DataFrame:
-    """Pointers (node, up) to smaller nodes, followed to where they end; each round doubles the way."""
-    pointers = checkpoint(pointers)
-    while True:
-        onward = pointers.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        moved = checkpoint(pointers.join(onward, "up").select("node", "up", "top"))
-        still = moved.filter("top <> up").isEmpty()
-        pointers = moved.select("node", F.col("top").alias("up"))
-        if still:
-            return pointers
+    links = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+    loops = links.filter("v = u").select("v").distinct()
+    edges, before = checkpoint(links.filter("v <> u").distinct()), None
+    while (mark := edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()) != before and mark[0]:
+        before = mark
+        edges = checkpoint(_drawn(_drawn(edges, larger=True), larger=False))
+    stars = edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")))
+    # what is linked with itself alone is a component too
+    alone = loops.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return stars.unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def _drawn(edges: DataFrame, larger: bool) -> DataFrame:
+    """Links (v, u) with u < v, drawn anew: each node sends its larger (or smaller) neighbours, and itself, to its smallest neighbour."""
+    if larger:
+        near = edges.select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("u").alias("y")), F.struct(F.col("u").alias("x"), F.col("v").alias("y")))).alias("e")).select("e.*")
+        near = near.groupBy("x").agg(F.min("y").alias("least")).select("x", F.least("x", "least").alias("least"))
+        sent = edges.join(near.withColumnRenamed("x", "u"), "u").select("v", F.col("least").alias("u"))
+    else:
+        near = edges.groupBy("v").agg(F.min("u").alias("least"))
+        sent = edges.join(near, "v").select(F.explode(F.array(F.struct("v", F.col("least").alias("u")), F.struct(F.col("u").alias("v"), F.col("least").alias("u")))).alias("e")).select("e.*")
+    return sent.filter("v <> u").distinct()

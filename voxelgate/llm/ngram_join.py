@@ -11,14 +11,17 @@ are summed. It is done twice:
   rarest n-grams at places that leave enough room; each fragment counts the overlap of each
   candidate pair, and the sums decide.
 
-Where only classes of linked documents are asked for, pairs are first formed with one set of each
-list only; what that leaves apart is then compared with everything in other classes, so large
-groups of near copies don't become all of their pairs, and no link between classes is lost. Where
-links are counted, all candidate pairs of different sets are formed; equal sets count by number.
+For the classes of linked documents pairs are first formed with one set of each list only; what
+that leaves apart is then compared with everything in other classes, so large groups of near copies
+don't become all of their pairs, and no link between classes is lost. All links lie within classes,
+where they are counted tile by tile: the sets of a class are packed into tiles by size, and for two
+tiles at a time the overlaps of all their sets are sums, over fragments of the n-grams, of matrix
+products. Only counts leave a task; equal sets count by number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_partitions, tidy
+from .common import bounded_batches, checkpoint, shuffle_partitions, slices, tidy
 from .components import connected_components
 from .words import distinct_words
 
-_BATCH_DOCS = 1000
+_BATCH_DOCS, _BATCH_BYTES = 1000, 4 << 20
+#: Fragments whose counts are summed in one task, and the share of all rows from which a set's rows are named without a join on their digest.
+_FRAGMENTS_A_SUM, _HOT_SHARE = 8, 1024
 _BITS = 512
 #: Of so many lists each set is compared with one other set first.
 _STAR_LISTS = 6
 _BYTES_A_FRAGMENT = 10 << 20
+#: Sets and n-grams of a tile, and n-grams of a fragment whose products are computed at once.
+_TILE_SETS, _TILE_GRAMS, _COLUMNS = 512, 1 << 18, 4096
 #: A broadcast of so many ids takes a few MB; beyond it the ids are joined by a shuffle.
 _BROADCAST_IDS = 300_000
 #: Ends of the fragments of the frequency order: n-grams in at most so many sets.
@@ -89,8 +96,7 @@ def _deal(fragments: int, size: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for whole in batches:
-            for at in range(0, whole.num_rows, _BATCH_DOCS):
-                batch = whole.slice(at, _BATCH_DOCS)
+            for batch in slices(whole, whole.column("text"), _BATCH_DOCS, _BATCH_BYTES):
                 ids = batch.column("id")
                 sets = shingle_sets(batch.column("text"), size)
                 digests = [_digest(x) for x in sets]
@@ -123,15 +129,15 @@ def _deal(fragments: int, size: int):
                 low = (grams[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 found, counts = np.unique(key[order], return_counts=True)
                 short = np.array([int.from_bytes(x[:8], "little") for x in classes] + [0], np.uint64)
-                edges = np.searchsorted(found, np.arange(fragments + 1) * (n + 1))
+                # only the fragments that the batch has something of
+                met = np.unique(found // (n + 1))
+                edges = np.searchsorted(found, np.concatenate([met, [fragments]]) * (n + 1))
                 sums = np.concatenate([[0], np.cumsum(counts)])
                 rows = {"fragment": [], "batch": [], "low": [], "owner": [], "count": [], "digest": [], "head": []}
-                for f in range(fragments):
-                    a, b = edges[f], edges[f + 1]
-                    if a < b:
-                        own = found[a:b] - f * (n + 1)
-                        for k, v in (("fragment", f), ("batch", number), ("low", low[sums[a] : sums[b]].tobytes()), ("owner", np.where(own == n, -1, own).astype(np.int32).tobytes()), ("count", counts[a:b].astype(np.int32).tobytes()), ("digest", short[own].tobytes()), ("head", None)):
-                            rows[k].append(v)
+                for f, a, b in zip(met.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    own = found[a:b] - f * (n + 1)
+                    for k, v in (("fragment", f), ("batch", number), ("low", low[sums[a] : sums[b]].tobytes()), ("owner", np.where(own == n, -1, own).astype(np.int32).tobytes()), ("count", counts[a:b].astype(np.int32).tobytes()), ("digest", short[own].tobytes()), ("head", None)):
+                        rows[k].append(v)
                 head = {"id": ids.to_pylist(), "n": [len(x) for x in sets], "digest": digests, "class": which.tolist(), "here": here.tolist()}
                 for k, v in (("fragment", number % fragments), ("batch", number), ("low", None), ("owner", None), ("count", None), ("digest", None), ("head", head)):
                     rows[k].append(v)
@@ -209,8 +215,7 @@ def _sum_shared(percent: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _BATCH_DOCS):
-                batch = whole.slice(at, _BATCH_DOCS)
+            for batch in slices(whole, whole.column("text"), _BATCH_DOCS):
                 found = list(zip(shingle_sets(batch.column("text"), size), batch.column("digest").to_pylist(), strict=True))
                 keep = [i for i, (grams, digest) in enumerate(found) if _digest(grams) == digest]
                 lists = [found[i][0] for i in keep]
@@ -249,15 +254,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words (lower-case A-Z, separated by blanks). A text with fewer words is one n-gram; a null or
     blank text has none and no links, and its component is its id. Rows with a null id have no
     links and a null component. Repeated rows are linked with each other; rows that repeat an id
-    share that node. An empty table gives no rows.
+    share that node. Very long texts are taken whole. An empty table gives no rows. docs has to
+    give the same rows in the same order if a lost task reads it again, as files and checkpoints do.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(spark.sparkContext.defaultParallelism, -(-total // _BYTES_A_FRAGMENT))
     dealt = given.mapInArrow(tidy(_deal(fragments, size)), f"fragment int, batch long, low binary, owner binary, count binary, digest binary, {_HEAD_SQL}")
     shared = dealt.repartition(fragments, "fragment").mapInArrow(tidy(_count_shared), f"batch long, owner binary, count binary, {_HEAD_SQL}")
-    rows = checkpoint(shared.repartition(shuffle_partitions(spark), "batch").mapInArrow(tidy(_sum_shared(percent)), "id long, n long, digest binary, alive boolean"))
+    sums = max(shuffle_partitions(spark), -(-fragments // _FRAGMENTS_A_SUM))
+    rows = checkpoint(shared.repartition(sums, "batch").mapInArrow(tidy(_sum_shared(percent)), "id long, n long, digest binary, alive boolean"))
     classes = rows.filter("id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max("alive").alias("alive"))
     classes = checkpoint(classes.filter("alive OR members > 1"))
     wanted = classes.filter("alive").select(F.col("rep").alias("id"), "digest", "rep")
@@ -267,8 +275,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # repeated rows give a set twice
     sets = checkpoint(texts.groupBy("digest").agg(F.first("rep").alias("rep"), F.first("grams").alias("grams"), F.first("bits").alias("bits")))
     sets = sets.select(F.monotonically_increasing_id().alias("c"), "digest", "rep", F.size("grams").cast("long").alias("n"), "grams", "bits")
-    pairs = _links(sets.select("c", "n", "grams", "bits"), percent) if links else None
-    labels = connected_components(pairs) if links else _classes(sets.select("c", "n", "grams", "bits"), percent)
+    labels = checkpoint(_classes(sets.select("c", "n", "grams", "bits"), percent))
     named = sets.select("c", "digest", "rep").join(labels.withColumnRenamed("node", "c"), "c")
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"))
     linked = named.join(lowest, "component").select("digest", "lowest")
@@ -276,17 +283,80 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_node = (F.col("n") > 0) & F.col("id").isNotNull()
     columns = ["id", "n", F.when(is_node, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component")]
     if links:
-        final = final.join(_others(pairs, sets.select("c", "digest"), classes.select("digest", "members")), "digest", "left")
+        final = final.join(_others(sets, labels, classes.select("digest", "members"), percent), "digest", "left")
         columns.append(F.when(is_node, F.coalesce(F.col("members") - 1 + F.coalesce("others", F.lit(0)), F.lit(0))).otherwise(0).cast("long").alias("links"))
-    return rows.join(final, "digest", "left").select(*columns)
+    # sets of so many rows are few, and are named by a broadcast; rows without a set need no name
+    final = checkpoint(final)
+    limit = max(1, rows.count() // _HOT_SHARE)
+    none = F.lit(None)
+    hot = final.filter(F.col("members") > limit).select("digest", F.struct(*[c for c in final.columns if c != "digest"]).alias("hot"))
+    marked = rows.join(F.broadcast(hot), "digest", "left")
+    known = marked.filter(is_node & F.col("hot").isNotNull()).select("id", "n", "hot.*")
+    bare = marked.filter(~is_node).select("id", "n", *[none.cast(final.schema[c].dataType).alias(c) for c in final.columns if c != "digest"])
+    rest = marked.filter(is_node & F.col("hot").isNull()).drop("hot").join(final.filter(F.col("members") <= limit), "digest", "left").select(known.columns)
+    return known.unionByName(bare).unionByName(rest).select(*columns)
+
+
+def _others(sets: DataFrame, labels: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Rows (digest, others): how many rows have another set that is linked with this one, which then is of the same class."""
+    # linked sets have sizes of the same band or of neighbouring ones
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
+    placed = sets.select("c", "digest", "n", "grams").join(labels.select(F.col("node").alias("c"), "component"), "c").join(members, "digest").withColumn("band", band)
+    dealt = placed.groupBy("component", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _TILE_SETS), F.ceil(F.sum("n") / _TILE_GRAMS)).alias("tiles"))
+    tile = F.pmod(F.xxhash64("c"), F.col("tiles"))
+    item = F.struct("c", "digest", "members", "n", "grams")
+    tiles = placed.join(dealt, ["component", "band"]).groupBy("component", "band", tile.alias("tile")).agg(F.collect_list(item).alias("t"))
+    tiles = tiles.select("component", "band", "tile", F.col("t.c").alias("c"), F.col("t.digest").alias("digest"), F.col("t.members").alias("members"), F.col("t.n").alias("n"), F.flatten("t.grams").alias("grams"))
+    tiles = checkpoint(tiles)
+    fields = ("c", "digest", "members", "n", "grams")
+    left = tiles.select("component", "band", F.col("tile").alias("i"), *[F.col(x).alias(f"{x}_a") for x in fields])
+    right = tiles.select("component", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("tile").alias("j"), *[F.col(x).alias(f"{x}_b") for x in fields])
+    pairs = left.join(right, ["component", "band"]).filter((F.col("own") > F.col("band")) | (F.col("i") <= F.col("j")))
+    counted = pairs.select(((F.col("own") == F.col("band")) & (F.col("i") == F.col("j"))).alias("same"), *[f"{x}_{s}" for s in "ab" for x in fields if x != "c"]).mapInArrow(tidy(_count_links(percent)), "digest binary, others long")
+    return counted.groupBy("digest").agg(F.sum("others").alias("others"))
+
+
+def _products(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, least: int) -> np.ndarray:
+    """Overlaps of the sets of two tiles, given as all their n-grams one after another and their sizes; n-grams in fewer than least places don't count."""
+    values, place, counts = np.unique(np.concatenate([a, b]), return_inverse=True, return_counts=True)
+    rows_a, rows_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    kept = np.cumsum(counts >= least) - 1
+    fragment, column = np.divmod(np.where(counts >= least, kept, -1), _COLUMNS)
+    total = np.zeros((len(na), len(nb)), np.float32)
+    for f in range(-(-int(kept[-1] + 1) // _COLUMNS) if len(values) else 0):
+        sides = []
+        for rows, at, n in ((rows_a, place[: len(a)], len(na)), (rows_b, place[len(a) :], len(nb))):
+            mine = fragment[at] == f
+            side = np.zeros((n, _COLUMNS), np.float32)
+            side[rows[mine], column[at[mine]]] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def _count_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i] for c in batch.schema.names}
+                flat = lambda c: r[c].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                na, nb = flat("n_a"), flat("n_b")
+                # within one tile every n-gram comes twice
+                overlap = _products(flat("grams_a"), na, flat("grams_b"), nb, 4 if r["same"].as_py() else 2)
+                linked = 100 * overlap >= percent * (na[:, None] + nb[None, :] - overlap)
+                if r["same"].as_py():
+                    np.fill_diagonal(linked, False)
+                    yield _counts(r["digest_a"], linked @ flat("members_b"))
+                else:
+                    yield _counts(r["digest_a"], linked @ flat("members_b"))
+                    yield _counts(r["digest_b"], flat("members_a") @ linked)
+
+    return run
 
 
-def _others(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows (digest, others): how many rows have another set that is linked with this one."""
-    sized = sets.join(members, "digest")
-    ends = F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))).alias("e")
-    other = pairs.select(ends).select("e.c", "e.o").join(sized.select(F.col("c").alias("o"), "members"), "o")
-    return other.groupBy("c").agg(F.sum("members").alias("others")).join(sets, "c").select("digest", "others")
+def _counts(digests: pa.ListScalar, others: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(others)
+    return pa.RecordBatch.from_arrays([digests.values.take(pa.array(some)), pa.array(others[some].astype(np.int64))], ["digest", "others"])
 
 
 def _lists(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -314,14 +384,6 @@ def _side(name: str) -> list:
     return [F.col("c").alias(name), *[F.col(x).alias(f"{x[0]}{name}{x[1:]}") for x in _FIELDS[1:]]]
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of linked sets (c, n, grams, bits), each once."""
-    lists, parts = _lists(sets, percent)
-    one, other = lists.select("g", *_side("a")), lists.select("g", *_side("b"))
-    pairs = one.join(other, "g").filter((F.col("a") < F.col("b")) & _sizes_fit(percent) & _places_fit(percent))
-    return checkpoint(_overlaps(pairs.select("a", "b", "na", "nb").distinct(), parts, percent))
-
-
 def _classes(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (node, component) of the linked ones of sets (c, n, grams, bits)."""
     lists, parts = _lists(sets, percent)
