@@ -249,13 +249,16 @@ def jon_03_known_poses(spark, sf):
     return align.join_poses(rows, poses, strict=False).groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query("""WITH f AS (SELECT event_id, 'scene' || event_id % 7 || '/' || event_id || '.pcd' AS path FROM events),
-k AS (SELECT * FROM (VALUES ('scene3', 'folder'), ('10.pcd', 'name'), ('11', 'stem'), ('scene5/12.pcd', 'pair')) t(key, payload))
-SELECT path, coalesce((SELECT payload FROM k WHERE key = 'scene' || event_id % 7), (SELECT payload FROM k WHERE key = event_id || '.pcd'), (SELECT payload FROM k WHERE key = CAST(event_id AS VARCHAR)), (SELECT payload FROM k WHERE key = path)) AS payload FROM f""")
+@query("""SELECT 'scene' || event_id % 7 || '/' || event_id || '.pcd' AS path,
+CASE WHEN event_id % 7 = 3 THEN 'folder' WHEN event_id % 4 = 0 THEN 'name' || event_id WHEN event_id % 4 = 1 THEN 'stem' || event_id WHEN event_id % 4 = 2 THEN 'path' || event_id END AS payload FROM events""")
 def jon_04_box_map(spark, sf):
-    paths = v.table(spark, sf, "events").selectExpr("concat('scene', event_id % 7, '/', event_id, '.pcd') AS path")
-    known = spark.createDataFrame([("scene3", "folder"), ("10.pcd", "name"), ("11", "stem"), ("scene5/12.pcd", "pair")], "key string, payload string")
-    return align.resolve_payloads(paths, known).select("path", "payload")
+    """Payloads named by folder, file name, stem or path; where two names are known the first kind counts."""
+    events = v.table(spark, sf, "events").withColumn("path", F.expr("concat('scene', event_id % 7, '/', event_id, '.pcd')"))
+    key = "CASE event_id % 4 WHEN 0 THEN concat(event_id, '.pcd') WHEN 1 THEN CAST(event_id AS STRING) ELSE path END AS key"
+    payload = "concat(CASE event_id % 4 WHEN 0 THEN 'name' WHEN 1 THEN 'stem' ELSE 'path' END, event_id) AS payload"
+    known = events.filter("event_id % 4 < 3").selectExpr(key, payload)
+    known = known.unionByName(events.filter("event_id % 7 = 3").selectExpr("'scene3' AS key", "'folder' AS payload").distinct())
+    return align.resolve_payloads(events.select("path"), known).select("path", "payload")
 
 
 _NEAREST = f"""WITH c AS (SELECT event_id AS cloud_id, epoch_us(ts) / 1000000.0e0 AS stamp FROM events WHERE event_type = 'view'),
@@ -319,9 +322,11 @@ def srt_06_sample(spark, sf):
     return frames.sample_each_frame(rows, 100, 7).groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query("SELECT event_type, arg_max(event_id, event_id) AS latest FROM events GROUP BY event_type")
+@query("SELECT user_id AS timestamp_ns, arg_max(value, event_id) AS tx_m, max(event_id) % 10 AS ty_m FROM events GROUP BY user_id")
 def srt_07_latest(spark, sf):
-    return v.table(spark, sf, "events").groupBy("event_type").agg(F.max_by("event_id", "event_id").alias("latest"))
+    """Of poses with equal timestamps the last row counts."""
+    rows = v.table(spark, sf, "events").selectExpr("user_id AS timestamp_ns", "event_id AS row_no", "value AS tx_m", "event_id % 10 AS ty_m")
+    return align.latest_poses(rows, "row_no")
 
 
 @query("""SELECT event_id, 0 AS box_id, CAST(event_id % 50 AS DOUBLE) AS cx, value AS cy, 1.0e0 AS cz, 4.0e0 AS l, 2.0e0 AS w, 1.5e0 AS h,

@@ -52,6 +52,15 @@ def src_02_text(spark, sf):
     return _sums(read_points(spark, folder, fmt="text"))
 
 
+@query(f"WITH {v.POINTS_SQL} SELECT frame_id, count(*) AS points, round(sum(x), 2) AS sum_x, round(sum(y), 2) AS sum_y, round(sum(z), 2) AS sum_z FROM p GROUP BY frame_id")
+def src_19_frame_files(spark, sf):
+    """A glob of files with headers in one folder a frame; the path tells the frames apart (SRC-01, SRC-03)."""
+    folder = scratch(spark)
+    v.points(spark, sf).selectExpr("frame_id", "z", "y", "x").write.partitionBy("frame_id").csv(folder, header=True)
+    rows = read_points(spark, f"{folder}/*/*.csv", fmt="auto").withColumn("frame_id", F.regexp_extract("path", "frame_id=([0-9]+)", 1).cast("int"))
+    return rows.groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), *[F.round(F.sum(a), 2).alias(f"sum_{a}") for a in "xyz"])
+
+
 @query(_SUMS)
 def src_05_pcd_ascii(spark, sf):
     folder = scratch(spark)
