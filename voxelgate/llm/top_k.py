@@ -1,8 +1,10 @@
 """Exact top-k search by inner product: tiled matrix products, selection per tile, tree merging.
 
-Queries are handled in blocks of bounded size that every task can hold. A task multiplies each
-tile of its candidates with the block, keeps the k best of the tile for each query, and merges
-them into its running lists; the tasks' lists are then merged level by level.
+Queries and candidates are packed into blocks of bounded bytes, one row each, and dealt over the
+rows and columns of a grid: each tile of candidates meets each block of queries in one place,
+which an equi-join on the place finds. A task multiplies tile by block, keeps the k best of the
+tile for each query, and merges them into its running lists; the tasks' lists are then merged
+level by level. Neither queries nor candidates pass the driver.
 """
 
 from __future__ import annotations
@@ -15,20 +17,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries sent to the tasks at once, rows of a product's two sides, and lists merged at once.
-QUERY_ROWS, BLOCK_ROWS, TILE_ROWS, FAN = 16_384, 2048, 2048, 64
+from .common import bounded_batches, checkpoint, shuffle_partitions
+
+#: Bytes of a packed block or tile, rows of a product's two sides, and lists merged at once.
+BLOCK_BYTES, BLOCK_ROWS, TILE_ROWS, FAN = 1 << 20, 2048, 2048, 64
 _EXACT = float(1 << 53)
 
 
 def quantise(values: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * values.astype(np.float64))
+    """floor(256 * x); what is too large for that becomes the largest double."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(256.0 * values.astype(np.float64)))
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products; in Python integers, held within 64 bits, where doubles aren't exact."""
     if not a.shape[1]:
         return np.zeros((len(a), len(b)), np.int64)
-    if a.shape[1] * np.abs(a).max() * np.abs(b).max() < _EXACT:
+    if a.shape[1] * float(np.abs(a).max()) * float(np.abs(b).max()) < _EXACT:
         return (a @ b.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
     return np.clip(whole(a).dot(whole(b).T), -(1 << 63), (1 << 63) - 1).astype(np.int64)
@@ -36,12 +42,13 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each row by score, ties to the smaller id; an id counts once a row, with its highest score."""
-    order = np.lexsort((-scores, ids, rows))
+    # ~ turns the order of all 64-bit numbers; the least has no negative
+    order = np.lexsort((~scores, ids, rows))
     rows, ids, scores = rows[order], ids[order], scores[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
     rows, ids, scores = rows[new], ids[new], scores[new]
-    order = np.lexsort((ids, -scores, rows))
+    order = np.lexsort((ids, ~scores, rows))
     rows, ids, scores = rows[order], ids[order], scores[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
     return rows[place < k], ids[place < k], scores[place < k]
@@ -71,50 +78,89 @@ def _by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarr
         yield int(n), ids[at], flat[offsets[at][:, None] + np.arange(n)[None, :]]
 
 
-def _search(blocks: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+_PACKED = "number long, n int, ids binary, vectors binary"
+
+
+def _pack(block_bytes: int):
+    """Rows (id, vector) to blocks of vectors of one length, as 64-bit numbers."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for n, ids, vectors in _by_length(batch.column("id"), batch.column("vector")):
+                step = max(1, block_bytes // (8 * max(1, n)))
+                for at in range(0, len(ids), step):
+                    part = ids[at : at + step].astype(np.int64), np.ascontiguousarray(vectors[at : at + step], np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in part]], ["number", "n", "ids", "vectors"])
+                    number += 1
+
+    return pack
+
+
+def _search(k: int):
+    """Pairs of a block of queries and a tile of candidates to the k best of each query, merged while the block stays the same."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
         empty = (np.zeros(0, np.int64),) * 3
-        running = {}
+        part = TaskContext.get().partitionId()
+        # lists of one block at a time for each task, as the join gives its rows by their place
+        running, block = {}, None
         for batch in batches:
-            for n, ids, vectors in _by_length(batch.column("id"), batch.column("vector")):
-                if n not in blocks:
-                    continue
-                query_ids, queries = blocks[n]
-                for q in range(0, len(query_ids), BLOCK_ROWS):
-                    held = running.get((n, q), empty)
-                    for c in range(0, len(ids), TILE_ROWS):
-                        found = tile_best(query_ids[q : q + BLOCK_ROWS], queries[q : q + BLOCK_ROWS], ids[c : c + TILE_ROWS], quantise(vectors[c : c + TILE_ROWS]), k)
-                        held = best(*(np.concatenate(x) for x in zip(held, found, strict=True)), k)
-                    running[n, q] = held
-        for (n, q), (rows, ids, scores) in running.items():
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[n][0][q + rows]), pa.array(ids), pa.array(scores), pa.array(np.full(len(rows), part))], ["query_id", "vec_id", "score", "part"])
+            for number, n, asked, queries, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "asked", "queries", "ids", "vectors")), strict=True):
+                if number not in running and len(running) >= FAN:
+                    yield from _lists(running, part)
+                    running = {}
+                if number != block:
+                    block, query_ids, wanted = number, np.frombuffer(asked, np.int64), quantise(np.frombuffer(queries, np.float64).reshape(-1, n))
+                found_ids, tile = np.frombuffer(ids, np.int64), quantise(np.frombuffer(vectors, np.float64).reshape(-1, n))
+                own_ids, held = running.get(number, (query_ids, [empty] * -(-len(query_ids) // BLOCK_ROWS)))
+                for i in range(len(held)):
+                    q = slice(i * BLOCK_ROWS, (i + 1) * BLOCK_ROWS)
+                    for c in range(0, len(found_ids), TILE_ROWS):
+                        found = tile_best(query_ids[q], wanted[q], found_ids[c : c + TILE_ROWS], tile[c : c + TILE_ROWS], k)
+                        held[i] = best(*(np.concatenate(x) for x in zip(held[i], found, strict=True)), k)
+                running[number] = own_ids, held
+        yield from _lists(running, part)
 
     return search
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _lists(running: dict, part: int) -> Iterator[pa.RecordBatch]:
+    for query_ids, held in running.values():
+        for i, (rows, ids, scores) in enumerate(held):
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[i * BLOCK_ROWS + rows]), pa.array(ids), pa.array(scores), pa.array(np.full(len(rows), part))], ["query_id", "vec_id", "score", "part"])
+
+
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each query (a row that is_query holds for) its k best candidates: query_id, rank from 1, vec_id, score.
 
     Candidates are all rows with another id. Components become floor(256 * x); the score is their
     integer inner product, and ties go to the smaller id. Rows whose id or vector is null, or whose
     vector has null or non-finite components, take no part; vectors of another length than the
     query's aren't compared with it. Rows that repeat an id count once, with the highest score.
-    Fewer candidates than k are all returned, none gives no row; an empty table gives none.
+    Fewer candidates than k are all returned, none gives no row; an empty table gives none. Scores
+    beyond 64 bits count as the largest or smallest number of 64 bits, and ties among those go to
+    the smaller id.
     """
     value = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & value.isNotNull() & ~F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     given = vectors.filter(sound)
     rows = given.select(F.col(id_col).cast("long").alias("id"), value.alias("vector"))
     asked = given.filter(is_query).select(F.col(id_col).cast("long").alias("id"), value.alias("vector")).distinct()
-    turns = max(1, -(-asked.count() // QUERY_ROWS))
-    lists = None
-    for turn in range(turns):
-        mine = asked.filter(F.pmod(F.xxhash64("id", "vector"), F.lit(turns)) == turn).toArrow()
-        blocks = {n: (ids, quantise(values)) for n, ids, values in _by_length(mine.column("id").combine_chunks(), mine.column("vector").combine_chunks())} if mine.num_rows else {}
-        found = rows.mapInArrow(_search(blocks, k), "query_id long, vec_id long, score long, part long")
-        lists = found if lists is None else lists.unionByName(found)
-    parts = rows.rdd.getNumPartitions()
+    bounded_batches(vectors.sparkSession)
+    # queries are some of the rows, so they are brought together before they are packed
+    count, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    rows_of_grid = max(1, -(-count * 8 * max(1, width or 0) // block_bytes))
+    columns = max(1, shuffle_partitions(vectors.sparkSession) // rows_of_grid)
+    blocks = asked.repartition(rows_of_grid, F.xxhash64("id", "vector")).mapInArrow(_pack(block_bytes), _PACKED)
+    tiles = rows.mapInArrow(_pack(block_bytes), _PACKED)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = blocks.select(F.pmod(F.xxhash64("number"), F.lit(rows_of_grid)).cast("int").alias("r"), every(columns).alias("c"), "n", F.col("number").alias("block"), F.col("ids").alias("asked"), F.col("vectors").alias("queries"))
+    tiles = tiles.select(every(rows_of_grid).alias("r"), F.pmod(F.xxhash64("number"), F.lit(columns)).cast("int").alias("c"), "n", "ids", "vectors")
+    pairs = blocks.join(tiles, ["r", "c", "n"])
+    lists = pairs.select("block", "n", "asked", "queries", "ids", "vectors").mapInArrow(_search(k), "query_id long, vec_id long, score long, part long")
+    lists = checkpoint(lists)
+    parts = lists.rdd.getNumPartitions()
     while parts > FAN:
         lists, parts = _merge(lists.withColumn("part", F.floor(F.col("part") / FAN)), ["query_id", "part"], k).drop("rank"), -(-parts // FAN)
     return _merge(lists.drop("part"), ["query_id"], k).select("query_id", "rank", "vec_id", "score")
