@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import bounded_batches, slices, tidy
 
 UNKNOWN = "und"
 _BLOCK = 4096
 #: Bytes by which a size counts e times less likely.
 _SOFTNESS = 4.0
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 #: What is no letter in ASCII says little about the language; it becomes a space.
 _SPACES = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -34,35 +34,63 @@ def letters(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_SPACES).split())
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter (general category L); numerals such as \u00b2 or \u2460 are none."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """dictionaries: raw content per language. min_margin: a text is rejected when the second smallest size exceeds the smallest by less than this share of it."""
+    """dictionaries: raw content per language. min_margin, min_bytes: a text is rejected when the second smallest size exceeds the smallest by less than this share of it, or by fewer bytes."""
 
     dictionaries: dict[str, bytes]
     min_margin: float = 0.002
+    min_bytes: int = 1
     level: int = 5
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 400, piece_chars: int = 1500, dictionary_bytes: int = 112 << 10, min_margin: float = 0.002) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 400, dictionary_bytes: int = 112 << 10, min_margin: float = 0.002, min_bytes: int = 1, max_languages: int = 256) -> LanguageModel:
     """Learns from at most docs_per_language rows of each language, chosen by a hash of their id.
 
-    Each gives its first piece_chars characters, until a dictionary has dictionary_bytes. Rows
-    with a null text or language teach nothing; without any row there is no language to choose.
+    All of them have an equal share of the dictionary's bytes, and what short texts leave goes to
+    the others: a text within its share is taken whole, of a longer one eight pieces from its
+    start to its end. Rows with a null text or language teach nothing; without any row there is
+    no language to choose. More than max_languages languages are an error, as each has a
+    dictionary in every task.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> 'und'")
-    counts = {r["lang"]: r["count"] for r in given.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in given.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not counts:
-        return LanguageModel({}, min_margin)
+        return LanguageModel({}, min_margin, min_bytes)
     order = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * docs_per_language / n) * (1 << 30)))])
-    rows = given.filter(order < share[F.col("lang")]).select("lang", order.alias("o"), F.substring("text", 1, piece_chars).alias("text"))
+    rows = given.filter(order < share[F.col("lang")]).select("lang", order.alias("o"), "text")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
+    # characters of a text, so that all texts together fill a dictionary twice: some are cut down again below
+    most = 2 * dictionary_bytes // docs_per_language * 8
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(F.col("text"), F.floor(i * (F.length("text") - most // 8) / 7).cast("int") + 1, F.lit(most // 8))), " ")
+    piece = F.when(F.length("text") <= most, F.col("text")).otherwise(spread)
     # about 1.5 * docs_per_language rows of a language come here, however large the input is
-    taught = rows.withColumn("n", first).filter(F.col("n") <= docs_per_language).select("lang", "text", "n").collect()
+    taught = rows.withColumn("n", first).filter(F.col("n") <= docs_per_language).select("lang", piece.alias("text"), "n").collect()
     content: dict[str, list[bytes]] = {}
     for r in sorted(taught, key=lambda r: (r["lang"], r["n"])):
         content.setdefault(r["lang"], []).append(letters(r["text"]))
-    return LanguageModel({k: b" ".join(v)[:dictionary_bytes] for k, v in content.items()}, min_margin)
+    return LanguageModel({k: b" ".join(_filled(v, dictionary_bytes)) for k, v in content.items()}, min_margin, min_bytes)
+
+
+def _filled(texts: list[bytes], most: int) -> list[bytes]:
+    """Of each text as much as an even share of most bytes, counted with a byte between texts; of a longer one eight pieces from its start to its end."""
+    left, share = most, most
+    for i, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - i)
+        if n + 1 > share:
+            break
+        left -= n + 1
+    width = max(1, share // 8 - 1)
+    spread = lambda x: b" ".join(x[i * (len(x) - width) // 7 :][:width] for i in range(8))
+    return [x if len(x) < share else spread(x) for x in texts if x]
 
 
 class Identifier:
@@ -72,7 +100,7 @@ class Identifier:
         import zstandard as zstd
 
         self.langs = sorted(model.dictionaries)
-        self.min_margin = model.min_margin
+        self.min_margin, self.min_bytes = model.min_margin, model.min_bytes
         self.coders = []
         for lang in self.langs:
             content = zstd.ZstdCompressionDict(model.dictionaries[lang] or b" " * 8, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -81,7 +109,7 @@ class Identifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is rejected."""
-        if text is None or not self.langs or not _LETTER.search(text):
+        if text is None or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0, True
         raw = b" " + letters(text) + b" "
         blocks = [raw[i : i + _BLOCK] for i in range(0, len(raw), _BLOCK)]
@@ -90,7 +118,7 @@ class Identifier:
         best = sizes.index(least)
         rest = min((s for i, s in enumerate(sizes) if i != best), default=None)
         score = 1 / sum(math.exp(-min(700.0, (s - least) / _SOFTNESS)) for s in sizes)
-        return self.langs[best], score, rest is not None and rest - least < self.min_margin * least
+        return self.langs[best], score, rest is not None and rest - least < max(self.min_margin * least, self.min_bytes)
 
 
 def _run(model: LanguageModel, text_col: str | None):
@@ -99,8 +127,8 @@ def _run(model: LanguageModel, text_col: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identify = Identifier(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            whole = batch.column("text") if text_col is None else pc.struct_field(batch.column("row"), text_col)
+            for part in slices(batch, whole, 1000):
                 row = part.column("row")
                 text = part.column("text") if text_col is None else pc.struct_field(row, text_col)
                 found = [identify(x.as_py()) for x in text]
@@ -118,6 +146,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carr
     any row; an empty table gives no rows. Only the text is read for the prediction; long texts
     are coded whole, in blocks.
     """
+    bounded_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     inside = text_col in carry
     given = docs.select(row, *([] if inside else [F.col(text_col).alias("text")]))
