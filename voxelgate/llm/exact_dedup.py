@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, partitions_for, tidy
+from .common import bounded_batches, checkpoint, partitions_for, tidy
 
 #: [\x20\x09-\x0D]
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -30,7 +30,9 @@ _BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 DIGIT_ENDS = (4, 16, 64)
 #: A group of at most so many rows always fits one task.
 SMALL_GROUP = 1000
-#: Bound of the prefixes kept from a level's histogram: 2 * MAX_SPLITS for each digit.
+#: A group of more rows than FEW and more bytes than these is too large for one task too.
+LARGE_BYTES, FEW = 32 << 20, 8
+#: Bound of the prefixes kept from a level's histogram by their rows: 2 * MAX_SPLITS for each digit; by their bytes there is one for each LARGE_BYTES of input at most.
 MAX_SPLITS = 2048
 
 
@@ -121,6 +123,10 @@ def _splitter(normalised: bool, inside: str | None):
     return split
 
 
+def _any_of(value: Column, known: list[int]) -> Column:
+    return value.isin(known) if known else F.lit(False)
+
+
 def _level(df: DataFrame, scale: int, normalised: bool, inside: str | None) -> DataFrame:
     """One distributed level over columns row, id, cnt, text.
 
@@ -133,19 +139,19 @@ def _level(df: DataFrame, scale: int, normalised: bool, inside: str | None) -> D
     parts = partitions_for(spark, size or 0)
     limit = max(SMALL_GROUP, n // (2 * min(parts, MAX_SPLITS)))
     df = df.withColumn("prefix", _prefix(F.col("text"), ends[-1], normalised))
-    hot_leaf, salts = F.lit(False), 1
-    leaf = F.col("prefix")
-    if n > limit:
-        digits = F.array(*[F.struct(F.lit(e).alias("e"), F.substring("prefix", 1, e).alias("p")) for e in ends])
-        # at most n / limit prefixes of each length are that frequent
-        heavy = df.select(F.explode(digits).alias("d")).groupBy("d").count().filter(F.col("count") > limit).collect()
-        by_end = {e: [bytes(r["d"]["p"]) for r in heavy if r["d"]["e"] == e] for e in ends}
-        leaf, hot_leaf = F.col("prefix"), F.lit(True)
+    hot_leaf, leaf, salts = F.lit(False), F.col("prefix"), 1
+    if n > limit or (size or 0) > LARGE_BYTES:
+        mark = lambda e: F.xxhash64(F.substring("prefix", 1, e))
+        digits = F.array(*[F.struct(F.lit(e).alias("e"), mark(e).alias("p")) for e in ends])
+        sums = df.select(F.explode(digits).alias("d"), F.octet_length("text").alias("size")).groupBy("d").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+        # prefixes are known by 8 bytes: what is taken for a heavy one goes deeper, which does no harm
+        heavy = sums.filter((F.col("rows") > limit) | ((F.col("rows") > FEW) & (F.col("bytes") > LARGE_BYTES))).select("d.e", "d.p", "rows", "bytes").collect()
+        hot_leaf = F.lit(True)
         for e in reversed(ends):
-            p = F.substring("prefix", 1, e)
-            large = p.isin(by_end[e]) if by_end[e] else F.lit(False)
-            leaf, hot_leaf = F.when(~large, p).otherwise(leaf), F.when(~large, F.lit(False)).otherwise(hot_leaf)
-        salts = max([1, *(-(-r["count"] // limit) for r in heavy if r["d"]["e"] == ends[-1])])
+            large = _any_of(mark(e), sorted(r["p"] for r in heavy if r["e"] == e))
+            leaf, hot_leaf = F.when(~large, F.substring("prefix", 1, e)).otherwise(leaf), F.when(~large, F.lit(False)).otherwise(hot_leaf)
+        # some rows in each piece, so that equal ones get fewer from level to level
+        salts = max([1, *(max(-(-r["rows"] // limit), min(r["rows"] // 4, -(-r["bytes"] // LARGE_BYTES))) for r in heavy if r["e"] == ends[-1])])
     dealt = df.withColumn("hot", hot_leaf).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))))
     dealt = dealt.repartition(parts, F.xxhash64(leaf, "salt")).select("row", "id", "cnt", "hot", *([] if inside else ["text"]))
     schema = T.StructType(
@@ -183,9 +189,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when they are the same bytes once each run of blanks is one space. Of equal
     texts the row with the smallest id stays; a null id counts as larger than any, and of repeated
     rows with that id exactly one stays. A null text counts as the empty text. Columns that aren't
-    carried aren't read, and a carried column may have any name. An empty table gives no rows.
+    carried aren't read, and a carried column may have any name. Very long texts are compared
+    whole, and groups of them are split by their bytes too. An empty table gives no rows.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in carry or [id_col]]).alias("row")
     given = docs.select(row, F.col(id_col).alias("id"), F.lit(1).cast("long").alias("cnt"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # a carried text isn't sent twice
+    bounded_batches(docs.sparkSession)
     return _resolve(given, inside=text_col if text_col in (carry or ()) else None).select("row", "keep_id", F.col("total").alias("group_size"), F.col("winner").alias("kept"), F.col("sha").alias("text_sha256"))
