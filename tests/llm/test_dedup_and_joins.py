@@ -36,10 +36,11 @@ def brute_dedup(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("small", [1000, 2])
-def test_exact_dedup(spark, monkeypatch, small):
-    """With small groups of two, prefixes become hot and go through salted pieces and deeper levels."""
+@pytest.mark.parametrize(("small", "large"), [(1000, 32 << 20), (2, 32 << 20), (1000, 500)])
+def test_exact_dedup(spark, monkeypatch, small, large):
+    """With small groups of two, or of few bytes, prefixes become hot and go through salted pieces and deeper levels."""
     monkeypatch.setattr(dedup, "SMALL_GROUP", small)
+    monkeypatch.setattr(dedup, "LARGE_BYTES", large)
     rows = ODD + [(100 + i, "common start of many texts " * 4 + str(i % 5)) for i in range(60)]
     got = exact_dedup(docs(spark, rows)).collect()
     assert sorted([(r.row.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == brute_dedup(rows)
@@ -115,7 +116,11 @@ def test_near_groups(spark, monkeypatch, limit):
     assert sorted([tuple(r) for r in got], key=str) == want and len({w[2] for w in want}) < len(rows) - 20
 
 
-def test_links_are_counted(spark):
+@pytest.mark.parametrize("tile", [512, 7])
+def test_links_are_counted(spark, monkeypatch, tile):
+    """With small tiles, classes have several of them."""
+    monkeypatch.setattr(ngram_join, "_TILE_SETS", tile)
+    monkeypatch.setattr(ngram_join, "_COLUMNS", 64 * tile)
     rng = random.Random(15)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join("new" + str(i) if k == i % 60 else w for k, w in enumerate(base))) for i in range(40)]
@@ -194,17 +199,18 @@ def minimax(sizes, k):
     return c
 
 
-@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("seed", range(100))
 def test_minimax_cuts(seed):
     rng = random.Random(seed)
-    sizes = [rng.choice((1, 2, rng.randrange(1, 60))) for _ in range(rng.randrange(1, 300))]
+    # every other case has a heavy tail
+    sizes = [rng.choice((1, 2, rng.randrange(1, 60))) if seed % 2 else int(rng.paretovariate(0.8)) % 2000 + 1 for _ in range(rng.randrange(1, 300))]
     prefix = np.cumsum(sizes).tolist()
     width = rng.choice((1, 9, 70))
     cells = [(prefix[i], prefix[min(len(prefix), i + width) - 1]) for i in range(0, len(prefix), width)]
 
-    def refine(windows):
+    def refine(asked):
         out = {}
-        for a, b in windows:
+        for a, b in asked:
             for h in prefix:
                 if a <= h <= b:
                     out.setdefault((a, (h - a) // max(1, -(-(b - a) // 4))), []).append(h)
@@ -215,11 +221,13 @@ def test_minimax_cuts(seed):
     assert max(b - a for a, b in zip([0, *ends], ends, strict=False)) == minimax(sizes, k) and ends[-1] == prefix[-1]
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_top_k(spark, block_bytes):
+    """With small blocks, queries and candidates go over a grid of several rows."""
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(300)] + [(i, [1.0] * 6) for i in range(300, 360)]
     rows += [(400, None), (450, [float("nan")] * 6), (451, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, [9.0] * 6), (500, [1e200] * 6), (501, [-1e200] * 6), (50, rows[50][1]), (600, [1.0, 2.0]), (601, [2.0, 1.0])]
-    got = exact_top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").repartition(5), F.col("vec_id") % 50 == 0).collect()
+    got = exact_top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").repartition(5), F.col("vec_id") % 50 == 0, block_bytes=block_bytes).collect()
     sound = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v and not any(x is None or not np.isfinite(x) for x in v)}
     clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
     want = []

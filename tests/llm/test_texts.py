@@ -74,6 +74,16 @@ def test_packing(spark, window):
     assert packing.pack(docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_packing_is_the_same_however_it_is_dealt(spark):
+    path = public.path("word_bpe_49k.json")
+    given = docs(spark, odd_texts(60)).repartition(5)
+    packed = lambda: packing.pack(given, path, window=64, block_rows=7)
+    digest = lambda df: sorted((r.row.doc_id, r.start, zlib.crc32(r.ids), r.sequence_id, r.offset) for r in df.collect())
+    want = digest(packed())
+    assert digest(packed().coalesce(1)) == digest(packed().repartition(3)) == want
+    assert digest(packed().union(packed())) == sorted(want * 2)
+
+
 def test_packing_with_another_kind_of_vocabulary(spark):
     path = public.path("byte_bpe_50k.json")
     (p,) = packing.pack(docs(spark, ["a  b"]), path).collect()
@@ -159,7 +169,21 @@ def test_personal_data(spark):
         assert set(base) <= set(spans) and spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
         added |= {(k, t[a:b]) for k, a, b in set(spans) - set(base)}
     assert ("secret", 'token = "abcdef0123456789"') in added and ("iban", "DE89 3704 0044 0532 0130 00") in added
-    clean = {r.doc_id: r.t for r in frame.select("doc_id", pii.redact(frame["text"], model).alias("t")).collect()}
+    redacted = pii.redact(frame, model)
+    clean = {r.doc_id: r.text for r in redacted.collect()}
+    assert redacted.columns == frame.columns
+    for r in rows:
+        t, covered = texts[r.row.doc_id] or "", []
+        for a, b, k in sorted((a, b, k) for k, a, b in map(tuple, r.spans)):
+            if covered and a < covered[-1][1]:
+                covered[-1][1], covered[-1][2] = max(b, covered[-1][1]), [*covered[-1][2], (a, b, k)]
+            else:
+                covered.append([a, b, [(a, b, k)]])
+        at, want = 0, ""
+        for a, b, parts in covered:
+            longest = max(y - x for x, y, _ in parts)
+            want, at = want + t[at:a] + f"[{next(k for x, y, k in parts if y - x == longest).upper()}]", b
+        assert (clean[r.row.doc_id] or "") == want + t[at:], t
     assert clean[0] is None and clean[1] == "" and clean[2] == texts[2] and clean[5] == "[EMAIL] " * 600
     assert all(k[0] != "email" for t in clean.values() for k in brute_pii(t or ""))
     assert pii.fit(frame.limit(0)) == {} and pii.detect(frame.limit(0), {}).count() == 0
@@ -173,15 +197,33 @@ def test_secrets_are_whole(spark):
     for r in pii.detect(frame, model).collect():
         t = texts[r.row.doc_id]
         assert [t[s.start : s.end] for s in r.spans if s.kind == "secret"] == ([t[3:-4]] if t.endswith(" end") else []), t
-    clean = {r.doc_id: r.t for r in frame.select("doc_id", pii.redact(frame["text"], model).alias("t")).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(frame, model).collect()}
     assert all(clean[i] == ("my [SECRET] end" if t.endswith(" end") else t) for i, t in enumerate(texts))
 
 
+def test_overlapping_spans_leave_nothing(spark):
+    frame = docs(spark, ["ring +49 10.0.0.1 2345678 now", "a@b.cc"])
+    assert [r.text for r in pii.redact(frame, pii.fit(frame)).orderBy("doc_id").collect()] == ["ring [PHONE] now", "[EMAIL]"]
+
+
+def test_what_only_looks_like_it_is_rejected(spark):
+    right = ["iban DE89 3704 0044 0532 0130 00", "konto GB82 WEST 1234 5698 7654 32", "call 415 555 2671", "ssn 219-09-1234", "token = abcdef0123456789abcd", "write to joe [at] mail [dot] com"]
+    # two of three labelers are for a number with a wrong check digit after its name, so it stays personal data
+    wrong = ["invoice XX12 3456 7890 1234 5678", "order no 115 055 2671", "version 000-12-3456", "password: required.", "token = your_token_here", "look [at] me [dot] 5y"]
+    texts = [f"{t} ({i})" for t in right * 5 + wrong * 5 for i in range(2)]
+    frame = docs(spark, texts)
+    model = pii.fit(frame)
+    assert min(model.values()) < 0.5 < max(model.values())
+    for r in pii.detect(frame, model).collect():
+        t = texts[r.row.doc_id]
+        assert bool(r.spans) == any(t.startswith(x) for x in right), t
+
+
 def test_reliabilities_follow_agreement():
-    counts = {"x|1|1|1": 50, "x|-1|-1|0": 50, "x|1|1|-1": 5, "x|-1|-1|1": 5}
+    counts = {"x|1|1|1": 50, "x|-1|-1|0": 50, "x|1|1|-1": 5, "x|-1|-1|1": 5, "y|1|0|0": 9, "y|-1|-1|-1": 9}
     belief, chances = pii.reliabilities(counts)
-    assert belief["x|1|1|-1"] > 0.9 and belief["x|-1|-1|1"] < 0.1
-    assert chances[0][1][0] > chances[2][1][0] - 0.2 and chances[0][1][0] > chances[0][1][1]
+    assert belief["x|1|1|-1"] > 0.9 and belief["x|-1|-1|1"] < 0.1 and belief["y|1|0|0"] > 0.5 > belief["y|-1|-1|-1"]
+    assert chances["x"][0][1][0] > chances["x"][0][1][1] and set(chances) == {"x", "y"}
     model = pii.train_classifier(counts, belief)
     assert model["x|1|1|1"] > 0.8 and model["x|-1|-1|0"] < 0.2 and pii.train_classifier({}, {}) == {}
 
@@ -205,14 +247,16 @@ def test_licenses(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None)), t
         assert r.base_labels == sorted({x for _, x in places})
         want = {}
-        for line in (t or "").lower().split("\n"):
-            have = {w for w in WORD.findall(line)}
-            for template in index.templates:
-                share = len(have & set(template.tokens)) / len(template.tokens)
-                if len(have & set(template.tokens)) >= template.need:
-                    want[template.label] = max(share, want.get(template.label, 0))
-        assert {x.label: round(x.share, 9) for x in sorted(r.found, key=lambda x: x.share)} == {k: round(v, 9) for k, v in want.items()}, t
-    assert [x.label for x in got[4].found] == ["apache"] and [x.label for x in got[8].found] == ["mit"] and not got[5].found and not got[6].found
+        lower = re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        for template in index.templates:
+            span = 2 * template.width
+            for at in range(0, max(1, len(lower)), span):
+                have = set(lower[at : at + 2 * span]) & set(template.tokens)
+                if len(have) >= template.need:
+                    want[template.label] = max(len(have) / len(template.tokens), want.get(template.label, 0))
+        assert {x.label: round(x.share, 9) for x in r.found} == {k: round(v, 9) for k, v in want.items()} and len(r.found) == len(want), t
+    assert [x.label for x in got[4].found] == ["apache"] and [x.label for x in got[8].found] == ["mit"] and not got[5].found
+    assert [x.label for x in got[6].found] == [x.label for x in got[7].found] == ["all-rights-reserved"]
     assert licenses.scan(frame.limit(0), index).count() == 0
 
 
@@ -225,10 +269,10 @@ def test_licenses_across_lines(spark, tmp_path):
 
     line = "some other words\n"
     far = line * 60
-    texts = [MIT, BSD, "All rights\nreserved.", *[line * n + MIT + line * 50 for n in range(0, 60, 7)], "\n".join(BSD.split()), far + "All\n" + far + "rights\n" + far + "reserved", "x\ny", None]
+    texts = [MIT, BSD, "All rights\nreserved.", *[line * n + MIT + line * 50 for n in range(0, 60, 7)], "\n".join(BSD.split()), far + "All\n" + far + "rights\n" + far + "reserved", "all " + "w " * 30 + "rights " + "w " * 30 + "reserved", "x\ny", None]
     docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.labels for r in op5_licenses(spark, str(tmp_path)).collect()}
-    assert [got[i] for i in range(len(texts))] == ["mit", "bsd", "all-rights-reserved", *["mit"] * 9, "bsd", "", "", ""]
+    assert [got[i] for i in range(len(texts))] == ["mit", "bsd", "all-rights-reserved", *["mit"] * 9, "bsd", "", "", "", ""]
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline isn't there")
