@@ -22,11 +22,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges, before = checkpoint(links.filter("v <> u").distinct()), None
     while (mark := edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()) != before and mark[0]:
         before = mark
-        edges = checkpoint(_drawn(_drawn(edges, larger=True), larger=False))
+        # each step reads its links twice, so they are written before
+        edges = checkpoint(_drawn(checkpoint(_drawn(edges, larger=True)), larger=False))
     stars = edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")))
     # what is linked with itself alone is a component too
     alone = loops.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
+    return checkpoint(stars.unionByName(alone).groupBy("node").agg(F.min("component").alias("component")))
 
 
 def _drawn(edges: DataFrame, larger: bool) -> DataFrame:

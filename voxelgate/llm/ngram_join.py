@@ -81,7 +81,7 @@ def _gram_hashes(words: np.ndarray, span: int) -> np.ndarray:
 
 
 def _parities(grams: np.ndarray) -> list[int]:
-    """512 bits, each whether an odd number of the n-grams falls on it. Two sets differ in at least as many n-grams as these differ in bits."""
+    """_BITS bits, each whether an odd number of the n-grams falls on it. Two sets differ in at least as many n-grams as these differ in bits."""
     odd = np.bincount((grams & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64).tolist()
 
@@ -266,6 +266,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = dealt.repartition(fragments, "fragment").mapInArrow(tidy(_count_shared), f"batch long, owner binary, count binary, {_HEAD_SQL}")
     sums = max(shuffle_partitions(spark), -(-fragments // _FRAGMENTS_A_SUM))
     rows = checkpoint(shared.repartition(sums, "batch").mapInArrow(tidy(_sum_shared(percent)), "id long, n long, digest binary, alive boolean"))
+    # nothing refers to their shuffles any more, so Spark can clear them while the rest runs
+    del dealt, shared
     classes = rows.filter("id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max("alive").alias("alive"))
     classes = checkpoint(classes.filter("alive OR members > 1"))
     wanted = classes.filter("alive").select(F.col("rep").alias("id"), "digest", "rep")
@@ -274,8 +276,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = given.join(wanted, "id").mapInArrow(tidy(_sets(size)), "digest binary, rep long, grams array<long>, bits array<long>")
     # repeated rows give a set twice
     sets = checkpoint(texts.groupBy("digest").agg(F.first("rep").alias("rep"), F.first("grams").alias("grams"), F.first("bits").alias("bits")))
+    del texts, wanted
     sets = sets.select(F.monotonically_increasing_id().alias("c"), "digest", "rep", F.size("grams").cast("long").alias("n"), "grams", "bits")
-    labels = checkpoint(_classes(sets.select("c", "n", "grams", "bits"), percent))
+    labels = _classes(sets.select("c", "n", "grams", "bits"), percent)
+    labels = checkpoint(labels) if links else labels
     named = sets.select("c", "digest", "rep").join(labels.withColumnRenamed("node", "c"), "c")
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"))
     linked = named.join(lowest, "component").select("digest", "lowest")
