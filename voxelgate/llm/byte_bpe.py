@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hold, tidy
+from .common import bounded_batches, hold, slices, tidy
 
 #: The published pattern of this kind of vocabulary. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = 1 << 62
-_AT = 24
+#: Bits of a position in a leaf; ranks take the ones above.
+_AT = 40
 #: Pieces kept with their ids in a worker; beyond it the cache starts anew, which costs time only.
 CACHED_PIECES = 600_000
 _LONG_PIECE = 64
@@ -250,8 +251,7 @@ def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = hold(f"bytes {path}", lambda: ByteBpe(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, batch.column("text"), 500):
                 ids = bpe.encode_many(part.column("text").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([*ids, np.array([], "<u4")]).astype(np.int32)))
                 texts = pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())
@@ -264,8 +264,10 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     """For each row of docs: row (struct of the carried columns), ids (array of int), decoded (the text they give).
 
     A null text counts as empty and has no ids; repeated rows are coded once each; null ids and
-    columns of any name are carried as they are; an empty table gives no rows.
+    columns of any name are carried as they are; an empty table gives no rows. Very long texts are
+    coded whole, each in a block of its own.
     """
+    bounded_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     given = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [("row", given.schema["row"].dataType), ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
