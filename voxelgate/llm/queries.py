@@ -57,7 +57,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = licenses.scan(docs, licenses.index_templates(docs), wrapped=True)
+    found = licenses.scan(docs, licenses.index_templates(docs))
     labels = F.array_sort(F.array_union("base_labels", F.transform("found", lambda x: x["label"])))
     share = F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))
     return found.select(
@@ -108,6 +108,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op4_pii, op5_licenses, op6_exact_top_k, op7_packing, op8_ngram_join, op9_quality, op10_byte_bpe)}
 
 SQL = {
+    "op8_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+             n AS (SELECT doc_id, len(g) AS n FROM s),
+             u AS (SELECT doc_id, unnest(g) AS g FROM s),
+             o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+             r(node, root) AS (SELECT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+             c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+             k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+        SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(root, n.doc_id) AS component_id, coalesce(k, 0) AS n_links
+        FROM n LEFT JOIN c ON c.node = n.doc_id LEFT JOIN k ON k.a = n.doc_id""",
     "op6_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
