@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from . import langid, licenses, pii, quality
 from .byte_bpe import bpe_round_trip
+from .collocations import collocations
 from .common import checkpoint, crc_mod, table
 from .exact_dedup import exact_dedup
+from .filter_audit import flag_documents, replay
+from .line_dedup import drop_repeated_lines
 from .ngram_join import near_groups
 from .packing import pack
 from .sharding import shard_documents
@@ -105,7 +108,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op4_pii, op5_licenses, op6_exact_top_k, op7_packing, op8_ngram_join, op9_quality, op10_byte_bpe)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replayed = replay(flag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return replayed.select("part", "filter_order", F.col("step").cast("int").alias("step"), "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op4_pii, op5_licenses, op6_exact_top_k, op7_packing, op8_ngram_join, op9_quality, op10_byte_bpe, op11_filter_audit, op12_collocations, op13_line_dedup)}
 
 SQL = {
     "op8_ngram_join": r"""
@@ -128,6 +145,49 @@ SQL = {
                    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+             f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                          {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t),
+                           'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY t), false)} AS x
+                   FROM t LEFT JOIN m USING (doc_id)),
+             d AS (SELECT part, good, toxic, [x.A, x.B, x.C, x.D, x.E] AS fails FROM f),
+             l(i) AS (VALUES (1), (2), (3), (4), (5)),
+             o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o, array_to_string(list_transform([a.i, b.i, c.i, d.i, e.i], lambda i: chr(64 + i)), '') AS filter_order
+                   FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+             r AS (SELECT *, coalesce(list_position(list_transform(o, lambda i: fails[i]), true), 0) AS first FROM d, o),
+             s AS (SELECT r.*, l.i AS step, o[l.i] AS letter FROM r, l),
+             g AS (SELECT part, filter_order, step, letter, count(*) FILTER (first = 0 OR first > step) AS kept, count(*) FILTER (first = step) AS removed,
+                          count(*) FILTER (fails[letter] AND first < step) AS redundant, count(*) FILTER (fails[letter] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+                          count(*) FILTER (first = step AND good = 1) AS good_lost, count(*) FILTER (first = step AND toxic = 1) AS toxic_lost
+                   FROM s GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM g""",
+    "op12_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+             p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+             w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+             n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+             g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS k(k))),
+             f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+             c AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f),
+             s AS (SELECT c.lang, c.g, c.a, c.k, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+                   FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1:] JOIN n ON n.lang = c.lang),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+             i AS (SELECT lang, g[x:x + m - 1] AS g, max(f) AS longer
+                   FROM (SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS x FROM f, (VALUES (2), (3), (4)) AS m(m) WHERE m < len(g)) GROUP BY ALL),
+             k AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE coalesce(100 * longer < 100 * a, true))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k QUALIFY rank <= 2000""",
+    "op13_line_dedup": r"""
+        WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+             l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM t),
+             k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+             h AS (SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+             d AS (SELECT doc_id, line, place, h.key IS NOT NULL AND doc_id <> keep_id AS dropped FROM k LEFT JOIN h USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM d GROUP BY doc_id""",
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
