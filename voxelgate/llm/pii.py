@@ -103,7 +103,8 @@ def _votes(kind: str, x: Column, context: Column) -> list[Column]:
     test = lambda p, other: F.when(x.rlike(p), yes).otherwise(other)
     value = r"^[^=:]*[=:][ \t]*[\"']?"
     shape = {
-        "email": test(r"^[A-Za-z0-9._%+-]+ ?(?:@|[\[(](?i:at)[\])]) ?(?:[A-Za-z0-9-]+ ?(?:\.|[\[(.](?i:dot)?[\])]?) ?)+[A-Za-z]{2,}$", no),
+        # possessive, with alternatives that begin differently: labels are taken in a loop, not one stack frame each
+        "email": test(r"^[A-Za-z0-9._%+-]++ ?(?:@|[\[(](?i:at)[\])]) ?(?:[A-Za-z0-9-]++ ?(?:\.|[\[(](?i:dot)[\])]) ?)++[A-Za-z]{2,}+$", no),
         "ip": test(r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$", no),
         "card": test(r"^[3-6](?:[0-9 -]*)$", no),
         # without a plus sign: neither area nor exchange code begins with 0 or 1
@@ -270,8 +271,8 @@ def detect(docs: DataFrame, model: dict[str, float], text_col: str = "text", car
     """For each row of docs: row (struct of the carried columns), base and spans: arrays of structs (kind, start, end), by kind and start.
 
     spans has all of base and the loose spans that the model accepts. A null text counts as empty
-    and has none. Very long texts are searched whole, in time linear in their length. Repeated
-    rows have the same spans, null ids are carried, an empty table gives no rows.
+    and has none. Very long texts are searched whole, spans of any length (domains of many
+    thousand labels) included. Repeated rows have the same spans, null ids are carried, an empty table gives no rows.
     """
     return decide(find_spans(docs, text_col, carry), model, threshold)
 
