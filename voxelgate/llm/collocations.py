@@ -39,6 +39,9 @@ _GATHERED = 1 << 22
 #: Phrases of one automaton, in bytes.
 AUTOMATON_BYTES = 4 << 20
 
+#: Scanning tasks for each core of the cluster.
+TASKS_PER_CORE = 2
+
 _ENDS = ".,;:!?\n\x0b\x0c\r"
 _TO_PIECES = bytes.maketrans((string.ascii_uppercase + _ENDS + "\t").encode(), (string.ascii_lowercase + "\n" * len(_ENDS) + " ").encode())
 #: Odd multipliers that mix the hashes. Fixed values, any odd ones would do.
@@ -124,8 +127,18 @@ def _counter(least: int) -> type:
     return np.uint8 if least < 256 else np.uint16
 
 
+def _coded(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Cells as steps from one to the next and their counts; both are small numbers, which packs them well."""
+    return pa.compress(np.diff(cells, prepend=np.uint16(0)).tobytes() + counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def _decoded(coded: bytes, n: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    plain = pa.decompress(coded, n * (2 + np.dtype(kind).itemsize), codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(plain, np.uint16, n), dtype=np.int64), np.frombuffer(plain, kind, n, 2 * n)
+
+
 def _sketcher(cells: int, number: int, rounds: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows row, block, cells (sorted places in the block), counts (up to the counter's largest) of the phrases of a task."""
+    """Rows row, block, n, counted: n cells of the block and their counts (up to the counter's largest) of the phrases of a task."""
     kind = _counter(least)
 
     def sent(row: int, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +146,8 @@ def _sketcher(cells: int, number: int, rounds: int, least: int) -> Callable[[Ite
         cuts = np.flatnonzero(np.diff(cell // BLOCK)) + 1
         at, counts = np.split((cell % BLOCK).astype(np.uint16), cuts), np.split(np.minimum(count, np.iinfo(kind).max).astype(kind), cuts)
         blocks = [int(c) // BLOCK for c in cell[np.concatenate([[0], cuts]).astype(np.int64)]]
-        # steps between the cells are small where they lie close, and then take one byte
-        steps = [np.diff(a, prepend=a[:1]) for a in at]
-        coded = [a[:1].tobytes() + (s.astype(np.uint8) if s.max() < 256 else s).tobytes() for a, s in zip(at, steps, strict=True)]
-        yield pa.record_batch({"row": pa.array([row] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int32()), "cells": pa.array(coded, pa.binary()), "counts": pa.array([c.tobytes() for c in counts], pa.binary())})
+        coded = [_coded(a, c) for a, c in zip(at, counts, strict=True)]
+        yield pa.record_batch({"row": pa.array([row] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int32()), "n": pa.array([len(a) for a in at], pa.int32()), "counted": pa.array(coded, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [[] for _ in range(ROWS)], 0
@@ -157,12 +168,6 @@ def _sketcher(cells: int, number: int, rounds: int, least: int) -> Callable[[Ite
     return run
 
 
-def _decoded(cells: bytes, n: int) -> np.ndarray:
-    first, rest = np.frombuffer(cells[:2], np.uint16), cells[2:]
-    steps = np.frombuffer(rest, np.uint8 if len(rest) == n else np.uint16)
-    return first.astype(np.int64)[0] + np.cumsum(steps, dtype=np.int64)
-
-
 def _summer(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows row, block, bits: the cells whose sum reaches least. A sum stops at 65,535, far above any."""
 
@@ -170,9 +175,8 @@ def _summer(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                count = np.frombuffer(r["counts"], _counter(least))
+                at, count = _decoded(r["counted"], r["n"], _counter(least))
                 mine = sums.setdefault((r["row"], r["block"]), np.zeros(BLOCK, np.uint16))
-                at = _decoded(r["cells"], len(count))
                 mine[at] = np.minimum(mine[at].astype(np.uint32) + count, 65_535)
         hot = {k: v >= least for k, v in sums.items()}
         hot = {k: np.packbits(v, bitorder="little").tobytes() for k, v in hot.items() if v.any()}
@@ -181,21 +185,54 @@ def _summer(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+class _Sent:
+    """What a task has sent already, by two hashes of 64 bits; where the first of them is that of another phrase, it is sent again."""
+
+    def __init__(self):
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def new(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        if not len(self.first):
+            return np.ones(len(first), bool)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return (self.first[at] != first) | (self.second[at] != second)
+
+    def add(self, first: np.ndarray, second: np.ndarray) -> None:
+        self.first, once = np.unique(np.concatenate([self.first, first]), return_index=True)
+        self.second = np.concatenate([self.second, second])[once]
+
+
+#: Phrases that a task remembers to have sent; beyond it begins anew.
+_REMEMBERED = 1 << 21
+
+
 def _finder(bits, cells: int, number: int, rounds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows lang, phrase, once for each batch: the phrases whose cells are all hot."""
+    """Rows lang, phrase, mostly once for each task: the phrases whose cells are all hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = [np.frombuffer(b, np.uint8) for b in bits.value]
+        hot, sent = [np.frombuffer(b, np.uint8) for b in bits.value], _Sent()
         for langs, texts in _batches(batches):
             words, got = Words(texts), {}
+            other = np.array([xxhash.xxh64_intdigest(w, 2) for w in words.known], np.uint64)[words.codes] if len(words) else None
+            firsts, seconds = [], []
             for length, places, hashes in _hashes(words, langs):
                 good = _of_round(hashes, number, rounds)
                 for row, cell in enumerate(_cells(hashes, cells)):
                     good &= (hot[row][cell >> 3] >> (cell & np.uint32(7)).astype(np.uint8)) & 1 == 1
-                once = np.unique(hashes[good], return_index=True)[1]
-                for at in places[good][once]:
+                places, first = places[good], hashes[good]
+                second = np.full(len(places), length, np.uint64)
+                for i in range(length):
+                    second = second * _MIX[1] + other[places + i]
+                new = sent.new(first, second)
+                for at in places[new]:
                     got[langs[words.text[at]], " ".join(words.known[c] for c in words.codes[at : at + length])] = None
-            yield pa.record_batch({"lang": pa.array([k for k, _ in got], pa.string()), "phrase": pa.array([p for _, p in got], pa.string())})
+                firsts.append(first[new])
+                seconds.append(second[new])
+            if got:
+                if len(sent.first) > _REMEMBERED:
+                    sent = _Sent()
+                sent.add(np.concatenate(firsts), np.concatenate(seconds))
+                yield pa.record_batch({"lang": pa.array([k for k, _ in got], pa.string()), "phrase": pa.array([p for _, p in got], pa.string())})
 
     return run
 
@@ -255,7 +292,7 @@ def candidates(texts: DataFrame, min_count: int, cells: int | None = None, round
     rounds = rounds or min(1024, max(1, wanted // MOST_CELLS))
     out = None
     for number in range(rounds):
-        counted = texts.mapInArrow(tidy(_sketcher(cells, number, rounds, min_count)), "row int, block int, cells binary, counts binary")
+        counted = texts.mapInArrow(tidy(_sketcher(cells, number, rounds, min_count)), "row int, block int, n int, counted binary")
         blocks = ROWS * cells // BLOCK
         summed = counted.repartition(max(min(shuffle_partitions(spark), blocks), blocks // 512), "row", "block").mapInArrow(tidy(_summer(min_count)), "row int, block int, bits binary")
         bits = [bytearray(cells // 8) for _ in range(ROWS)]
@@ -329,6 +366,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # each task sends a phrase once, so few long tasks, which stream their texts, send less than many
+    texts = texts.coalesce(TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
     counts = checkpoint(count_phrases(texts, candidates(texts, min_count, cells, rounds), automaton_bytes))
     words = F.array_remove(F.split("text", r"[.,;:!?\x09-\x0D\x20]+"), "")
     totals = texts.groupBy("lang").agg(F.sum(F.size(words).cast("long")).alias("n"))
