@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelgate.functions.payload import document, message_stamp, parse_boxes
 from voxelgate.operators.temporal import keep_persistent
-from voxelgate.sources import pointcloud2
+from voxelgate.sources import pointcloud2, topics
 from voxelgate.streaming import pipeline
 from voxelgate.streaming.boxes import BoxBuffer, Message, parsed_boxes, read_messages, select_boxes
 from voxelgate.streaming.temporal import PersistenceWindow, filter_stream
@@ -20,23 +20,73 @@ def run(stream, spark, name, checkpoint):
     return spark.table(name).collect()
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = np.random.default_rng(9)
-    rows = [(s, f, i, *map(float, rng.uniform(0, 3, 3))) for s in "ab" for f in range(7) for i in range(30)]
-    for f in range(7):
-        part = [r for r in rows if r[1] == f]
-        spark.createDataFrame(part, FRAME).coalesce(1).write.parquet(str(tmp_path / "t"), mode="overwrite")
-        (file,) = [p for p in (tmp_path / "t").iterdir() if p.suffix == ".parquet"]
-        (tmp_path / "in").mkdir(exist_ok=True)
-        file.rename(tmp_path / "in" / f"{f}.parquet")
-        os.utime(tmp_path / "in" / f"{f}.parquet", (1000 + f, 1000 + f))
-    stream = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    got = {(r.sensor, r.frame_seq, r.point_id): r.keep for r in run(filter_stream(stream, 1.0, 3, 2), spark, "kept", tmp_path / "c")}
+def dealt_out(spark, folder, parts):
+    """A folder whose files hold the given rows, in the order in which a stream takes them."""
+    (folder / "in").mkdir()
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, FRAME).coalesce(1).write.parquet(str(folder / "t"), mode="overwrite")
+        (file,) = [p for p in (folder / "t").iterdir() if p.suffix == ".parquet"]
+        file.rename(folder / "in" / f"{i}.parquet")
+        os.utime(folder / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    return spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+
+
+def in_batch(spark, rows, voxel, window, hits):
     want = {}
-    for s in "ab":
+    for s in {r[0] for r in rows}:
         points = spark.createDataFrame([r for r in rows if r[0] == s], FRAME).withColumnRenamed("frame_seq", "frame_id")
-        want |= {(s, r.frame_id, r.point_id): r.keep for r in keep_persistent(points, 1.0, 3, 2).collect()}
-    assert got == want and 0 < sum(got.values()) < len(got)
+        want |= {(s, r.frame_id, r.point_id): r.keep for r in keep_persistent(points, voxel, window, hits).collect()}
+    return want
+
+
+def some_points(sensors, frames, n):
+    rng = np.random.default_rng(9)
+    return [(s, f, i, *map(float, rng.uniform(0, 3, 3))) for s in sensors for f in frames for i in range(n)]
+
+
+END = ("b", 99, None, None, None, None)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Frame after frame; the fourth has no points for one of the sensors, which doesn't move that sensor's window."""
+    rows = [r for r in some_points("ab", range(7), 30) if (r[0], r[1]) != ("a", 3)]
+    stream = dealt_out(spark, tmp_path, [*([r for r in rows if r[1] == f] for f in range(7)), [END]])
+    got = {(r.sensor, r.frame_seq, r.point_id): r.keep for r in run(filter_stream(stream, 1.0, 3, 2, buckets=5), spark, "kept", tmp_path / "c")}
+    assert got == in_batch(spark, rows, 1.0, 3, 2) and 0 < sum(got.values()) < len(got)
+
+
+def test_frames_over_several_batches_out_of_order(spark, tmp_path):
+    """Each frame comes in three micro-batches, mixed with the next two frames, the later points first."""
+    rows = some_points("a", range(6), 30)
+    parts = [[] for _ in range(10)]
+    for r in rows:
+        parts[r[1] + (29 - r[2]) % 3].insert(0, r)
+    stream = dealt_out(spark, tmp_path, [*[p for p in parts if p], [END]])
+    got = {(r.sensor, r.frame_seq, r.point_id): r.keep for r in run(filter_stream(stream, 1.0, 3, 2, late="3 seconds", buckets=4), spark, "mixed", tmp_path / "c")}
+    assert got == in_batch(spark, rows, 1.0, 3, 2) and 0 < sum(got.values()) < len(got)
+
+
+def test_points_after_their_frame_was_closed_are_dropped(spark, tmp_path):
+    a = [("a", f, 0, 0.5, 0.5, 0.5) for f in range(4)]
+    stream = dealt_out(spark, tmp_path, [a[:2], a[2:3], [("a", 0, 7, 0.5, 0.5, 0.5)], a[3:], [("a", 1, 8, 0.5, 0.5, 0.5)], [END]])
+    got = {(r.frame_seq, r.point_id): r.keep for r in run(filter_stream(stream, 1.0, 2, 2, buckets=2), spark, "late", tmp_path / "c")}
+    assert got == {(0, 0): False, (1, 0): True, (2, 0): True, (3, 0): True}
+
+
+def test_one_sensor_is_spread_and_its_state_is_bounded(spark, tmp_path):
+    rows = some_points("a", range(12), 60)
+    stream = dealt_out(spark, tmp_path, [*([r for r in rows if r[1] == f] for f in range(12)), [END]])
+    query = filter_stream(stream, 1.0, 3, 2, buckets=16).writeStream.format("memory").queryName("spread").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    keyed = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
+    # the keyed step holds no more than the window's frames, and the open one, for each bucket
+    kept = [next(o for o in ops if "transformWithState" in o["operatorName"])["numRowsTotal"] for ops in keyed]
+    assert max(kept) <= 16 * (3 + 2) and kept[-1] <= 16 * 3
+    assert spark.table("spread").count() == len(rows)
+    from voxelgate.functions.geometry import with_voxels
+
+    placed = with_voxels(spark.createDataFrame(rows, FRAME), 1.0).select(F.pmod(F.xxhash64("vx", "vy", "vz"), F.lit(16)).alias("bucket")).distinct()
+    assert placed.count() > 8
 
 
 def test_window_skips_empty_frames():
@@ -138,7 +188,7 @@ def test_box_run_from_end_to_end(spark, tmp_path):
     read = lambda p: spark.readStream.schema(spark.read.parquet(str(p)).schema).parquet(str(p))
     reports = []
     figures = pipeline.RunFigures(reports.append, period=2)
-    pipeline.run_boxes(read(tmp_path / "k"), read(tmp_path / "m"), lambda df: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "c"), figures, once=True).awaitTermination()
+    pipeline.run_boxes(read(tmp_path / "k"), read(tmp_path / "m"), pipeline.publish(str(tmp_path / "out")), str(tmp_path / "c"), figures, once=True).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     kept = pointcloud2.decode(out).groupBy("frame_id").agg(F.sort_array(F.collect_list("x")).alias("x")).collect()
     every = [float(i) for i in range(10)]
@@ -153,10 +203,125 @@ def test_box_run_from_end_to_end(spark, tmp_path):
 def test_persistence_run_keeps_its_figures(spark, tmp_path):
     """What is all kept counts as nothing removed."""
     rows = [("a", f, i, float(i), 0.0, 0.0) for f in range(4) for i in range(10)]
-    spark.createDataFrame(rows, FRAME).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([*rows, END], FRAME).write.parquet(str(tmp_path / "in"))
     figures = pipeline.RunFigures()
     stream = spark.readStream.schema(FRAME).parquet(str(tmp_path / "in"))
-    pipeline.run_persistence(stream, lambda df: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "c"), figures, 1.0, 3, 1, once=True).awaitTermination()
+    pipeline.run_persistence(stream, pipeline.publish(str(tmp_path / "out")), str(tmp_path / "c"), figures, 1.0, 3, 1, once=True, buckets=3).awaitTermination()
     s = figures.summary(spark)
     assert (s["frames"], s["input_points"], s["output_points"], s["removed_ratio"]) == (4, 40, 40, 0.0) and spark.read.parquet(str(tmp_path / "out")).count() == 40
     assert pipeline.RunFigures().summary(spark)["removed_ratio"] == 0.0
+
+
+class Stopped(Exception):
+    pass
+
+
+def test_a_run_that_fails_after_publishing_publishes_once(spark, tmp_path):
+    """The sink is done when the run ends, so its micro-batch comes again; results and figures are those of one run."""
+    rows = some_points("a", range(6), 10)
+    stream = lambda: spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    dealt_out(spark, tmp_path, [*([r for r in rows if r[1] == f] for f in range(6)), [END]])
+    for kind in ("folder", "topic"):
+        out, state = str(tmp_path / f"out-{kind}"), str(tmp_path / f"c-{kind}")
+        publish = pipeline.publish(out) if kind == "folder" else pipeline.publish_topic(out, state)
+        failed = []
+
+        def once_failing(df, number, publish=publish, failed=failed):
+            publish(df, number)
+            if number == 3 and not failed:
+                failed.append(number)
+                raise Stopped
+
+        for _ in range(2):
+            figures = pipeline.RunFigures(folder=f"{state}-figures")
+            query = pipeline.run_persistence(stream(), once_failing, state, figures, 1.0, 3, 1, once=True, buckets=2)
+            try:
+                query.awaitTermination()
+            except Exception:  # noqa: BLE001  the query's own error wraps it
+                assert failed
+        found = spark.read.parquet(out) if kind == "folder" else topics.read_topic(spark, out, FRAME)
+        assert sorted((r.frame_seq, r.point_id) for r in found.collect()) == sorted((r[1], r[2]) for r in rows)
+        s = pipeline.RunFigures(folder=f"{state}-figures").summary(spark)
+        assert failed and (s["frames"], s["input_points"], s["output_points"]) == (6, 60, 60)
+
+
+def test_figures_after_a_crash_before_they_are_committed(tmp_path):
+    """A micro-batch that is added again replaces what it added before."""
+    one = {"frames": 2, "input_points": 10, "output_points": 4}
+    for number in (0, 1, 1, 2, 2, 3):
+        figures = pipeline.RunFigures(folder=str(tmp_path / "f"))
+        figures.add(one, [1.0, 2.0], number)
+    assert figures.totals["frames"] == 8 and len(figures.times) == 8 and len(list((tmp_path / "f").iterdir())) == 2
+
+
+def test_times_are_those_of_frames(spark, tmp_path):
+    """A live run's times run from each frame's arrival."""
+    import time
+
+    now = time.time()
+    sent = pointcloud2.encode(spark.createDataFrame([("1", 0, 0.0, 0.0, 0.0), ("2", 0, 0.0, 0.0, 0.0)], "frame_id string, point_id long, x double, y double, z double"))
+    sent.selectExpr("*", "'s' AS sensor", "CAST(frame_id AS BIGINT) AS cloud_id", f"{now} - 100 * CAST(frame_id AS INT) AS arrival", "CAST(1 AS DOUBLE) AS stamp").drop("frame_id").write.parquet(str(tmp_path / "k"))
+    spark.createDataFrame([("s", 0.0, 1.0, "[]")], "sensor string, arrival double, msg_stamp double, payload string").write.parquet(str(tmp_path / "m"))
+    read = lambda p: spark.readStream.schema(spark.read.parquet(str(p)).schema).parquet(str(p))
+    figures = pipeline.RunFigures()
+    pipeline.run_boxes(read(tmp_path / "k"), read(tmp_path / "m"), pipeline.publish(str(tmp_path / "out")), str(tmp_path / "c"), figures, once=True, live=True).awaitTermination()
+    first, second = figures.times
+    assert 200_000 <= first < 300_000 and 100_000 <= second < 200_000
+
+
+NUMBERS = "sensor string, n long"
+
+
+def numbers(spark, topic, ns, **how):
+    topics.append_topic(spark.createDataFrame([("s", n) for n in ns], NUMBERS).repartition(2), str(topic), **how)
+
+
+def test_topic_takes_a_batch_once(spark, tmp_path):
+    numbers(spark, tmp_path / "t", [1, 2], entry=0, producer="p")
+    numbers(spark, tmp_path / "t", [3], entry=1, producer="p")
+    numbers(spark, tmp_path / "t", [3], entry=1, producer="p")
+    numbers(spark, tmp_path / "t", [4])
+    assert sorted(r.n for r in topics.read_topic(spark, str(tmp_path / "t"), NUMBERS).collect()) == [1, 2, 3, 4]
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 4
+    with pytest.raises(Exception, match="another query"):
+        numbers(spark, tmp_path / "t", [5], entry=0, producer="q")
+    assert topics.read_topic(spark, str(tmp_path / "none"), NUMBERS).count() == 0
+
+
+def test_topic_writer_between_write_and_commit(tmp_path):
+    """Files of a task that was never committed, and of one that was lost, are not part of the topic."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"sensor": ["s"], "n": [1]})
+    options = {"path": str(tmp_path / "t"), "checkpointLocation": "c"}
+    topics.TopicStreamWriter(options).write(iter([batch]))
+    again = topics.TopicStreamWriter(options)
+    message = again.write(iter([batch]))
+    again.commit([message, None], 0)
+    again.commit([again.write(iter([batch]))], 0)
+    assert topics.Log(str(tmp_path / "t")).paths(0, 1) == [f"{tmp_path}/t/data/{message.name}"]
+
+
+def test_topic_to_topic_with_bounded_batches_and_a_restart(spark, tmp_path):
+    """Five entries, two a micro-batch; the run's last commit is lost, so that its last micro-batch comes again, and more come after."""
+    source, state, out = str(tmp_path / "in"), str(tmp_path / "c"), str(tmp_path / "out")
+    for n in range(5):
+        numbers(spark, source, [2 * n, 2 * n + 1])
+
+    def go():
+        spark.dataSource.register(topics.TopicSource)
+        rows = topics.stream_topic(spark, source, NUMBERS, checkpoint=state, max_entries=2)
+        query = rows.writeStream.format(topics.FORMAT).option("path", out).option("checkpointLocation", state).start()
+        query.processAllAvailable()
+        sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+        query.stop()
+        return sizes
+
+    assert go() == [4, 4, 2]
+    commits = sorted((p for p in (tmp_path / "c" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    numbers(spark, source, [10, 11])
+    assert go() == [2, 2]
+    assert sorted(r.n for r in topics.read_topic(spark, out, NUMBERS).collect()) == list(range(12))
+    assert go() == []

@@ -172,8 +172,8 @@ def stream(argv: Sequence[str]) -> None:
     spark = session()
     use_rocksdb(spark)
     read = lambda path: spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", a.queue_size).parquet(path)
-    figures = pipeline.RunFigures(None if a.quiet else lambda f: print(dict(f), file=sys.stderr), a.stats_period)
-    sink = lambda df: df.write.mode("append").parquet(a.output_topic)
+    figures = pipeline.RunFigures(None if a.quiet else lambda f: print(dict(f), file=sys.stderr), a.stats_period, f"{a.checkpoint}/figures")
+    sink = pipeline.publish(a.output_topic)
     if a.algorithm == "box":
         run = pipeline.run_boxes(read(a.pointcloud_topic), read(a.objects_topic), sink, a.checkpoint, figures, tuple(a.box_margin), a.min_size, a.box_stale_time, max(1, a.max_object_history), a.once)
     else:

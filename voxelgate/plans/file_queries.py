@@ -18,9 +18,10 @@ from ..sources.boxes import boxes_for_frames, camera_to_lidar, parse_calibration
 from ..sources.points import read_points
 from ..sources.sinks import write_boxes_folder, write_feather_folder, write_points, write_points_folder
 from ..sources.synthetic import write_frames
+from ..sources.topics import append_topic, read_topic, stream_topic
 from ..streaming import pipeline
 from ..streaming.boxes import select_boxes
-from ..streaming.temporal import filter_stream, use_rocksdb
+from ..streaming.temporal import closing_row, filter_stream, use_rocksdb
 from . import views as v
 from .catalog import query
 from .scene import accumulate, document, scan_document
@@ -271,7 +272,9 @@ def str_01_persistence(spark, sf):
     use_rocksdb(spark)
     folder = scratch(spark)
     rows = numbered(spark, sf).select(F.lit("a").alias("sensor"), F.col("frame_id").cast("long").alias("frame_seq"), "point_id", "x", "y", "z")
-    kept = _run(filter_stream(_as_stream(rows, f"{folder}/in"), v.VOXEL, v.WINDOW, v.HITS), spark, folder)
+    # a row after the last frame closes it, as no later frame does
+    sent = rows.unionByName(closing_row(rows))
+    kept = _run(filter_stream(_as_stream(sent, f"{folder}/in"), v.VOXEL, v.WINDOW, v.HITS, buckets=16), spark, folder)
     return kept.groupBy(F.col("frame_seq").cast("int").alias("frame_id")).agg(F.count(F.lit(1)).alias("input_points"), F.count_if("keep").alias("kept_points"))
 
 
@@ -305,9 +308,11 @@ def _filtered(spark, sf) -> tuple[str, pipeline.RunFigures]:
     box = F.struct(F.array("cx", "cy", "cz").alias("center"), F.array("l", "w", "h").alias("size"), "yaw", "label")
     told = v.boxes(spark, sf).filter("frame_id % 2 = 0").groupBy("frame_id").agg(F.to_json(F.struct(F.collect_list(box).alias("objects"))).alias("payload"))
     told = told.select(F.lit("a").alias("sensor"), (F.col("frame_id") + 0.25).alias("arrival"), F.col("frame_id").cast("double").alias("msg_stamp"), "payload")
-    figures = pipeline.RunFigures()
-    sink = lambda df: df.write.mode("append").parquet(f"{folder}/out")
-    pipeline.run_boxes(_as_stream(clouds, f"{folder}/clouds"), _as_stream(told, f"{folder}/told"), sink, f"{folder}/state", figures, once=True).awaitTermination()
+    state, figures = f"{folder}/state", pipeline.RunFigures(folder=f"{folder}/figures")
+    for sent, topic in ((clouds, "clouds"), (told, "told")):
+        append_topic(sent, f"{folder}/{topic}")
+    streams = [stream_topic(spark, f"{folder}/{topic}", sent.schema) for sent, topic in ((clouds, "clouds"), (told, "told"))]
+    pipeline.run_boxes(*streams, pipeline.publish_topic(f"{folder}/out", state), state, figures, once=True).awaitTermination()
     return f"{folder}/out", figures
 
 
@@ -315,7 +320,7 @@ def _filtered(spark, sf) -> tuple[str, pipeline.RunFigures]:
 def str_06_box_run(spark, sf):
     """The running filter from clouds and messages to cropped clouds; the odd frames have no boxes in time and go out as they came."""
     out, _ = _filtered(spark, sf)
-    sent = spark.read.parquet(out)
+    sent = read_topic(spark, out, pointcloud2.MESSAGE)
     return sent.select(F.col("frame_id").cast("int").alias("frame_id"), F.col("width").cast("long").alias("points"))
 
 

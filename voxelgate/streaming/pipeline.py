@@ -14,32 +14,69 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.crop import MARGIN, mark_points
 from ..operators.frames import latency
+from ..sources import files
 from ..sources.pointcloud2 import FIELDS, decode, encode
+from ..sources.topics import append_topic
 from .boxes import HISTORY, STALE_TIME, parsed_boxes, read_messages, select_boxes
-from .temporal import filter_stream
+from .temporal import BUCKETS, filter_stream
 
 #: Frames whose times are kept.
 LATEST = 4096
-Sink = Callable[[DataFrame], None]
+#: Takes what a micro-batch gives and the micro-batch's number, by which a repeated one is known.
+Sink = Callable[[DataFrame, int], None]
+
+
+def publish(path: str) -> Sink:
+    """A folder of Parquet files with a folder for each micro-batch; one that is repeated after a failure replaces itself."""
+    return lambda out, number: out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+
+def publish_topic(path: str, producer: str) -> Sink:
+    """A topic with an entry for each micro-batch; one that is repeated finds its entry. producer: the run's checkpoint."""
+    return lambda out, number: append_topic(out, path, number, producer)
 
 
 class RunFigures:
-    """What a run has done so far: sums of the micro-batches' one-row figures, and the times of the latest frames.
+    """What a run has done so far: totals of its micro-batches, and the times of the latest frames.
 
-    A frame's time is that of its micro-batch, after which it is out.
+    With a folder, which has to be in a file system that the driver can open, each micro-batch
+    leaves the totals up to it under its number, counted from those of the micro-batch before. So a
+    repeated one isn't counted twice, and a run that is started again counts on.
     """
 
-    def __init__(self, report: Callable[[dict], None] | None = None, period: int = 100):
-        self.report, self.period = report, max(1, period)
+    def __init__(self, report: Callable[[dict], None] | None = None, period: int = 100, folder: str | None = None):
+        self.report, self.period, self.folder = report, max(1, period), folder
         self.totals: Counter = Counter()
         self.times: list[float] = []
+        if folder:
+            self._restore()
 
-    def add(self, figures: dict[str, int], ms: float) -> None:
+    def _path(self, number: int) -> str:
+        return f"{self.folder}/{number:012d}.json"
+
+    def _numbers(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in files.names(self.folder) if n.endswith(".json")]
+
+    def _restore(self, before: int | None = None) -> None:
+        """The totals of the last micro-batch, or of the last one before a number."""
+        known = [n for n in self._numbers() if before is None or n < before]
+        held = json.loads(files.read_bytes(self._path(max(known)))) if known else {"totals": {}, "times": []}
+        self.totals, self.times = Counter(held["totals"]), held["times"]
+
+    def add(self, figures: dict[str, int], times: list[float], number: int | None = None) -> None:
+        """figures and the milliseconds of its latest frames, of one micro-batch."""
+        if self.folder and number is not None:
+            self._restore(number)
         before = self.totals["frames"] // self.period
         self.totals.update(figures)
-        self.times = [*self.times, *[ms] * figures["frames"]][-LATEST:]
+        self.times = [*self.times, *times][-LATEST:]
+        if self.folder and number is not None:
+            files.write_whole(self._path(number), json.dumps({"totals": self.totals, "times": self.times}).encode())
+            # the one before is what a repetition of this one counts from
+            for old in sorted(self._numbers())[:-2]:
+                files.delete(self._path(old))
         if self.report and self.totals["frames"] // self.period > before:
-            self.report(self.totals | {"ms": ms})
+            self.report(self.totals | {"ms": times[-1] if times else None})
 
     def summary(self, spark) -> dict:
         """Totals, the share of points removed, and the latencies. A frame that no box was used for counts as stale, whatever the reason."""
@@ -68,26 +105,39 @@ def cloud_figures(batch: DataFrame, marked: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(cloud).alias("frames"), total("n").alias("input_points"), total("k").alias("output_points"), F.count_if(~cloud).alias("boxes_received"), F.count_if(cloud & F.col("has_boxes") & ~F.col("stale") & (F.col("n") > 0)).alias("frames_with_boxes"))
 
 
-def _step(work: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sink: Sink, figures: RunFigures):
-    def step(batch: DataFrame, _: int) -> None:
+def _step(work: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sink: Sink, figures: RunFigures, arrivals: Callable[[DataFrame], DataFrame] | None):
+    """arrivals: of a micro-batch, the seconds (arrived) at which its frames came; without it a frame's time is its share of the micro-batch's."""
+
+    def step(batch: DataFrame, number: int) -> None:
         began = time.perf_counter()
         held = batch.persist()
-        out, row = work(held)
-        sink(out)
-        figures.add(row.first().asDict(), (time.perf_counter() - began) * 1000.0)
-        held.unpersist()
+        try:
+            out, row = work(held)
+            sink(out, number)
+            counted = row.first().asDict()
+            if arrivals is None:
+                n = counted["frames"]
+                times = [(time.perf_counter() - began) * 1000.0 / max(1, n)] * min(n, LATEST)
+            else:
+                now = time.time()
+                latest = arrivals(held).orderBy(F.desc("arrived")).limit(LATEST).collect()
+                times = [(now - r["arrived"]) * 1000.0 for r in reversed(latest)]
+            figures.add(counted, times, number)
+        finally:
+            held.unpersist()
 
     return step
 
 
-def run_boxes(clouds: DataFrame, messages: DataFrame, sink: Sink, checkpoint: str, figures: RunFigures, margin: tuple[float, float, float] = MARGIN, min_size: float = 0.01, stale_time: float = STALE_TIME, history: int = HISTORY, once: bool = False) -> StreamingQuery:
-    """Crops a stream of clouds by the boxes of a stream of messages, and hands the cropped clouds to sink batch by batch.
+def run_boxes(clouds: DataFrame, messages: DataFrame, sink: Sink, checkpoint: str, figures: RunFigures, margin: tuple[float, float, float] = MARGIN, min_size: float = 0.01, stale_time: float = STALE_TIME, history: int = HISTORY, once: bool = False, live: bool = False) -> StreamingQuery:
+    """Crops a stream of clouds by the boxes of a stream of messages, and hands the cropped clouds to sink batch by batch, with the batch's number.
 
     clouds: sensor, cloud_id, arrival, stamp and the fields of a packed cloud; messages as of
     read_messages. sink gets packed clouds named by cloud_id; a cloud without boxes in time goes
-    out as it came.
+    out as it came. live: arrival is in seconds of the driver's clock, and a frame's time runs from
+    there until it is out.
     """
-    packed = clouds.withColumn("cloud", F.struct(*FIELDS))
+    packed = clouds.withColumn("cloud", F.struct(*FIELDS, "arrival"))
     chosen = select_boxes(packed, read_messages(messages, min_size), stale_time, history, carry=True)
 
     def work(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,17 +147,18 @@ def run_boxes(clouds: DataFrame, messages: DataFrame, sink: Sink, checkpoint: st
         out = encode(marked.filter("keep").select(name, "point_id", "x", "y", "z"), arrived.select(name))
         return out, cloud_figures(batch, marked)
 
-    return _start(chosen, _step(work, sink, figures), checkpoint, once)
+    arrived = (lambda batch: batch.filter("cloud_id IS NOT NULL").select(F.col("cloud.arrival").cast("double").alias("arrived"))) if live else None
+    return _start(chosen, _step(work, sink, figures, arrived), checkpoint, once)
 
 
-def run_persistence(points: DataFrame, sink: Sink, checkpoint: str, figures: RunFigures, voxel_size: float, window_size: int, min_hits: int, once: bool = False) -> StreamingQuery:
-    """The persistence filter on a stream of points (sensor, frame_seq, point_id, x, y, z); sink gets the points that stay."""
+def run_persistence(points: DataFrame, sink: Sink, checkpoint: str, figures: RunFigures, voxel_size: float, window_size: int, min_hits: int, once: bool = False, late: str = "0 seconds", buckets: int = BUCKETS) -> StreamingQuery:
+    """The persistence filter on a stream of points, as filter_stream takes it; sink gets the points of closed frames that stay."""
 
     def work(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         row = batch.agg(F.count_distinct("sensor", "frame_seq").alias("frames"), F.count(F.lit(1)).alias("input_points"), F.count_if("keep").alias("output_points"))
         return batch.filter("keep").drop("keep"), row
 
-    return _start(filter_stream(points, voxel_size, window_size, min_hits), _step(work, sink, figures), checkpoint, once)
+    return _start(filter_stream(points, voxel_size, window_size, min_hits, late, buckets), _step(work, sink, figures, None), checkpoint, once)
 
 
 def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:

@@ -1,4 +1,12 @@
-"""The persistence filter on a stream: the last frames' voxels are state."""
+"""The persistence filter on a stream, spread over buckets of voxels.
+
+Two stateful steps follow each other. A streaming aggregation counts the points of each frame
+until the event-time watermark passes the frame's stamp, which closes it; the closed frame is then
+told to every bucket of its sensor. The second step is keyed by sensor and bucket: it holds the
+points of open frames as they come, in any order and over any number of micro-batches, and the
+voxels of the last closed frames. One sensor so keeps all tasks busy, and the state of a bucket is
+bounded by the window and by what is still open.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.temporal import MIN_HITS, VOXEL_SIZE, WINDOW_SIZE, check_settings
+from ..functions.geometry import with_voxels
+from ..operators.temporal import CELL, MIN_HITS, VOXEL_SIZE, WINDOW_SIZE, check_settings
 
 OUTPUT = "sensor string, frame_seq long, point_id long, x double, y double, z double, keep boolean"
+#: Buckets of a sensor's voxels; a closed frame is told to each of them.
+BUCKETS = 64
+_POINT = np.dtype([("point_id", "<i8"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8")])
 
 
 def cells_of(xyz: np.ndarray, size: float) -> np.ndarray:
@@ -21,19 +34,21 @@ def cells_of(xyz: np.ndarray, size: float) -> np.ndarray:
 
 
 class PersistenceWindow:
-    """Hit counts over the last frames; frames without points don't move it."""
+    """Hit counts over the last frames. A frame without points moves the window only where it is told that others have some."""
 
     def __init__(self, voxel_size: float, window_size: int, min_hits: int, frames: list[bytes] | None = None):
         check_settings(voxel_size, window_size, min_hits)
         self.voxel_size, self.window_size, self.min_hits = voxel_size, window_size, min_hits
         self.frames = list(frames or [])
 
-    def push(self, xyz: np.ndarray) -> np.ndarray:
-        """Whether each point of the next frame stays."""
-        if not len(xyz):
+    def push(self, xyz: np.ndarray, part: bool = False) -> np.ndarray:
+        """Whether each point of the next frame stays; part: these are the points of one bucket of it."""
+        if not len(xyz) and not part:
             return np.ones(0, bool)
         cells, which = np.unique(cells_of(xyz, self.voxel_size), axis=0, return_inverse=True)
         self.frames = [*self.frames, cells.tobytes()][-self.window_size :]
+        if not len(cells):
+            return np.ones(0, bool)
         every = np.concatenate([np.frombuffer(f, np.int64).reshape(-1, 3) for f in self.frames])
         _, group, counts = np.unique(every, axis=0, return_inverse=True, return_counts=True)
         # the frame's own cells are the last ones
@@ -42,35 +57,82 @@ class PersistenceWindow:
 
 
 class PersistenceProcessor(StatefulProcessor):
-    """One sensor's frames, in the order of frame_seq; the state is a list of packed voxel sets, as long as the window."""
+    """One bucket of one sensor: points of open frames by frame, and the voxels of the last closed frames by frame."""
 
     def __init__(self, voxel_size: float, window_size: int, min_hits: int):
         self.settings = (voxel_size, window_size, min_hits)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getListState("history", "cells binary")
+        self.open = handle.getMapState("open", "frame_seq long", "points binary")
+        self.seen = handle.getMapState("seen", "frame_seq long", "cells binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        window = PersistenceWindow(*self.settings, frames=[bytes(r[0]) for r in self.history.get()])
-        for _, frame in pd.concat(list(rows)).groupby("frame_seq", sort=True):
-            frame = frame.sort_values("point_id")
-            keep = window.push(frame[["x", "y", "z"]].to_numpy())
-            yield frame[["sensor", "frame_seq", "point_id", "x", "y", "z"]].assign(keep=keep)
-        self.history.put([(f,) for f in window.frames])
+        came, closing = {}, set()
+        for part in rows:
+            told = part["point_id"].isna()
+            closing.update(part.loc[told, "frame_seq"].tolist())
+            for frame, points in part[~told].groupby("frame_seq"):
+                packed = np.empty(len(points), _POINT)
+                for name in _POINT.names:
+                    packed[name] = points[name]
+                came[frame] = came.get(frame, b"") + packed.tobytes()
+        seen = sorted(k[0] for k in self.seen.keys())
+        last = seen[-1] if seen else None
+        # what comes after its frame was closed is too late
+        came = {f: p for f, p in came.items() if last is None or f > last}
+        closing = sorted(f for f in closing if last is None or f > last)
+        if closing:
+            window = PersistenceWindow(*self.settings, frames=[bytes(self.seen.getValue((f,))[0]) for f in seen])
+            for frame in closing:
+                held = bytes(self.open.getValue((frame,))[0]) if self.open.containsKey((frame,)) else b""
+                points = np.sort(np.frombuffer(held + came.pop(frame, b""), _POINT), order="point_id")
+                keep = window.push(np.stack([points[a] for a in "xyz"], axis=1), part=True)
+                if len(points):
+                    yield pd.DataFrame({"sensor": key[0], "frame_seq": frame, **{n: points[n] for n in _POINT.names}, "keep": keep})
+            every = [*seen, *closing]
+            for frame, cells in zip(closing[-len(window.frames) :], window.frames[-len(closing) :], strict=True):
+                self.seen.updateValue((frame,), (cells,))
+            for frame in set(seen) - set(every[-len(window.frames) :]):
+                self.seen.removeKey((frame,))
+            # frames that were passed over have no more to wait for
+            for frame in [k[0] for k in self.open.keys()]:
+                if frame <= closing[-1]:
+                    self.open.removeKey((frame,))
+            came = {f: p for f, p in came.items() if f > closing[-1]}
+        for frame, points in came.items():
+            before = bytes(self.open.getValue((frame,))[0]) if self.open.containsKey((frame,)) else b""
+            self.open.updateValue((frame,), (before + points,))
 
     def close(self) -> None:
         pass
 
 
-def filter_stream(points: DataFrame, voxel_size: float = VOXEL_SIZE, window_size: int = WINDOW_SIZE, min_hits: int = MIN_HITS) -> DataFrame:
-    """A stream of points (sensor, frame_seq, point_id, x, y, z) with a column keep.
+def filter_stream(points: DataFrame, voxel_size: float = VOXEL_SIZE, window_size: int = WINDOW_SIZE, min_hits: int = MIN_HITS, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
+    """A stream of points (sensor, frame_seq, point_id, x, y, z and, if they have one, the timestamp stamp of their frame) with a column keep.
 
-    A frame must arrive whole within one micro-batch, and frames in the order of frame_seq;
-    sensors are independent, so they spread over the tasks. Needs the RocksDB state store.
+    A frame comes out once the watermark, the largest stamp so far less late, has reached its
+    stamp; until then its points may come in any order and in any number of micro-batches. Without
+    a column stamp a frame's number (0 or more) counts as its second. Stamps are later than 1970,
+    as the watermark begins there, and rise with frame_seq. Rows with a
+    null point_id are no points; one with a later stamp closes the frames before it. Points that
+    come after their frame was closed are dropped. Needs the RocksDB state store.
     """
     check_settings(voxel_size, window_size, min_hits)
-    rows = points.select("sensor", "frame_seq", "point_id", "x", "y", "z")
-    return rows.groupBy("sensor").transformWithStateInPandas(PersistenceProcessor(voxel_size, window_size, min_hits), OUTPUT, "append", "none")
+    stamp = F.col("stamp") if "stamp" in points.columns else F.timestamp_seconds(F.col("frame_seq") + 1)
+    rows = points.select("sensor", "frame_seq", "point_id", "x", "y", "z", stamp.alias("stamp")).withWatermark("stamp", late)
+    frames = rows.groupBy("sensor", "frame_seq", "stamp").agg(F.count("point_id").alias("n")).filter("n > 0")
+    none = {"point_id": "long", "x": "double", "y": "double", "z": "double"}
+    closed = frames.select("sensor", "frame_seq", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "stamp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"))
+    placed = with_voxels(rows.filter("point_id IS NOT NULL"), voxel_size)
+    placed = placed.select("sensor", "frame_seq", *none, "stamp", F.pmod(F.xxhash64(*CELL), F.lit(buckets)).cast("long").alias("bucket"))
+    processor = PersistenceProcessor(voxel_size, window_size, min_hits)
+    return placed.unionByName(closed).groupBy("sensor", "bucket").transformWithStateInPandas(processor, OUTPUT, "append", "none")
+
+
+def closing_row(points: DataFrame) -> DataFrame:
+    """A row that closes all frames of a table of points that is read as a stream, as it has no later one."""
+    ends = points.agg(F.max("sensor").alias("sensor"), (F.max("frame_seq") + 1).alias("frame_seq")).filter("frame_seq IS NOT NULL")
+    return ends.select([F.col(f.name) if f.name in ("sensor", "frame_seq") else F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema.fields])
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
