@@ -39,7 +39,7 @@ class CommandError(Exception):
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("voxelgate").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.appName("voxelgate").config("spark.sql.session.timeZone", "UTC").config("spark.sql.python.filterPushdown.enabled", "true").getOrCreate()
 
 
 def _parser(about: str, *topics: str, **more: dict) -> argparse.ArgumentParser:

@@ -232,11 +232,11 @@ def parse_boxes(rows: DataFrame, payload: str, name: str = "core", skip_invalid:
     def boxes(v: Column) -> Column:
         listed = entries(v, name)
         if not skip_invalid:
-            listed = F.coalesce(listed, F.raise_error(F.lit("unsupported box payload format")).cast("array<variant>"))
+            listed = F.coalesce(listed, F.raise_error(F.lit("no list of boxes in this payload")).cast("array<variant>"))
         read = F.transform(listed, lambda e, i: F.struct(i.cast("long").alias("box_id"), read_entry(e, name).alias("b"), *([] if skip_invalid else [F.to_json(e).alias("text")])))
         if skip_invalid:
             return F.filter(read, lambda r: r["b"]["ok"])
-        return F.filter(read, lambda r: F.when(r["b"]["ok"], F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("invalid box entry: "), r["text"])).cast("boolean")))
+        return F.filter(read, lambda r: F.when(r["b"]["ok"], F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("this entry is no box: "), r["text"])).cast("boolean")))
 
     out = rows.select(*others, F.explode(bound(document(F.col(payload)), boxes)).alias("_r"))
     return out.select(*others, "_r.box_id", *[f"_r.b.{c}" for c in ("cx", "cy", "cz", "l", "w", "h", "yaw", "label")])

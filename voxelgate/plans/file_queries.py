@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +13,7 @@ from ..operators import accumulate as acc
 from ..sources import pointcloud2
 from ..sources.boxes import boxes_for_frames, camera_to_lidar, parse_calibration, read_boxes, read_poses
 from ..sources.points import read_points
+from ..sources.shared import scratch
 from ..sources.sinks import write_boxes_folder, write_feather_folder, write_points, write_points_folder
 from ..sources.synthetic import write_frames
 from ..sources.topics import append_topic, read_topic, stream_topic
@@ -27,12 +25,6 @@ from .catalog import query
 from .scene import accumulate, document, scan_document
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors share; on one machine a temporary one."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or tempfile.mkdtemp(prefix='voxelgate-')).removeprefix('file:').rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
     return v.points(spark, sf).withColumn("point_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 

@@ -24,20 +24,20 @@ def unpack(width: int, height: int, step: int, big: bool, fields: list, data: by
     by_name = {f["name"]: f for f in fields}
     missing = [a for a in "xyz" if a not in by_name]
     if missing:
-        raise ValueError("PointCloud2 must contain x,y,z fields")
+        raise ValueError(f"a packed cloud needs fields x, y and z; {', '.join(missing)} is missing")
     parts = {"names": [], "formats": [], "offsets": [], "itemsize": step}
     for a in "xyz":
         f = by_name[a]
         if f["count"] != 1:
-            raise ValueError(f"PointCloud2 field {a} must have count 1")
+            raise ValueError(f"field {a} of a packed cloud has {f['count']} values, not one")
         if f["datatype"] not in FIELD_TYPES:
-            raise ValueError(f"unsupported PointField datatype: {f['datatype']}")
+            raise ValueError(f"no number of a packed cloud has type {f['datatype']}")
         parts["names"].append(a)
         parts["formats"].append((">" if big else "<") + FIELD_TYPES[f["datatype"]])
         parts["offsets"].append(f["offset"])
     n = width * height
     if len(data) < n * step:
-        raise ValueError("PointCloud2 data is shorter than expected")
+        raise ValueError(f"a packed cloud of {n} points ends before the last")
     got = np.frombuffer(data, np.dtype(parts), n)
     return np.stack([got[a].astype(np.float64) for a in "xyz"], axis=1)
 

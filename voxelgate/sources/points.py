@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .formats import register
+from .formats import read_feather, register
 
 SUFFIXES = {".npy": "npy", ".pcd": "pcd", ".bin": "bin", ".feather": "feather"}
 BINARY = {"npy": "npy", "pcd": "pcd", "bin": "kitti_bin"}
@@ -21,7 +21,7 @@ def format_of(path: str, fmt: str) -> str:
     if fmt == "auto":
         return SUFFIXES.get(PurePosixPath(path).suffix.lower(), "text")
     if fmt not in (*SUFFIXES.values(), "text"):
-        raise ValueError(f"unsupported cloud format: {fmt}")
+        raise ValueError(f"clouds of format {fmt} can't be read")
     return fmt
 
 
@@ -29,10 +29,9 @@ def read_points(spark: SparkSession, path: str, *, fmt: str) -> DataFrame:
     fmt = format_of(path, fmt)
     if fmt == "text":
         return _read_text(spark, path)
-    register(spark)
     if fmt == "feather":
-        rows = spark.read.format("feather").schema("path string, row_no long, x double, y double, z double").load(path)
-        return rows.withColumnRenamed("row_no", "point_id")
+        return read_feather(spark, path, "path string, row_no long, x double, y double, z double").withColumnRenamed("row_no", "point_id")
+    register(spark)
     return spark.read.format(BINARY[fmt]).load(path)
 
 
@@ -55,9 +54,9 @@ def _read_text(spark: SparkSession, path: str) -> DataFrame:
     at = F.when(headed & ~F.exists(found, lambda i: i.isNull()), found).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
     heads = heads.filter("first IS NOT NULL").select("path", comma.alias("comma"), F.when(headed, F.col("head_id")).otherwise(F.lit(-1)).alias("head_id"), at.alias("at"), (headed & (F.col("n") - (F.col("first") == F.col("head")).cast("int") <= 0)).alias("bare"))
     if not heads.filter("bare").isEmpty():
-        raise ValueError("not enough numeric columns")
+        raise ValueError("no line of numbers in this cloud")
     data = lines.join(heads, "path").filter(F.col("point_id") > F.col("head_id")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).filter("line <> ''")
     parts = data.withColumn("parts", F.when(F.col("comma"), F.split("line", ",")).otherwise(F.split("line", r"\s+")))
-    short = F.raise_error(F.lit("point cloud must contain at least 3 columns: not enough numeric columns"))
+    short = F.raise_error(F.lit("a line of this cloud has fewer than three numbers"))
     enough = F.when(F.size("parts") > F.array_max("at"), F.col("parts")).otherwise(short.cast("array<string>"))
     return parts.withColumn("parts", enough).select("path", "point_id", *[F.trim(F.get("parts", F.get("at", F.lit(i)))).cast("double").alias(a) for i, a in enumerate("xyz")])
