@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelgate.plans import file_queries  # noqa: F401  registers its queries
@@ -15,7 +15,7 @@ from voxelgate.plans.catalog import QUERIES
 from voxelgate.plans.views import boxes, points
 from voxelgate.operators.crop import remove_points
 
-HEADLINE = ("jon_01_box_crop", "jon_01_frame_crop", "jon_02_keep_mask", "win_01_temporal", "win_02_ghost_cumulative", "agg_04_bev", "jon_07_asof_nearest", "jon_09_bev_outer", "jon_10_neighbour_ghost", "srt_05_preserved", "prj_04_pose_points", "udx_03_clusters", "sca_json_payload")
+HEADLINE = ("jon_01_box_crop", "jon_02_keep_mask", "win_01_temporal", "win_02_ghost_cumulative", "agg_04_bev", "jon_07_asof_nearest", "jon_09_bev_outer", "jon_10_neighbour_ghost", "srt_05_preserved", "prj_04_pose_points", "udx_03_clusters", "sca_json_payload")
 
 
 def main() -> None:
@@ -46,8 +46,11 @@ def main() -> None:
     copies = spark.range(10).withColumnRenamed("id", "copy")
     frame = (F.col("copy") * 12 + F.col("frame_id")).alias("frame_id")
     large, all_held = (df.crossJoin(F.broadcast(copies)).select(frame, *[c for c in df.columns if c != "frame_id"]).cache() for df in (cloud, held))
+    # as many boxes as the densest published scene has, 99 a frame
+    ranked = F.row_number().over(Window.partitionBy("frame_id").orderBy("box_id"))
+    few = all_held.withColumn("n", ranked).filter("n <= 99").drop("n").cache()
     speed = {}
-    for name, (given, of) in {"crop": (cloud, held), "crop_large": (large, all_held)}.items():
+    for name, (given, of) in {"crop": (cloud, held), "crop_large": (large, all_held), "crop_99_boxes": (large, few)}.items():
         n, _ = given.count(), of.count()
         times = []
         for _ in range(5):

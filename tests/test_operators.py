@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -58,6 +59,29 @@ def test_crop_plan_has_an_equi_anti_join_and_no_python(spark):
     assert "LeftAnti" in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
+def test_crop_shuffles_points_once_and_never_by_frame_alone(spark, monkeypatch):
+    """With broadcasts off, whether or not there are boxes of any size: the points move once, by frame and cell; for large boxes their distinct cells move too."""
+    rng = np.random.default_rng(1)
+    rows, points = cloud(spark, rng, n=20)
+    given = [(0, 1, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0, None), (1, 2, 0.0, 0.0, 0.0, 500.0, 3.0, 3.0, 0.7, None), (2, 3, 1.0, 1.0, 0.0, 1e15, 1e15, 1.0, 0.0, None)]
+    monkeypatch.setattr(crop, "BROADCAST_ROWS", -1)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n in (1, 3):
+            for made in (crop.remove_points(points, spark.createDataFrame(given[:n], BOXES)), crop.mark_points(points, spark.createDataFrame(given[:n], BOXES))):
+                dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", made._jdf.queryExecution().executedPlan().toString())
+                by = [[re.sub(r"#\d+L?", "", x.strip()) for x in d.split(",")[:-1]] for d in dealt]
+                with_points = [b for b in by if any(c in ("_px", "_point_gx") for c in b)]
+                assert len(with_points) == 1 and all(len(b) >= 3 for b in by)
+            want = brute_crop(rows, given[:n], crop.MARGIN)
+            assert sorted((r.frame_id, r.point_id) for r in crop.remove_points(points, spark.createDataFrame(given[:n], BOXES)).collect()) == want
+    finally:
+        for k, value in held.items():
+            spark.conf.set(k, value)
+
+
 def test_crop_faces_rotation_and_empty_sides(spark):
     points = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0), (0, 1, 1.0000001, 0.0, 0.0)], POINTS)
     box = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 2.0, 2.0, 2.0, 0.0, None)], BOXES)

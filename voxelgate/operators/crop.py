@@ -2,9 +2,11 @@
 
 Boxes are listed under the ground cells that their outlines reach, so frame and cell are equi-keys
 and a point meets the boxes around it only, however many a frame has. A box that holds a point is
-listed under the point's cell, and none of the joins here minds boxes that are listed often. The
-few boxes that reach thousands of cells have the frame as their only key. The optimizer hashes or
-broadcasts by the boxes' size.
+listed under the point's cell, and none of the joins here minds boxes that are listed often. Boxes
+that reach many cells go by a hierarchy of grids: each has the level at which it reaches a few
+cells, and the cells that have points, which are far fewer than the points, look their boxes up
+at every level that occurs. So boxes of any size end in the same list, and the points take part in
+one join. The list is broadcast where its counted size allows it.
 """
 
 from __future__ import annotations
@@ -17,8 +19,12 @@ from ..functions.geometry import finite, inside, prepare_boxes
 MARGIN = (0.05, 0.05, 0.05)
 #: Side of a ground cell, about the length of a car.
 CELL = 6.0
-#: A box that reaches more cells has no place in the lists; it is held against all points of its frame.
-GIANT_CELLS = 4096
+#: A box that reaches at most so many cells is listed under each of them; larger ones only under cells that have points.
+LISTED_CELLS = 64
+#: Listed boxes up to which the list is broadcast (some 100 bytes each).
+BROADCAST_ROWS = 500_000
+#: The highest level of the hierarchy, and the one whose only cell is everywhere.
+_TOP, _EVERYWHERE = 40, 63
 _BOX = ("cx", "cy", "cz", "hx", "hy", "hz", "cos_yaw", "sin_yaw")
 
 
@@ -36,19 +42,34 @@ def _cells(value: str, cell: float) -> Column:
     return F.floor(F.col(value) / cell)
 
 
-def prepare(boxes: DataFrame, margin: tuple[float, float, float], frame: str | None, cell: float) -> tuple[DataFrame, DataFrame]:
-    """Prepared boxes: those of ordinary size once for each ground cell (_gx, _gy) that they reach, and the giant ones as they are.
+def prepare(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float], frame: str | None, cell: float) -> DataFrame:
+    """Prepared boxes, once for each ground cell (_gx, _gy) that they reach and that may have points.
 
-    A box whose centre isn't a number has no cell, and holds no point.
+    The boxes are counted first, which is a job of its own over them. A box whose centre isn't a
+    number has no cell, and holds no point.
     """
-    kept = [*([frame] if frame else []), *_BOX]
-    reach_x = F.col("hx") * F.abs("cos_yaw") + F.col("hy") * F.abs("sin_yaw") + F.lit(1e-9)
-    reach_y = F.col("hx") * F.abs("sin_yaw") + F.col("hy") * F.abs("cos_yaw") + F.lit(1e-9)
+    key = [frame] if frame else []
+    kept = [*key, *_BOX]
     placed = prepare_boxes(boxes, margin).filter(finite("cx") & finite("cy"))
-    giant = (2 * reach_x / cell + 2) * (2 * reach_y / cell + 2) > GIANT_CELLS
-    span = lambda c, r: F.sequence(F.floor((F.col(c) - r) / cell), F.floor((F.col(c) + r) / cell))
-    listed = placed.filter(~giant).select(*kept, F.explode(span("cx", reach_x)).alias("_gx"), span("cy", reach_y).alias("_ys")).select(*kept, "_gx", F.explode("_ys").alias("_gy"))
-    return listed, placed.filter(giant).select(kept)
+    placed = placed.select(*kept, (F.col("hx") * F.abs("cos_yaw") + F.col("hy") * F.abs("sin_yaw") + F.lit(1e-9)).alias("_rx"), (F.col("hx") * F.abs("sin_yaw") + F.col("hy") * F.abs("cos_yaw") + F.lit(1e-9)).alias("_ry"))
+    reached = (2 * F.col("_rx") / cell + 2) * (2 * F.col("_ry") / cell + 2)
+    large = reached > LISTED_CELLS
+    height = F.ceil(F.log2(2 * F.greatest("_rx", "_ry") / cell))
+    level = F.when(F.greatest("_rx", "_ry") < cell * 2.0**_TOP, height).otherwise(F.lit(_EVERYWHERE)).cast("int")
+    counted = placed.agg(F.sum(F.when(~large, reached)).alias("rows"), F.collect_set(F.when(large, level)).alias("levels")).first()
+    first, last = (lambda c: F.floor((F.col(f"c{c}") - F.col(f"_r{c}")) / cell)), (lambda c: F.floor((F.col(f"c{c}") + F.col(f"_r{c}")) / cell))
+    span = lambda c: F.sequence(first(c), last(c))
+    listed = placed.filter(~large).select(*kept, F.explode(span("x")).alias("_gx"), span("y").alias("_ys")).select(*kept, "_gx", F.explode("_ys").alias("_gy"))
+    if not counted["levels"]:
+        return F.broadcast(listed) if (counted["rows"] or 0) <= BROADCAST_ROWS else listed
+    high = placed.filter(large).withColumn("_level", level)
+    # shifts by a column's value need an expression in SQL
+    high = high.withColumns({"_x0": first("x"), "_x1": last("x"), "_y0": first("y"), "_y1": last("y")})
+    climb = lambda c: F.expr(f"CASE WHEN _level = {_EVERYWHERE} THEN 0L ELSE shiftright({c}, _level) END")
+    high = high.select(*kept, "_level", F.explode(F.sequence(climb("_x0"), climb("_x1"))).alias("_lx"), F.sequence(climb("_y0"), climb("_y1")).alias("_ys")).select(*kept, "_level", "_lx", F.explode("_ys").alias("_ly"))
+    cells = points.select(*key, _cells("x", cell).alias("_gx"), _cells("y", cell).alias("_gy")).distinct()
+    cells = cells.select("*", F.explode(F.array(*map(F.lit, sorted(counted["levels"])))).alias("_level")).withColumns({"_lx": climb("_gx"), "_ly": climb("_gy")})
+    return listed.unionByName(cells.join(high, [*key, "_level", "_lx", "_ly"]).select(*kept, "_gx", "_gy"))
 
 
 def _sides(points: DataFrame, boxes: DataFrame, frame: str | None) -> Column:
@@ -58,10 +79,9 @@ def _sides(points: DataFrame, boxes: DataFrame, frame: str | None) -> Column:
 
 def remove_points(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str | None = "frame_id", cell: float = CELL) -> DataFrame:
     """Points in no box of their frame (of all boxes, if frame is None); the first box that holds a point decides."""
-    listed, giant = prepare(boxes, margin, frame, cell)
+    listed = prepare(points, boxes, margin, frame, cell)
     at = points.withColumns({"_px": _cells("x", cell), "_py": _cells("y", cell)})
-    rest = at.join(listed, (at["_px"] == listed["_gx"]) & (at["_py"] == listed["_gy"]) & _sides(at, listed, frame), "left_anti").drop("_px", "_py")
-    return rest.join(giant, _sides(rest, giant, frame), "left_anti")
+    return at.join(listed, (at["_px"] == listed["_gx"]) & (at["_py"] == listed["_gy"]) & _sides(at, listed, frame), "left_anti").drop("_px", "_py")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str = "frame_id", cell: float = CELL) -> DataFrame:
@@ -70,22 +90,15 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, margin: tuple[float, fl
 
 
 def mark_points(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str = "frame_id", cell: float = CELL) -> DataFrame:
-    """All points with a column keep, by existence joins: lookups for each point, and none is repeated."""
-    renamed = lambda df: df.select(*[F.col(c).alias(f"_box_{c}") for c in df.columns])
-    listed, giant = map(renamed, prepare(boxes, margin, frame, cell))
+    """All points with a column keep, by an existence join: lookups for each point, and none is repeated."""
+    listed = prepare(points, boxes, margin, frame, cell)
+    renamed = listed.select(*[F.col(c).alias(f"_box_{c}") for c in listed.columns])
     # names that nothing in the boxes has, so that they can only be those of the points
     own = {f"_point_{c}": F.col(c) for c in (frame, "x", "y", "z")} | {"_point_gx": _cells("x", cell), "_point_gy": _cells("y", cell)}
     mine = lambda c: F.col(f"_point_{c}").outer()
     held = (F.col(f"_box_{frame}") == mine(frame)) & inside({a: mine(a) for a in "xyz"}, {c: F.col(f"_box_{c}") for c in _BOX})
-    near = listed.filter((F.col("_box__gx") == mine("gx")) & (F.col("_box__gy") == mine("gy")) & held).exists()
-    return points.withColumns(own).withColumn("keep", ~(near | giant.filter(held).exists())).drop(*own)
-
-
-def remove_points_by_frame(points: DataFrame, boxes: DataFrame, margin: tuple[float, float, float] = MARGIN, frame: str = "frame_id") -> DataFrame:
-    """As remove_points, with the frame as the only key; for frames with a handful of boxes."""
-    prepared = prepare_boxes(boxes, margin).select(frame, *_BOX)
-    test = inside({a: points[a] for a in "xyz"}, {c: prepared[c] for c in _BOX})
-    return points.join(prepared, (points[frame] == prepared[frame]) & test, "left_anti")
+    near = renamed.filter((F.col("_box__gx") == mine("gx")) & (F.col("_box__gy") == mine("gy")) & held).exists()
+    return points.withColumns(own).withColumn("keep", ~near).drop(*own)
 
 
 def summarise(marked: DataFrame) -> DataFrame:
