@@ -50,13 +50,13 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 400, dictionary_bytes: int = 112 << 10, min_margin: float = 0.002, min_bytes: int = 1, max_languages: int = 256) -> LanguageModel:
-    """Learns from at most docs_per_language rows of each language, chosen by a hash of their id.
+    """Learns from whole texts of each language: as many rows as dictionary_bytes holds, at most docs_per_language, chosen by a hash of their id.
 
-    All of them have an equal share of the dictionary's bytes, and what short texts leave goes to
-    the others: a text within its share is taken whole, of a longer one eight pieces from its
-    start to its end. Rows with a null text or language teach nothing; without any row there is
-    no language to choose. More than max_languages languages are an error, as each has a
-    dictionary in every task.
+    Texts of up to a sixteenth of the dictionary go first, so that it has many; longer ones take
+    what is left, whole or not at all. If no text fits, the shortest of the chosen rows is taken,
+    whole too. Rows with a null text or language teach nothing; without any row there is no
+    language to choose. More than max_languages languages are an error, as each has a dictionary
+    in every task.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> 'und'")
     counts = {r["lang"]: r["count"] for r in given.groupBy("lang").count().limit(max_languages + 1).collect()}
@@ -67,30 +67,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     order = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * docs_per_language / n) * (1 << 30)))])
     rows = given.filter(order < share[F.col("lang")]).select("lang", order.alias("o"), "text")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
-    # characters of a text, so that all texts together fill a dictionary twice: some are cut down again below
-    most = 2 * dictionary_bytes // docs_per_language * 8
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(F.col("text"), F.floor(i * (F.length("text") - most // 8) / 7).cast("int") + 1, F.lit(most // 8))), " ")
-    piece = F.when(F.length("text") <= most, F.col("text")).otherwise(spread)
-    # about 1.5 * docs_per_language rows of a language come here, however large the input is
-    taught = rows.withColumn("n", first).filter(F.col("n") <= docs_per_language).select("lang", piece.alias("text"), "n").collect()
+    # about 1.5 * docs_per_language rows of a language come to one task, however large the input is
+    size = (F.octet_length("text") + 1).cast("long")
+    in_order = Window.partitionBy("lang").orderBy(size > dictionary_bytes // 16, "o", "text")
+    placed = rows.withColumns({"n": F.row_number().over(Window.partitionBy("lang").orderBy("o", "text")), "size": size}).filter(F.col("n") <= docs_per_language)
+    placed = placed.withColumn("end", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    shortest = F.row_number().over(Window.partitionBy("lang").orderBy("size", "n"))
+    taught = placed.withColumn("by_size", shortest).filter((F.col("end") <= dictionary_bytes) | ((F.col("by_size") == 1) & (F.col("size") > dictionary_bytes))).select("lang", "text", "n").collect()
     content: dict[str, list[bytes]] = {}
     for r in sorted(taught, key=lambda r: (r["lang"], r["n"])):
         content.setdefault(r["lang"], []).append(letters(r["text"]))
-    return LanguageModel({k: b" ".join(_filled(v, dictionary_bytes)) for k, v in content.items()}, min_margin, min_bytes)
-
-
-def _filled(texts: list[bytes], most: int) -> list[bytes]:
-    """Of each text as much as an even share of most bytes, counted with a byte between texts; of a longer one eight pieces from its start to its end."""
-    left, share = most, most
-    for i, n in enumerate(sorted(map(len, texts))):
-        share = left // (len(texts) - i)
-        if n + 1 > share:
-            break
-        left -= n + 1
-    width = max(1, share // 8 - 1)
-    spread = lambda x: b" ".join(x[i * (len(x) - width) // 7 :][:width] for i in range(8))
-    return [x if len(x) < share else spread(x) for x in texts if x]
+    return LanguageModel({k: b" ".join(filter(None, v)) for k, v in content.items()}, min_margin, min_bytes)
 
 
 class Identifier:
