@@ -6,37 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import finite
-from .temporal import CELL, number_frames
+from .ordering import running
+from .temporal import CELL
 
 EMPTY_BOUND = 1.0
 CROP_CELLS = 5.5
 
 
-def first_seen(points: DataFrame, frames: DataFrame, frame: str = "frame_id") -> DataFrame:
-    """For each voxel the number of the first frame that has it."""
-    return points.select(frame, *CELL).distinct().join(frames, frame).groupBy(*CELL).agg(F.min("frame_seq").alias("frame_seq"))
-
-
 def cumulative_voxels(marked: DataFrame, frame: str = "frame_id") -> DataFrame:
     """For each frame: voxels seen so far in all points (raw), in kept points (clean), in raw only (ghost), and ghost_pct of raw.
 
-    A voxel counts from the frame that first has it, so sums of new voxels replace growing sets.
+    A voxel counts from the frame that first has it, so sums of new voxels replace growing sets;
+    one grouping by voxel finds the first frame of all its points and of the kept ones.
     """
-    frames = number_frames(marked, frame)
-    new = lambda points, name: first_seen(points, frames, frame).groupBy("frame_seq").agg(F.count(F.lit(1)).alias(name))
-    counted = frames.join(new(marked, "raw_new"), "frame_seq", "left").join(new(marked.filter("keep"), "clean_new"), "frame_seq", "left")
-    so_far = Window.orderBy("frame_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = lambda name: F.sum(F.coalesce(F.col(name), F.lit(0))).over(so_far)
-    out = counted.select(frame, "frame_seq", total("raw_new").alias("raw"), total("clean_new").alias("clean"))
+    firsts = marked.groupBy(*CELL).agg(F.min(frame).alias("raw"), F.min(F.when(F.col("keep"), F.col(frame))).alias("clean"))
+    new = firsts.select(F.explode(F.array(F.struct(F.col("raw").alias(frame), F.lit(1).alias("raw"), F.lit(0).alias("clean")), F.struct(F.col("clean").alias(frame), F.lit(0).alias("raw"), F.lit(1).alias("clean")))).alias("n")).select("n.*")
+    seen = marked.select(frame, F.lit(0).alias("raw"), F.lit(0).alias("clean")).distinct()
+    counted = new.filter(F.col(frame).isNotNull()).unionByName(seen).groupBy(frame).agg(F.sum("raw").alias("raw_new"), F.sum("clean").alias("clean_new")).withColumn("_one", F.lit(1))
+    out = running(counted, frame, {"frame_seq": "_one", "raw": "raw_new", "clean": "clean_new"})[0].select(frame, "frame_seq", "raw", "clean")
     # kept points are some of the points, so clean voxels are some of the raw ones
     return out.withColumn("ghost", F.col("raw") - F.col("clean")).withColumn("ghost_pct", 100.0 * F.col("ghost") / F.greatest(F.lit(1), F.col("raw")))
 
 
 def prefix_counts(marked: DataFrame, frame: str = "frame_id") -> DataFrame:
     """Points, kept points and path length up to each frame."""
-    per = marked.groupBy(frame).agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("k"))
-    so_far = Window.orderBy(frame).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select(frame, F.sum("n").over(so_far).alias("points"), F.sum("k").over(so_far).alias("kept"), F.count(F.lit(1)).over(so_far).alias("path"))
+    per = marked.groupBy(frame).agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("k")).withColumn("_one", F.lit(1))
+    return running(per, frame, {"points": "n", "kept": "k", "path": "_one"})[0].select(frame, "points", "kept", "path")
 
 
 def prefix(points: DataFrame, upto, frame: str = "frame_id") -> DataFrame:

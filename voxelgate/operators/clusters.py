@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connect_cells
+
 #: Side of a cell, least points of a cluster, padding, least sizes and largest area and height. Fixed values.
 GRID, MIN_POINTS = 0.85, 18
 PADDING = (0.8, 0.8, 0.6)
@@ -14,44 +14,16 @@ LEAST = (GRID * 1.5, GRID * 1.5, 1.2)
 MAX_AREA, MAX_HEIGHT, MAX_BOXES = 90.0, 8.0, 3
 
 
-def label_cells(cells: pd.DataFrame) -> np.ndarray:
-    """For each row (gx, gy), the index of the first row of its component; cells touch by side or corner."""
-    at = {c: i for i, c in enumerate(zip(cells["gx"], cells["gy"], strict=True))}
-    parent = list(range(len(cells)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for (gx, gy), i in at.items():
-        for dx, dy in ((1, -1), (1, 0), (1, 1), (0, 1)):
-            j = at.get((gx + dx, gy + dy))
-            if j is not None:
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    return np.array([root(i) for i in range(len(cells))], np.int64)
-
-
 def derive_boxes(points: DataFrame, frame: str = "frame_id", order: str = "point_id") -> DataFrame:
     """For each frame at most three boxes, largest clusters first: rank, cx..h, yaw, label, points.
 
-    Points are summed up by cell before anything is gathered, so the grouped step sees a row for
-    each cell of a frame. Labels number the accepted clusters by their first point.
+    Points are summed up by cell, cells are connected within tiles and then across their borders,
+    so no task gathers a frame. Labels number the accepted clusters by their first point.
     """
     g = lambda a: F.floor(F.col(a) / F.lit(GRID))
     ends = [f(a).alias(f"{a}{n}") for a in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))]
     cells = points.groupBy(frame, g("x").alias("gx"), g("y").alias("gy")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), *ends)
-    kind = cells.schema[frame].dataType.simpleString()
-
-    def components(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first", ignore_index=True)
-        pdf["component"] = label_cells(pdf)
-        return pdf
-
-    schema = f"{frame} {kind}, gx long, gy long, n long, first {points.schema[order].dataType.simpleString()}, " + ", ".join(f"{a}{e} double" for a in "xyz" for e in ("min", "max")) + ", component long"
-    labelled = cells.groupBy(frame).applyInPandas(components, schema)
+    labelled = connect_cells(cells, frame)
     merged = labelled.groupBy(frame, "component").agg(F.sum("n").alias("points"), F.min("first").alias("first"), *[f(f"{a}{n}").alias(f"{a}{n}") for a in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
     size = lambda a, i: F.greatest(F.col(f"{a}max") - F.col(f"{a}min") + PADDING[i], F.lit(LEAST[i]))
     sized = merged.filter(F.col("points") >= MIN_POINTS).withColumns({"l": size("x", 0), "w": size("y", 1), "h": size("z", 2)})

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpoint
+from .ordering import percentiles, ranked
+
 
 def slice_frames(frames: DataFrame, start: int = 0, count: int | None = None, stride: int = 1, path: str = "path") -> DataFrame:
     """Frames in the order of their path, with their index: count of them from start on, stride apart. A negative start counts from the end."""
@@ -12,41 +15,54 @@ def slice_frames(frames: DataFrame, start: int = 0, count: int | None = None, st
         raise ValueError("stride must be positive")
     if count is not None and count <= 0:
         raise ValueError("count must be positive")
-    order = Window.orderBy(path)
-    at = frames.withColumn("index", F.row_number().over(order).cast("long") - 1)
+    at, n = ranked(frames, path, "index", 0)
+    end = None if count is None else start + count * stride
     if start < 0:
-        at = at.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-        first = F.greatest(F.lit(0), F.col("_n") + start)
-        end = F.lit(1 << 62) if count is None else F.col("_n") + start + count * stride if start + count * stride < 0 else F.lit(start + count * stride)
-    else:
-        first, end = F.lit(start), F.lit(1 << 62) if count is None else F.lit(start + count * stride)
-    kept = at.filter((F.col("index") >= first) & (F.col("index") < end) & ((F.col("index") - first) % stride == 0))
-    return kept.drop("_n")
+        end = n if end is None else n + end if end < 0 else end
+        start = max(0, n + start)
+    kept = (F.col("index") >= start) & ((F.col("index") - start) % stride == 0)
+    return at.filter(kept if end is None else kept & (F.col("index") < end))
+
+
+def sample_order(key: str, seed: int) -> Column:
+    """What a sample takes the first of: a hash that SQL has too."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
 def sample_points(points: DataFrame, size: int, seed: int, key: str = "point_id") -> DataFrame:
     """Exactly size points (or all, if fewer), uniformly and without repeats; size of 0 or less keeps all. The same seed gives the same points."""
     if size <= 0:
         return points
-    return points.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
+    return points.orderBy(sample_order(key, seed), key).limit(size)
 
 
 def sample_each_frame(points: DataFrame, size: int, seed: int, key: str = "point_id", frame: str = "frame_id") -> DataFrame:
-    """As sample_points, for each frame."""
+    """As sample_points, for each frame.
+
+    The count of a frame bounds the hashes that can be among its first, with room for chance; the
+    points below the bound alone are ordered. A frame that got too few by it is ordered whole.
+    """
     if size <= 0:
         return points
-    place = F.row_number().over(Window.partitionBy(frame).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return points.withColumn("_n", place).filter(F.col("_n") <= size).drop("_n")
-
-
-def percentile(value: str, percent: float) -> Column:
-    """Linear between ranks; 0 without values."""
-    return F.coalesce(F.percentile(value, percent / 100.0), F.lit(0.0))
+    order = sample_order(key, seed)
+    counts = checkpoint(points.groupBy(frame).agg(F.count(F.lit(1)).alias("_n")))
+    bound = (size + 6.0 * size**0.5 + 6.0) / F.col("_n")
+    share = F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    few = checkpoint(points.join(counts, frame).filter(share <= bound).drop("_n"))
+    got = few.groupBy(frame).agg(F.count(F.lit(1)).alias("_got"))
+    short = checkpoint(counts.join(got, frame, "left").filter(F.coalesce("_got", F.lit(0)) < F.least(F.lit(size), F.col("_n"))).select(frame))
+    if not short.isEmpty():
+        few = few.join(short, frame, "left_anti").unionByName(points.join(short, frame, "left_semi"))
+    place = F.row_number().over(Window.partitionBy(frame).orderBy(sample_order(key, seed), key))
+    return few.withColumn("_place", place).filter(F.col("_place") <= size).drop("_place")
 
 
 def latency(runs: DataFrame, value: str = "ms") -> DataFrame:
-    none = lambda c: F.coalesce(c, F.lit(0.0))
-    return runs.agg(none(F.avg(value)).alias("mean_ms"), percentile(value, 50).alias("p50_ms"), percentile(value, 95).alias("p95_ms"), none(F.max(value).cast("double")).alias("max_ms"), none(F.min(value).cast("double")).alias("min_ms"))
+    """One row of mean, median, 95th percentile, largest and smallest; zeros without values."""
+    mean, most, least = runs.agg(F.avg(value), F.max(value).cast("double"), F.min(value).cast("double")).first()
+    half, high = percentiles(runs, value, [0.5, 0.95])
+    row = tuple(x or 0.0 for x in (mean, half, high, most, least))
+    return runs.sparkSession.createDataFrame([row], "mean_ms double, p50_ms double, p95_ms double, max_ms double, min_ms double")
 
 
 def throughput(points: Column, mean_ms: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import with_voxels
+from .ordering import ranked
 
 VOXEL_SIZE, WINDOW_SIZE, MIN_HITS = 0.10, 5, 3
 CELL = ["vx", "vy", "vz"]
@@ -18,8 +19,8 @@ def check_settings(voxel_size: float, window_size: int, min_hits: int) -> None:
 
 
 def number_frames(points: DataFrame, frame: str = "frame_id") -> DataFrame:
-    """Frames with points, and their numbers without gaps. One row for each frame, so one task can rank them."""
-    return points.select(frame).distinct().withColumn("frame_seq", F.dense_rank().over(Window.orderBy(frame)).cast("long"))
+    """Frames with points, and their numbers without gaps, from 1."""
+    return ranked(points.select(frame).distinct(), frame, "frame_seq")[0]
 
 
 def voxel_hits(points: DataFrame, voxel_size: float = VOXEL_SIZE, window_size: int = WINDOW_SIZE, frame: str = "frame_id") -> DataFrame:

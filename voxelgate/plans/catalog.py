@@ -311,16 +311,19 @@ def agg_18_crop_stats(spark, sf):
     return acc.crop_stats(views, acc.hotspot(views), v.VOXEL)
 
 
-@query("SELECT n_name AS path, i - 2 AS place FROM (SELECT *, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation) WHERE i >= 2 AND i < 14 AND (i - 2) % 3 = 0")
+@query("SELECT path, i - 2 AS place FROM (SELECT concat('run/', CAST(1000000 + c_custkey AS VARCHAR), '.pcd') AS path, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) WHERE i >= 2 AND (i - 2) % 3 = 0 AND i < 2 + 3 * 400")
 def srt_01_frame_slice(spark, sf):
-    names = v.table(spark, sf, "nation").select(F.col("n_name").alias("path"))
-    return frames.slice_frames(names, 2, 4, 3).select("path", (F.col("index") - 2).alias("place"))
+    """A file for each customer; 400 of them from the third on, three apart."""
+    names = v.table(spark, sf, "customer").select(F.concat(F.lit("run/"), (F.col("c_custkey") + 1_000_000).cast("string"), F.lit(".pcd")).alias("path"))
+    return frames.slice_frames(names, 2, 400, 3).select("path", (F.col("index") - 2).alias("place"))
 
 
-@query(f"WITH {v.POINTS_SQL} SELECT frame_id, least(count(*), 100) AS points FROM p GROUP BY frame_id")
+@query(f"""WITH {v.POINTS_SQL}, s AS (SELECT frame_id, l_orderkey * 10 + l_linenumber AS point_id, x FROM p)
+SELECT frame_id, point_id, x FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY md5(concat(point_id, ':7')), point_id) AS place FROM s) WHERE place <= 100""")
 def srt_06_sample(spark, sf):
-    rows = v.points(spark, sf).withColumn("point_id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "y"))
-    return frames.sample_each_frame(rows, 100, 7).groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"))
+    """The sampled points themselves."""
+    rows = v.points(spark, sf).withColumn("point_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return frames.sample_each_frame(rows, 100, 7).select("frame_id", "point_id", "x")
 
 
 @query("SELECT user_id AS timestamp_ns, arg_max(value, event_id) AS tx_m, max(event_id) % 10 AS ty_m FROM events GROUP BY user_id")
