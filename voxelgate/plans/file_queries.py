@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +15,14 @@ from ..sources import pointcloud2
 from ..sources.boxes import boxes_for_frames, camera_to_lidar, parse_calibration, read_boxes, read_poses
 from ..sources.points import read_points
 from ..sources.shared import scratch
-from ..sources.sinks import write_boxes_folder, write_feather_folder, write_points, write_points_folder
-from ..sources.synthetic import write_frames
+from ..sources.sinks import summary, write_boxes_folder, write_feather_folder, write_packed, write_points, write_points_folder, write_summary
 from ..sources.topics import append_topic, read_topic, stream_topic
 from ..streaming import pipeline
 from ..streaming.boxes import select_boxes
 from ..streaming.temporal import closing_row, filter_stream, use_rocksdb
 from . import views as v
 from .catalog import query
-from .scene import accumulate, document, scan_document
+from .scene import Sequence, accumulate, document, scan_document
 
 
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,20 +83,52 @@ def src_21_point_messages(spark, sf):
     return got.agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("x"), 2).alias("sum_x"), F.round(F.sum("y"), 2).alias("sum_y"))
 
 
-@query("SELECT i AS frame_id, 5500 AS points, 1 AS boxes, TRUE AS crops FROM range(5) t(i)")
-def src_24_synthetic_frames(spark, sf):
-    """Five made-up frames as files (records, labels, calibration), read back and cropped by their labels."""
-    folder = scratch(spark)
-    write_frames(spark, folder)
-    out = None
-    for i in range(5):
-        name = f"{i:06d}"
-        boxes = read_boxes(spark, f"{folder}/label_2/{name}.txt", fmt="kitti", calib_path=f"{folder}/calib/{name}.txt").withColumn("frame_id", F.lit(i))
-        points = read_points(spark, f"{folder}/velodyne/{name}.bin", fmt="auto").withColumn("frame_id", F.lit(i))
-        row = acc.per_frame(crop.mark_points(points, boxes)).select(F.col("frame_id").cast("long").alias("frame_id"), F.col("input_points").cast("int").alias("points"), (F.col("removed_points") > 100).alias("crops"))
-        row = row.join(boxes.groupBy(F.col("frame_id").cast("long").alias("frame_id")).agg(F.count(F.lit(1)).cast("int").alias("boxes")), "frame_id")
-        out = row if out is None else out.unionByName(row)
-    return out
+@query(f"WITH {v.POINTS_SQL} SELECT count(*) AS points, round(sum(x), 2) AS sum_x, round(sum(CAST(CAST(y AS REAL) AS DOUBLE)), 2) AS sum_y, CAST(sum(l_linenumber) AS DOUBLE) AS sum_z FROM p")
+def src_06_pcd_binary(spark, sf):
+    """Binary records of doubles, floats and integers, beside fields that aren't read (SRC-06, SRC-07)."""
+    path = f"{scratch(spark)}.pcd"
+    rows = numbered(spark, sf).orderBy("point_id").selectExpr("l_linenumber % 3 AS ring", "x", "l_orderkey % 100 AS back", "y", "l_linenumber AS z")
+    head = "FIELDS ring x back y z\nSIZE 1 8 2 4 4\nTYPE U F I F I\nCOUNT 1 1 1 1 1\nWIDTH {0}\nHEIGHT 1\nPOINTS {0}\nDATA binary\n"
+    write_packed(rows, path, {"ring": "<u1", "x": "<f8", "back": "<i2", "y": "<f4", "z": "<i4"}, lambda n: head.format(n).encode())
+    return _sums(read_points(spark, path, fmt="auto"))
+
+
+@query(_SINGLE)
+def src_09_kitti_records(spark, sf):
+    path = f"{scratch(spark)}.bin"
+    write_packed(numbered(spark, sf).orderBy("point_id").selectExpr("x", "y", "z", "0.5D AS intensity"), path, dict.fromkeys(("x", "y", "z", "intensity"), "<f4"))
+    return _sums(read_points(spark, path, fmt="auto"))
+
+
+@query(f"WITH {v.POINTS_SQL} SELECT frame_id, count(*) AS points, CAST(sum(l_linenumber) AS DOUBLE) AS sum_x, round(sum(y), 2) AS sum_y, round(sum(CAST(CAST(z AS REAL) AS DOUBLE)), 2) AS sum_z FROM p GROUP BY frame_id")
+def src_22_point_fields(spark, sf):
+    """Messages whose x has each of the eight number types, little-endian and big-endian in turn, with gaps between the fields."""
+
+    def pack(pdf):
+        frame = int(pdf["frame_id"].iloc[0])
+        kind, big = frame % 8 + 1, frame % 2 == 1
+        sign = ">" if big else "<"
+        layout = np.dtype({"names": ["y", "x", "z"], "formats": [f"{sign}f8", sign + pointcloud2.FIELD_TYPES[kind], f"{sign}f4"], "offsets": [1, 9, 18], "itemsize": 24})
+        data = np.zeros(len(pdf), layout)
+        for a in "xyz":
+            data[a] = pdf[a]
+        fields = [{"name": n, "offset": o, "datatype": t, "count": 1} for n, o, t in (("y", 1, 8), ("x", 9, kind), ("z", 18, 7))]
+        return pd.DataFrame({"frame_id": [str(frame)], "width": [len(pdf)], "height": [1], "point_step": [24], "is_bigendian": [big], "fields": [fields], "data": [data.tobytes()]})
+
+    rows = v.points(spark, sf).selectExpr("frame_id", "l_linenumber AS x", "y", "z")
+    sent = rows.groupBy("frame_id").applyInPandas(pack, pointcloud2.MESSAGE)
+    got = pointcloud2.decode(sent).groupBy(F.col("frame_id").cast("int").alias("frame_id"))
+    return got.agg(F.count(F.lit(1)).alias("points"), F.sum("x").alias("sum_x"), F.round(F.sum("y"), 2).alias("sum_y"), F.round(F.sum("z"), 2).alias("sum_z"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 1 ELSE 0 END AS box_id, CAST(p_size AS DOUBLE) AS cx, 4.0e0 AS l FROM part WHERE p_partkey % 4 <> 0")
+def flt_09_skip_invalid(spark, sf):
+    """Entries that are no boxes are left out where that is asked for: without a size, with a negative one, or no objects at all."""
+    rows = v.table(spark, sf, "part").selectExpr("p_partkey", """CASE p_partkey % 4
+        WHEN 0 THEN concat('{"objects":[{"center":[', p_size, ',0,0]},{"center":[1,2,3],"size":[-1,1,1]}]}')
+        WHEN 1 THEN concat('[7,{"center":[', p_size, ',0,0],"size":[4,2,1]}]')
+        ELSE concat('{"objects":[{"center":[', p_size, ',0,0],"size":[4,2,1]},{"center":"no"}]}') END AS payload""")
+    return parse_boxes(rows, "payload", "core", True).select("p_partkey", F.col("box_id").cast("int").alias("box_id"), "cx", "l")
 
 
 _BOX_ROWS = f"WITH {v.BOXES_SQL} SELECT count(*) AS boxes, round(sum(cx), 4) AS cx, round(sum(cy), 4) AS cy, round(sum(cz), 4) AS cz, round(sum(l), 4) AS l, round(sum(w), 4) AS w, round(sum(h), 4) AS h, round(sum(yaw), 4) AS yaw, count(DISTINCT label) AS labels FROM raw_b"
@@ -228,6 +260,48 @@ def snk_07_scan_document(spark, sf):
     return read.select("d.meta.*", "d.limits.*", F.size("d.points.kept").cast("long").alias("shown"))
 
 
+@query(f"WITH {v.CROPPED_SQL}, f AS (SELECT * FROM m WHERE frame_id = 3), o AS (SELECT count(*) AS objects, round(sum(cx), 6) AS cx, round(sum(l), 6) AS l FROM raw_b WHERE frame_id = 3) SELECT count(*) AS total_points, count(*) FILTER (keep) AS kept_points, count(*) FILTER (NOT keep) AS removed_points, round(count(*) FILTER (NOT keep) / count(*), 9) AS removed_ratio, any_value(o.objects) AS objects, any_value(o.cx) AS cx, any_value(o.l) AS l FROM f, o")
+def snk_05_summary(spark, sf):
+    """The summary of one scan, here the third month's, from its file."""
+    path = f"{scratch(spark)}.json"
+    boxes = v.boxes(spark, sf).filter("frame_id = 3")
+    write_summary(path, summary(crop.summarise(crop.mark_points(v.points(spark, sf).filter("frame_id = 3"), boxes)), boxes))
+    read = spark.read.json(path, multiLine=True)
+    added = lambda f: F.round(F.aggregate("objects", F.lit(0.0), lambda s, o: s + f(o)), 6)
+    return read.select("total_points", "kept_points", "removed_points", F.round("removed_ratio", 9).alias("removed_ratio"), F.size("objects").cast("long").alias("objects"), added(lambda o: o["center"][0]).alias("cx"), added(lambda o: o["size"][0]).alias("l"))
+
+
+@query(f"""WITH {v.CROPPED_SQL}, i AS (SELECT *, l_orderkey * 10 + l_linenumber AS id FROM m WHERE frame_id = 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY keep ORDER BY md5(concat(id, ':7')), id) AS place FROM i)
+SELECT keep, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM r WHERE place <= 50""")
+def snk_07_scan_points(spark, sf):
+    """The points that the document of one scan shows, kept and removed ones."""
+    one = lambda df: df.filter("frame_id = 3")
+    text = scan_document(one(numbered(spark, sf)), one(v.boxes(spark, sf)), "third", sample=50)
+    read = text.select(F.from_json("document", "points struct<kept:array<array<double>>,removed:array<array<double>>>").alias("d"))
+    shown = read.select(F.lit(True).alias("keep"), F.explode("d.points.kept").alias("p")).unionByName(read.select(F.lit(False).alias("keep"), F.explode("d.points.removed").alias("p")))
+    return shown.select("keep", *[F.round(F.col("p")[i], 6).alias(a) for i, a in enumerate("xyz")])
+
+
+@query(f"WITH {v.PERSISTENT_SQL}, n AS (SELECT frame_id, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY frame_id) SELECT frame_id, count(*) AS input_points, count(*) FILTER (keep) AS kept_points, count(*) FILTER (NOT keep) AS removed_points, any_value(round(cx, 4)) AS cx, any_value(round(cy, 4)) AS cy FROM m JOIN n USING (frame_id) GROUP BY frame_id")
+def snk_08_scene_frames(spark, sf):
+    """The frames and the path that the document of a sequence has, in its order."""
+    text = document(Sequence(v.persistent(spark, sf).withColumn("point_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), None, v.VOXEL), sample=5)
+    fields = "frames array<struct<frame_id:int,input_points:long,kept_points:long,removed_points:long>>, path array<array<double>>"
+    read = text.select(F.from_json("document", fields).alias("d")).select(F.explode(F.arrays_zip("d.frames", "d.path")).alias("z"))
+    return read.select("z.frames.*", F.round(F.col("z.path")[0], 4).alias("cx"), F.round(F.col("z.path")[1], 4).alias("cy"))
+
+
+@query(f"WITH {v.BEV_SQL} SELECT row_number() OVER (ORDER BY vx, vy) - 1 AS place, round((vx + 0.5e0) * {v.VOXEL}e0, 3) AS x, round((vy + 0.5e0) * {v.VOXEL}e0, 3) AS y, CAST(cells AS BIGINT) AS cells FROM clean")
+def srt_02_view_order(spark, sf):
+    """The bird's-eye view of the document of a sequence, cell by cell in its order."""
+    text = document(Sequence(v.persistent(spark, sf).withColumn("point_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), None, v.VOXEL), sample=5)
+    flat = text.select(F.from_json("document", "bev struct<clean:array<double>>")["bev"]["clean"].alias("c"))
+    cells = flat.select("c", F.explode(F.sequence(F.lit(0), F.floor(F.size("c") / 3).cast("int") - 1)).alias("i"))
+    at = lambda k: F.get("c", (F.col("i") * 3 + k).cast("int"))
+    return cells.select(F.col("i").cast("long").alias("place"), at(0).alias("x"), at(1).alias("y"), at(2).cast("long").alias("cells"))
+
+
 _CLUSTER_SQL = f"""WITH RECURSIVE {v.CROPPED_SQL},
   r AS (SELECT frame_id, CAST(floor(x / 0.85e0) AS BIGINT) AS gx, CAST(floor(y / 0.85e0) AS BIGINT) AS gy, x, y, z, l_orderkey * 10 + l_linenumber AS id FROM m WHERE NOT keep),
   cells AS (SELECT frame_id, gx, gy, min(id) AS first FROM r GROUP BY ALL),

@@ -70,6 +70,21 @@ def _write_ranges(records: DataFrame, path: str, head: Callable[[int], bytes]) -
     os.replace(partial, target)
 
 
+def write_packed(rows: DataFrame, path: str, kinds: dict[str, str], head: Callable[[int], bytes] = lambda n: b"") -> None:
+    """rows, in their order, as records of numbers of the given types (column to numpy type), after head."""
+    kind = np.dtype(list(kinds.items()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = np.empty(batch.num_rows, kind)
+            for i, name in enumerate(kinds):
+                data[name] = batch.column(i).to_numpy(zero_copy_only=False)
+            plain, width = data.tobytes(), kind.itemsize
+            yield pa.RecordBatch.from_arrays([pa.array([plain[at : at + width] for at in range(0, len(plain), width)], pa.binary())], ["record"])
+
+    _write_ranges(rows.select(*kinds).mapInArrow(pack, "record binary"), path, head)
+
+
 def write_points(points: DataFrame, path: str, *, fmt: str = "auto", order: str = "point_id") -> None:
     """One file, in the order of point_id: pcd, npy, csv, or text separated by blanks for any other format.
 
@@ -78,13 +93,7 @@ def write_points(points: DataFrame, path: str, *, fmt: str = "auto", order: str
     fmt = PurePosixPath(path).suffix.lower().lstrip(".") if fmt == "auto" else fmt.lower()
     rows = points.orderBy(order).select(*[F.col(a).cast("double").alias(a) for a in "xyz"])
     if fmt in ("npy", "npz"):
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1).astype("<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in data], pa.binary())], ["record"])
-
-        _write_ranges(rows.mapInArrow(pack, "record binary"), path if path.endswith(".npy") else f"{path}.npy", _npy_head)
+        write_packed(rows, path if path.endswith(".npy") else f"{path}.npy", dict.fromkeys("xyz", "<f8"), _npy_head)
         return
     separator = "," if fmt == "csv" else " "
     line = F.concat(F.concat_ws(separator, *[F.printf(F.lit("%.10f"), a) for a in "xyz"]), F.lit("\n"))
@@ -141,4 +150,4 @@ def summary(totals: DataFrame, boxes: DataFrame) -> dict:
 
 
 def write_summary(path: str, report: dict) -> None:
-    Path(path).write_text(json.dumps(report, ensure_ascii=False, indent=2), encoding="utf-8")
+    files.write_whole(path, json.dumps(report, ensure_ascii=False, indent=2).encode())
