@@ -221,13 +221,13 @@ def test_minimax_cuts(seed):
     assert max(b - a for a, b in zip([0, *ends], ends, strict=False)) == minimax(sizes, k) and ends[-1] == prefix[-1]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_top_k(spark, block_bytes):
-    """With small blocks, queries and candidates go over a grid of several rows."""
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 200}, {"block_bytes": 100, "group_bytes": 200}, {"block_bytes": 100, "group_bytes": 100, "place_bytes": 500}, {"place_bytes": 700}])
+def test_top_k(spark, sizes):
+    """With small sizes, queries and candidates go over grids of several rows, of several columns, of more rows than shuffle partitions, and rows have several blocks."""
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(300)] + [(i, [1.0] * 6) for i in range(300, 360)]
     rows += [(400, None), (450, [float("nan")] * 6), (451, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, [9.0] * 6), (500, [1e200] * 6), (501, [-1e200] * 6), (50, rows[50][1]), (600, [1.0, 2.0]), (601, [2.0, 1.0])]
-    got = exact_top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").repartition(5), F.col("vec_id") % 50 == 0, block_bytes=block_bytes).collect()
+    got = exact_top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").repartition(5), F.col("vec_id") % 50 == 0, **sizes).collect()
     sound = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v and not any(x is None or not np.isfinite(x) for x in v)}
     clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
     want = []

@@ -21,6 +21,8 @@ from .common import bounded_batches, checkpoint, shuffle_partitions
 
 #: Bytes of a packed block or tile, rows of a product's two sides, and lists merged at once.
 BLOCK_BYTES, BLOCK_ROWS, TILE_ROWS, FAN = 1 << 20, 2048, 2048, 64
+#: Bytes of queries in a row of the grid, and of candidates in one of its places: so often is each candidate, and each query, copied.
+GROUP_BYTES, PLACE_BYTES = 32 << 20, 256 << 20
 _EXACT = float(1 << 53)
 
 
@@ -131,7 +133,7 @@ def _lists(running: dict, part: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[i * BLOCK_ROWS + rows]), pa.array(ids), pa.array(scores), pa.array(np.full(len(rows), part))], ["query_id", "vec_id", "score", "part"])
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES, place_bytes: int = PLACE_BYTES) -> DataFrame:
     """For each query (a row that is_query holds for) its k best candidates: query_id, rank from 1, vec_id, score.
 
     Candidates are all rows with another id. Components become floor(256 * x); the score is their
@@ -148,11 +150,14 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     rows = given.select(F.col(id_col).cast("long").alias("id"), value.alias("vector"))
     asked = given.filter(is_query).select(F.col(id_col).cast("long").alias("id"), value.alias("vector")).distinct()
     bounded_batches(vectors.sparkSession)
+    n_rows, n_asked, width = given.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.size(value))).first()
+    in_bytes = lambda n: n * 8 * max(1, width or 0)
+    # the grid follows the data: rows by the bytes of queries, columns so that no place has too many candidates and all tasks have some
+    rows_of_grid = max(1, -(-in_bytes(n_asked) // group_bytes))
+    columns = max(1, -(-shuffle_partitions(vectors.sparkSession) // rows_of_grid), -(-in_bytes(n_rows) // place_bytes))
     # queries are some of the rows, so they are brought together before they are packed
-    count, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    rows_of_grid = max(1, -(-count * 8 * max(1, width or 0) // block_bytes))
-    columns = max(1, shuffle_partitions(vectors.sparkSession) // rows_of_grid)
-    blocks = asked.repartition(rows_of_grid, F.xxhash64("id", "vector")).mapInArrow(_pack(block_bytes), _PACKED)
+    n_blocks = max(1, -(-in_bytes(n_asked) // block_bytes))
+    blocks = asked.repartition(n_blocks, F.xxhash64("id", "vector")).mapInArrow(_pack(block_bytes), _PACKED)
     tiles = rows.mapInArrow(_pack(block_bytes), _PACKED)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     blocks = blocks.select(F.pmod(F.xxhash64("number"), F.lit(rows_of_grid)).cast("int").alias("r"), every(columns).alias("c"), "n", F.col("number").alias("block"), F.col("ids").alias("asked"), F.col("vectors").alias("queries"))
