@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def clear_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of steps that nothing refers to any more.
+
+    Spark does so when the driver's heap is collected, which a small heap may not be for long,
+    while the disks of the executors fill; so a collection is asked for after large steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

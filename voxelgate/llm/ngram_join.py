@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, shuffle_partitions, slices, tidy
+from .common import bounded_batches, checkpoint, clear_shuffles, shuffle_partitions, slices, tidy
 from .components import connected_components
 from .words import distinct_words
 
@@ -266,8 +266,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = dealt.repartition(fragments, "fragment").mapInArrow(tidy(_count_shared), f"batch long, owner binary, count binary, {_HEAD_SQL}")
     sums = max(shuffle_partitions(spark), -(-fragments // _FRAGMENTS_A_SUM))
     rows = checkpoint(shared.repartition(sums, "batch").mapInArrow(tidy(_sum_shared(percent)), "id long, n long, digest binary, alive boolean"))
-    # nothing refers to their shuffles any more, so Spark can clear them while the rest runs
+    # nothing refers to their shuffles any more, and the rest needs the disk
     del dealt, shared
+    clear_shuffles(spark)
     classes = rows.filter("id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max("alive").alias("alive"))
     classes = checkpoint(classes.filter("alive OR members > 1"))
     wanted = classes.filter("alive").select(F.col("rep").alias("id"), "digest", "rep")
@@ -277,6 +278,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # repeated rows give a set twice
     sets = checkpoint(texts.groupBy("digest").agg(F.first("rep").alias("rep"), F.first("grams").alias("grams"), F.first("bits").alias("bits")))
     del texts, wanted
+    clear_shuffles(spark)
     sets = sets.select(F.monotonically_increasing_id().alias("c"), "digest", "rep", F.size("grams").cast("long").alias("n"), "grams", "bits")
     labels = _classes(sets.select("c", "n", "grams", "bits"), percent)
     labels = checkpoint(labels) if links else labels
@@ -369,9 +371,11 @@ def _lists(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     frequent = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     placed = grams.join(frequent, "g").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("order"))
     placed = checkpoint(placed)
+    clear_shuffles(sets.sparkSession)
     band = sum(((F.col("x.f") > e).cast("int") for e in _FREQUENCY_ENDS), F.lit(0))
     parts = placed.select("c", F.explode("order").alias("x")).groupBy("c", band.alias("fragment")).agg(F.collect_list("x.g").alias("grams"))
     parts = checkpoint(parts)
+    clear_shuffles(sets.sparkSession)
     # n-grams of one set alone come first in the order and have no list
     alone = F.col("n") - F.size("order")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - alone
