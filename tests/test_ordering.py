@@ -82,9 +82,10 @@ def test_components_across_tiles(spark, few):
         rows += [(frame, x, y, n, "kept") for (x, y), n in names.items()]
         want |= {(frame, *c): k for c, k in plain_components(names).items()}
     cells = spark.createDataFrame(rows, "frame_id int, gx long, gy long, first long, more string").repartition(3)
-    found = components.connect_cells(cells, tile=8, few=few)
+    found = components.connect_cells(cells, tile=8, few=few, few_cells=0)
     assert found.columns == [*cells.columns, "component"]
     assert {(r.frame_id, r.gx, r.gy): r.component for r in found.collect()} == want
+    assert {(r.frame_id, r.gx, r.gy): r.component for r in components.connect_cells(cells).collect()} == want
     assert components.connect_cells(cells.limit(0), tile=8, few=few).count() == 0
     assert {r.component for r in components.connect_cells(cells.filter("frame_id = 2 AND gx = 0")).collect()} == {n for f, x, _, n, _ in rows if f == 2 and x == 0}
 

@@ -1,4 +1,4 @@
-"""Connected ground cells of frames of any size: within tiles first, then across their borders."""
+"""Connected ground cells of frames of any size: small frames as they are, larger ones within tiles first, then across their borders."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import checkpoint
 
-#: Side of a tile in cells; so a task holds at most its square at once.
+#: Cells up to which a frame is one group.
+FEW_CELLS = 100_000
+#: Side of a tile in cells; of a frame with more cells a group holds at most its square.
 TILE = 64
 #: Links of a frame across borders that one task joins; of a frame with more they are joined round by round.
 FEW_LINKS = 500_000
@@ -42,16 +44,20 @@ def label_cells(cells: pd.DataFrame) -> np.ndarray:
     return np.array([sets.find(i) for i in range(len(cells))], np.int64)
 
 
-def _within_tiles(cells: DataFrame, frame: str, name: str, tile: int) -> DataFrame:
-    """cells with a column part: the least name of the cells that are connected within the tile."""
+def _labelled(cells: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """cells with a column part: the least name of the cells of the same keys that are connected."""
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(name, ignore_index=True)
         return pdf.assign(part=pdf[name].to_numpy()[label_cells(pdf)])
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
+    return cells.groupBy(*keys).applyInPandas(label, f"{schema}, part {cells.schema[name].dataType.simpleString()}")
+
+
+def _within_tiles(cells: DataFrame, frame: str, name: str, tile: int) -> DataFrame:
     tiled = cells.withColumns({"_tx": F.floor(F.col("gx") / tile), "_ty": F.floor(F.col("gy") / tile)})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiled.schema.fields)
-    return tiled.groupBy(frame, "_tx", "_ty").applyInPandas(label, f"{schema}, part {cells.schema[name].dataType.simpleString()}")
+    return _labelled(tiled, [frame, "_tx", "_ty"], name)
 
 
 def _across_borders(cells: DataFrame, frame: str, tile: int) -> DataFrame:
@@ -89,8 +95,11 @@ def _joined_by_rounds(links: DataFrame, frame: str) -> DataFrame:
     return known
 
 
-def connect_cells(cells: DataFrame, frame: str = "frame_id", name: str = "first", tile: int = TILE, few: int = FEW_LINKS) -> DataFrame:
+def connect_cells(cells: DataFrame, frame: str = "frame_id", name: str = "first", tile: int = TILE, few: int = FEW_LINKS, few_cells: int = FEW_CELLS) -> DataFrame:
     """cells (frame, gx, gy, name, which is unique in a frame, and more) with a column component: the least name of all connected cells of the frame."""
+    cells = checkpoint(cells)
+    if (cells.groupBy(frame).count().agg(F.max("count")).first()[0] or 0) <= few_cells:
+        return _labelled(cells, [frame], name).withColumnRenamed("part", "component")
     parts = checkpoint(_within_tiles(cells, frame, name, tile))
     links = checkpoint(_across_borders(parts, frame, tile))
     most = links.groupBy(frame).count().agg(F.max("count")).first()[0]
