@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_ngram_join": "doc_id n_shingles component_id n_links",
     "op9_quality": "doc_id held_out score predicted",
     "op10_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12_collocations": "lang rank phrase a l r n score",
+    "op13_line_dedup": "doc_id n_lines n_dropped kept_sha256",
 }
 
 
@@ -36,6 +39,7 @@ def folder(spark, tmp_path_factory):
     for i in range(80):
         lang = "aa" if i % 2 else "bb"
         rows.append((i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(3, 60))), lang))
+    rows += [(200 + i, f"New York City is large. A line that is in many texts\nnumber {i}", "aa") for i in range(120)]
     rows += [(100, rows[0][1].replace(" ", "\t"), "bb"), (101, rows[1][1] + " end", "aa"), (102, None, "aa"), (103, "", None), (104, "12 ² ½ ① !", None), (105, "mail a@b.cc from 10.0.0.1\nunder the MIT  License", "aa"), (106, "x" * 20_000, None)]
     TEXTS.update({i: t for i, t, _ in rows})
     spark.createDataFrame([(i, t, k, "src", len(t or "")) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
@@ -65,7 +69,7 @@ def crc(i):
 
 def same_as_sql(rows, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     want = con.execute(queries.SQL[name])
     order = [COLUMNS[name].split().index(d[0]) for d in want.description]
