@@ -222,6 +222,22 @@ def read_entry(e: Column, name: str) -> Column:
     return bound(F.struct(c.alias("c"), s.alias("s"), y.alias("y"), label.alias("label")), lambda r: F.struct(ok(r).alias("ok"), *sides(r), r["y"].alias("yaw"), r["label"].alias("label")))
 
 
+#: Bytes of payloads that a task can read without being one of few: a payload's rows cost far more than its bytes.
+_TASK_BYTES = 4 << 20
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows, dealt to all cores where they are so few bytes that one or two tasks would read them all.
+
+    What is shuffled for it is at most _TASK_BYTES a core; larger tables and streams are left as they are split.
+    """
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size <= cores * _TASK_BYTES else rows
+
+
 def parse_boxes(rows: DataFrame, payload: str, name: str = "core", skip_invalid: bool = True) -> DataFrame:
     """rows with a JSON column to one row for each box: the other columns, box_id (place in the payload), cx..h, yaw, label.
 
@@ -238,5 +254,5 @@ def parse_boxes(rows: DataFrame, payload: str, name: str = "core", skip_invalid:
             return F.filter(read, lambda r: r["b"]["ok"])
         return F.filter(read, lambda r: F.when(r["b"]["ok"], F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("this entry is no box: "), r["text"])).cast("boolean")))
 
-    out = rows.select(*others, F.explode(bound(document(F.col(payload)), boxes)).alias("_r"))
+    out = _dealt(rows).select(*others, F.explode(bound(document(F.col(payload)), boxes)).alias("_r"))
     return out.select(*others, "_r.box_id", *[f"_r.b.{c}" for c in ("cx", "cy", "cz", "l", "w", "h", "yaw", "label")])
