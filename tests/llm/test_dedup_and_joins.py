@@ -237,3 +237,27 @@ def test_top_k(spark, sizes):
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_top_k_broadcasts_no_copies(spark, monkeypatch, tmp_path):
+    """Queries that are few before they are copied for each place of the grid don't pass the driver."""
+    from voxelgate.llm import top_k
+
+    rng, plans, real = np.random.default_rng(3), [], top_k.checkpoint
+
+    def spy(df):
+        out = real(df)
+        plans.append(df._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(top_k, "checkpoint", spy)
+    vectors = rng.normal(0, 1, (3000, 8)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/v")
+    got = exact_top_k(spark.read.parquet(f"{tmp_path}/v"), F.col("vec_id") % 50 == 0).collect()
+    assert plans and not any("Broadcast" in p for p in plans)
+    whole = np.floor(256 * vectors.astype(np.float64)).astype(np.int64)
+    want = []
+    for q in range(0, 3000, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == want
