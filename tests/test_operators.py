@@ -282,3 +282,26 @@ def test_scene_document(spark):
     assert doc["frames"][0]["objects"][0]["label"] == "car" and len(doc["bev"]["clean"]) % 3 == 0
     doc = json.loads(document(accumulate(points, voxel_size=2.0)).first()["document"])
     assert doc["meta"]["input_points"] == 150 and "objects" not in doc["frames"][0]
+
+
+def test_crowded_boxes(spark, monkeypatch):
+    """Of boxes over each other a cell lists few, however many there are, and the result is that of brute force."""
+    rng = np.random.default_rng(11)
+    given = [(0, k, *map(float, rng.uniform(-4, 4, 2)), float(rng.uniform(-0.5, 0.5)), 4.0, 3.0, float(rng.uniform(0.5, 3)), float(rng.uniform(-4, 4)), "b") for k in range(400)]
+    given += [(0, 1000 + k, *r[2:]) for k, r in enumerate(given[:200])] + [(1, 9, 0.0, 0.0, 0.0, 300.0, 2.0, 2.0, 0.7, None)]
+    rows = [(f, i, *map(float, rng.uniform(-8, 8, 2)), float(rng.uniform(-2.5, 2.5))) for i, f in enumerate(rng.integers(0, 2, 500).tolist())]
+    points, boxes = spark.createDataFrame(rows, POINTS).checkpoint(), spark.createDataFrame(given, BOXES).checkpoint()
+    monkeypatch.setattr(crop, "CROWDED", 16)
+    listed, cell = crop.prepare(points, boxes, crop.MARGIN, "frame_id", crop.CELL)
+    assert cell < crop.CELL
+    at = points.selectExpr("frame_id", f"floor(x / {cell}) AS _gx", f"floor(y / {cell}) AS _gy")
+    pairs = at.join(listed, ["frame_id", "_gx", "_gy"]).count()
+    monkeypatch.setattr(crop, "CROWDED", 1 << 30)
+    coarse, side = crop.prepare(points, boxes, crop.MARGIN, "frame_id", crop.CELL)
+    plain = points.selectExpr("frame_id", f"floor(x / {side}) AS _gx", f"floor(y / {side}) AS _gy").join(coarse, ["frame_id", "_gx", "_gy"]).count()
+    assert pairs * 10 < plain
+    monkeypatch.setattr(crop, "CROWDED", 16)
+    key = lambda df: sorted((r.frame_id, r.point_id) for r in df.collect())
+    want = sorted(brute_crop(rows, given, crop.MARGIN))
+    assert key(crop.remove_points(points, boxes)) == want and 0 < len(want) < len(rows)
+    assert key(crop.mark_points(points, boxes).filter("keep")) == want
