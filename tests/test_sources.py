@@ -256,3 +256,33 @@ def test_synthetic_scene(spark):
     box = spark.createDataFrame([("000000", *CAR_BOX.values())], "frame_id string, cx double, cy double, cz double, l double, w double, h double, yaw double, label string")
     removed = mark_points(points, box).filter(~F.col("keep")).count()
     assert points.count() == 5500 and 500 <= removed < 700
+
+
+def test_messages_are_packed_in_parts(spark):
+    """No worker gets a whole frame: its points are packed part by part, and the message has them in order."""
+    n = 30_000
+    points = spark.range(n).selectExpr("'a' AS frame_id", f"{n} - 1 - id AS point_id", "CAST(id AS DOUBLE) AS x", "1.0D AS y", "2.0D AS z").repartition(3)
+    most = spark.sparkContext.accumulator([], pointcloud2_sizes())
+
+    def pack(frame, part):
+        most.add([len(part)])
+        return part[["x", "y", "z"]].to_numpy().astype("<f4").tobytes()
+
+    sent = pointcloud2.gather(points, "point_id", pack).collect()
+    assert [(r.frame_id, r.width, len(r.data)) for r in sent] == [("a", n, 12 * n)] and max(most.value) <= 10_000
+    got = pointcloud2.unpack(n, 1, 12, False, [{"name": a, "offset": 4 * i, "datatype": 7, "count": 1} for i, a in enumerate("xyz")], sent[0].data)
+    assert got[:, 0].tolist() == [float(i) for i in reversed(range(n))]
+    assert sorted(tuple(r) for r in pointcloud2.decode(pointcloud2.encode(points)).select("point_id", "x").collect()) == [(i, float(n - 1 - i)) for i in range(n)]
+
+
+def pointcloud2_sizes():
+    from pyspark.accumulators import AccumulatorParam
+
+    class Sizes(AccumulatorParam):
+        def zero(self, value):
+            return []
+
+        def addInPlace(self, a, b):
+            return a + b
+
+    return Sizes()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Scalar types of message fields by their number. Fixed values.
 FIELD_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 8: "f8"}
@@ -17,10 +21,16 @@ MESSAGE = "frame_id string, width int, height int, point_step int, is_bigendian
 FIELDS = ("width", "height", "point_step", "is_bigendian", "fields", "data")
 
 
-def unpack(width: int, height: int, step: int, big: bool, fields: list, data: bytes) -> np.ndarray:
-    """The x, y, z of one message; without width or height there are none."""
+#: The fields of a cloud of three 32-bit floats.
+_PLAIN = "array(" + ", ".join(f"named_struct('name', '{a}', 'offset', {4 * i}, 'datatype', 7, 'count', 1)" for i, a in enumerate("xyz")) + ")"
+#: Points of a message that are read at once.
+SLICE = 1 << 16
+
+
+def _records(width: int, height: int, step: int, big: bool, fields: list, data: bytes | pa.Buffer) -> np.ndarray:
+    """The points of one message as records that lie in its data; without width or height there are none."""
     if width <= 0 or height <= 0:
-        return np.zeros((0, 3))
+        return np.zeros(0, [(a, "f8") for a in "xyz"])
     by_name = {f["name"]: f for f in fields}
     missing = [a for a in "xyz" if a not in by_name]
     if missing:
@@ -38,33 +48,58 @@ def unpack(width: int, height: int, step: int, big: bool, fields: list, data: by
     n = width * height
     if len(data) < n * step:
         raise ValueError(f"a packed cloud of {n} points ends before the last")
-    got = np.frombuffer(data, np.dtype(parts), n)
+    return np.frombuffer(data, np.dtype(parts), n)
+
+
+def unpack(width: int, height: int, step: int, big: bool, fields: list, data: bytes) -> np.ndarray:
+    """The x, y, z of one message."""
+    got = _records(width, height, step, big, fields, data)
     return np.stack([got[a].astype(np.float64) for a in "xyz"], axis=1)
 
 
 def decode(messages: DataFrame) -> DataFrame:
     """Messages (MESSAGE) to frame_id, point_id, x, y, z."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for m in pdf.itertuples():
-                xyz = unpack(m.width, m.height, m.point_step, m.is_bigendian, list(m.fields), m.data)
-                yield pd.DataFrame({"frame_id": m.frame_id, "point_id": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                m = {c: batch.column(c)[i] for c in ("frame_id", *FIELDS)}
+                got = _records(*[m[c].as_py() for c in FIELDS[:-1]], m["data"].as_buffer())
+                for at in range(0, len(got), SLICE):
+                    part = got[at : at + SLICE]
+                    yield pa.record_batch({"frame_id": pa.repeat(m["frame_id"], len(part)), "point_id": pa.array(np.arange(at, at + len(part))), **{a: pa.array(part[a].astype(np.float64)) for a in "xyz"}})
 
-    return messages.select("frame_id", *FIELDS).mapInPandas(run, "frame_id string, point_id long, x double, y double, z double")
+    return messages.select("frame_id", *FIELDS).mapInArrow(run, "frame_id string, point_id long, x double, y double, z double")
 
 
-def encode(points: DataFrame, frames: DataFrame | None = None) -> DataFrame:
-    """One message for each frame, with x, y, z as 32-bit floats. frames (frame_id) adds those without points."""
-    fields = [{"name": a, "offset": 4 * i, "datatype": 7, "count": 1} for i, a in enumerate("xyz")]
+def gather(points: DataFrame, order: str, pack: Callable[[object, pd.DataFrame], bytes]) -> DataFrame:
+    """frame_id, width and data of each frame: the bytes that pack makes of its points by order.
+
+    pack gets a frame's id and some of its points at a time; only bytes meet in one place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            runs, rows, at = pc.run_end_encode(batch.column("frame_id")), batch.drop_columns(["frame_id"]).to_pandas(), 0
+            for end, frame in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+                part, at = rows.iloc[at:end], end
+                yield pa.record_batch({"frame_id": pa.array([frame], batch.schema.field("frame_id").type), "place": pa.array([place]), "n": pa.array([len(part)], pa.int64()), "part": pa.array([pack(frame, part)], pa.binary())})
+                place += 1
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf.sort_values("point_id")[["x", "y", "z"]].to_numpy().astype("<f4").tobytes()
-        return pd.DataFrame({"frame_id": [pdf["frame_id"].iloc[0]], "width": [len(pdf)], "height": [1], "point_step": [12], "is_bigendian": [False], "fields": [fields], "data": [data]})
+    kind = points.schema["frame_id"].dataType.simpleString()
+    dealt = points.repartitionByRange("frame_id", order).sortWithinPartitions("frame_id", order)
+    parts = dealt.mapInArrow(run, f"frame_id {kind}, place long, n long, part binary")
+    return parts.groupBy("frame_id").agg(F.sum("n").cast("int").alias("width"), F.expr("listagg(part) WITHIN GROUP (ORDER BY place)").alias("data"))
 
-    out = points.select("frame_id", "point_id", "x", "y", "z").groupBy("frame_id").applyInPandas(pack, MESSAGE)
+
+def encode(points: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """One message for each frame, with x, y, z as 32-bit floats. frames (frame_id) adds those without points."""
+    pack = lambda _, part: part[["x", "y", "z"]].to_numpy().astype("<f4").tobytes()
+    sent = gather(points.select("frame_id", "point_id", "x", "y", "z"), "point_id", pack)
+    out = sent.selectExpr("CAST(frame_id AS STRING) AS frame_id", "width", "1 AS height", "12 AS point_step", "false AS is_bigendian", f"{_PLAIN} AS fields", "data")
     if frames is None:
         return out
     bare = frames.select("frame_id").distinct().join(out, "frame_id", "left_anti")
-    empty = bare.selectExpr("frame_id", "0 AS width", "1 AS height", "12 AS point_step", "false AS is_bigendian", "array(named_struct('name','x','offset',0,'datatype',7,'count',1),named_struct('name','y','offset',4,'datatype',7,'count',1),named_struct('name','z','offset',8,'datatype',7,'count',1)) AS fields", "X'' AS data")
+    empty = bare.selectExpr("frame_id", "0 AS width", "1 AS height", "12 AS point_step", "false AS is_bigendian", f"{_PLAIN} AS fields", "X'' AS data")
     return out.unionByName(empty)
