@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -234,6 +235,47 @@ def test_guards():
     assert found == {"a b": 2, "b a": 1, "b": 4}
 
 
+@pytest.mark.parametrize("words", [3, 300, 70_000])
+def test_word_codes_match_whole_words_only(words):
+    """With two digits and with three: matches of codes are those of letters, and no other."""
+    rng = random.Random(words)
+    known = [f"w{i}" for i in range(words)]
+    phrases = [*known, *{" ".join(rng.choice(known[:40]) for _ in range(rng.randrange(2, 6))) for _ in range(300)}]
+    texts = [b"\n".join(" ".join(rng.choice([*known[:40], "w", "new", "w1w2"]) for _ in range(rng.randrange(12))).encode() for _ in range(50)) for _ in range(4)]
+    codes, read = co.WordCodes(pa.array(phrases)), co.Words(texts)
+    coded = codes.coded(codes.places(read.known)[read.codes], read.piece)
+    automaton, rows = co.compile_automata([("x", i) for i in range(len(phrases))], codes.phrases())["x"]
+    plain, names = co.compile_automata([("x", p) for p in phrases])["x"]
+    by_hand = Counter(names[i] for t in texts for _, i in plain.iter(co.guarded(t)))
+    assert codes.digits == (3 if words > 65_536 else 2)
+    assert Counter(phrases[rows[i]] for _, i in automaton.iter(coded)) == by_hand
+
+
+def test_phrases_of_six_megabytes_take_one_scan(spark, monkeypatch):
+    """Scans of all texts don't grow with every 4 MB of phrases."""
+    words = [f"w{i:06d}" for i in range(1000)]
+    wanted = spark.createDataFrame([("x", " ".join([a, b])) for a in words[:600] for b in words[:700]], "lang string, phrase string")
+    texts = spark.createDataFrame([("x", " ".join(words)), ("x", " ".join(words[:3]))], "lang string, text string")
+    packed, scans = co._packed, []
+    monkeypatch.setattr(co, "_packed", lambda table: scans.append(len(table)) or packed(table))
+    counted = co.count_phrases(texts, wanted)
+    assert scans == [420_000]
+    assert {(r.phrase, r.f) for r in counted.collect()} == {(f"{a} {b}", 2 if i < 2 else 1) for i, (a, b) in enumerate(zip(words[:600], words[1:601], strict=True))}
+
+
+def test_sent_phrases_are_remembered():
+    """Runs of hashes are merged a few times only, and all of them are found again."""
+    rng, sent, seen = np.random.default_rng(3), co._Sent(), set()
+    for _ in range(200):
+        first = rng.integers(0, 5000, 60).astype(np.uint64)
+        assert [int(x) not in seen for x in first] == sent.new(first, first * np.uint64(3)).tolist()
+        new = sent.new(first, first * np.uint64(3))
+        sent.add(first[new], first[new] * np.uint64(3))
+        seen |= {int(x) for x in first}
+    assert len(sent) == len(seen) and len(sent.runs) < 14
+    assert sent.new(np.array([*seen], np.uint64)[:5], np.zeros(5, np.uint64) + np.uint64(1)).all()
+
+
 def test_long_texts_are_cut_between_pieces():
     text = b"\n".join(b"w%d x" % i for i in range(1000)) + b"\n" + b"y" * 5000 + b"\nend"
     parts = list(co._cut(text, 300))

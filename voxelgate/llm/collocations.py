@@ -1,9 +1,10 @@
 """Phrases whose words stand together more often than chance, by language.
 
 A count-min sketch of all phrases gives an upper bound of each one's count. Phrases whose bound
-reaches the least count are candidates; they are compiled into Aho-Corasick automata, guarded by a
-delimiter at both ends, which scan the texts and count all matches, overlapping ones too. The sums
-are exact counts, and everything after that is joins and windows over them.
+reaches the least count are candidates; they are compiled into Aho-Corasick automata, which scan the
+texts and count all matches, overlapping ones too. Automata and texts have a short code for each word
+instead of its letters, so one automaton holds many phrases. The sums are exact counts, and everything
+after that is joins and windows over them.
 
 The sketch is never in one place while it is counted: tasks send sorted cells of a block with
 their counts, and each block is summed by itself. What is broadcast is one bit for each cell (whose
@@ -15,7 +16,7 @@ candidates need). So memory is bounded at every size, and a larger corpus takes
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from operator import itemgetter
 
 import ahocorasick
@@ -36,8 +37,10 @@ ROWS = 2
 BLOCK = 1 << 16
 #: Cells that a task gathers before it sends their counts.
 _GATHERED = 1 << 22
-#: Phrases of one automaton, in bytes.
-AUTOMATON_BYTES = 4 << 20
+#: Phrases of one automaton, in bytes of their letters.
+AUTOMATON_BYTES = 20 << 20
+#: A code's digits are letters of so many at most, each digit from a range of its own; what is in no phrase is a blank.
+_DIGITS, _BLANK = 256, 0x20
 
 #: Scanning tasks for each core of the cluster.
 TASKS_PER_CORE = 2
@@ -186,24 +189,40 @@ def _summer(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 class _Sent:
-    """What a task has sent already, by two hashes of 64 bits; where the first of them is that of another phrase, it is sent again."""
+    """What a task has sent already, by two hashes of 64 bits; where the first of them is that of another phrase, it may be sent again.
+
+    The hashes are sorted runs, each more than twice as long as the next, so that each is merged a few times only.
+    """
 
     def __init__(self):
-        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __len__(self) -> int:
+        return sum(len(first) for first, _ in self.runs)
 
     def new(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        if not len(self.first):
-            return np.ones(len(first), bool)
-        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
-        return (self.first[at] != first) | (self.second[at] != second)
+        out = np.ones(len(first), bool)
+        for firsts, seconds in self.runs:
+            left = np.flatnonzero(out)
+            at = np.minimum(np.searchsorted(firsts, first[left]), len(firsts) - 1)
+            out[left] = (firsts[at] != first[left]) | (seconds[at] != second[left])
+        return out
 
     def add(self, first: np.ndarray, second: np.ndarray) -> None:
-        self.first, once = np.unique(np.concatenate([self.first, first]), return_index=True)
-        self.second = np.concatenate([self.second, second])[once]
+        if not len(first):
+            return
+        while True:
+            first, once = np.unique(first, return_index=True)
+            second = second[once]
+            if not self.runs or len(self.runs[-1][0]) > 2 * len(first):
+                break
+            firsts, seconds = self.runs.pop()
+            first, second = np.concatenate([firsts, first]), np.concatenate([seconds, second])
+        self.runs.append((first, second))
 
 
 #: Phrases that a task remembers to have sent; beyond it begins anew.
-_REMEMBERED = 1 << 21
+_REMEMBERED = 1 << 22
 
 
 def _finder(bits, cells: int, number: int, rounds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -229,7 +248,7 @@ def _finder(bits, cells: int, number: int, rounds: int) -> Callable[[Iterator[pa
                 firsts.append(first[new])
                 seconds.append(second[new])
             if got:
-                if len(sent.first) > _REMEMBERED:
+                if len(sent) > _REMEMBERED:
                     sent = _Sent()
                 sent.add(np.concatenate(firsts), np.concatenate(seconds))
                 yield pa.record_batch({"lang": pa.array([k for k, _ in got], pa.string()), "phrase": pa.array([p for _, p in got], pa.string())})
@@ -245,38 +264,84 @@ def guarded(text: bytes) -> str:
     return text.decode()
 
 
-def compile_automata(phrases: list[tuple[str, str]]) -> dict[str, tuple[ahocorasick.Automaton, list[str]]]:
-    """An automaton for each language, whose words give the place of a phrase in the language's list."""
-    by_lang: dict[str, list[str]] = {}
-    for lang, phrase in phrases:
-        by_lang.setdefault(lang, []).append(phrase)
-    out = {}
-    for lang, known in by_lang.items():
-        automaton = ahocorasick.Automaton()
-        for i, phrase in enumerate(known):
-            automaton.add_word(f" {phrase} ", i)
+class WordCodes:
+    """A code of as many digits for each word of some phrases. No code begins inside another, so that only whole words match."""
+
+    def __init__(self, phrases: pa.Array):
+        lists = pc.ascii_split_whitespace(phrases)
+        coded = lists.flatten().dictionary_encode()
+        self._phrases, self._ends = coded.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        self._places = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+        self.digits = 2 if len(self._places) <= _DIGITS**2 else 3
+        # no more letters than needed, as the automaton looks through a state's letters one by one
+        base = next(b for b in range(1, len(self._places) + 2) if b**self.digits >= len(self._places))
+        places = np.arange(len(self._places))
+        self._codes = np.stack([_DIGITS * (i + 1) + places // base ** (self.digits - 1 - i) % base for i in range(self.digits)], axis=1).astype(np.uint16)
+
+    def phrases(self) -> Iterator[str]:
+        """The codes of the phrases, in their order."""
+        plain, ends = self._codes[self._phrases].tobytes().decode("utf-16-le"), ((self._ends - self._ends[0]) * self.digits).tolist()
+        return (plain[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+    def places(self, known: list[str]) -> np.ndarray:
+        """The place of each word, or one beyond all where no phrase has it."""
+        return np.array([self._places.get(w, len(self._places)) for w in known], np.int64)
+
+    def coded(self, places: np.ndarray, pieces: np.ndarray) -> str:
+        """Words by their places as one text, with a blank before each piece and for each word that no phrase has."""
+        out = np.full((len(places), self.digits + 1), _BLANK, np.uint16)
+        real = places < len(self._places)
+        out[real, 1:] = self._codes[places[real]]
+        used = np.repeat(real[:, None], self.digits + 1, axis=1)
+        used[:, 0] = ~real | (np.diff(pieces, prepend=-1) != 0)
+        return out[used].tobytes().decode("utf-16-le")
+
+
+def compile_automata(phrases: Iterable[tuple[str, object]], coded: Iterable[str] | None = None) -> dict[str, tuple[ahocorasick.Automaton, list]]:
+    """An automaton for each language, whose words give the place of a phrase in the language's list.
+
+    coded: what is looked for instead of each phrase; without it, its letters between blanks, as in guarded texts.
+    """
+    if coded is None:
+        phrases = list(phrases)
+        coded = (f" {p} " for _, p in phrases)
+    by_lang: dict[str, tuple[ahocorasick.Automaton, list]] = {}
+    for (lang, phrase), code in zip(phrases, coded, strict=True):
+        if lang not in by_lang:
+            by_lang[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+        automaton, known = by_lang[lang]
+        automaton.add_word(code, len(known))
+        known.append(phrase)
+    for automaton, _ in by_lang.values():
         automaton.make_automaton()
-        out[lang] = automaton, known
-    return out
+    return by_lang
 
 
 def _scanner(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows lang, phrase, n of the phrases of sent that a task's texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = compile_automata(sent.value)
-        counts = {lang: np.zeros(len(known), np.int64) for lang, (_, known) in automata.items()}
-        for langs, texts in _batches(batches):
-            for lang, text in zip(langs, texts, strict=True):
-                if lang in automata:
-                    hits = np.fromiter(map(itemgetter(1), automata[lang][0].iter(guarded(text))), np.int64)
-                    if len(hits) * 8 > len(counts[lang]):
-                        counts[lang] += np.bincount(hits, minlength=len(counts[lang]))
-                    else:
-                        np.add.at(counts[lang], hits, 1)
+        table = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
+        phrases, langs = (pa.concat_arrays(table[c].cast(pa.large_string()).chunks or [pa.array([], pa.large_string())]) for c in ("phrase", "lang"))
+        codes, langs = WordCodes(phrases), langs.dictionary_encode()
+        names = langs.dictionary.to_pylist()
+        # phrases are known by their rows, as so many texts would fill the worker
+        automata = compile_automata(zip((names[i] for i in langs.indices.to_numpy()), range(len(phrases)), strict=True), codes.phrases())
+        automata = {lang: (automaton, np.array(rows)) for lang, (automaton, rows) in automata.items()}
+        counts = {lang: np.zeros(len(rows), np.int64) for lang, (_, rows) in automata.items()}
+        for in_langs, texts in _batches(batches):
+            words = Words(texts)
+            places = codes.places(words.known)[words.codes]
+            for lang in automata.keys() & set(in_langs):
+                mine = np.array([k == lang for k in in_langs])[words.text]
+                hits = np.fromiter(map(itemgetter(1), automata[lang][0].iter(codes.coded(places[mine], words.piece[mine]))), np.int64)
+                if len(hits) * 8 > len(counts[lang]):
+                    counts[lang] += np.bincount(hits, minlength=len(counts[lang]))
+                else:
+                    np.add.at(counts[lang], hits, 1)
         for lang, n in counts.items():
             for at in np.array_split(np.flatnonzero(n), max(1, len(n) // 10_000)):
-                yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "phrase": pa.array([automata[lang][1][i] for i in at], pa.string()), "n": pa.array(n[at])})
+                yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "phrase": phrases.take(pa.array(automata[lang][1][at])).cast(pa.string()), "n": pa.array(n[at])})
 
     return run
 
@@ -305,6 +370,13 @@ def candidates(texts: DataFrame, min_count: int, cells: int | None = None, round
     return out
 
 
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 def count_phrases(texts: DataFrame, wanted: DataFrame, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """lang, phrase, f: how often each phrase of wanted (distinct rows lang, phrase) occurs in its language's texts."""
     spark = texts.sparkSession
@@ -313,7 +385,7 @@ def count_phrases(texts: DataFrame, wanted: DataFrame, automaton_bytes: int = AU
     part = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, parts)))
     out = spark.createDataFrame([], "lang string, phrase string, f long")
     for i in range(parts):
-        sent = spark.sparkContext.broadcast([(r["lang"], r["phrase"]) for r in wanted.filter(part == i).collect()])
+        sent = spark.sparkContext.broadcast(_packed(wanted.filter(part == i).select("lang", "phrase").toArrow()))
         counted = checkpoint(texts.mapInArrow(tidy(_scanner(sent)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")))
         sent.destroy()
         out = counted if i == 0 else out.unionByName(counted)
