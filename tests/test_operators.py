@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelgate.functions.geometry import quaternion_matrix, voxel
 from voxelgate.operators import accumulate as acc
-from voxelgate.operators import align, clusters, crop, frames
+from voxelgate.operators import align, clusters, crop, frames, temporal
 from voxelgate.operators.temporal import keep_persistent
 from voxelgate.sources.boxes import poses_from_quaternions
 
@@ -305,3 +305,48 @@ def test_crowded_boxes(spark, monkeypatch):
     want = sorted(brute_crop(rows, given, crop.MARGIN))
     assert key(crop.remove_points(points, boxes)) == want and 0 < len(want) < len(rows)
     assert key(crop.mark_points(points, boxes).filter("keep")) == want
+
+
+def scene_points(spark, n=4000):
+    """Four frames, in which some coordinates are NaN or null."""
+    rows = "CAST(id % 4 AS INT) AS frame_id; id AS point_id; (id * 7 % 13) * 0.5D AS x; CASE WHEN id % 50 = 3 THEN double('NaN') ELSE (id * 3 % 11) * 0.5D END AS y; CASE WHEN id % 70 <> 5 THEN (id % 5) * 0.25D END AS z"
+    return spark.range(n).selectExpr(*rows.split("; "))
+
+
+def test_scene_figures_by_voxel_are_those_of_the_points(spark):
+    marked = temporal.keep_persistent(scene_points(spark), 1.0, 2, 2)
+    voxels = acc.by_voxel(marked)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(acc.frame_totals(voxels).select("frame_id", "input_points", "kept_points", "removed_points")) == rows(acc.per_frame(marked))
+    assert rows(acc.limits(voxels)) == rows(acc.limits(marked))
+    assert rows(acc.both_views(voxels)) == rows(acc.both_views(marked))
+    assert rows(acc.cumulative_voxels(voxels)) == rows(acc.cumulative_voxels(marked))
+    rounded = lambda df: rows(df.selectExpr("frame_id", *[f"round(c{a}, 9) AS c{a}" for a in "xyz"]))
+    assert rounded(acc.frame_totals(voxels)) == rounded(acc.centres(marked))
+
+
+def test_samples_of_parts_are_those_of_each_part(spark):
+    marked = temporal.keep_persistent(scene_points(spark), 1.0, 2, 2)
+    counts = acc.per_frame(marked)
+    for size in (5, 900, 0):
+        got = frames.sample_parts(marked, counts, size, 7)
+        for name, part in (("input", marked), ("kept", marked.filter("keep")), ("removed", marked.filter("NOT keep"))):
+            ids = lambda df: sorted(r.point_id for r in df.select("point_id").collect())
+            assert ids(got[name]) == ids(frames.sample_each_frame(part, size, 7))
+
+
+def test_few_voxels_leave_the_points_where_they_are(spark, monkeypatch):
+    points = scene_points(spark)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        near = temporal.keep_persistent(points, 1.0, 2, 2)
+        assert "BroadcastHashJoin" in plan(near) and "SortMergeJoin" not in plan(near)
+        monkeypatch.setattr(temporal, "_BROADCAST_VOXELS", 0)
+        far = temporal.keep_persistent(points, 1.0, 2, 2)
+        assert "BroadcastHashJoin" not in plan(far)
+        assert sorted(map(str, near.collect())) == sorted(map(str, far.collect()))
+    finally:
+        spark.conf.set(name, before)

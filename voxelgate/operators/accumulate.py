@@ -52,6 +52,25 @@ def per_frame(marked: DataFrame, frame: str = "frame_id") -> DataFrame:
     return marked.groupBy(frame).agg(total.alias("input_points"), kept.alias("kept_points"), (total - kept).alias("removed_points"))
 
 
+def by_voxel(marked: DataFrame, frame: str = "frame_id") -> DataFrame:
+    """For each voxel of each frame and for its kept and other points: how many there are, and the sums and bounds of their coordinates.
+
+    What a scene says about all points follows from these rows, so one pass over the points does.
+    """
+    sums = []
+    for a in "xyz":
+        sound = F.when(finite(a), F.col(a))
+        sums += [F.sum(a).alias(f"sum_{a}"), F.count(a).alias(f"n_{a}"), F.min(sound).alias(f"{a}min"), F.max(sound).alias(f"{a}max")]
+    return marked.groupBy(frame, *CELL, "keep").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def frame_totals(cells: DataFrame, frame: str = "frame_id") -> DataFrame:
+    """per_frame and centres, from the rows of by_voxel."""
+    total, kept = F.sum("n"), F.sum(F.when(F.col("keep"), F.col("n")).otherwise(0))
+    means = [F.try_divide(F.sum(f"sum_{a}"), F.sum(f"n_{a}")).alias(f"c{a}") for a in "xyz"]
+    return cells.groupBy(frame).agg(total.alias("input_points"), kept.alias("kept_points"), (total - kept).alias("removed_points"), *means)
+
+
 def most_removed(marked: DataFrame, frame: str = "frame_id") -> DataFrame:
     """The frame with most removed points, the first of equals."""
     return per_frame(marked, frame).orderBy(F.desc("removed_points"), frame).limit(1)
@@ -101,11 +120,11 @@ def merge_bounds(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def limits(points: DataFrame) -> DataFrame:
-    """Bounds of the finite coordinates to three decimals; without any, -1 to 1."""
+    """Bounds of the finite coordinates to three decimals; without any, -1 to 1. points may be the rows of by_voxel."""
     ends = []
     for a in "xyz":
-        sound = F.when(finite(a), F.col(a))
-        ends += [F.bround(F.coalesce(F.min(sound), F.lit(-EMPTY_BOUND)), 3).alias(f"{a}min"), F.bround(F.coalesce(F.max(sound), F.lit(EMPTY_BOUND)), 3).alias(f"{a}max")]
+        least, most = (F.col(f"{a}min"), F.col(f"{a}max")) if f"{a}min" in points.columns else [F.when(finite(a), F.col(a))] * 2
+        ends += [F.bround(F.coalesce(F.min(least), F.lit(-EMPTY_BOUND)), 3).alias(f"{a}min"), F.bround(F.coalesce(F.max(most), F.lit(EMPTY_BOUND)), 3).alias(f"{a}max")]
     return points.agg(*ends)
 
 

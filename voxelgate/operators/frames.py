@@ -36,6 +36,38 @@ def sample_points(points: DataFrame, size: int, seed: int, key: str = "point_id"
     return points.orderBy(sample_order(key, seed), key).limit(size)
 
 
+#: Frames whose counts are broadcast to the points (some 40 MB); more are joined by a shuffle.
+_BROADCAST_FRAMES = 1_000_000
+
+
+def sample_parts(marked: DataFrame, counts: DataFrame, size: int, seed: int, key: str = "point_id", frame: str = "frame_id") -> dict[str, DataFrame]:
+    """sample_each_frame of all points (input), of the kept and of the removed ones, in one pass over the points.
+
+    counts: frame, input_points, kept_points, removed_points. The bound of a point is that of its
+    own part, which is no less than that of all points.
+    """
+    parts = {"input": F.lit(True), "kept": F.col("keep"), "removed": ~F.col("keep")}
+    if size <= 0:
+        return {name: marked.filter(part) for name, part in parts.items()}
+    counts = checkpoint(counts.select(frame, *[f"{p}_points" for p in parts]))
+    order = sample_order(key, seed)
+    room, share = size + 6.0 * size**0.5 + 6.0, F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    known = F.broadcast(counts) if counts.count() <= _BROADCAST_FRAMES else counts
+    own = F.when(F.col("keep"), F.col("kept_points")).otherwise(F.col("removed_points"))
+    few = checkpoint(marked.join(known, frame).withColumn("_share", share).filter(F.col("_share") * own <= room))
+    out = {}
+    for name, part in parts.items():
+        n = F.col(f"{name}_points")
+        mine = few.filter(part & (F.col("_share") * n <= room)).select(*marked.columns)
+        got = mine.groupBy(frame).agg(F.count(F.lit(1)).alias("_got"))
+        short = checkpoint(counts.join(got, frame, "left").filter(F.coalesce("_got", F.lit(0)) < F.least(F.lit(size), n)).select(frame))
+        if not short.isEmpty():
+            mine = mine.join(short, frame, "left_anti").unionByName(marked.filter(part).join(short, frame, "left_semi"))
+        place = F.row_number().over(Window.partitionBy(frame).orderBy(sample_order(key, seed), key))
+        out[name] = mine.withColumn("_place", place).filter(F.col("_place") <= size).drop("_place")
+    return out
+
+
 def sample_each_frame(points: DataFrame, size: int, seed: int, key: str = "point_id", frame: str = "frame_id") -> DataFrame:
     """As sample_points, for each frame.
 

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import with_voxels
+from ..sources.shared import checkpoint
 from .ordering import ranked
 
 VOXEL_SIZE, WINDOW_SIZE, MIN_HITS = 0.10, 5, 3
 CELL = ["vx", "vy", "vz"]
+#: Voxels of frames that are broadcast to the points (some 60 MB); more are joined by a shuffle of the points.
+_BROADCAST_VOXELS = 500_000
 
 
 def check_settings(voxel_size: float, window_size: int, min_hits: int) -> None:
@@ -33,6 +36,7 @@ def voxel_hits(points: DataFrame, voxel_size: float = VOXEL_SIZE, window_size: i
 def keep_persistent(points: DataFrame, voxel_size: float = VOXEL_SIZE, window_size: int = WINDOW_SIZE, min_hits: int = MIN_HITS, frame: str = "frame_id") -> DataFrame:
     """All points with their voxel and a column keep. The first min_hits - 1 frames keep nothing."""
     check_settings(voxel_size, window_size, min_hits)
-    hits = voxel_hits(points, voxel_size, window_size, frame).select(frame, *CELL, "hits")
-    placed = with_voxels(points, voxel_size)
-    return placed.join(hits, [frame, *CELL]).withColumn("keep", F.col("hits") >= min_hits).drop("hits")
+    # points outnumber voxels by far where frames are dense, so they stay where they are if the voxels are few
+    seen = checkpoint(voxel_hits(points, voxel_size, window_size, frame).select(frame, *CELL, (F.col("hits") >= min_hits).alias("keep")))
+    few = seen.count() <= _BROADCAST_VOXELS
+    return with_voxels(points, voxel_size).join(F.broadcast(seen) if few else seen, [frame, *CELL])

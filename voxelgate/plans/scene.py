@@ -11,8 +11,9 @@ from ..functions.geometry import with_voxels
 from ..operators import accumulate as acc
 from ..operators.align import join_poses, move_boxes, move_points, origin, shift_origin
 from ..operators.crop import MARGIN, mark_points
-from ..operators.frames import object_list, sample_each_frame, sample_points
+from ..operators.frames import object_list, sample_each_frame, sample_parts, sample_points
 from ..operators.temporal import MIN_HITS, VOXEL_SIZE, WINDOW_SIZE, keep_persistent
+from ..sources.shared import checkpoint
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,9 @@ def document(run: Sequence, sample: int = 2500, seed: int = 7) -> DataFrame:
     write_scene is for any.
     """
     marked, size = run.marked, run.voxel_size
-    seen = acc.both_views(marked)
+    voxels = checkpoint(acc.by_voxel(marked))
+    totals = checkpoint(acc.frame_totals(voxels))
+    seen = checkpoint(acc.both_views(voxels))
     clean, ghost = acc.clean_view(seen), acc.ghost_view(seen)
     place = lambda rows: F.transform(F.array_sort(F.collect_list(rows)), lambda r: F.array(r["x"], r["y"], r["cells"].cast("double")))
     views = []
@@ -57,16 +60,15 @@ def document(run: Sequence, sample: int = 2500, seed: int = 7) -> DataFrame:
     bounds = acc.merge_bounds(acc.view_bounds(clean, size), acc.view_bounds(ghost, size)).select(F.struct("*").alias("bounds"))
     bev = views[0].crossJoin(views[1]).crossJoin(bounds).select(F.struct("bounds", "clean", "ghost", F.lit(size).alias("voxel_size"), "max_clean_count", "max_ghost_count").alias("bev"))
     xyz = F.transform(F.array_sort(F.collect_list(F.struct("point_id", "x", "y", "z"))), lambda p: F.array(*[F.bround(p[a], 3) for a in "xyz"]))
-    shown = lambda rows, name: sample_each_frame(rows, sample, seed).groupBy("frame_id").agg(F.flatten(xyz).alias(name))
-    frames = acc.per_frame(marked).join(acc.cumulative_voxels(marked), "frame_id").join(acc.centres(marked), "frame_id")
-    for name, rows in (("input", marked), ("kept", marked.filter("keep")), ("removed", marked.filter(~F.col("keep")))):
-        frames = frames.join(shown(rows, name), "frame_id", "left")
+    frames = totals.select("frame_id", "input_points", "kept_points", "removed_points").join(acc.cumulative_voxels(voxels), "frame_id").join(totals.select("frame_id", "cx", "cy", "cz"), "frame_id")
+    for name, rows in sample_parts(marked, totals, sample, seed).items():
+        frames = frames.join(rows.groupBy("frame_id").agg(F.flatten(xyz).alias(name)), "frame_id", "left")
     if run.boxes is not None:
         frames = frames.join(object_list(run.boxes, frame="frame_id"), "frame_id", "left")
     rest = [c for c in frames.columns if c not in ("cx", "cy", "cz")]
     listed = F.array_sort(F.collect_list(F.struct("frame_seq", F.struct(*rest).alias("f"), F.array("cx", "cy", "cz").alias("c"))))
     body = frames.agg(F.transform(listed, lambda r: r["f"]).alias("frames"), F.transform(listed, lambda r: r["c"]).alias("path"), F.sum("input_points").alias("input_points"), F.sum("kept_points").alias("kept_points"), F.sum("removed_points").alias("removed_points"))
-    limits = acc.limits(marked).select(F.struct("*").alias("limits"))
+    limits = acc.limits(voxels).select(F.struct("*").alias("limits"))
     whole = body.crossJoin(limits).crossJoin(bev)
     meta = F.struct("input_points", "kept_points", "removed_points", F.size("frames").alias("frame_count"))
     return whole.select(F.to_json(F.struct(meta.alias("meta"), "limits", "path", "bev", "frames")).alias("document"))
@@ -98,10 +100,11 @@ def write_scene(run: Sequence, folder: str, sample: int = 2500, seed: int = 7) -
     Nothing is gathered into one row, unlike in document.
     """
     marked = run.marked
-    seen = acc.both_views(marked)
-    per = acc.per_frame(marked).join(acc.cumulative_voxels(marked), "frame_id").join(acc.centres(marked), "frame_id")
+    voxels = checkpoint(acc.by_voxel(marked))
+    seen = acc.both_views(voxels)
+    per = acc.frame_totals(voxels).join(acc.cumulative_voxels(voxels), "frame_id")
     shown = sample_each_frame(marked, sample, seed).select("frame_id", "point_id", *[F.bround(a, 3).alias(a) for a in "xyz"], "keep")
-    parts = {"frames": per, "points": shown, "cells": acc.with_places(acc.merged_view(seen), run.voxel_size), "limits": acc.limits(marked)}
+    parts = {"frames": per, "points": shown, "cells": acc.with_places(acc.merged_view(seen), run.voxel_size), "limits": acc.limits(voxels)}
     if run.boxes is not None:
         parts["objects"] = run.boxes.select("frame_id", "box_id", "cx", "cy", "cz", "l", "w", "h", "yaw", "label")
     for name, rows in parts.items():
