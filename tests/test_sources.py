@@ -286,3 +286,18 @@ def pointcloud2_sizes():
             return a + b
 
     return Sizes()
+
+
+def test_lines_of_text_stay_where_they_are_read(spark, tmp_path):
+    """Lines of one file don't meet in one task, and their texts aren't sorted by file."""
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("z,y,x\n" * (i > 0) + "".join(f"{i},{j},{j * i}\n" for j in range(50)))
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "-1")
+    try:
+        rows = read_points(spark, f"{tmp_path}/*.csv", fmt="auto")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set(name, before)
+    assert sorted((r.x, r.y) for r in rows.filter("path LIKE '%0.csv'").collect()) == [(0.0, float(j)) for j in range(50)]
