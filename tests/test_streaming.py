@@ -2,6 +2,7 @@ import json
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from voxelgate.operators.temporal import keep_persistent
 from voxelgate.sources import pointcloud2, topics
 from voxelgate.streaming import pipeline
 from voxelgate.streaming.boxes import BoxBuffer, Message, parsed_boxes, read_messages, select_boxes
+from voxelgate.streaming import temporal
 from voxelgate.streaming.temporal import PersistenceWindow, filter_stream
 
 FRAME = "sensor string, frame_seq long, point_id long, x double, y double, z double"
@@ -89,6 +91,54 @@ def test_one_sensor_is_spread_and_its_state_is_bounded(spark, tmp_path):
     assert placed.count() > 8
 
 
+def test_ids_beyond_doubles_in_a_batch_that_closes_a_frame(spark, tmp_path):
+    rows = [("a", f, (1 << 53) + 1 + 2 * i, 0.5, 0.5, 0.5) for f in range(3) for i in range(4)]
+    stream = dealt_out(spark, tmp_path, [*([r for r in rows if r[1] == f] for f in range(3)), [END]])
+    got = [(r.sensor, r.frame_seq, r.point_id) for r in run(filter_stream(stream, 1.0, 3, 2, buckets=1), spark, "large_ids", tmp_path / "c")]
+    assert sorted(got) == [r[:3] for r in rows]
+
+
+class HeldState(dict):
+    """A map state of this process, with the size of its largest value."""
+
+    largest = 0
+
+    def updateValue(self, key, value):
+        self.largest = max(self.largest, *[len(v) for v in value if isinstance(v, bytes)])
+        self[key] = value
+
+    getValue, containsKey, removeKey = dict.__getitem__, dict.__contains__, dict.__delitem__
+
+
+class Held(dict):
+    def getMapState(self, name, key, value):
+        return self.setdefault(name, HeldState())
+
+
+def test_a_bucket_is_held_and_closed_in_pieces():
+    """Two frames of 300,000 points in one bucket, over two micro-batches; the third has 5 points in the one that closes it."""
+    rng = np.random.default_rng(4)
+    n = [300_000, 300_000, 5]
+    frames = [pd.DataFrame({"sensor": "a", "frame_seq": f, "bucket": 0, "point_id": range(n[f]), **{a: rng.uniform(-9, 9, n[f]) for a in "xyz"}}) for f in range(3)]
+    pieces = lambda *parts: temporal.pack(p[at : at + 10_000] for p in parts for at in range(0, len(p), 10_000))
+    told = pd.DataFrame({"sensor": "a", "frame_seq": [2, 0, 1], "bucket": 0, "points": None})
+    held, worker = Held(), temporal.PersistenceProcessor(0.5, 2, 2)
+    worker.init(held)
+    for f in (slice(0, 100_000), slice(100_000, None)):
+        assert not list(worker.handleInputRows(("a", 0), pieces(frames[1][f], frames[0][f]), None))
+    assert len(held["whole"]) == 8 and [k[0] for k in held["open"]] == [1, 0]
+    out = list(worker.handleInputRows(("a", 0), iter([told, *pieces(frames[2])]), None))
+    assert max(len(o) for o in out) <= 65_536 and max(held[k].largest for k in ("open", "whole")) <= 65_536 * 32
+    window = PersistenceWindow(0.5, 2, 2)
+    want = [window.push(p[["x", "y", "z"]].to_numpy()) for p in frames]
+    for f, keep in enumerate(want):
+        got = pd.concat([o for o in out if o["frame_seq"].iloc[0] == f]).sort_values("point_id")
+        assert got["point_id"].tolist() == list(range(n[f])) and (got["keep"].to_numpy() == keep).all()
+    assert 0 < want[1].sum() < n[1] and not held["open"] and not held["whole"] and sorted(held["seen"]) == [(1,), (2,)]
+    # what comes now is too late
+    assert not list(worker.handleInputRows(("a", 0), pieces(frames[0]), None)) and not held["open"] and not held["whole"]
+
+
 def test_window_skips_empty_frames():
     w = PersistenceWindow(1.0, 2, 2)
     a = np.array([[0.5, 0.5, 0.5]])
