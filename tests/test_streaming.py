@@ -375,3 +375,66 @@ def test_topic_to_topic_with_bounded_batches_and_a_restart(spark, tmp_path):
     assert go() == [2, 2]
     assert sorted(r.n for r in topics.read_topic(spark, out, NUMBERS).collect()) == list(range(12))
     assert go() == []
+
+
+POINTS = "frame_id string, point_id long, x double, y double, z double"
+
+
+def test_clouds_of_one_sensor_are_spread(spark, tmp_path):
+    """No task has all clouds of a sensor, only what tells them."""
+    sent = pointcloud2.encode(spark.createDataFrame([(str(k), i, float(i), 0.0, 0.0) for k in range(24) for i in range(3)], POINTS))
+    sent.selectExpr("'s' AS sensor", "CAST(frame_id AS BIGINT) AS cloud_id", "CAST(frame_id AS DOUBLE) AS arrival", "CAST(frame_id AS DOUBLE) AS stamp", f"struct({', '.join(pointcloud2.FIELDS)}) AS cloud").write.parquet(str(tmp_path / "k"))
+    spark.createDataFrame([("s", 1.0, 1.0, "[]")], "sensor string, arrival double, msg_stamp double, payload string").write.parquet(str(tmp_path / "m"))
+    read = lambda p: spark.readStream.schema(spark.read.parquet(str(p)).schema).parquet(str(p))
+    chosen = select_boxes(read(tmp_path / "k"), read_messages(read(tmp_path / "m")), carry=True)
+    found = []
+    chosen.writeStream.foreachBatch(lambda b, _: found.extend(b.filter("cloud IS NOT NULL").select("cloud_id", "cloud.width", F.spark_partition_id().alias("task")).collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.cloud_id, r.width) for r in found) == [(k, 3) for k in range(24)]
+    assert len({r.task for r in found}) > 1
+
+
+def test_a_cloud_is_cut_into_parts(spark):
+    """In the order of its points, with a head, and joined again; a frame without points has a head only."""
+    n = 2 * pointcloud2.PART + 5
+    points = spark.range(n).selectExpr("'a' AS frame_id", "id AS point_id", "CAST(id AS DOUBLE) AS x", "0.0D AS y", "1.0D AS z").unionByName(spark.createDataFrame([("b", 3, 7.0, 0.0, 0.0)], POINTS))
+    parts = pointcloud2.encode_parts(points, spark.createDataFrame([("a",), ("b",), ("c",)], "frame_id string"))
+    found = sorted((r.frame_id, r.part, r.width, len(r.data)) for r in parts.select("frame_id", "part", "width", "data").collect())
+    assert [f[0] for f in found if f[1] == 0] == ["a", "b", "c"] and all(f[2] == 0 for f in found if f[1] == 0)
+    assert max(f[2] for f in found) <= pointcloud2.PART and all(f[3] == 12 * f[2] for f in found)
+    assert {k: sum(f[2] for f in found if f[0] == k) for k in "abc"} == {"a": n, "b": 1, "c": 0}
+    whole = {r.frame_id: r for r in pointcloud2.join_parts(parts).collect()}
+    assert {k: r.width for k, r in whole.items()} == {"a": n, "b": 1, "c": 0}
+    assert (np.frombuffer(whole["a"].data, "<f4").reshape(-1, 3)[:, 0] == np.arange(n)).all()
+
+
+def test_box_run_in_parts_over_two_batches(spark, tmp_path):
+    """Clouds and messages come in parts; cloud 2 comes a micro-batch after its message, whose boxes are in the state."""
+    def clouds(*names, bare):
+        rows = [(str(k), 1 + i % 3, i, float(i), 0.0, 0.0) for k in names for i in range(10)]
+        sent = pointcloud2.encode_parts(spark.createDataFrame(rows, "frame_id string, part long, point_id long, x double, y double, z double"), spark.createDataFrame([(str(k),) for k in (*names, bare)], "frame_id string"))
+        return sent.selectExpr("'s' AS sensor", "CAST(frame_id AS BIGINT) AS cloud_id", "CAST(frame_id AS DOUBLE) + 0.5 AS arrival", "CAST(frame_id AS DOUBLE) AS stamp", "* EXCEPT (frame_id)")
+
+    box = lambda x: json.dumps({"objects": [{"center": [x, 0, 0], "size": [1, 1, 1]}]})
+    kind = "sensor string, message_id long, part long, arrival double, msg_stamp double, payload string"
+    told = [("s", n, p, n + 0.2, float(n), "[]" if p == 0 else box(2 * n + 3 * p)) for n in (1, 2) for p in range(3)]
+    figures = pipeline.RunFigures()
+
+    def go(sent, messages):
+        topics.append_topic(sent, str(tmp_path / "k"))
+        if messages:
+            topics.append_topic(spark.createDataFrame(messages, kind), str(tmp_path / "m"))
+        streams = [topics.stream_topic(spark, str(tmp_path / t), s) for t, s in (("k", sent.schema), ("m", kind))]
+        pipeline.run_boxes(*streams, pipeline.publish_topic(str(tmp_path / "out"), "p"), str(tmp_path / "c"), figures, once=True).awaitTermination()
+
+    go(clouds(1, bare=0), told)
+    go(clouds(2, 3, bare=4), [])
+    out = topics.read_topic(spark, str(tmp_path / "out"), f"part long, {pointcloud2.MESSAGE}")
+    kept = {r.frame_id: r.x for r in pointcloud2.decode(out).groupBy("frame_id").agg(F.sort_array(F.collect_list("x")).alias("x")).collect()}
+    every = [float(i) for i in range(10)]
+    assert kept == {"1": [x for x in every if x not in (5, 8)], "2": [x for x in every if x != 7], "3": every}
+    assert sorted(r.frame_id for r in out.filter("part = 0").collect()) == ["0", "1", "2", "3", "4"]
+    s = figures.summary(spark)
+    want = {"frames": 5, "input_points": 30, "output_points": 27, "boxes_received": 2, "frames_with_boxes": 2}
+    assert {k: s[k] for k in want} == want
+    with pytest.raises(Exception, match="without its head"):
+        go(clouds(5, bare=6).filter("part > 0"), [])

@@ -1,4 +1,8 @@
-"""Packed point-cloud messages to rows and back."""
+"""Packed point-cloud messages to rows and back.
+
+A cloud is one message, or comes in parts: a head, which is part 0, and messages of at most PART
+points, which are numbered upwards in the order of the points. All have the cloud's name.
+"""
 
 from __future__ import annotations
 
@@ -23,8 +27,8 @@ FIELDS = ("width", "height", "point_step", "is_bigendian", "fields", "data")
 
 #: The fields of a cloud of three 32-bit floats.
 _PLAIN = "array(" + ", ".join(f"named_struct('name', '{a}', 'offset', {4 * i}, 'datatype', 7, 'count', 1)" for i, a in enumerate("xyz")) + ")"
-#: Points of a message that are read at once.
-SLICE = 1 << 16
+#: Points of a message that are read at once, and those of one part of a cloud.
+SLICE, PART = 1 << 16, 1 << 18
 
 
 def _records(width: int, height: int, step: int, big: bool, fields: list, data: bytes | pa.Buffer) -> np.ndarray:
@@ -58,18 +62,20 @@ def unpack(width: int, height: int, step: int, big: bool, fields: list, data: by
 
 
 def decode(messages: DataFrame) -> DataFrame:
-    """Messages (MESSAGE) to frame_id, point_id, x, y, z."""
+    """Messages (MESSAGE) to frame_id, point_id, x, y, z, and part if they have it; a point_id counts within a message."""
+    names = [c for c in ("frame_id", "part") if c in messages.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                m = {c: batch.column(c)[i] for c in ("frame_id", *FIELDS)}
+                m = {c: batch.column(c)[i] for c in (*names, *FIELDS)}
                 got = _records(*[m[c].as_py() for c in FIELDS[:-1]], m["data"].as_buffer())
                 for at in range(0, len(got), SLICE):
                     part = got[at : at + SLICE]
-                    yield pa.record_batch({"frame_id": pa.repeat(m["frame_id"], len(part)), "point_id": pa.array(np.arange(at, at + len(part))), **{a: pa.array(part[a].astype(np.float64)) for a in "xyz"}})
+                    yield pa.record_batch({**{c: pa.repeat(m[c], len(part)) for c in names}, "point_id": pa.array(np.arange(at, at + len(part))), **{a: pa.array(part[a].astype(np.float64)) for a in "xyz"}})
 
-    return messages.select("frame_id", *FIELDS).mapInArrow(run, "frame_id string, point_id long, x double, y double, z double")
+    kinds = {"frame_id": "string", "part": "long"}
+    return messages.select(*names, *FIELDS).mapInArrow(run, f"{', '.join(f'{c} {kinds[c]}' for c in names)}, point_id long, x double, y double, z double")
 
 
 def gather(points: DataFrame, order: str, pack: Callable[[object, pd.DataFrame], bytes]) -> DataFrame:
@@ -103,3 +109,54 @@ def encode(points: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     bare = frames.select("frame_id").distinct().join(out, "frame_id", "left_anti")
     empty = bare.selectExpr("frame_id", "0 AS width", "1 AS height", "12 AS point_step", "false AS is_bigendian", f"{_PLAIN} AS fields", "X'' AS data")
     return out.unionByName(empty)
+
+
+def _pack_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points by frame_id and, if they have it, part: a message for each of them, or of PART points at most, which are numbered."""
+    place, name, part, held, size = (TaskContext.get().partitionId() << 32) + 1, None, None, [], 0
+
+    def message() -> pa.RecordBatch:
+        return pa.record_batch({"frame_id": [name], "part": pa.array([place if part is None else part], pa.int64()), "width": pa.array([size], pa.int32()), "data": pa.array([b"".join(held)], pa.binary())})
+
+    for batch in batches:
+        keys = [batch.column(c) for c in ("frame_id", "part") if c in batch.schema.names]
+        ends = sorted({e for k in keys for e in pc.run_end_encode(k).run_ends.to_pylist()})
+        points, at = np.stack([batch.column(a).to_numpy(zero_copy_only=False).astype("<f4") for a in "xyz"], axis=1), 0
+        for end in ends:
+            now = [k[at].as_py() for k in keys]
+            while at < end:
+                if size and (now != [name, part][: len(now)] or (len(now) == 1 and size == PART)):
+                    yield message()
+                    place, held, size = place + 1, [], 0
+                name, part = (*now, None)[:2]
+                stop = end if len(now) == 2 else min(end, at + PART - size)
+                held.append(points[at:stop].tobytes())
+                size, at = size + stop - at, stop
+    if size:
+        yield message()
+
+
+def _messages(packed: DataFrame, *more: str) -> DataFrame:
+    return packed.selectExpr("frame_id", *more, "width", "1 AS height", "12 AS point_step", "false AS is_bigendian", f"{_PLAIN} AS fields", "data")
+
+
+_PACKED = "frame_id string, part long, width int, data binary"
+
+
+def encode_parts(points: DataFrame, frames: DataFrame) -> DataFrame:
+    """As encode, with clouds in parts: a column part, and a head without points for each of frames (frame_id).
+
+    points with a column part keep it; points without one are cut in the order of point_id. No
+    place holds more than a part.
+    """
+    given = [c for c in ("part",) if c in points.columns]
+    rows = points.select(F.col("frame_id").cast("string").alias("frame_id"), *given, "point_id", "x", "y", "z")
+    dealt = rows.repartition("frame_id", "part") if given else rows.repartitionByRange("frame_id", "point_id")
+    packed = dealt.sortWithinPartitions("frame_id", *given, "point_id").drop("point_id").mapInArrow(_pack_runs, _PACKED)
+    heads = frames.select(F.col("frame_id").cast("string").alias("frame_id")).distinct().selectExpr("frame_id", "0L AS part", "0 AS width", "X'' AS data")
+    return _messages(packed.unionByName(heads), "part")
+
+
+def join_parts(parts: DataFrame) -> DataFrame:
+    """Clouds in parts, as of encode_parts, as one message each."""
+    return _messages(parts.groupBy("frame_id").agg(F.sum("width").cast("int").alias("width"), F.expr("listagg(data) WITHIN GROUP (ORDER BY part)").alias("data")))

@@ -120,7 +120,8 @@ class TopicWriter(_Writer, DataSourceArrowWriter):
 
 def _rows(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     with files.open_input(path) as f:
-        file = pa.ipc.open_file(f)
+        known = pa.ipc.open_file(f).schema.names
+        file = pa.ipc.open_file(f, options=pa.ipc.IpcReadOptions(included_fields=[known.index(c) for c in columns]))
         for i in range(file.num_record_batches):
             yield file.get_batch(i).select(columns)
 

@@ -13,6 +13,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions.payload import document, entries, message_stamp, read_entry
 
 STALE_TIME, HISTORY = 0.25, 64
+#: Keys of a sensor's packed clouds, which go past its messages.
+LANES = 1024
+#: Characters of boxes that are put into one table.
+_TEXT = 1 << 22
 OUTPUT = "sensor string, cloud_id long, boxes string, has_boxes boolean, stale boolean"
 _BOX = "array<struct<cx:double,cy:double,cz:double,l:double,w:double,h:double,yaw:double,label:string>>"
 
@@ -22,10 +26,12 @@ class Message:
     boxes: str
     stamp: float | None
     received: float
+    number: int = 0
+    parts: tuple[int, ...] = ()
 
     @property
     def filled(self) -> bool:
-        return self.boxes != "[]"
+        return self.boxes != "[]" or bool(self.parts)
 
 
 class BoxBuffer:
@@ -66,32 +72,74 @@ class BoxBuffer:
 
 
 class BoxProcessor(StatefulProcessor):
-    """carry: the cloud itself goes out beside its boxes, and each message gives a row without a cloud."""
+    """The messages of a sensor and what tells its clouds; with carry, packed clouds have keys of their own and go out as they come.
 
-    def __init__(self, stale_time: float, history: int, carry: bool):
-        self.stale_time, self.history, self.carry = stale_time, history, carry
+    A message in parts has its boxes in the state, part by part, and gives them out so.
+    """
+
+    def __init__(self, stale_time: float, history: int, carry: bool, parted: bool):
+        self.stale_time, self.history, self.carry, self.parted = stale_time, history, carry, parted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("messages", "boxes string, stamp double, received double")
+        self.kept = handle.getListState("messages", "boxes string, stamp double, received double, number long")
+        self.parts = handle.getMapState("parts", "number long, part long", "boxes string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.carry and key[1]:
+            for part in rows:
+                yield pd.DataFrame({"sensor": key[0], "cloud_id": part["number"], "boxes": "[]", "has_boxes": False, "stale": True, "piece": 0, "arrival": part["arrival"], "cloud": part["cloud"]})
+            return
         value = lambda x: None if pd.isna(x) else float(x)
-        buffer = BoxBuffer(self.stale_time, self.history, [Message(r[0], value(r[1]) if r[1] is not None else None, r[2]) for r in self.kept.get()])
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["arrival", "is_cloud"], kind="stable").itertuples():
+        heads = pd.concat([self._hold(part) for part in rows] if self.parted else list(rows))
+        parts: dict[int, tuple[int, ...]] = {}
+        for number, part in sorted(tuple(k) for k in self.parts.keys()) if self.parted else ():
+            parts[number] = (*parts.get(number, ()), part)
+        buffer = BoxBuffer(self.stale_time, self.history, [Message(r[0], value(r[1]) if r[1] is not None else None, r[2], r[3], parts.get(r[3], ())) for r in self.kept.get()])
+        known = {m.number for m in buffer.messages} | set(heads.loc[~heads["is_cloud"], "number"].tolist())
+        if parts.keys() - known:
+            raise ValueError(f"parts of the message {min(parts.keys() - known)} came without its head")
+        out, size = [], 0
+        for r in heads.sort_values(["arrival", "is_cloud"], kind="stable").itertuples():
             if not r.is_cloud:
-                buffer.add(Message(r.boxes, value(r.stamp), r.arrival))
+                buffer.add(Message(r.boxes, value(r.stamp), r.arrival, r.number, parts.get(r.number, ())))
                 if self.carry:
-                    out.append((key[0], None, "[]", False, False, None))
+                    out.append((key[0], None, "[]", False, False, 0, r.arrival, None))
                 continue
             found, stale = buffer.select(value(r.stamp), r.arrival)
-            out.append((key[0], int(r.cloud_id), found.boxes if found else "[]", bool(found and found.filled), stale, *([r.cloud] if self.carry else [])))
+            for piece, boxes in enumerate(self._boxes(found)):
+                out.append((key[0], r.number, boxes, bool(found and found.filled), stale, *([piece, r.arrival, None] if self.carry else [])))
+                size += len(boxes)
+                if size >= _TEXT:
+                    yield self._table(out)
+                    out, size = [], 0
         if buffer.messages:
-            self.kept.put([(m.boxes, m.stamp, m.received) for m in buffer.messages])
+            self.kept.put([(m.boxes, m.stamp, m.received, m.number) for m in buffer.messages])
         else:
             self.kept.clear()
-        made = pd.DataFrame(out, columns=["sensor", "cloud_id", "boxes", "has_boxes", "stale", *(["cloud"] if self.carry else [])])
-        yield made.astype({"cloud_id": "Int64"})
+        for number in parts.keys() - {m.number for m in buffer.messages}:
+            for part in parts[number]:
+                self.parts.removeKey((number, part))
+        yield self._table(out)
+
+    def _hold(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Puts the parts of messages into the state; the other rows."""
+        more = ~rows["is_cloud"] & (rows["part"] > 0)
+        for number, part, boxes in rows.loc[more, ["number", "part", "boxes"]].itertuples(index=False):
+            # the message has no boxes in this part
+            if boxes != "[]":
+                self.parts.updateValue((number, part), (boxes,))
+        return rows[~more].drop(columns="cloud", errors="ignore")
+
+    def _boxes(self, found: Message | None) -> Iterator[str]:
+        """The boxes of a message, part by part."""
+        if found is None or found.boxes != "[]" or not found.parts:
+            yield found.boxes if found else "[]"
+        for part in found.parts if found else ():
+            yield self.parts.getValue((found.number, part))[0]
+
+    def _table(self, out: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["sensor", "cloud_id", "boxes", "has_boxes", "stale", *(["piece", "arrival", "cloud"] if self.carry else [])])
+        return made.astype({"cloud_id": "Int64"})
 
     def close(self) -> None:
         pass
@@ -102,12 +150,12 @@ def read_messages(raw: DataFrame, min_size: float = 0.01) -> DataFrame:
 
     The payload's own stamp goes before the message's. Boxes smaller than min_size on a side, and
     entries that can't be read, are left out; a message without boxes still counts, one that is no
-    JSON doesn't.
+    JSON doesn't. message_id and part go through, if they are there.
     """
     v = document(F.col("payload"))
     sound = raw.withColumn("_ok", v.isNotNull()).filter("_ok").withColumn("stamp", F.coalesce(message_stamp(v), F.col("msg_stamp")))
     parsed = boxes_column(sound)
-    return parsed.select("sensor", "arrival", "stamp", F.to_json(F.filter("_boxes", lambda b: (b["l"] >= min_size) & (b["w"] >= min_size) & (b["h"] >= min_size))).alias("boxes"))
+    return parsed.select("sensor", "arrival", "stamp", *[c for c in ("message_id", "part") if c in raw.columns], F.to_json(F.filter("_boxes", lambda b: (b["l"] >= min_size) & (b["w"] >= min_size) & (b["h"] >= min_size))).alias("boxes"))
 
 
 def boxes_column(rows: DataFrame) -> DataFrame:
@@ -122,21 +170,29 @@ def select_boxes(clouds: DataFrame, messages: DataFrame, stale_time: float = STA
     """Streams of clouds (sensor, cloud_id, arrival, stamp) and of messages as of read_messages: the boxes of each cloud.
 
     Arrival (seconds of the receiving clock) orders both streams within a micro-batch. State is at
-    most history messages for each sensor. carry: clouds have a binary column cloud, which goes out
-    with their boxes, and each message gives a row with a null cloud_id. Needs the RocksDB state
-    store.
+    most history messages for each sensor. Messages with message_id (the sensor's own) and part
+    come in parts: part 0 is the head, whose times count, and all of them come in one micro-batch;
+    the clouds that take such a message have a row for each of its parts that has boxes.
+
+    carry: clouds have a column cloud (struct) and may come in parts, of which part 0 tells the cloud. The
+    result has rows with a cloud, which are the parts as they came, spread over all tasks, and
+    those without: one for each cloud (piece 0; pieces of more have further boxes), and one with a
+    null cloud_id for each message. Needs the RocksDB state store.
     """
-    none = F.lit(None)
-    kinds = {"cloud_id": "long", "boxes": "string"}
-    output = OUTPUT
-    if carry:
-        kinds["cloud"] = clouds.schema["cloud"].dataType
-        output = f"{OUTPUT}, cloud {kinds['cloud'].simpleString()}"
-    missing = lambda names: [none.cast(kinds[c]).alias(c) for c in names]
-    held = ["cloud"] if carry else []
-    both = clouds.select("sensor", "arrival", "stamp", "cloud_id", *missing(["boxes"]), F.lit(True).alias("is_cloud"), *held)
-    both = both.unionByName(messages.select("sensor", "arrival", "stamp", *missing(["cloud_id"]), "boxes", F.lit(False).alias("is_cloud"), *missing(held)))
-    return both.groupBy("sensor").transformWithStateInPandas(BoxProcessor(stale_time, history, carry), output, "append", "none")
+    zero, parted = F.lit(0).cast("long"), "message_id" in messages.columns
+    common = ["sensor", "arrival", "stamp", "number", "part", "boxes", "is_cloud"]
+    part = F.coalesce(F.col("part"), zero).cast("long") if "part" in clouds.columns else zero
+    heads = clouds.withColumns({"number": F.col("cloud_id").cast("long"), "part": part, "boxes": F.lit("[]"), "is_cloud": F.lit(True)})
+    told = messages.withColumns({"number": F.col("message_id").cast("long") if parted else zero, "part": F.coalesce(F.col("part"), zero).cast("long") if parted else zero, "is_cloud": F.lit(False)}).select(*common)
+    processor = BoxProcessor(stale_time, history, carry, parted)
+    if not carry:
+        return heads.filter("part = 0").select(*common).unionByName(told).groupBy("sensor").transformWithStateInPandas(processor, OUTPUT, "append", "none")
+    kind = clouds.schema["cloud"].dataType
+    lane = F.lit(1) + F.pmod(F.xxhash64("number", "part"), F.lit(LANES)).cast("int")
+    ways = F.array(F.when(F.col("part") == 0, F.struct(F.lit(0).alias("lane"), F.lit(None).cast(kind).alias("cloud"))), F.when(F.col("cloud.width") > 0, F.struct(lane.alias("lane"), "cloud")))
+    sent = heads.select(*common, F.explode(F.array_compact(ways)).alias("way")).select(*common, "way.lane", "way.cloud")
+    both = sent.unionByName(told.withColumns({"lane": F.lit(0), "cloud": F.lit(None).cast(kind)}))
+    return both.groupBy("sensor", "lane").transformWithStateInPandas(processor, f"{OUTPUT}, piece int, arrival double, cloud {kind.simpleString()}", "append", "none")
 
 
 def parsed_boxes(selected: DataFrame) -> DataFrame:

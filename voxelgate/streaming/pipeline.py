@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.crop import MARGIN, mark_points
 from ..operators.frames import latency
 from ..sources import files
-from ..sources.pointcloud2 import FIELDS, decode, encode
+from ..sources.pointcloud2 import FIELDS, PART, decode, encode_parts, join_parts
 from ..sources.topics import append_topic
 from .boxes import HISTORY, STALE_TIME, parsed_boxes, read_messages, select_boxes
 from .temporal import BUCKETS, filter_stream
@@ -91,18 +91,23 @@ class RunFigures:
 
 
 def crop_clouds(batch: DataFrame, margin: tuple[float, float, float] = MARGIN) -> DataFrame:
-    """Points (cloud_id, point_id, x, y, z, keep) of clouds with their boxes, as select_boxes gives them."""
-    points = decode(batch.select(F.col("cloud_id").cast("string").alias("frame_id"), "cloud.*")).withColumnRenamed("frame_id", "cloud_id").withColumn("cloud_id", F.col("cloud_id").cast("long"))
+    """Points (cloud_id, part, point_id, x, y, z, keep) of clouds with their boxes, as select_boxes carries them."""
+    packed = batch.filter("cloud IS NOT NULL").select(F.col("cloud_id").cast("string").alias("frame_id"), "cloud.*")
+    points = decode(packed).withColumnRenamed("frame_id", "cloud_id").withColumn("cloud_id", F.col("cloud_id").cast("long"))
+    if "part" not in points.columns:
+        points = points.withColumn("part", F.expr(f"point_id DIV {PART}"))
     return mark_points(points, parsed_boxes(batch.filter("NOT stale")), margin, "cloud_id")
 
 
-def cloud_figures(batch: DataFrame, marked: DataFrame) -> DataFrame:
-    """One row of sums over a micro-batch. Boxes are used for a cloud that has points and boxes in time."""
-    counted = marked.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("k"))
-    rows = batch.select("cloud_id", "has_boxes", "stale").join(counted, "cloud_id", "left")
-    cloud = F.col("cloud_id").isNotNull()
+def cloud_figures(batch: DataFrame, out: DataFrame) -> DataFrame:
+    """One row of sums over a micro-batch and the clouds that go out. Boxes are used for a cloud that has points and boxes in time."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return rows.agg(F.count_if(cloud).alias("frames"), total("n").alias("input_points"), total("k").alias("output_points"), F.count_if(~cloud).alias("boxes_received"), F.count_if(cloud & F.col("has_boxes") & ~F.col("stale") & (F.col("n") > 0)).alias("frames_with_boxes"))
+    points = F.greatest("cloud.width", F.lit(0)).cast("long") * F.greatest("cloud.height", F.lit(0))
+    counted = batch.filter("cloud IS NOT NULL").groupBy("cloud_id").agg(F.sum(points).alias("n"))
+    rows = batch.filter("cloud IS NULL AND piece = 0").select("cloud_id", "has_boxes", "stale").join(counted, "cloud_id", "left")
+    cloud = F.col("cloud_id").isNotNull()
+    row = rows.agg(F.count_if(cloud).alias("frames"), total("n").alias("input_points"), F.count_if(~cloud).alias("boxes_received"), F.count_if(cloud & F.col("has_boxes") & ~F.col("stale") & (F.col("n") > 0)).alias("frames_with_boxes"))
+    return row.crossJoin(out.agg(total("width").alias("output_points")))
 
 
 def _step(work: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sink: Sink, figures: RunFigures, arrivals: Callable[[DataFrame], DataFrame] | None):
@@ -110,7 +115,7 @@ def _step(work: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sink: Sink,
 
     def step(batch: DataFrame, number: int) -> None:
         began = time.perf_counter()
-        held = batch.persist()
+        held = out = batch.persist()
         try:
             out, row = work(held)
             sink(out, number)
@@ -124,6 +129,7 @@ def _step(work: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sink: Sink,
                 times = [(now - r["arrived"]) * 1000.0 for r in reversed(latest)]
             figures.add(counted, times, number)
         finally:
+            out.unpersist()
             held.unpersist()
 
     return step
@@ -134,20 +140,26 @@ def run_boxes(clouds: DataFrame, messages: DataFrame, sink: Sink, checkpoint: st
 
     clouds: sensor, cloud_id, arrival, stamp and the fields of a packed cloud; messages as of
     read_messages. sink gets packed clouds named by cloud_id; a cloud without boxes in time goes
-    out as it came. live: arrival is in seconds of the driver's clock, and a frame's time runs from
-    there until it is out.
+    out as it came. Clouds with a column part come in parts, all of them in one micro-batch, and go
+    out so; messages may do so too, as of select_boxes. live: arrival is in seconds of the driver's
+    clock, and a frame's time runs from there until it is out.
     """
-    packed = clouds.withColumn("cloud", F.struct(*FIELDS, "arrival"))
+    parted = "part" in clouds.columns
+    packed = clouds.withColumn("cloud", F.struct(*FIELDS, *([F.col("part").cast("long").alias("part")] if parted else [])))
     chosen = select_boxes(packed, read_messages(messages, min_size), stale_time, history, carry=True)
 
     def work(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        arrived = batch.filter("cloud_id IS NOT NULL")
-        marked = crop_clouds(arrived, margin).persist()
+        # the first job computes the micro-batch in one stage, so that its state isn't written by several
+        lost = batch.filter("cloud_id IS NOT NULL").groupBy("cloud_id").agg(F.bool_and(F.col("cloud").isNotNull()).alias("bare")).filter("bare").first()
+        if lost:
+            raise ValueError(f"parts of the cloud {lost['cloud_id']} came without its head")
+        heads = batch.filter("cloud IS NULL AND piece = 0 AND cloud_id IS NOT NULL").select("cloud_id")
         name = F.col("cloud_id").cast("string").alias("frame_id")
-        out = encode(marked.filter("keep").select(name, "point_id", "x", "y", "z"), arrived.select(name))
-        return out, cloud_figures(batch, marked)
+        parts = encode_parts(crop_clouds(batch, margin).filter("keep").select(name, "part", "point_id", "x", "y", "z"), heads.select(name))
+        out = (parts if parted else join_parts(parts)).persist()
+        return out, cloud_figures(batch, out)
 
-    arrived = (lambda batch: batch.filter("cloud_id IS NOT NULL").select(F.col("cloud.arrival").cast("double").alias("arrived"))) if live else None
+    arrived = (lambda batch: batch.filter("cloud IS NULL AND piece = 0 AND cloud_id IS NOT NULL").select(F.col("arrival").alias("arrived"))) if live else None
     return _start(chosen, _step(work, sink, figures, arrived), checkpoint, once)
 
 
